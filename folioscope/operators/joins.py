@@ -1,0 +1,65 @@
+"""Joins that stay balanced when one key holds a large share of the rows."""
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BROADCAST_BYTES = 32 * 1024 * 1024
+
+
+def plan_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate of a DataFrame (an upper bound, known before it runs)."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+
+
+def hot_keys(df: DataFrame, key: str, share: float = 0.005) -> DataFrame:
+    """Keys holding more than `share` of the rows: at most 1/share keys, by arithmetic."""
+    counts = df.groupBy(key).agg(F.count("*").alias("_rows"))
+    total = counts.agg(F.sum("_rows"))
+    return counts.where(F.col("_rows") > F.lit(share) * total.scalar()).select(key)
+
+
+def salted_join(
+    fact: DataFrame,
+    dim: DataFrame,
+    key: str,
+    how: str,
+    salt_by: list[str],
+    salts: int = 64,
+    share: float = 0.005,
+) -> DataFrame:
+    """Join a skewed `fact` to `dim` (any size) on `key`.
+
+    Only rows of hot keys are spread over `salts` buckets, and only the dim rows of
+    those keys are repeated. The salt is a hash of `salt_by`, so a recomputed task
+    sends its rows to the same place.
+    """
+    hot = F.broadcast(hot_keys(fact, key, share).withColumn("_hot", F.lit(True)))
+    bucket = F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int")
+    spread = F.col("_hot").isNotNull() | F.col(key).isNull()
+    left = (
+        fact.join(hot, key, "left")
+        .withColumn("_salt", F.when(spread, bucket).otherwise(0))
+        .drop("_hot")
+    )
+    right = (
+        dim.join(hot, key, "left")
+        .withColumn(
+            "_salt",
+            F.explode(
+                F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
+                    F.array(F.lit(0))
+                )
+            ),
+        )
+        .drop("_hot")
+    )
+    return left.join(right, [key, "_salt"], how).drop("_salt")
+
+
+def dimension_join(
+    fact: DataFrame, dim: DataFrame, key: str, how: str, salt_by: list[str]
+) -> DataFrame:
+    """Broadcast `dim` when its estimated size allows, else a salted shuffle join."""
+    if plan_bytes(dim) <= BROADCAST_BYTES:
+        return fact.join(F.broadcast(dim), key, how)
+    return salted_join(fact, dim, key, how, salt_by)
