@@ -86,8 +86,8 @@ def _pieces(p: Column, n: Column) -> Column:
         start_at = F.coalesce(attr(parent, "start").try_cast("int"), F.lit(1))
         bullet = F.when(
             parent["tag"] == "ol",
-            F.concat((start_at + n["nth"] - 1).cast("string"), F.lit(".  ")),
-        ).otherwise(F.lit("-   "))
+            F.concat((start_at + n["nth"] - 1).cast("string"), F.lit("." + 2 * CODE_SPACE)),
+        ).otherwise(F.lit("-" + 3 * CODE_SPACE))
         label = F.get(F.filter(p["repaired"], lambda r: r["seq"] == n["seq"]), 0)["label"]
         image = F.get(F.filter(p["images"], lambda i: i["seq"] == n["seq"]), 0)
         image_text = let(
