@@ -8,7 +8,7 @@ BROADCAST_BYTES = 32 * 1024 * 1024
 
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a DataFrame (an upper bound, known before it runs)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def hot_keys(df: DataFrame, key: str, share: float = 0.005) -> DataFrame:

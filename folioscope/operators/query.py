@@ -72,7 +72,7 @@ def filter_tag(archive: Archive, tag_id: str | None, df: DataFrame | None = None
 def lookup(df: DataFrame, column: str, keys: DataFrame | list) -> DataFrame:
     """Rows whose `column` is among the keys: a pushed filter for a list, else a semi join."""
     if isinstance(keys, DataFrame):
-        return df.join(keys.select(F.col(keys.columns[0]).alias(column)), column, "left_semi")
+        return df.join(keys.toDF(column), column, "left_semi")
     return df.where(F.col(column).isin(*keys))
 
 
@@ -207,7 +207,7 @@ def suggest_tags(archive: Archive, ids: DataFrame, n: int = 6) -> DataFrame:
         .limit(n + K.MAX_TAGS_PER_BOOKMARK)
         .agg(F.array_sort(F.collect_list(F.struct("_folded", "id", "name", "_key"))).alias("_head"))
     )
-    wanted = ids.select(F.col(ids.columns[0]).alias("id"))
+    wanted = ids.toDF("id")
     used = (
         attach_tags(wanted, archive, wanted)
         .withColumn("_used", F.transform("tags", lambda t: F.lower(t["name"])))
