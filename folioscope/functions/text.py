@@ -6,7 +6,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from folioscope import constants as K
 
@@ -208,6 +208,15 @@ def _nfkc_lower(names: pd.Series) -> pd.Series:
     )
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def nfkc_lower_lists(lists: pd.Series) -> pd.Series:
+    """NFKC + lower case of every name in a list; takes a plain column."""
+    return lists.map(
+        lambda names: [unicodedata.normalize("NFKC", s).lower() for s in names],
+        na_action="ignore",
+    )
+
+
 def tag_display_name(name: Column) -> Column:
     return collapse_space(name)
 

@@ -222,21 +222,35 @@ def _idna(hosts: pd.Series) -> pd.Series:
     return hosts.map(encode, na_action="ignore")
 
 
-def with_normalized_url(df: DataFrame, url: str, into: str = "normalized_url") -> DataFrame:
-    """Add the normal form of a column, with international hosts in their ASCII form.
-
-    Only foreign host names travel to Python; all other rows pass a null. The stages
-    are separate projections because a Python function takes plain columns only.
+def with_normalized_url(
+    df: DataFrame,
+    url: str,
+    into: str = "normalized_url",
+    error: str | None = None,
+    domain: str | None = None,
+) -> DataFrame:
+    """Add the normal form of a column, on request also its error code and host name.
+
+    The address is taken apart once. International hosts get their ASCII form: only those
+    travel to Python, all other rows pass a null. The stages are separate projections, as
+    a Python function takes plain columns only.
     """
-    staged = df.withColumns({"_normal": normalize_url(F.col(url)), "_host": url_domain(F.col(url))})
-    staged = staged.withColumn("_foreign", F.when(F.col("_host").rlike(r"[^\x00-\x7f]"), F.col("_host")))
+    staged = df.withColumn("_u", _parse_strict(F.col(url)))
+    staged = staged.withColumns(
+        {
+            "_bad": _error(F.col("_u")),
+            "_foreign": F.when(F.col("_u.host").rlike(r"[^\x00-\x7f]"), F.col("_u.host")),
+        }
+    )
     staged = staged.withColumn("_ascii", _idna(F.col("_foreign")))
-    return staged.withColumn(
-        into,
-        F.when(F.col("_foreign").isNull(), F.col("_normal")).otherwise(
-            F.replace(F.col("_normal"), F.col("_foreign"), F.col("_ascii"))
-        ),
-    ).drop("_normal", "_host", "_foreign", "_ascii")
+    host = F.when(F.col("_foreign").isNull(), F.col("_u.host")).otherwise(F.col("_ascii"))
+    good = F.col("_bad").isNull() & host.isNotNull()
+    added = {into: F.when(good, _serialize(F.col("_u"), False, host))}
+    if error:
+        added[error] = F.when(~good, F.coalesce("_bad", F.lit("INVALID_URL")))
+    if domain:
+        added[domain] = F.when(good, host)
+    return staged.withColumns(added).drop("_u", "_bad", "_foreign", "_ascii")
 
 
 def url_domain(url: Column) -> Column:

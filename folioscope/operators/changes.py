@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from folioscope import constants as K
 from folioscope.functions import text as X
-from folioscope.functions.urls import url_domain, url_error, with_normalized_url
+from folioscope.functions.urls import with_normalized_url
 from folioscope.operators.joins import dimension_join
 from folioscope.operators.query import expired, live, tag_usage
 from folioscope.schema import BOOKMARKS, Archive, Change
@@ -103,16 +103,19 @@ def admit(archive: Archive, requests: DataFrame, now: Column) -> Change:
 
     requests: request_id (unique, becomes the bookmark id), seq, url, tag_names.
     """
-    checked = with_normalized_url(requests, "url").withColumn("_error", url_error(F.col("url")))
-    bad = checked.where(F.col("_error").isNotNull())
-    good = checked.where(F.col("_error").isNull()).drop("_error")
-    first = first_per_url(good)
-    # Unique request ids, so neither join below is skewed by a popular URL.
-    later = good.join(first.select("request_id"), "request_id", "left_anti")
-    matched = match_existing(first, archive.bookmarks).where(F.col("match") != "live")
-    new_ids = matched.select("request_id", "existing_id")
-    fresh = good.join(new_ids, "request_id")
-    taken = first.join(matched.select("request_id"), "request_id", "left_anti")
+    checked = with_normalized_url(requests, "url", error="_error", domain="_domain")
+    # One row per URL meets the archive; the verdict goes back by the unique request id,
+    # so neither join is skewed by a popular URL.
+    winners = match_existing(first_per_url(checked), archive.bookmarks).select(
+        "request_id", "match", "existing_id"
+    )
+    judged = checked.join(winners, "request_id", "left").withColumn(
+        "_code",
+        F.when(F.col("_error").isNotNull(), F.col("_error")).when(
+            F.col("match").isNull() | (F.col("match") == "live"), F.lit("DUPLICATE_URL")
+        ),
+    )
+    fresh = judged.where(F.col("_code").isNull())
     original = X.js_trim(F.col("url"))
     rows = with_defaults(
         fresh.select(
@@ -120,15 +123,13 @@ def admit(archive: Archive, requests: DataFrame, now: Column) -> Change:
             original.alias("url"),
             "normalized_url",
             F.col("normalized_url").alias("final_url"),
-            F.coalesce(X.non_empty(url_domain(F.col("normalized_url"))), original).alias("title"),
-            url_domain(F.col("normalized_url")).alias("domain"),
+            F.coalesce("_domain", original).alias("title"),
+            F.col("_domain").alias("domain"),
             now.alias("created_at"),
             now.alias("updated_at"),
         )
     )
-    purged = new_ids.where(F.col("existing_id").isNotNull()).select(
-        F.col("existing_id").alias("id")
-    )
+    purged = winners.where(F.col("match") == "deleted").select(F.col("existing_id").alias("id"))
     kept = remove_bookmarks(archive, purged)
     added = kept.replace(bookmarks=kept.bookmarks.unionByName(rows))
     tagged = set_tags(
@@ -138,12 +139,8 @@ def admit(archive: Archive, requests: DataFrame, now: Column) -> Change:
         ),
         now,
     )
-    rejects = (
-        _reject(bad, "request_id", F.col("_error"))
-        .unionByName(_reject(later, "request_id", "DUPLICATE_URL"))
-        .unionByName(_reject(taken, "request_id", "DUPLICATE_URL"))
-        .unionByName(tagged.rejects)
-    )
+    refused = judged.where(F.col("_code").isNotNull())
+    rejects = _reject(refused, "request_id", F.col("_code")).unionByName(tagged.rejects)
     return Change(tagged.archive, rows, rejects)
 
 
@@ -335,22 +332,43 @@ def purge(archive: Archive, now: Column, minutes: int = K.RETENTION_MINUTES) ->
 # --- tags ---------------------------------------------------------------------------------
 
 
-def distinct_tag_names(df: DataFrame) -> DataFrame:
-    """One row per (bookmark_id, normalized_name): first position, last spelling."""
-    return (
-        df.select("bookmark_id", F.posexplode("tag_names").alias("_pos", "_raw"))
-        .withColumns(
-            {
-                "name": X.tag_display_name(F.col("_raw")),
-                "normalized_name": X.normalize_tag_name(F.col("_raw")),
-            }
+def with_tag_entries(df: DataFrame) -> DataFrame:
+    """Add `entries`, array<struct<position, normalized_name, name>>, from tag_names.
+
+    Equal names keep their first position and their last spelling. All inside the row;
+    only lists with characters outside ASCII are handed to Python.
+    """
+    shown = F.filter(F.transform("tag_names", X.tag_display_name), lambda n: n != "")
+    ascii_only = F.forall("_shown", lambda n: n.rlike(r"^[\x00-\x7f]*$"))
+    staged = df.withColumn("_shown", shown).withColumn(
+        "_foreign", F.when(~ascii_only, F.col("_shown"))
+    )
+    staged = staged.withColumn("_normal", X.nfkc_lower_lists(F.col("_foreign")))
+    staged = staged.withColumn("_normal", F.coalesce("_normal", F.transform("_shown", F.lower)))
+
+    def entry(p: Column) -> Column:
+        named = F.arrays_zip(p["_normal"], p["_shown"])
+        return F.transform(
+            F.array_distinct(p["_normal"]),
+            lambda key: F.struct(
+                (F.array_position(p["_normal"], key) - 1).cast("int").alias("position"),
+                key.alias("normalized_name"),
+                F.element_at(F.filter(named, lambda z: z["_normal"] == key), -1)["_shown"].alias(
+                    "name"
+                ),
+            ),
         )
-        .where(F.col("name") != "")
-        .groupBy("bookmark_id", "normalized_name")
-        .agg(F.min("_pos").alias("position"), F.max_by("name", "_pos").alias("name"))
+
+    return staged.withColumn("entries", X.let(F.struct("_normal", "_shown"), entry)).drop(
+        "_shown", "_foreign", "_normal"
     )
 
 
+def distinct_tag_names(df: DataFrame) -> DataFrame:
+    """One row per (bookmark_id, normalized_name): first position, last spelling."""
+    return with_tag_entries(df).select("bookmark_id", F.inline("entries"))
+
+
 def resolve_tags(names: DataFrame, tags: DataFrame) -> DataFrame:
     """Distinct names with their tag: existing id, or a new one with is_new = true.
 
@@ -378,16 +396,13 @@ def _new_tags(resolved: DataFrame, now: Column) -> DataFrame:
 
 def set_tags(archive: Archive, changes: DataFrame, now: Column) -> Change:
     """Replace the tags of bookmarks: bookmark_id (unique), tag_names."""
-    names = distinct_tag_names(changes)
-    per_bookmark = names.groupBy("bookmark_id").agg(
-        F.count("*").alias("n"),
-        F.max(X.utf16_length(F.col("name"))).alias("longest"),
-    )
-    refused = per_bookmark.where(
-        (F.col("n") > K.MAX_TAGS_PER_BOOKMARK) | (F.col("longest") > K.MAX_TAG_NAME)
-    ).select("bookmark_id")
-    accepted = names.join(refused, "bookmark_id", "left_anti")
-    changed = changes.select("bookmark_id").join(refused, "bookmark_id", "left_anti")
+    listed = with_tag_entries(changes)
+    too_long = F.exists("entries", lambda e: X.utf16_length(e["name"]) > K.MAX_TAG_NAME)
+    broken = (F.size("entries") > K.MAX_TAGS_PER_BOOKMARK) | too_long
+    refused = listed.where(broken).select("bookmark_id")
+    valid = listed.where(~broken)
+    changed = valid.select("bookmark_id")
+    accepted = valid.select("bookmark_id", F.inline("entries"))
     # The first bookmark naming a new tag decides its spelling.
     spelled = accepted.withColumn("seq", F.struct("bookmark_id", "position"))
     fresh = _new_tags(resolve_tags(spelled, archive.tags), now)

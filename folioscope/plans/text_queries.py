@@ -55,10 +55,8 @@ _URL_ERROR = (
 )
 def normalized_urls(spark, sf_dir):
     df = T.table(spark, sf_dir, URL_VARIANTS)
-    named = U.with_normalized_url(df.withColumn("url_error", U.url_error(F.col("raw"))), "raw")
-    return named.select(
-        "page_id", "variant", "url_error", "normalized_url", U.url_domain(F.col("normalized_url")).alias("domain")
-    )
+    named = U.with_normalized_url(df, "raw", error="url_error", domain="domain")
+    return named.select("page_id", "variant", "url_error", "normalized_url", "domain")
 
 
 @query(
