@@ -53,141 +53,186 @@ def _mark(kind: str, mark: Column | str) -> Column:
     return F.concat(F.lit(kind), mark, F.lit(END))
 
 
-def _text_piece(n: Column, raw: Column, code: Column, units: Column) -> Column:
+def _text_piece(n: Column) -> Column:
     clean = F.regexp_replace(n["text"], _CONTROL, "")
     as_code = F.replace(
-        F.replace(F.replace(clean, F.lit("\r"), F.lit("")), F.lit(" "), F.lit(CODE_SPACE)),
+        F.translate(clean, " \r", CODE_SPACE),
         F.lit("\n"),
-        F.concat(F.lit(CODE_LINE), units),
+        F.concat(F.lit(CODE_LINE), n["units"]),
     )
     flat = F.regexp_replace(clean, r"[ \t\r\n]+", " ")
-    led = F.when(n["seq"] == n["parent"] + 1, F.ltrim(flat)).otherwise(flat)
-    inline_code = F.replace(flat, F.lit(" "), F.lit(CODE_SPACE))
-    return F.when(raw, as_code).when(code, inline_code).otherwise(escape_text(led))
+    led = F.when(n["first"], F.ltrim(flat)).otherwise(flat)
+    inline_code = F.translate(flat, " ", CODE_SPACE)
+    return F.when(n["raw"], as_code).when(n["code"], inline_code).otherwise(escape_text(led))
 
 
-def _pieces(p: Column, n: Column) -> Column:
-    """array of (pos, order, tie, piece) for one node; p holds the page's columns."""
-    nodes = p["nodes"]
-    inner = F.filter(n["path"], lambda i: i >= p["root"])
-    above = F.transform(inner, lambda i: F.get(nodes, i)["tag"])
-
-    def build(x: Column) -> Column:
-        up = x["up"]
-        tag, units = n["tag"], x["units"]
-        raw = F.array_contains(up, "pre")
-        code = F.array_contains(up, "code")
-        cell = F.array_contains(up, "td") | F.array_contains(up, "th")
-        parent = F.get(nodes, n["parent"])
-        space = lambda border: F.when(cell, F.lit(" ")).otherwise(border)
-        para, line = space(_border(units, BREAK)), space(_border(units, LINE))
-        level = F.greatest(F.lit(2), F.substring(tag, 2, 1).try_cast("int"))
-        nested_list = F.when(parent["tag"] == "li", line).otherwise(para)
-        start_at = F.coalesce(attr(parent, "start").try_cast("int"), F.lit(1))
-        bullet = F.when(
-            parent["tag"] == "ol",
-            F.concat((start_at + n["nth"] - 1).cast("string"), F.lit("." + 2 * CODE_SPACE)),
-        ).otherwise(F.lit("-" + 3 * CODE_SPACE))
-        label = F.get(F.filter(p["repaired"], lambda r: r["seq"] == n["seq"]), 0)["label"]
-        image = F.get(F.filter(p["images"], lambda i: i["seq"] == n["seq"]), 0)
-        image_text = let(
-            image,
-            lambda i: F.when(
-                i["src"].isNotNull(),
-                F.concat(
-                    F.lit("!["), F.regexp_replace(i["alt"], r"[\[\]]", ""),
-                    F.lit("]("), i["src"], F.lit(")"),
+def node_contexts(page: Column) -> Column:
+    """The kept nodes, each with what its surroundings say.
+
+    page: struct<nodes, kept, root>. Result: array<struct<seq, last, first, nth, tag, text,
+    title, parent, start, units, raw, code, cell, language>>.
+    """
+
+    def context(p: Column, n: Column) -> Column:
+        inner = F.filter(n["path"], lambda i: i >= p["root"])
+        return F.struct(
+            n["seq"].alias("seq"),
+            n["last"].alias("last"),
+            (n["seq"] == n["parent"] + 1).alias("first"),
+            n["nth"].alias("nth"),
+            n["tag"].alias("tag"),
+            n["text"].alias("text"),
+            attr(n, "title").alias("title"),
+            F.get(p["nodes"], n["parent"])["tag"].alias("parent"),
+            attr(F.get(p["nodes"], n["parent"]), "start").alias("start"),
+            F.coalesce(
+                dom.code_language(F.get(p["nodes"], n["seq"] + 1)), dom.code_language(n)
+            ).alias("language"),
+            F.transform(inner, lambda i: F.get(p["nodes"], i)["tag"]).alias("up"),
+        )
+
+    def place(c: Column) -> Column:
+        units = F.translate(
+            F.array_join(
+                F.transform(
+                    F.filter(c["up"], lambda t: t.isin("li", "blockquote")),
+                    lambda t: F.substring(t, 1, 1),
                 ),
+                "",
             ),
-        )
-        href = F.get(F.filter(p["links"], lambda a: a["seq"] == n["seq"]), 0)["href"]
-        href = F.regexp_replace(href, r"([()])", r"\\$1")
-        title = F.when(
-            F.coalesce(attr(n, "title"), F.lit("")) != "",
-            F.concat(F.lit(' "'), attr(n, "title"), F.lit('"')),
-        ).otherwise("")
-        language = F.coalesce(
-            dom.code_language(F.get(nodes, n["seq"] + 1)), dom.code_language(n), F.lit("")
+            "lb",
+            INDENT + QUOTE,
         )
-        fence = F.lit("```")
-        cells = F.size(
-            F.filter(
-                dom.below(nodes, n),
-                lambda c: c["tag"].isin("td", "th") & (c["parent"] == n["seq"]),
-            )
+        return (
+            c.withField("units", units)
+            .withField("raw", F.array_contains(c["up"], "pre"))
+            .withField("code", F.array_contains(c["up"], "code"))
+            .withField("cell", F.arrays_overlap(c["up"], F.array(F.lit("td"), F.lit("th"))))
+            .dropFields("up")
         )
+
+    return F.transform(
+        let(page, lambda p: F.transform(p["kept"], lambda n: context(p, n))), place
+    )
+
+
+def header_rows(nodes: Column) -> Column:
+    """map<seq, number of cells> of the table rows that are followed by a rule."""
+
+    def row(n: Column) -> Column:
+        parent = F.get(nodes, n["parent"])
         table = dom.closest(nodes, n, lambda a: a["tag"] == "table")
         has_head = F.exists(
             dom.below(nodes, table), lambda c: (c["tag"] == "thead") & (c["last"] > c["seq"])
         )
-        header_row = (n["nth"] == 1) & (
-            (parent["tag"] == "thead") | ~F.coalesce(has_head, F.lit(False))
-        ) & ((parent["tag"] != "tbody") | (parent["nth"] == 1) | (F.get(nodes, parent["seq"] - 1)["tag"] == "table"))
-
-        opening = (
-            F.when(tag == dom.TEXT, _text_piece(n, raw, code, units))
-            .when(raw, F.lit(""))
-            .when(tag.isin(*HEADINGS), F.concat(para, F.repeat(F.lit("#"), level), F.lit(" ")))
-            .when(tag.isin(*BLOCKS), para)
-            .when(tag.isin("ul", "ol"), nested_list)
-            .when(tag == "li", F.concat(line, bullet, F.lit(GLUE)))
-            .when(tag == "blockquote", F.concat(para, F.lit(QUOTE + GLUE)))
-            .when(tag == "pre", F.concat(para, fence, language, F.lit(CODE_LINE), units))
-            .when(tag == "code", F.lit("`"))
-            .when(tag == "hr", F.concat(para, F.lit("* * *"), para))
-            .when(tag == "br", space(F.concat(F.lit(BR), units, F.lit(BR_END))))
-            .when(tag.isin(*STRONG), _mark(START, "**"))
-            .when(tag.isin(*EMPHASIS), _mark(START, "*"))
-            .when(tag.isin(*STRUCK), _mark(START, "~"))
-            .when((tag == "a") & href.isNotNull(), _mark(START, "["))
-            .when(tag == "img", F.coalesce(image_text, F.lit("")))
-            .when(tag == "tr", F.concat(line, F.lit("|")))
-            .when(
-                tag.isin("td", "th"),
-                F.concat(F.lit(" "), F.coalesce(escape_text(label), F.lit(""))),
-            )
-            .otherwise("")
+        first_group = (parent["nth"] == 1) | (F.get(nodes, parent["seq"] - 1)["tag"] == "table")
+        leads = (n["nth"] == 1) & (
+            (parent["tag"] == "thead")
+            | (~F.coalesce(has_head, F.lit(False)) & ((parent["tag"] != "tbody") | first_group))
+        )
+        cells = F.filter(
+            dom.below(nodes, n), lambda c: c["tag"].isin("td", "th") & (c["parent"] == n["seq"])
+        )
+        return F.struct(n["seq"].alias("key"), F.when(leads, F.size(cells)).alias("value"))
+
+    rows = F.transform(dom.with_tag(nodes, "tr"), row)
+    return F.map_from_entries(F.filter(rows, lambda r: r["value"].isNotNull()))
+
+
+def image_texts(images: Column) -> Column:
+    """map<seq, Markdown image>."""
+    shown = F.filter(images, lambda i: i["src"].isNotNull())
+    return F.map_from_entries(
+        F.transform(
+            shown,
+            lambda i: F.struct(
+                i["seq"].alias("key"),
+                F.concat(
+                    F.lit("!["),
+                    F.regexp_replace(i["alt"], r"[\[\]]", ""),
+                    F.lit("]("),
+                    i["src"],
+                    F.lit(")"),
+                ).alias("value"),
+            ),
         )
-        closing = (
-            F.when(raw | (tag == dom.TEXT), F.lit(""))
-            .when(tag.isin(*HEADINGS, *BLOCKS, "blockquote"), para)
-            .when(tag.isin("ul", "ol"), nested_list)
-            .when(tag == "li", line)
-            .when(tag == "pre", F.concat(F.lit(CODE_LINE), units, fence, para))
-            .when(tag == "code", F.lit("`"))
-            .when(tag.isin(*STRONG), _mark(STOP, "**"))
-            .when(tag.isin(*EMPHASIS), _mark(STOP, "*"))
-            .when(tag.isin(*STRUCK), _mark(STOP, "~"))
-            .when(
-                (tag == "a") & href.isNotNull(),
-                _mark(STOP, F.concat(F.lit("]("), href, title, F.lit(")"))),
-            )
-            .when(tag.isin("td", "th"), F.lit(" |"))
-            .when(
-                (tag == "tr") & header_row,
-                F.concat(_border(units, LINE), F.lit("|"), F.repeat(F.lit(" --- |"), cells)),
-            )
-            .otherwise("")
+    )
+
+
+def _pieces(p: Column, n: Column) -> Column:
+    """Opening and closing piece of one node, as (pos, order, tie, piece)."""
+    tag, units = n["tag"], n["units"]
+    raw = n["raw"]
+    space = lambda border: F.when(n["cell"], F.lit(" ")).otherwise(border)
+    para, line = space(_border(units, BREAK)), space(_border(units, LINE))
+    level = F.greatest(F.lit(2), F.substring(tag, 2, 1).try_cast("int"))
+    nested_list = F.when(n["parent"] == "li", line).otherwise(para)
+    start_at = F.coalesce(n["start"].try_cast("int"), F.lit(1))
+    bullet = F.when(
+        n["parent"] == "ol",
+        F.concat((start_at + n["nth"] - 1).cast("string"), F.lit("." + 2 * CODE_SPACE)),
+    ).otherwise(F.lit("-" + 3 * CODE_SPACE))
+    label = F.try_element_at(p["labels"], n["seq"])
+    image = F.coalesce(F.try_element_at(p["images"], n["seq"]), F.lit(""))
+    href = F.regexp_replace(F.try_element_at(p["links"], n["seq"]), r"([()])", r"\\$1")
+    title = F.when(
+        F.coalesce(n["title"], F.lit("")) != "",
+        F.concat(F.lit(' "'), n["title"], F.lit('"')),
+    ).otherwise("")
+    cells = F.try_element_at(p["heads"], n["seq"])
+    fence = F.lit("```")
+
+    opening = (
+        F.when(tag == dom.TEXT, _text_piece(n))
+        .when(raw, F.lit(""))
+        .when(tag.isin(*HEADINGS), F.concat(para, F.repeat(F.lit("#"), level), F.lit(" ")))
+        .when(tag.isin(*BLOCKS), para)
+        .when(tag.isin("ul", "ol"), nested_list)
+        .when(tag == "li", F.concat(line, bullet, F.lit(GLUE)))
+        .when(tag == "blockquote", F.concat(para, F.lit(QUOTE + GLUE)))
+        .when(
+            tag == "pre",
+            F.concat(para, fence, F.coalesce(n["language"], F.lit("")), F.lit(CODE_LINE), units),
         )
+        .when(tag == "code", F.lit("`"))
+        .when(tag == "hr", F.concat(para, F.lit("* * *"), para))
+        .when(tag == "br", space(F.concat(F.lit(BR), units, F.lit(BR_END))))
+        .when(tag.isin(*STRONG), _mark(START, "**"))
+        .when(tag.isin(*EMPHASIS), _mark(START, "*"))
+        .when(tag.isin(*STRUCK), _mark(START, "~"))
+        .when((tag == "a") & href.isNotNull(), _mark(START, "["))
+        .when(tag == "img", image)
+        .when(tag == "tr", F.concat(line, F.lit("|")))
+        .when(tag.isin("td", "th"), F.concat(F.lit(" "), F.coalesce(escape_text(label), F.lit(""))))
+        .otherwise("")
+    )
+    closing = (
+        F.when(raw | tag.isin(dom.TEXT, "img"), F.lit(""))
+        .when(tag.isin(*HEADINGS, "blockquote"), para)
         # A background image is appended to its element.
-        closing = F.when(
-            (tag != "img") & image_text.isNotNull(), F.concat(image_text, closing)
-        ).otherwise(closing)
-        piece = lambda pos, order, tie, text: F.struct(
-            pos.alias("pos"), F.lit(order).alias("order"), tie.alias("tie"), text.alias("piece")
+        .when(tag.isin(*BLOCKS), F.concat(image, para))
+        .when(tag.isin("ul", "ol"), nested_list)
+        .when(tag == "li", F.concat(image, line))
+        .when(tag == "pre", F.concat(F.lit(CODE_LINE), units, fence, para))
+        .when(tag == "code", F.lit("`"))
+        .when(tag.isin(*STRONG), _mark(STOP, "**"))
+        .when(tag.isin(*EMPHASIS), _mark(STOP, "*"))
+        .when(tag.isin(*STRUCK), _mark(STOP, "~"))
+        .when(
+            (tag == "a") & href.isNotNull(),
+            _mark(STOP, F.concat(F.lit("]("), href, title, F.lit(")"))),
         )
-        return F.array(
-            piece(n["seq"], 0, F.lit(0), opening), piece(n["last"], 1, -n["seq"], closing)
+        .when(tag.isin("td", "th"), F.lit(" |"))
+        .when(
+            (tag == "tr") & cells.isNotNull(),
+            F.concat(_border(units, LINE), F.lit("|"), F.repeat(F.lit(" --- |"), cells)),
         )
-
-    units = F.array_join(
-        F.transform(
-            F.filter(above, lambda t: t.isin("li", "blockquote")),
-            lambda t: F.when(t == "li", F.lit(INDENT)).otherwise(F.lit(QUOTE)),
-        ),
-        "",
+        .otherwise(image)
     )
-    return let(F.struct(above.alias("up"), units.alias("units")), build)
+    piece = lambda pos, order, tie, text: F.struct(
+        pos.alias("pos"), F.lit(order).alias("order"), tie.alias("tie"), text.alias("piece")
+    )
+    return F.array(piece(n["seq"], 0, F.lit(0), opening), piece(n["last"], 1, -n["seq"], closing))
 
 
 def _settle(joined: Column) -> Column:
@@ -216,16 +261,10 @@ def _settle(joined: Column) -> Column:
     return F.replace(F.replace(c, F.lit(QUOTE), F.lit("> ")), F.lit(INDENT), F.lit("    "))
 
 
-def to_markdown(page: Column) -> Column:
-    """Markdown of the kept nodes.
-
-    page: struct<nodes, kept, root, repaired, images, links>.
-    """
-    events = lambda p: F.array_sort(
-        F.flatten(F.transform(p["kept"], lambda n: _pieces(p, n)))
-    )
-    joined = let(
-        page,
-        lambda p: F.array_join(F.transform(events(p), lambda e: e["piece"]), ""),
+def document(page: Column) -> Column:
+    """Markdown from struct<contexts, labels, images, links, heads>."""
+    events = let(
+        page, lambda p: F.flatten(F.transform(p["contexts"], lambda n: _pieces(p, n)))
     )
+    joined = F.array_join(F.transform(F.array_sort(events), lambda e: e["piece"]), "")
     return normalize_markdown(_settle(joined))

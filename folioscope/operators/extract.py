@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from folioscope import constants as K
 from folioscope.functions import dom
+from folioscope.functions import markdown as M
 from folioscope.functions import text as X
 from folioscope.functions import urls as U
 from folioscope.functions.dom import attr
-from folioscope.functions.markdown import to_markdown
 from folioscope.functions.net import error_message, fetch_outcome
 from folioscope.functions.text import let
 from folioscope.operators.shred import shred_html
@@ -383,19 +383,31 @@ def with_markdown(pages: DataFrame) -> DataFrame:
             ),
         )
 
+    nodes = F.col("nodes")
     anchors = F.filter("nodes", lambda n: (n["tag"] == "a") & attr(n, "href").isNotNull())
-    links = F.transform(
-        anchors,
-        lambda n: F.struct(
-            n["seq"].alias("seq"), U.resolve_link(attr(n, "href"), F.col("base")).alias("href")
-        ),
+    staged = with_images(pages).withColumns(
+        {
+            "_anchors": F.transform(anchors, lambda n: n["seq"]),
+            "_hrefs": F.transform(
+                anchors, lambda n: U.resolve_link(attr(n, "href"), F.col("base"))
+            ),
+            "_labels": F.map_from_entries(
+                F.transform("repaired", lambda r: F.struct(r["seq"], r["label"]))
+            ),
+            "_heads": M.header_rows(nodes),
+        }
     )
-    staged = with_images(pages).withColumn("links", links)
-    staged = staged.withColumn("kept", let(F.struct("kept", "images"), visible))
-    return staged.withColumn(
-        "markdown",
-        to_markdown(F.struct("nodes", "kept", "root", "repaired", "images", "links")),
+    staged = staged.withColumns(
+        {
+            "kept": let(F.struct("kept", "images"), visible),
+            "_images": M.image_texts(F.col("images")),
+            "_links": F.map_from_arrays("_anchors", "_hrefs"),
+        }
     )
+    staged = staged.withColumn("_contexts", M.node_contexts(F.struct("nodes", "kept", "root")))
+    named = {"contexts": "_contexts", "labels": "_labels", "images": "_images", "links": "_links", "heads": "_heads"}
+    page = F.struct(*[F.col(c).alias(name) for name, c in named.items()])
+    return staged.withColumn("markdown", M.document(page)).drop(*named.values(), "_anchors", "_hrefs")
 
 
 # --- full extraction ------------------------------------------------------------------------

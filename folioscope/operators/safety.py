@@ -1,6 +1,6 @@
 """Address checks against block lists, host verdicts and redirect chains."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope import constants as K
@@ -110,7 +110,7 @@ def safe_addresses(verdicts: DataFrame, dns: DataFrame, trusted: DataFrame) -> D
     )
 
 
-def hop_error(url) -> "F.Column":
+def hop_error(url: Column) -> Column:
     """Why a redirect target may not be followed; null when it may."""
     host = U.url_domain(url)
     literal = F.regexp_replace(host, r"^\[|\]$", "")
@@ -137,7 +137,13 @@ def resolve_redirects(fetch_log: DataFrame, max_hops: int = K.MAX_REDIRECTS) ->
             F.col("status").between(300, 399), U.absolute_url(F.col("location"), F.col("url"))
         ).alias("_target"),
         (F.col("status").between(300, 399) & F.col("location").isNotNull()).alias("_moves"),
-    ).withColumn("_error", F.when(F.col("_moves"), F.coalesce(hop_error(F.col("_target")), F.when(F.col("_target").isNull(), F.lit("INVALID_URL")))))
+        "location",
+    )
+    # A target that is no web address is judged by the header as it was sent.
+    refused = F.when(F.col("_target").isNull(), U.url_error(F.col("location"))).otherwise(
+        hop_error(F.col("_target"))
+    )
+    hop = hop.withColumn("_error", F.when(F.col("_moves"), refused))
     # Redirect targets are compared without their fragment, as requests are made without it.
     hop = hop.withColumn("_target", F.regexp_replace("_target", "#.*$", ""))
     step = hop.select(

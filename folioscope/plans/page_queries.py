@@ -30,7 +30,7 @@ def squeeze(sql: str) -> str:
     return rf"TRIM(REGEXP_REPLACE({sql}, '\s+', ' ', 'g'))"
 
 
-TITLE = unescape("REGEXP_EXTRACT(html, '(?s)<title>(.*?)</title>', 1)")
+TITLE = "TRIM(" + unescape("REGEXP_EXTRACT(html, '(?s)<title>(.*?)</title>', 1)") + ")"
 # The article without its heading, which repeats the title.
 BODY = "REGEXP_REPLACE(REGEXP_EXTRACT(html, '(?s)<article>(.*?)</article>', 1), '(?s)^<h1>.*?</h1>', '')"
 PLAIN = squeeze(unescape(f"REGEXP_REPLACE({BODY}, '<[^>]*>', '', 'g')"))
@@ -44,8 +44,8 @@ QUALITY = (
     "THEN 'CONTENT_TOO_SHORT' END"
 )
 
-# Markdown of a paragraph: a bold that is never closed goes on in the paragraphs after it,
-# at most three deep.
+# Markdown of a paragraph: a bold that is never closed goes on in the paragraphs after it;
+# at most three of them are carried over.
 _ESCAPED = (
     r"REGEXP_REPLACE(REGEXP_REPLACE(REGEXP_REPLACE({0}, '([\\*`\[\]_])', '\\\1', 'g'), "
     r"'^(-|\+ |=+|#{{1,6}} |~~~|>)', '\\\1'), '^(\d+)\. ', '\1\\. ')"
@@ -57,7 +57,9 @@ _BLOCK = (
     f"CONCAT(REPEAT('**', bold), {_ESCAPED.format(_TEXT)}, CASE WHEN part LIKE '%<br>%' THEN CHR(10) ELSE '' END, REPEAT('**', bold))"
 )
 PARTS = (
-    f"SELECT page_id, i, part, LEAST(3, CAST(SUM(CASE WHEN part LIKE '%<b>%' THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY i) AS INT)) AS bold "
+    "SELECT page_id, i, part, CAST(LEAST(3, COALESCE(SUM(CASE WHEN part LIKE '%<b>%' THEN 1 ELSE 0 END) OVER "
+    "(PARTITION BY page_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS INT) "
+    "+ CASE WHEN part LIKE '%<b>%' THEN 1 ELSE 0 END AS bold "
     f"FROM (SELECT page_id, UNNEST(STRING_SPLIT({BODY}, '<p>'))  AS part, GENERATE_SUBSCRIPTS(STRING_SPLIT({BODY}, '<p>'), 1) AS i FROM pages) x"
 )
 MARKDOWN = (
@@ -193,7 +195,7 @@ RICH = f"""
 SELECT page_id, url, 200 AS status_code, 'text/html' AS content_type, REPLACE(REPLACE(html, '<head>', CONCAT('<head><meta name="twitter:title" content="Twitter ', CAST(page_id AS STRING), '">',
   CASE WHEN page_id % 2 = 0 THEN CONCAT('<meta property="og:title" content=" OG &lt;', CAST(page_id AS STRING), '&gt; ">') ELSE '' END,
   '<meta name="description" content="Described"><meta property="article:author" content="Ann"><link rel="shortcut ICON" href="i/f.ico">',
-  '<meta property="og:image" content="/cover-', CAST(page_id AS STRING), '.png">')), '</article>', CONCAT('</b></p>',
+  '<meta property="og:image" content="/cover-', CAST(page_id AS STRING), '.png">')), '</article>', CONCAT('</b></b></b></p>',
   '<img src="/img/blank.gif" data-src="{_IMG}lazy-', CAST(page_id AS STRING), '.png" alt="Lazy [one]">',
   '<figure><img src="pic.jpg"><figcaption> Cap ', CAST(page_id AS STRING), ' </figcaption></figure>',
   '<a href="{_IMG}full.webp"><img src="{_IMG}thumb.webp"></a>',
@@ -338,18 +340,14 @@ def reachable_pages(spark, sf_dir):
 
 
 _PART = "TRIM(REPEAT(CONCAT('Unique part ', CAST(n AS STRING), ' of the long story here. '), 20))"
-_TEXT_OF = "CONCAT('## 第 {0} 页', CHR(10), CHR(10), " + _PART.replace("CAST(n AS STRING)", "'{0}'") + ", CHR(10), CHR(10), '[2](https://s.example/z9_2.html) [next](https://other.example/page/2)[3](', u, '#note)')"
+_TEXT_OF = "CONCAT('## 第 {0} 页', CHR(10), CHR(10), " + _PART.replace("CAST(n AS STRING)", "'{0}'") + ")"
 _RULE = "CHR(10), CHR(10), '---', CHR(10), CHR(10)"
 
 
-def _merged(number: int, suffix: str) -> str:
-    return _TEXT_OF.format(number).replace("u, '#note)'", f"CONCAT('https://s.example/a', CAST(page_id AS STRING), '{suffix}.html'), '#note)'")
-
-
 @query(
     "SELECT CONCAT('https://s.example/a', CAST(page_id AS STRING), '.html') AS root_url, CASE WHEN page_id % 10 = 3 THEN 2 ELSE 3 END AS pages, CASE WHEN page_id % 10 = 3 THEN 1 ELSE 0 END AS failed_pages, "
     "CASE WHEN page_id % 10 = 3 THEN 'partial' ELSE 'success' END AS extraction_status, CASE WHEN page_id % 10 = 3 THEN 'PAGINATION_PARTIAL' END AS error_code, "
-    f"CONCAT({_merged(1, '')}, {_RULE}, {_merged(2, '_2')}, CASE WHEN page_id % 10 = 3 THEN '' ELSE CONCAT({_RULE}, {_merged(3, '_3')}) END) AS markdown_content FROM pages"
+    f"CONCAT({_TEXT_OF.format(1)}, {_RULE}, {_TEXT_OF.format(2)}, CASE WHEN page_id % 10 = 3 THEN '' ELSE CONCAT({_RULE}, {_TEXT_OF.format(3)}) END) AS markdown_content FROM pages"
 )
 def merged_articles(spark, sf_dir):
     captures = series(spark, sf_dir)
@@ -364,7 +362,7 @@ def merged_articles(spark, sf_dir):
 @query(
     T.check(
         f"SELECT series, first_url, pages, COUNT(*) AS members FROM (SELECT series, FIRST_VALUE(url) OVER (PARTITION BY series ORDER BY n, url) AS first_url, COUNT(*) OVER (PARTITION BY series) AS pages FROM "
-        f"(SELECT url, CASE WHEN url LIKE '%?page=2%' THEN 2 WHEN path ~ '.*/[0-9]+/?' THEN CAST(REGEXP_EXTRACT(path, '/(\\d+)/?$', 1) AS BIGINT) ELSE 1 END AS n, "
+        f"(SELECT url, CASE WHEN url LIKE '%?page=2%' THEN 2 ELSE COALESCE(TRY_CAST(REGEXP_EXTRACT(path, '/(\\d+)/?$', 1) AS BIGINT), 1) END AS n, "
         f"CONCAT({ORIGIN}, REGEXP_REPLACE(REGEXP_REPLACE(path, '/\\d+/?$', ''), '/$', ''), CASE WHEN url LIKE '%?page=%' THEN '?ref=x' WHEN url LIKE '%utm_source%' THEN '?utm_source=feed' ELSE '' END) AS series "
         "FROM (SELECT url, REGEXP_EXTRACT(url, '^https?://[^/]+([^?#]*)', 1) AS path FROM pages) p) q) w GROUP BY 1, 2, 3"
     )
@@ -401,11 +399,11 @@ SELECT CONCAT('https://r.example/', CAST(event_id AS STRING)) AS url, CAST(CASE
     WHEN event_id % 100 = 41 THEN '/gone' ELSE CONCAT('../', CAST(event_id - 1 AS STRING), '#x') END AS location FROM events
 """
 _FINAL = (
-    "WITH RECURSIVE log AS ({log}), walk AS (SELECT url, url AS at, 0 AS hops, status, location, CAST(NULL AS VARCHAR) AS error FROM log UNION ALL "
-    "SELECT w.url, CASE WHEN t IS NULL THEN w.at ELSE t END, w.hops + 1, l.status, l.location, CASE WHEN l.url IS NULL THEN 'UNKNOWN_ERROR' END "
+    "WITH RECURSIVE log AS ({log}), walk AS (SELECT url, url AS spot, 0 AS hops, status, location, CAST(NULL AS VARCHAR) AS error FROM log UNION ALL "
+    "SELECT w.url, CASE WHEN t IS NULL THEN w.spot ELSE t END, w.hops + 1, l.status, l.location, CASE WHEN l.url IS NULL THEN 'UNKNOWN_ERROR' END "
     "FROM (SELECT *, CASE WHEN location LIKE '../%' THEN CONCAT('https://r.example/', REGEXP_EXTRACT(location, '(\\d+)', 1)) WHEN location = '/gone' THEN 'https://r.example/gone' END AS t FROM walk) w "
     "LEFT JOIN log l ON l.url = w.t WHERE w.t IS NOT NULL AND w.hops < 5 AND w.error IS NULL) "
-    "SELECT url, ARG_MAX(at, hops) AS final_url, CAST(MAX(hops) AS INT) AS hops, ARG_MAX(COALESCE(error, CASE WHEN status = 302 THEN CASE WHEN location LIKE 'http:%' THEN 'PRIVATE_NETWORK_BLOCKED' "
+    "SELECT url, ARG_MAX(spot, hops) AS final_url, CAST(MAX(hops) AS INT) AS hops, ARG_MAX(COALESCE(error, CASE WHEN status = 302 THEN CASE WHEN location LIKE 'http:%' THEN 'PRIVATE_NETWORK_BLOCKED' "
     "WHEN location LIKE 'ftp:%' THEN 'UNSUPPORTED_PROTOCOL' WHEN location IS NULL THEN 'HTTP_SERVER_ERROR' ELSE 'TOO_MANY_REDIRECTS' END ELSE '' END), hops) AS error_code FROM walk GROUP BY url"
 ).replace("{log}", REDIRECTS)
 
