@@ -441,17 +441,27 @@ def best_srcset(value: Column) -> Column:
     return F.array_max(scored)["url"]
 
 
-def original_from_viewer(url: Column) -> Column:
-    """Image behind a link: the link itself, or the image a viewer page shows."""
+# Addresses that came out of resolve_link() are in normal form: a short pattern splits them.
 
-    def behind(u: Column) -> Column:
-        candidates = F.concat(
-            F.array(_query(u)), F.transform(_pairs(_query(u)), lambda p: p["value"])
-        )
-        images = F.filter(F.transform(candidates, decode_url_candidate), is_image_url)
-        shown = let(_parse(F.get(images, 0)), lambda i: F.when(_usable(i), _serialize(i, True)))
-        return F.when(u["path"].rlike(K.IMAGE_PATH), u["raw"]).when(
-            u["path"].rlike(K.IMAGE_VIEWER_PATH), shown
-        )
 
-    return let(_parse(url), lambda u: F.when(_usable(u), behind(u)))
+def resolved_path(url: Column) -> Column:
+    return F.regexp_extract(url, r"^https?://[^/?#]+([^?#]*)", 1)
+
+
+def resolved_is_placeholder(url: Column) -> Column:
+    return url.isNull() | F.lower(resolved_path(url)).rlike(K.PLACEHOLDER_PATH)
+
+
+_WEB_IMAGE = r"(?i)^https?:/*[^/?#\s]+/[^?#]*\.(?:avif|gif|jpe?g|png|webp)(?:[?#]|$)"
+
+
+def original_from_viewer(url: Column) -> Column:
+    """Image behind a resolved link: the link itself, or the image a viewer page shows."""
+    query = F.regexp_extract(url, r"\?([^#]*)", 1)
+    candidates = F.concat(F.array(query), F.transform(_pairs(query), lambda p: p["value"]))
+    images = F.filter(
+        F.transform(candidates, decode_url_candidate), lambda c: c.rlike(_WEB_IMAGE)
+    )
+    shown = let(_parse(F.get(images, 0)), lambda i: F.when(_usable(i), _serialize(i, True)))
+    path = resolved_path(url)
+    return F.when(path.rlike(K.IMAGE_PATH), url).when(path.rlike(K.IMAGE_VIEWER_PATH), shown)

@@ -60,16 +60,7 @@ def metadata(nodes: Column) -> Column:
 
 def with_metadata(pages: DataFrame) -> DataFrame:
     """Add page_title, description, author, favicon_url and cover_image_url."""
-    staged = with_base(pages).withColumn("_meta", metadata(F.col("nodes")))
-    return staged.withColumns(
-        {
-            "page_title": F.col("_meta.title"),
-            "description": F.col("_meta.description"),
-            "author": F.col("_meta.author"),
-            "favicon_url": U.resolve_link(F.col("_meta.favicon"), F.col("base")),
-            "cover_image_url": U.resolve_link(F.col("_meta.cover"), F.col("base")),
-        }
-    ).drop("_meta")
+    return with_resolved(pages, "metadata")
 
 
 def extract_metadata(pages: DataFrame) -> DataFrame:
@@ -89,27 +80,28 @@ def extract_metadata(pages: DataFrame) -> DataFrame:
 
 def extract_links(pages: DataFrame) -> DataFrame:
     """One row per anchor with an http(s) target."""
-    nodes = F.col("nodes")
-    anchors = F.filter(
-        nodes, lambda n: (n["tag"] == "a") & attr(n, "href").isNotNull()
-    )
-    rows = F.transform(
-        anchors,
-        lambda n: F.struct(
-            n["seq"].alias("seq"),
-            attr(n, "href").alias("href"),
-            dom.collapsed_text(nodes, n).alias("text"),
-            attr(n, "rel").alias("rel"),
+    staged = with_resolved(pages, "anchors")
+    zipped = F.transform(
+        "anchor_seqs",
+        lambda s, i: F.struct(s.alias("seq"), F.get("anchor_urls", i).alias("url")),
+    )
+    usable = F.filter(zipped, lambda a: a["url"].isNotNull())
+    rows = X.let(
+        F.struct("nodes", usable.alias("anchors")),
+        lambda p: F.transform(
+            p["anchors"],
+            lambda a: X.let(
+                F.get(p["nodes"], a["seq"]),
+                lambda n: F.struct(
+                    a["seq"].alias("seq"),
+                    a["url"].alias("url"),
+                    dom.collapsed_text(p["nodes"], n).alias("text"),
+                    attr(n, "rel").alias("rel"),
+                ),
+            ),
         ),
     )
-    exploded = with_base(pages).select(
-        "page_id", F.col("url").alias("page_url"), "base", F.inline(rows)
-    )
-    return (
-        exploded.withColumn("url", U.resolve_link(F.col("href"), F.col("base")))
-        .where(F.col("url").isNotNull())
-        .select("page_id", "page_url", "seq", "url", "text", "rel")
-    )
+    return staged.select("page_id", F.col("url").alias("page_url"), F.inline(rows))
 
 
 def extract_code(pages: DataFrame) -> DataFrame:
@@ -191,8 +183,8 @@ def image_sources(nodes: Column) -> Column:
             n["seq"].alias("seq"),
             F.regexp_extract(attr(n, "style"), K.BACKGROUND_IMAGE, 2).alias("current"),
             none.alias("link"),
-            F.array(none).alias("lazy"),
-            F.array(none).alias("srcsets"),
+            F.array_repeat(none, _LAZY).alias("lazy"),
+            F.array_repeat(none, 2).alias("srcsets"),
             label.alias("alt"),
         )
 
@@ -209,42 +201,81 @@ def image_sources(nodes: Column) -> Column:
     )
 
 
-def with_images(pages: DataFrame) -> DataFrame:
-    """Add `images`, array<struct<seq, ordinal, src, alt>> in document order.
+_LAZY = len(K.LAZY_IMAGE_ATTRIBUTES)
 
-    In steps, so that addresses are resolved in flat arrays. src is null when no usable
-    address was found.
+
+def with_resolved(pages: DataFrame, *parts: str) -> DataFrame:
+    """Add the columns of the given parts, which all contain links of the page.
+
+    metadata: page_title, description, author, favicon_url, cover_image_url
+    anchors:  anchor_seqs, anchor_urls (arrays of equal length)
+    images:   images, array<struct<seq, ordinal, src, alt>>; src is null when no usable
+              address was found
+
+    The links of all parts are resolved together, in one flat array.
     """
-    base = F.col("base")
-    field = lambda name: F.transform("_raw", lambda r: r[name])
-    resolve = lambda array: F.transform(array, lambda u: U.resolve_link(u, base))
-    staged = pages.withColumn("_raw", image_sources(F.col("nodes")))
-    staged = staged.withColumns(
-        {
-            "_current": resolve(field("current")),
-            "_link": resolve(field("link")),
-            "_lazy": resolve(F.flatten(field("lazy"))),
-            "_set": F.transform(F.flatten(field("srcsets")), U.best_srcset),
-        }
-    )
-    staged = staged.withColumns(
-        {
-            "_set": resolve("_set"),
-            "_original": F.transform("_link", U.original_from_viewer),
-            "_blank": F.transform("_current", U.is_placeholder_image),
-        }
-    )
+    nodes = F.col("nodes")
+    staged = with_base(pages)
+    texts = F.array().cast("array<string>")
+    written, sizes = [], []
+    if "metadata" in parts:
+        staged = staged.withColumn("_meta", metadata(nodes))
+        written.append(F.array("_meta.favicon", "_meta.cover"))
+        sizes.append(F.lit(2))
+    if "anchors" in parts:
+        anchors = F.filter(nodes, lambda n: (n["tag"] == "a") & attr(n, "href").isNotNull())
+        staged = staged.withColumn(
+            "_anchors",
+            F.transform(
+                anchors, lambda n: F.struct(n["seq"].alias("seq"), attr(n, "href").alias("href"))
+            ),
+        )
+        written.append(F.col("_anchors.href"))
+        sizes.append(F.size("_anchors"))
+    if "images" in parts:
+        staged = staged.withColumn("_raw", image_sources(nodes))
+        staged = staged.withColumn(
+            "_sets", F.transform(F.flatten(F.col("_raw.srcsets")), U.best_srcset)
+        )
+        lazy = F.flatten(F.col("_raw.lazy"))
+        written += [F.col("_raw.current"), F.col("_raw.link"), lazy, F.col("_sets")]
+        n = F.size("_raw")
+        sizes += [n, n, n * _LAZY, n * 2]
+    staged = staged.withColumn("_written", F.concat(texts, *written))
+    staged = staged.withColumn(
+        "_all", F.transform("_written", lambda h: U.resolve_link(h, F.col("base")))
+    )
+    slices, start = [], F.lit(1)
+    for size in sizes:
+        slices.append(F.slice("_all", start, size))
+        start = start + size
+    added = {}
+    if "metadata" in parts:
+        added["page_title"] = F.col("_meta.title")
+        added["description"] = F.col("_meta.description")
+        added["author"] = F.col("_meta.author")
+        added["favicon_url"], added["cover_image_url"] = F.get("_all", 0), F.get("_all", 1)
+        slices = slices[1:]
+    if "anchors" in parts:
+        added["anchor_seqs"], added["anchor_urls"] = F.col("_anchors.seq"), slices[0]
+        slices = slices[1:]
+    if "images" in parts:
+        for name, part in zip(("_current", "_link", "_lazy", "_offered"), slices):
+            added[name] = part
+    staged = staged.withColumns(added)
+    if "images" in parts:
+        staged = _choose_images(staged)
+    return staged.drop("_meta", "_anchors", "_raw", "_sets", "_written", "_all")
+
+
+def _choose_images(staged: DataFrame) -> DataFrame:
+    """Pick the address of each image: linked original, own, lazy, picture, srcset."""
+    staged = staged.withColumn("_original", F.transform("_link", U.original_from_viewer))
 
     def choose(p: Column) -> Column:
         def one(r: Column, k: Column) -> Column:
-            run = lambda a, name: F.aggregate(
-                F.slice(p["raw"], F.lit(1), k), F.lit(0), lambda acc, x: acc + F.size(x[name])
-            )
-            offers = lambda a, name: F.get(
-                F.filter(
-                    F.slice(p[a], run(a, name) + 1, F.size(r[name])), lambda u: u.isNotNull()
-                ),
-                0,
+            usable = lambda name, width: F.get(
+                F.filter(F.slice(p[name], k * width + 1, width), lambda u: u.isNotNull()), 0
             )
             current = F.get(p["current"], k)
             return F.struct(
@@ -252,9 +283,9 @@ def with_images(pages: DataFrame) -> DataFrame:
                 (k + 1).alias("ordinal"),
                 F.coalesce(
                     F.get(p["original"], k),
-                    F.when(~F.get(p["blank"], k), current),
-                    offers("lazy", "lazy"),
-                    offers("sets", "srcsets"),
+                    F.when(~U.resolved_is_placeholder(current), current),
+                    usable("lazy", _LAZY),
+                    usable("offered", 2),
                 ).alias("src"),
                 F.coalesce(
                     r["alt"], F.concat(F.lit(K.DEFAULT_IMAGE_ALT), (k + 1).cast("string"))
@@ -263,22 +294,16 @@ def with_images(pages: DataFrame) -> DataFrame:
 
         return F.transform(p["raw"], one)
 
-    page = F.struct(
-        F.col("_raw").alias("raw"),
-        F.col("_current").alias("current"),
-        F.col("_original").alias("original"),
-        F.col("_blank").alias("blank"),
-        F.col("_lazy").alias("lazy"),
-        F.col("_set").alias("sets"),
-    )
-    return staged.withColumn("images", let(page, choose)).drop(
-        "_raw", "_current", "_link", "_lazy", "_set", "_original", "_blank"
+    names = ("raw", "current", "original", "lazy", "offered")
+    page = F.struct(*[F.col(f"_{n}").alias(n) for n in names])
+    return staged.withColumn("images", X.let(page, choose)).drop(
+        "_current", "_link", "_lazy", "_offered", "_original"
     )
 
 
 def extract_images(pages: DataFrame) -> DataFrame:
     """One row per image of a page; src is null when no usable address was found."""
-    return with_images(with_base(pages)).select("page_id", F.inline("images")).select(
+    return with_resolved(pages, "images").select("page_id", F.inline("images")).select(
         "page_id", F.col("ordinal").cast("bigint").alias("ordinal"), "src", "alt"
     )
 
@@ -364,7 +389,7 @@ def main_content(captures: DataFrame) -> DataFrame:
 
 
 def with_markdown(pages: DataFrame) -> DataFrame:
-    """Add `markdown` to pages with `base` that went through with_main_content()."""
+    """Add `markdown` to pages with anchors, images and main content."""
 
     def visible(p: Column) -> Column:
         # Blank elements give no output, except those that hold an image, rule or code.
@@ -384,13 +409,8 @@ def with_markdown(pages: DataFrame) -> DataFrame:
         )
 
     nodes = F.col("nodes")
-    anchors = F.filter("nodes", lambda n: (n["tag"] == "a") & attr(n, "href").isNotNull())
-    staged = with_images(pages).withColumns(
+    staged = pages.withColumns(
         {
-            "_anchors": F.transform(anchors, lambda n: n["seq"]),
-            "_hrefs": F.transform(
-                anchors, lambda n: U.resolve_link(attr(n, "href"), F.col("base"))
-            ),
             "_labels": F.map_from_entries(
                 F.transform("repaired", lambda r: F.struct(r["seq"], r["label"]))
             ),
@@ -401,13 +421,13 @@ def with_markdown(pages: DataFrame) -> DataFrame:
         {
             "kept": let(F.struct("kept", "images"), visible),
             "_images": M.image_texts(F.col("images")),
-            "_links": F.map_from_arrays("_anchors", "_hrefs"),
+            "_links": F.map_from_arrays("anchor_seqs", "anchor_urls"),
         }
     )
     staged = staged.withColumn("_contexts", M.node_contexts(F.struct("nodes", "kept", "root")))
     named = {"contexts": "_contexts", "labels": "_labels", "images": "_images", "links": "_links", "heads": "_heads"}
     page = F.struct(*[F.col(c).alias(name) for name, c in named.items()])
-    return staged.withColumn("markdown", M.document(page)).drop(*named.values(), "_anchors", "_hrefs")
+    return staged.withColumn("markdown", M.document(page)).drop(*named.values())
 
 
 # --- full extraction ------------------------------------------------------------------------
@@ -432,7 +452,8 @@ def extract(captures: DataFrame, max_bytes: int = K.MAX_BODY_BYTES) -> DataFrame
     )
     pages = shred_html(judged)
     nodes = F.col("nodes")
-    rendered = with_markdown(with_main_content(with_metadata(pages)))
+    resolved = with_resolved(pages, "metadata", "anchors", "images")
+    rendered = with_markdown(with_main_content(resolved))
     has_password = F.exists(
         nodes,
         lambda n: (n["tag"] == "input") & F.coalesce(F.lower(attr(n, "type")) == "password", F.lit(False)),

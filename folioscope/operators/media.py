@@ -10,7 +10,7 @@ from folioscope.operators.joins import dimension_join
 from folioscope.operators.query import cap
 
 _CODE = r"```[\s\S]*?```|`[^`\n]*`"
-_ALT = r"[^\[\]\\]*+(?:\\.[^\[\]\\]*+)*+"
+_ALT = r"[^\[\]\\]*+(?:(?:\\.|\[[^\[\]\\]*+\])[^\[\]\\]*+)*+"
 _REFERENCE = (
     rf"!\[({_ALT})\]\(\s*(?:<([^<>\n]*)>|([^\s()<>]*+(?:\([^\s()]*\)[^\s()<>]*+)*+))"
     r"""(?:\s+(?:"([^"\\]*+(?:\\.[^"\\]*+)*+)"|'([^'\\]*+(?:\\.[^'\\]*+)*+)'))?\s*\)"""
@@ -212,7 +212,7 @@ def image_summary(bookmarks: DataFrame) -> DataFrame:
     remote = F.zip_with(
         F.regexp_extract_all(md, F.lit(mentioned), F.lit(1)),
         F.regexp_extract_all(md, F.lit(mentioned), F.lit(2)),
-        F.concat,
+        lambda bracketed, bare: F.concat(bracketed, bare),
     )
     one = lambda test: F.when(test, F.array(cover)).otherwise(F.array().cast("array<string>"))
     own = cover.startswith("/api/bookmarks/")
