@@ -18,6 +18,24 @@ from folioscope.functions.net import error_message, fetch_outcome
 from folioscope.functions.text import let
 from folioscope.operators.shred import shred_html
 
+def sealed(df: DataFrame) -> DataFrame:
+    """The same rows and columns, behind a step that later filters are not pushed through.
+
+    A filter on a computed column is otherwise rewritten in terms of the inputs, and the
+    whole computation of a page would run once more for each column it looks at.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    return df.select(F.inline_outer(F.array(row)))
+
+
+def _rows(df: DataFrame, keep: list, array: Column, key: str) -> DataFrame:
+    """One row per element of a computed array of structs; `key` is never null in it.
+
+    The outer form does not add a filter on the array, which would compute it twice.
+    """
+    return df.select(*keep, F.inline_outer(array)).where(F.col(key).isNotNull())
+
+
 # --- metadata -----------------------------------------------------------------------
 
 
@@ -101,7 +119,7 @@ def extract_links(pages: DataFrame) -> DataFrame:
             ),
         ),
     )
-    return staged.select("page_id", F.col("url").alias("page_url"), F.inline(rows))
+    return _rows(staged, ["page_id", F.col("url").alias("page_url")], rows, "seq")
 
 
 def extract_code(pages: DataFrame) -> DataFrame:
@@ -118,14 +136,13 @@ def extract_code(pages: DataFrame) -> DataFrame:
             F.regexp_replace(dom.text_of(nodes, n), r"\n$", "").alias("code"),
         ),
     )
-    return pages.select("page_id", F.inline(rows))
+    return _rows(pages, ["page_id"], rows, "seq")
 
 
 def repair_cells(pages: DataFrame) -> DataFrame:
     """Table cells whose accessible label carries the value: (page_id, seq, label)."""
-    return pages.select("page_id", F.inline(dom.repaired_cells(F.col("nodes")))).select(
-        "page_id", "seq", "label"
-    )
+    cells = dom.repaired_cells(F.col("nodes"))
+    return _rows(pages, ["page_id"], cells, "seq").select("page_id", "seq", "label")
 
 
 # --- images ---------------------------------------------------------------------------
@@ -303,9 +320,8 @@ def _choose_images(staged: DataFrame) -> DataFrame:
 
 def extract_images(pages: DataFrame) -> DataFrame:
     """One row per image of a page; src is null when no usable address was found."""
-    return with_resolved(pages, "images").select("page_id", F.inline("images")).select(
-        "page_id", F.col("ordinal").cast("bigint").alias("ordinal"), "src", "alt"
-    )
+    found = _rows(with_resolved(pages, "images"), ["page_id"], F.col("images"), "seq")
+    return found.select("page_id", F.col("ordinal").cast("bigint").alias("ordinal"), "src", "alt")
 
 
 # --- main content -----------------------------------------------------------------------
@@ -383,8 +399,10 @@ def main_content(captures: DataFrame) -> DataFrame:
     """(page_id, url, has_main, plain_text, paragraphs) of raw captures."""
     pages = shred_html(captures.select("page_id", "url", "html"))
     titled = pages.withColumn("page_title", metadata(F.col("nodes"))["title"])
-    return with_main_content(titled).select(
-        "page_id", "url", F.col("main").isNotNull().alias("has_main"), "plain_text", "paragraphs"
+    return sealed(
+        with_main_content(titled).select(
+            "page_id", "url", F.col("main").isNotNull().alias("has_main"), "plain_text", "paragraphs"
+        )
     )
 
 
@@ -510,7 +528,7 @@ def extract(captures: DataFrame, max_bytes: int = K.MAX_BODY_BYTES) -> DataFrame
         .when(~F.col("has_main"), K.NO_MAIN_BLOCK_TEXT)
         .when(F.col("quality").isNotNull(), K.SHORT_CONTENT_TEXT)
     )
-    return shown.select(
+    result = shown.select(
         "page_id",
         F.col("url").alias("final_url"),
         "title",
@@ -531,6 +549,7 @@ def extract(captures: DataFrame, max_bytes: int = K.MAX_BODY_BYTES) -> DataFrame
         message.alias("error_message"),
         F.col("status_code").alias("http_status_code"),
     )
+    return sealed(result)
 
 
 # --- audit ------------------------------------------------------------------------------------

@@ -67,13 +67,16 @@ def series_members(pages: DataFrame) -> DataFrame:
 def follow_pages(roots: DataFrame, edges: DataFrame) -> DataFrame:
     """Pages reachable from each root: (root_url, url, page_number), the root being page 1.
 
-    edges: page_url, url, page_number. At most nine rounds, each a join on the newest
-    pages only; a round ends in a reliable checkpoint, so the plan stays small and a lost
-    executor costs one round. The ten lowest page numbers are kept per root.
+    edges: page_url, url, page_number. They are written once, so that the pages they come
+    from are parsed once. At most nine rounds follow, each a join on the newest pages only;
+    a round ends in a reliable checkpoint, so the plan stays small and a lost executor
+    costs one round. The ten lowest page numbers are kept per root.
     """
     spark = roots.sparkSession
     ensure_checkpoint_dir(spark)
-    edges = edges.select(F.col("page_url").alias("url"), F.col("url").alias("_next"), "page_number")
+    edges = edges.select(
+        F.col("page_url").alias("url"), F.col("url").alias("_next"), "page_number"
+    ).checkpoint()
     newest = roots.select(
         F.col("url").alias("root_url"), "url", F.lit(1).cast("bigint").alias("page_number")
     ).distinct()
