@@ -20,7 +20,7 @@ GLUE = chr(0x13)  # swallow the borders that follow a list marker or quote mark
 START, STOP, END = chr(0x14), chr(0x15), chr(0x16)  # START mark END text STOP mark END
 CODE_LINE, CODE_SPACE = chr(0x17), chr(0x18)
 BR, BR_END = chr(0x19), chr(0x1A)
-_CONTROL = r"[\x05\x06\x0e\x11-\x1a]"
+_CONTROL = r"[\x05-\x1a&&[\x05\x06\x0e\x11-\x1a]]"
 _UNITS = r"[\x11\x12]"
 _BORDER = rf"\x05{_UNITS}*[\x06\x0e]"
 
@@ -235,29 +235,67 @@ def _pieces(p: Column, n: Column) -> Column:
     return F.array(piece(n["seq"], 0, F.lit(0), opening), piece(n["last"], 1, -n["seq"], closing))
 
 
-def _settle(joined: Column) -> Column:
-    """Merge borders and replace all control characters."""
-    c = F.regexp_replace(joined, " {2,}", " ")
-    c = F.regexp_replace(c, rf"\x13(?: |{_BORDER})*", "")
-    c = F.regexp_replace(c, rf" *({_BORDER}|\x19{_UNITS}*\x1a) *", "$1")
-    c = F.regexp_replace(c, rf"({_BORDER})\1+", "$1")
+def _when_any(marks: str, c: Column, step) -> Column:
+    """Apply `step` only to texts that contain one of the characters.
+
+    Most pages have no lists, quotes or code; a look for a character is far cheaper than
+    a pass of the matcher over the whole text.
+    """
+
+    def guarded(text: Column) -> Column:
+        present = F.lit(False)
+        for mark in marks:
+            present = present | F.contains(text, F.lit(mark))
+        return F.when(present, step(text)).otherwise(text)
+
+    return let(c, guarded)
+
+
+def _merge_nested(c: Column) -> Column:
+    """Of neighbouring borders keep the outermost, and a paragraph break over a line."""
     for _ in range(2):
-        # Between an inner and an outer border the outer one (shorter prefix) stays.
         c = F.regexp_replace(c, rf"\x05({_UNITS}*){_UNITS}+[\x06\x0e](?=\x05\1[\x06\x0e])", "")
         c = F.regexp_replace(c, rf"(\x05({_UNITS}*)[\x06\x0e])(?:\x05\2{_UNITS}+[\x06\x0e])+", "$1")
-    # A paragraph break outweighs a line break.
     c = F.regexp_replace(c, rf"(?:\x05{_UNITS}*\x06)+(?=\x05{_UNITS}*\x0e)", "")
     c = F.regexp_replace(c, rf"(\x05{_UNITS}*\x0e)(?:{_BORDER})+", "$1")
-    c = F.regexp_replace(c, rf"(\x05{_UNITS}*\x06)(?:\x05{_UNITS}*\x06)+", "$1")
+    return F.regexp_replace(c, rf"(\x05{_UNITS}*\x06)(?:\x05{_UNITS}*\x06)+", "$1")
+
+
+def _line_breaks(c: Column) -> Column:
+    """A <br> next to a border is swallowed by it."""
+    c = F.regexp_replace(c, rf" *(\x19{_UNITS}*\x1a) *", "$1")
     c = F.regexp_replace(c, rf"(?:\x19{_UNITS}*\x1a)+(?=\x05)", "")
-    c = F.regexp_replace(c, rf"({_BORDER})(?:\x19{_UNITS}*\x1a)+", "$1")
-    # Blanks at the edge of bold, links and so on belong outside the marks.
+    return F.regexp_replace(c, rf"({_BORDER})(?:\x19{_UNITS}*\x1a)+", "$1")
+
+
+def _outer_blanks(c: Column) -> Column:
+    """Blanks at the edge of bold, links and so on belong outside the marks."""
     c = F.regexp_replace(c, r"((?:\x14[^\x16]*\x16)+) +", " $1")
-    c = F.regexp_replace(c, r" +((?:\x15[^\x16]*\x16)+)", "$1 ")
-    c = F.regexp_replace(c, rf"\x17({_UNITS}*)\x17\1(```)(?=\x05)", "\x17$1$2")
+    return F.regexp_replace(c, r" +((?:\x15[^\x16]*\x16)+)", "$1 ")
+
+
+def _settle(joined: Column) -> Column:
+    """Merge borders and replace all control characters."""
+    c = F.regexp_replace(joined, " {2,}", " ")
+    c = _when_any(GLUE, c, lambda t: F.regexp_replace(t, rf"\x13(?: |{_BORDER})*", ""))
+    c = F.regexp_replace(c, rf" ?({_BORDER})(?: |\1)*", "$1")
+    c = _when_any(LINE + QUOTE + INDENT, c, _merge_nested)
+    c = _when_any(BR, c, _line_breaks)
+    c = _when_any(START, c, _outer_blanks)
+    c = _when_any(
+        CODE_LINE,
+        c,
+        lambda t: F.regexp_replace(t, rf"\x17({_UNITS}*)\x17\1(```)(?=\x05)", "\x17$1$2"),
+    )
     c = F.regexp_replace(c, rf"\x05({_UNITS}*)\x0e", "\n$1\n$1")
-    c = F.regexp_replace(c, rf"[\x05\x19]({_UNITS}*)[\x06\x1a]", "\n$1")
-    c = F.translate(c, CODE_LINE + CODE_SPACE + START + STOP + END + GLUE, "\n ")
+    c = _when_any(
+        LINE + BR_END, c, lambda t: F.regexp_replace(t, rf"[\x05\x19]({_UNITS}*)[\x06\x1a]", "\n$1")
+    )
+    c = _when_any(
+        CODE_LINE + CODE_SPACE + START,
+        c,
+        lambda t: F.translate(t, CODE_LINE + CODE_SPACE + START + STOP + END, "\n "),
+    )
     return F.replace(F.replace(c, F.lit(QUOTE), F.lit("> ")), F.lit(INDENT), F.lit("    "))
 
 

@@ -13,8 +13,11 @@ from folioscope import constants as K
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
 
-# White space as browsers see it: Java's \s plus the Unicode spaces and the BOM.
-SPACE = "[\\s\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]"
+# White space as browsers see it: Java's \\s plus the Unicode spaces and the BOM. The
+# range in front lets the matcher dismiss ASCII letters with one comparison.
+_WIDE_SPACE = "\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+SPACE = rf"[\x09-\x0d\x20[\u00a0-\ufeff&&[{_WIDE_SPACE}]]]"
+SPACE_CHARACTERS = "\t\n\x0b\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def let(value: Column, body) -> Column:
@@ -48,7 +51,7 @@ def quote(literal: str) -> str:
 
 
 def js_trim(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.trim(c, F.lit(SPACE_CHARACTERS))
 
 
 def collapse_space(c: Column) -> Column:

@@ -89,19 +89,24 @@ def _canonical_host(host: Column) -> Column:
     return F.when(numeric, address).otherwise(host)
 
 
+def _port_digits(u: Column) -> Column:
+    return F.regexp_replace(u["port"], "^0+(?=[0-9])", "")
+
+
 def _port(u: Column) -> Column:
     """`:port`, or '' for none and for the default one."""
-    number = u["port"].try_cast("int")
-    default = F.when(u["scheme"] == "https", 443).otherwise(80)
-    return F.when(
-        number.isNotNull() & (number != default),
-        F.concat(F.lit(":"), number.cast("string")),
-    ).otherwise("")
+    default = F.when(u["scheme"] == "https", "443").otherwise("80")
+    digits = _port_digits(u)
+    return F.when((digits == "") | (digits == default), F.lit("")).otherwise(
+        F.concat(F.lit(":"), digits)
+    )
 
 
 def _usable(u: Column) -> Column:
     """True for an absolute http(s) URL with a valid host and port."""
-    port_ok = (u["port"] == "") | F.coalesce(u["port"].try_cast("int") <= 65535, F.lit(False))
+    digits = _port_digits(u)
+    # Compared as text of equal length, because most ports are '' and no number.
+    port_ok = (F.length(digits) < 5) | ((F.length(digits) == 5) & (digits <= "65535"))
     host_ok = F.when(u["host"].startswith("["), u["host"].rlike(r"^\[[0-9a-f:.]+\]$")).otherwise(
         (u["host"] != "") & ~u["host"].rlike(_BAD_HOST)
     )

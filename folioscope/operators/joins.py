@@ -11,6 +11,18 @@ def plan_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def spread_small(df: DataFrame, key: str) -> DataFrame:
+    """Give a small input that comes as one block of a file to all cores.
+
+    Work per page is heavy, so one unsplittable block would keep one core busy. Inputs
+    beyond a few broadcast sizes have many blocks of their own and are never moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if plan_bytes(df) > 4 * BROADCAST_BYTES or cores == 1:
+        return df
+    return df.repartition(cores, key)
+
+
 def hot_keys(df: DataFrame, key: str, share: float = 0.005) -> DataFrame:
     """Keys holding more than `share` of the rows: at most 1/share keys, by arithmetic."""
     counts = df.groupBy(key).agg(F.count("*").alias("_rows"))

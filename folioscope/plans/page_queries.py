@@ -10,6 +10,7 @@ from folioscope.operators import charts as G
 from folioscope.operators import extract as E
 from folioscope.operators import pagination as P
 from folioscope.operators import safety as S
+from folioscope.operators.joins import spread_small
 from folioscope.operators.shred import node_table, shred_html
 from folioscope.plans import tables as T
 from folioscope.plans.registry import query
@@ -70,7 +71,7 @@ MARKDOWN = (
 
 def pages(spark, sf_dir):
     T.given(spark, sf_dir)
-    return read_captures(spark, f"{sf_dir}/pages.parquet")
+    return spread_small(read_captures(spark, f"{sf_dir}/pages.parquet"), "page_id")
 
 
 @query(
