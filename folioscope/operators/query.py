@@ -151,14 +151,18 @@ def append_page(shown: DataFrame, following: DataFrame) -> DataFrame:
 def attach_tags(df: DataFrame, archive: Archive, ids: DataFrame | None = None) -> DataFrame:
     """Add `tags`, an array of (id, name, normalized_name) ordered by id; never null.
 
-    A bookmark has at most 12 tags, so the collected arrays are small; the links side
-    may be skewed on a popular tag, which dimension_join() takes care of.
+    A bookmark has at most 12 tags, so the collected arrays are small. The links of a whole
+    archive may be skewed on a popular tag, which dimension_join() takes care of; the links
+    of a few ids (one page of a list) are few.
     """
     links = archive.links.select("bookmark_id", "tag_id")
     if ids is not None:
         links = links.join(ids.select(F.col("id").alias("bookmark_id")), "bookmark_id", "left_semi")
     tags = archive.tags.select(F.col("id").alias("tag_id"), "name", "normalized_name")
-    joined = dimension_join(links, tags, "tag_id", "inner", ["bookmark_id"])
+    if ids is None:
+        joined = dimension_join(links, tags, "tag_id", "inner", ["bookmark_id"])
+    else:
+        joined = links.join(tags, "tag_id")
     nested = joined.groupBy(F.col("bookmark_id").alias("id")).agg(
         F.array_sort(
             F.collect_list(F.struct(F.col("tag_id").alias("id"), "name", "normalized_name"))
@@ -209,7 +213,7 @@ def suggest_tags(archive: Archive, ids: DataFrame, n: int = 6) -> DataFrame:
     )
     wanted = ids.toDF("id")
     used = (
-        attach_tags(wanted, archive, wanted)
+        attach_tags(wanted, archive)
         .withColumn("_used", F.transform("tags", lambda t: F.lower(t["name"])))
         .drop("tags")
         .withColumn("_head", head.scalar())

@@ -1,19 +1,17 @@
 """Address checks against block lists, host verdicts and redirect chains."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope import constants as K
 from folioscope.functions import net as N
 from folioscope.functions import urls as U
-from folioscope.functions.text import non_empty
 from folioscope.operators.joins import dimension_join
 
-CIDR_SCHEMA = "network string, prefix int"
-
-
-def block_list(spark) -> DataFrame:
-    return spark.createDataFrame([*K.BLOCKED_IPV4, *K.BLOCKED_IPV6], CIDR_SCHEMA)
+def block_list(spark: SparkSession) -> DataFrame:
+    """The fixed networks as a table; literal rows, so that the planner knows their size."""
+    rows = ", ".join(f"('{n}', {p})" for n, p in (*K.BLOCKED_IPV4, *K.BLOCKED_IPV6))
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(network, prefix)")
 
 
 def cidr_join(addresses: DataFrame, cidrs: DataFrame) -> DataFrame:
