@@ -9,6 +9,7 @@ from folioscope.functions.urls import with_normalized_url
 from folioscope.operators.joins import dimension_join
 from folioscope.operators.query import expired, live, tag_usage
 from folioscope.schema import BOOKMARKS, Archive, Change
+from folioscope.session import ensure_checkpoint_dir
 from folioscope.sources.archive import with_defaults
 
 
@@ -101,8 +102,11 @@ def first_per_url(requests: DataFrame) -> DataFrame:
 def admit(archive: Archive, requests: DataFrame, now: Column) -> Change:
     """Add requested URLs as pending bookmarks.
 
-    requests: request_id (unique, becomes the bookmark id), seq, url, tag_names.
+    requests: request_id (unique, becomes the bookmark id), seq, url, tag_names. Four
+    tables follow from the verdict on each request, so the verdicts are written once to
+    the checkpoint folder.
     """
+    ensure_checkpoint_dir(requests.sparkSession)
     checked = with_normalized_url(requests, "url", error="_error", domain="_domain")
     # One row per URL meets the archive; the verdict goes back by the unique request id,
     # so neither join is skewed by a popular URL.
@@ -114,7 +118,7 @@ def admit(archive: Archive, requests: DataFrame, now: Column) -> Change:
         F.when(F.col("_error").isNotNull(), F.col("_error")).when(
             F.col("match").isNull() | (F.col("match") == "live"), F.lit("DUPLICATE_URL")
         ),
-    )
+    ).checkpoint()
     fresh = judged.where(F.col("_code").isNull())
     original = X.js_trim(F.col("url"))
     rows = with_defaults(
@@ -129,7 +133,7 @@ def admit(archive: Archive, requests: DataFrame, now: Column) -> Change:
             now.alias("updated_at"),
         )
     )
-    purged = winners.where(F.col("match") == "deleted").select(F.col("existing_id").alias("id"))
+    purged = fresh.where(F.col("match") == "deleted").select(F.col("existing_id").alias("id"))
     kept = remove_bookmarks(archive, purged)
     added = kept.replace(bookmarks=kept.bookmarks.unionByName(rows))
     tagged = set_tags(

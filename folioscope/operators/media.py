@@ -79,7 +79,10 @@ def distinct_images(bookmarks: DataFrame) -> DataFrame:
     ).otherwise(F.array().cast("array<string>"))
     body = F.transform(image_references(F.col("markdown_content")), lambda r: r["url"])
     urls = F.array_distinct(F.concat(cover, body))
-    return bookmarks.select(F.col("id").alias("bookmark_id"), F.posexplode(urls).alias("position", "url"))
+    # The outer form adds no filter on the array, which would parse the text twice.
+    return bookmarks.select(
+        F.col("id").alias("bookmark_id"), F.posexplode_outer(urls).alias("position", "url")
+    ).where(F.col("url").isNotNull())
 
 
 def asset_name(url: Column, extension: Column) -> Column:

@@ -49,15 +49,21 @@ def tagged_with_name(archive: Archive, q: str) -> DataFrame:
 def search(archive: Archive, q: str | None, df: DataFrame | None = None) -> DataFrame:
     """Rows containing q in a text field or in a tag name (ASCII case ignored).
 
-    The tag test is an EXISTS inside an OR, which Catalyst runs as an existence join.
+    The text test runs in the scan and leaves one flag; where the caller wants narrow
+    columns, the texts never reach the join with the tagged ids.
     """
     df = archive.bookmarks if df is None else df
     q = (q or "").strip()
     if not q:
         return df
-    tagged = tagged_with_name(archive, q)
-    in_tags = tagged.where(F.col("bookmark_id") == F.col("id").outer()).exists()
-    return df.where(text_match(q) | in_tags)
+    tagged = (
+        tagged_with_name(archive, q)
+        .select(F.col("bookmark_id").alias("id"))
+        .distinct()
+        .withColumn("_tagged", F.lit(True))
+    )
+    flagged = df.withColumn("_hit", text_match(q)).join(tagged, "id", "left")
+    return flagged.where(F.col("_hit") | F.col("_tagged")).drop("_hit", "_tagged")
 
 
 def filter_tag(archive: Archive, tag_id: str | None, df: DataFrame | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from folioscope import constants as K
 from folioscope.functions import net as N
 from folioscope.functions import urls as U
 from folioscope.operators.joins import dimension_join
+from folioscope.session import ensure_checkpoint_dir
 
 def block_list(spark: SparkSession) -> DataFrame:
     """The fixed networks as a table; literal rows, so that the planner knows their size."""
@@ -125,66 +126,63 @@ def resolve_redirects(fetch_log: DataFrame, max_hops: int = K.MAX_REDIRECTS) ->
     """Follow Location headers: (url, final_url, hops, status, error_code).
 
     fetch_log: url (unique), status, location. The next address and its check are worked
-    out once per log row; then at most `max_hops` joins on the current address follow the
-    chains. Many chains may meet in one address, so the joins allow for skew.
+    out once per log row. Only rows that still move are joined, at most `max_hops` times;
+    each round ends in a reliable checkpoint. Many chains may meet in one address, so the
+    joins allow for skew.
     """
+    ensure_checkpoint_dir(fetch_log.sparkSession)
+    redirected = F.col("status").between(300, 399)
     hop = fetch_log.select(
         "url",
         "status",
-        F.when(
-            F.col("status").between(300, 399), U.absolute_url(F.col("location"), F.col("url"))
-        ).alias("_target"),
-        (F.col("status").between(300, 399) & F.col("location").isNotNull()).alias("_moves"),
+        F.when(redirected, U.absolute_url(F.col("location"), F.col("url"))).alias("target"),
+        (redirected & F.col("location").isNotNull()).alias("moves"),
         "location",
     )
     # A target that is no web address is judged by the header as it was sent.
-    refused = F.when(F.col("_target").isNull(), U.url_error(F.col("location"))).otherwise(
-        hop_error(F.col("_target"))
+    refused = F.when(F.col("target").isNull(), U.url_error(F.col("location"))).otherwise(
+        hop_error(F.col("target"))
     )
-    hop = hop.withColumn("_error", F.when(F.col("_moves"), refused))
-    # Redirect targets are compared without their fragment, as requests are made without it.
-    hop = hop.withColumn("_target", F.regexp_replace("_target", "#.*$", ""))
-    step = hop.select(
-        F.col("url").alias("_at"),
-        F.col("status").alias("_status"),
-        F.col("_target").alias("_next"),
-        F.col("_moves").alias("_next_moves"),
-        F.col("_error").alias("_next_error"),
-    )
-    state = hop.select(
-        F.col("url"),
-        F.col("url").alias("final_url"),
-        F.lit(0).alias("hops"),
+    # Targets are compared without their fragment, as requests are made without it.
+    hop = hop.select(
+        "url",
         "status",
-        F.col("_target"),
-        F.col("_moves"),
-        F.col("_error").alias("error_code"),
-    )
+        F.regexp_replace("target", "#.*$", "").alias("target"),
+        "moves",
+        F.when(F.col("moves"), refused).alias("error_code"),
+    ).checkpoint()
+    step = hop.select(F.col("url").alias("target"), *[F.col(c).alias(f"_{c}") for c in hop.columns])
+    goes_on = F.col("moves") & F.col("error_code").isNull()
+    state = hop.withColumn("final_url", F.col("url")).withColumn("hops", F.lit(0))
+    settled, moving = state.where(~goes_on), state.where(goes_on)
     for _ in range(max_hops):
-        going = F.col("_moves") & F.col("error_code").isNull()
-        joined = dimension_join(
-            state.withColumn("_at", F.when(going, F.col("_target"))), step, "_at", "left", ["url"]
-        )
-        state = joined.select(
-            "url",
-            F.when(going, F.col("_at")).otherwise(F.col("final_url")).alias("final_url"),
-            F.when(going, F.col("hops") + 1).otherwise(F.col("hops")).alias("hops"),
-            F.when(going, F.col("_status")).otherwise(F.col("status")).alias("status"),
-            F.when(going, F.col("_next")).otherwise(F.col("_target")).alias("_target"),
-            F.when(going, F.coalesce("_next_moves", F.lit(False))).otherwise(F.col("_moves")).alias("_moves"),
-            F.when(
-                going, F.when(F.col("_status").isNull(), "UNKNOWN_ERROR").otherwise(F.col("_next_error"))
-            ).otherwise(F.col("error_code")).alias("error_code"),
+        arrived = (
+            dimension_join(moving.select("url", "target", "hops"), step, "target", "left", ["url"])
+            .select(
+                "url",
+                F.col("_status").alias("status"),
+                F.col("_target").alias("target"),
+                F.coalesce("_moves", F.lit(False)).alias("moves"),
+                F.when(F.col("_url").isNull(), "UNKNOWN_ERROR")
+                .otherwise(F.col("_error_code"))
+                .alias("error_code"),
+                F.col("target").alias("final_url"),
+                (F.col("hops") + 1).alias("hops"),
+            )
+            .checkpoint()
         )
-    still = F.col("_moves") & F.col("error_code").isNull()
-    no_location = F.col("status").between(300, 399) & ~F.col("_moves")
-    return state.select(
+        settled = settled.unionByName(arrived.where(~goes_on))
+        moving = arrived.where(goes_on)
+        if moving.isEmpty():
+            break
+    no_location = F.col("status").between(300, 399) & ~F.col("moves")
+    return settled.unionByName(moving).select(
         "url",
         "final_url",
         "hops",
         "status",
         F.coalesce(
             "error_code",
-            F.when(still, "TOO_MANY_REDIRECTS").when(no_location, "HTTP_SERVER_ERROR"),
+            F.when(F.col("moves"), "TOO_MANY_REDIRECTS").when(no_location, "HTTP_SERVER_ERROR"),
         ).alias("error_code"),
     )
