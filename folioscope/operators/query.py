@@ -43,7 +43,8 @@ def tagged_with_name(archive: Archive, q: str) -> DataFrame:
     hits = archive.tags.where(X.contains_ascii_nocase(F.col("name"), q)).select(
         F.col("id").alias("tag_id")
     )
-    return archive.links.select("bookmark_id", "tag_id").join(hits, "tag_id", "left_semi")
+    links = archive.links.select("bookmark_id", "tag_id")
+    return dimension_join(links, hits, "tag_id", "left_semi", ["bookmark_id"])
 
 
 def search(archive: Archive, q: str | None, df: DataFrame | None = None) -> DataFrame:

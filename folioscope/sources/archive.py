@@ -52,11 +52,18 @@ def current_snapshot(spark: SparkSession, root: str) -> str:
 
 
 def read_archive(spark: SparkSession, root: str) -> Archive:
-    """The archive with its fixed schema; no inference, so only needed columns are read."""
+    """The archive with its fixed schema; no inference, so only needed columns are read.
+
+    Defaults are filled in for tables written by others. Snapshots of write_archive() are
+    complete, and without the fill-in their filters reach the Parquet scan.
+    """
     base = current_snapshot(spark, root)
     read = lambda name, schema: spark.read.schema(schema).parquet(f"{base}/{name}")
+    bookmarks = read("bookmarks", BOOKMARKS)
     return Archive(
-        with_defaults(read("bookmarks", BOOKMARKS)), read("tags", TAGS), read("links", LINKS)
+        with_defaults(bookmarks) if base == root else bookmarks,
+        read("tags", TAGS),
+        read("links", LINKS),
     )
 
 
