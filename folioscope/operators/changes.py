@@ -110,13 +110,14 @@ def admit(archive: Archive, requests: DataFrame, now: Column) -> Change:
     checked = with_normalized_url(requests, "url", error="_error", domain="_domain")
     # One row per URL meets the archive; the verdict goes back by the unique request id,
     # so neither join is skewed by a popular URL.
-    winners = match_existing(first_per_url(checked), archive.bookmarks).select(
-        "request_id", "match", "existing_id"
+    matched = match_existing(first_per_url(checked), archive.bookmarks)
+    winners = matched.groupBy("request_id").agg(
+        F.bool_or(F.col("match") == "live").alias("_live"), F.min("existing_id").alias("existing_id")
     )
     judged = checked.join(winners, "request_id", "left").withColumn(
         "_code",
         F.when(F.col("_error").isNotNull(), F.col("_error")).when(
-            F.col("match").isNull() | (F.col("match") == "live"), F.lit("DUPLICATE_URL")
+            F.coalesce("_live", F.lit(True)), F.lit("DUPLICATE_URL")
         ),
     ).checkpoint()
     fresh = judged.where(F.col("_code").isNull())
@@ -133,7 +134,7 @@ def admit(archive: Archive, requests: DataFrame, now: Column) -> Change:
             now.alias("updated_at"),
         )
     )
-    purged = fresh.where(F.col("match") == "deleted").select(F.col("existing_id").alias("id"))
+    purged = fresh.where(F.col("existing_id").isNotNull()).select(F.col("existing_id").alias("id"))
     kept = remove_bookmarks(archive, purged)
     added = kept.replace(bookmarks=kept.bookmarks.unionByName(rows))
     tagged = set_tags(

@@ -10,7 +10,6 @@ from folioscope import constants as K
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OUTCOMES = "key string, ts timestamp, event_id long, kind string, outcome string"
-_COLUMNS = ["key", "ts", "event_id", "kind", "outcome"]
 
 
 class Lifecycle(StatefulProcessor):
@@ -40,43 +39,52 @@ class Lifecycle(StatefulProcessor):
                     waiting = [tuple(e) for e in self.due.getValue((ms,))[0]]
                 self.due.updateValue((ms,), (waiting + events,))
                 self.handle.registerTimer(ms)
-        yield pd.DataFrame(columns=_COLUMNS)
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         ms = expiredTimerInfo.getExpiryTimeInMs()
         state, at = self.status.get() if self.status.exists() else ("none", 0)
         out = []
-        if state == "deleted" and ms > (at + self.window_us) // 1000:
+
+        def purge():
             out.append((at + self.window_us, None, "purge", "purged"))
-            state = "none"
+            return "none"
+
+        if state == "deleted" and ms > (at + self.window_us) // 1000:
+            state = purge()
         if self.due.containsKey((ms,)):
             for ts, event_id, kind in sorted(tuple(e) for e in self.due.getValue((ms,))[0]):
+                if state == "deleted" and ts - at > self.window_us:
+                    state = purge()
                 outcome = "applied"
                 if kind == "create" and state != "live":
                     state = "live"
                 elif kind == "delete" and state == "live":
                     state, at = "deleted", ts
                     self.handle.registerTimer((ts + self.window_us) // 1000 + 1)
-                elif kind == "restore" and state == "deleted" and ts - at <= self.window_us:
+                elif kind == "restore" and state == "deleted":
                     state = "live"
                 else:
                     outcome = "rejected"
-                    if kind == "restore" and state == "deleted":
-                        out.append((at + self.window_us, None, "purge", "purged"))
-                        state = "none"
                 out.append((ts, event_id, kind, outcome))
             self.due.removeKey((ms,))
+            # A timer set for a time the watermark has passed would wait for the next batch.
+            deadline = (at + self.window_us) // 1000
+            if state == "deleted" and timerValues.getCurrentWatermarkInMs() > deadline:
+                if not any(waiting[0] <= deadline for waiting in self.due.keys()):
+                    state = purge()
         self.status.update((state, at))
-        rows = pd.DataFrame(
-            {
+        if out:
+            ts, event_ids, kinds, outcomes = zip(*out)
+            frame = {
                 "key": [key[0]] * len(out),
-                "ts": pd.to_datetime([o[0] for o in out], unit="us"),
-                "event_id": pd.array([o[1] for o in out], dtype="Int64"),
-                "kind": [o[2] for o in out],
-                "outcome": [o[3] for o in out],
+                "ts": list(pd.to_datetime(ts, unit="us")),
+                "event_id": event_ids,
+                "kind": kinds,
+                "outcome": outcomes,
             }
-        )
-        yield rows
+            # Plain objects: batches of several frames must stay one Arrow array.
+            yield pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in frame.items()})
 
     def close(self) -> None:
         pass
