@@ -155,11 +155,12 @@ def fetch_outcome(
     max_bytes: int = K.MAX_BODY_BYTES,
     max_redirects: int = K.MAX_REDIRECTS,
 ) -> Column:
-    """Null for a usable HTML response, else its error code."""
+    """Null for a usable HTML response, else its error code; no status at all is an error."""
     redirected = status.between(300, 399)
     has_location = F.coalesce(location, F.lit("")) != ""
     return (
         F.when(timed_out, "REQUEST_TIMEOUT")
+        .when(status.isNull(), "UNKNOWN_ERROR")
         .when(redirected & has_location & (hops >= max_redirects), "TOO_MANY_REDIRECTS")
         .when(status.isin(401, 403), "HTTP_FORBIDDEN")
         .when(status.isin(404, 410), "HTTP_NOT_FOUND")

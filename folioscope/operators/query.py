@@ -207,24 +207,25 @@ def list_tags(archive: Archive) -> DataFrame:
 def suggest_tags(archive: Archive, ids: DataFrame, n: int = 6) -> DataFrame:
     """For each bookmark id the first n tags, in list order, that it does not have yet.
 
-    A bookmark holds at most 12 tags, so its first n unused ones are always among the
-    first n + 12 of the list: no row meets more than that many candidates.
+    The first n unused tags of a bookmark with m tags are among the first n + m of the list,
+    so every row meets as many candidates as the bookmark with the most tags needs.
     """
+    wanted = ids.toDF("id")
+    used = (
+        attach_tags(wanted, archive)
+        .withColumn("_used", F.transform("tags", lambda t: F.lower(t["name"])))
+        .drop("tags")
+    )
+    most = used.agg(F.max(F.size("_used"))).first()[0] or 0
     ranked = archive.tags.select(
         "id", "name", X.ascii_lower(F.col("name")).alias("_folded"), F.lower("name").alias("_key")
     )
     head = (
         ranked.orderBy("_folded", "id")
-        .limit(n + K.MAX_TAGS_PER_BOOKMARK)
+        .limit(n + most)
         .agg(F.array_sort(F.collect_list(F.struct("_folded", "id", "name", "_key"))).alias("_head"))
     )
-    wanted = ids.toDF("id")
-    used = (
-        attach_tags(wanted, archive)
-        .withColumn("_used", F.transform("tags", lambda t: F.lower(t["name"])))
-        .drop("tags")
-        .withColumn("_head", head.scalar())
-    )
+    used = used.withColumn("_head", head.scalar())
     free = F.filter("_head", lambda t: ~F.array_contains(F.col("_used"), t["_key"]))
     return used.select(
         F.col("id").alias("bookmark_id"),

@@ -1,6 +1,5 @@
 """Session settings and the shared scratch folder."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -34,13 +33,11 @@ def configure(spark: SparkSession) -> SparkSession:
 def scratch_dir(spark: SparkSession) -> str:
     """A fresh folder below the shared folder named by `spark.checkpoint.dir`.
 
-    Only where that setting is empty (local tests) a temporary folder is used.
+    Where that setting is empty, the warehouse is used: all executors reach it too.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        shared = tempfile.mkdtemp(prefix="folioscope-")
+        shared = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
 
 

@@ -1,12 +1,12 @@
 """Reading and writing the stored tables as Parquet snapshots."""
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.schema import BOOKMARK_DEFAULTS, BOOKMARKS, LINKS, TAGS, Archive
-from folioscope.session import scratch_dir
 
 POINTER = "CURRENT"
 
@@ -73,7 +73,7 @@ def write_archive(archive: Archive, root: str) -> str:
     Rows are sorted by their lookup key inside each file, so id filters skip row groups.
     """
     spark = archive.bookmarks.sparkSession
-    name = scratch_dir(spark).rsplit("/", 1)[-1]
+    name = uuid.uuid4().hex
     base = f"{root}/{name}"
     archive.bookmarks.sortWithinPartitions("id").write.parquet(f"{base}/bookmarks")
     archive.tags.write.parquet(f"{base}/tags")
