@@ -57,6 +57,7 @@ def text_features(docs: DataFrame, rules: Rules, id_col: str, text_col: str, hos
         lines.alias("lines"),
         F.length(F.regexp_replace(text, f"[^{rules.symbols}]+", "")).alias("n_symbols"),
     )
+    # Several uses of `hashes` keep it a column of its own, computed outside the loop below.
     split = split.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
     hashed = split.select(
         "doc_id",
@@ -66,9 +67,9 @@ def text_features(docs: DataFrame, rules: Rules, id_col: str, text_col: str, hos
         F.col("n_symbols").cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.when(
-            F.size("words") >= width,
+            F.size("hashes") >= width,
             F.transform(
-                F.sequence(F.lit(1), F.size("words") - (width - 1)),
+                F.sequence(F.lit(1), F.size("hashes") - (width - 1)),
                 lambda i: F.xxhash64(F.slice("hashes", i, width)),
             ),
         )
