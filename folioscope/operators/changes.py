@@ -400,8 +400,13 @@ def _new_tags(resolved: DataFrame, now: Column) -> DataFrame:
 
 
 def set_tags(archive: Archive, changes: DataFrame, now: Column) -> Change:
-    """Replace the tags of bookmarks: bookmark_id (unique), tag_names."""
-    listed = with_tag_entries(changes)
+    """Replace the tags of bookmarks: bookmark_id (unique), tag_names.
+
+    A bookmark that is not stored gets no links but a NOT_FOUND reject.
+    """
+    missing = reject_missing(changes, archive.bookmarks)
+    stored = archive.bookmarks.select(F.col("id").alias("bookmark_id"))
+    listed = with_tag_entries(changes.join(stored, "bookmark_id", "left_semi"))
     too_long = F.exists("entries", lambda e: X.utf16_length(e["name"]) > K.MAX_TAG_NAME)
     broken = (F.size("entries") > K.MAX_TAGS_PER_BOOKMARK) | too_long
     refused = listed.where(broken).select("bookmark_id")
@@ -424,7 +429,7 @@ def set_tags(archive: Archive, changes: DataFrame, now: Column) -> Change:
     return Change(
         archive.replace(tags=tags, links=links),
         linked,
-        _reject(refused, "bookmark_id", "VALIDATION_ERROR"),
+        _reject(refused, "bookmark_id", "VALIDATION_ERROR").unionByName(missing),
     )
 
 
