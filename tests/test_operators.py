@@ -228,6 +228,27 @@ def test_search_covers_fields_and_tags(spark):
     assert reading.search(a, "  ").count() == 2
 
 
+def test_suggestions_for_a_bookmark_with_many_tags(spark):
+    a = small_archive(spark)
+    names = [(f"n{i:02}", f"Name {i:02}", f"name {i:02}") for i in range(30)]
+    tags = spark.createDataFrame(names, "id string, name string, normalized_name string")
+    links = spark.createDataFrame([("b1", f"n{i:02}") for i in range(18)], "bookmark_id string, tag_id string")
+    full = storing.make_archive(a.bookmarks, tags, links)
+    found = reading.suggest_tags(full, full.bookmarks.select("id")).collect()
+    of = lambda b: [x.tag_id for x in sorted(found, key=lambda x: x.position) if x.bookmark_id == b]
+    assert of("b1") == [f"n{i}" for i in range(18, 24)]
+    assert of("b2") == [f"n{i:02}" for i in range(6)]
+
+
+def test_tags_of_a_missing_bookmark_are_refused(spark):
+    a = small_archive(spark)
+    asked = spark.createDataFrame([("b1", ["Home"]), ("gone", ["New"])], "bookmark_id string, tag_names array<string>")
+    change = changes.set_tags(a, asked, F.lit(DAY))
+    assert values(change.archive.links, "bookmark_id", "tag_id") == [("b1", "t2"), ("b2", "t1"), ("b2", "t2")]
+    assert change.archive.tags.count() == 3
+    assert [tuple(r)[:2] for r in change.rejects.collect()] == [("gone", "NOT_FOUND")]
+
+
 def test_pages_join_to_the_full_list(spark):
     rows = [(f"{i:03}", DAY + datetime.timedelta(minutes=i // 2)) for i in range(55)]
     df = spark.createDataFrame(rows, "id string, created_at timestamp")
