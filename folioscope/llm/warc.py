@@ -37,7 +37,11 @@ RECORD = (
 
 
 def open_folder(folder: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+    """The file system and path of a folder, given as a path or an address (`file:/x` too)."""
+    scheme, colon, path = folder.partition(":")
+    if not colon or "/" in scheme:
+        return fs.LocalFileSystem(), folder
+    return fs.FileSystem.from_uri(folder if path.startswith("//") else f"{scheme}://{path}")
 
 
 def one_line(value: str) -> str:
