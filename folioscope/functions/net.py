@@ -152,7 +152,7 @@ def fetch_outcome(
     hops: Column,
     location: Column,
     timed_out: Column,
-    max_bytes: int = K.MAX_BODY_BYTES,
+    max_bytes: int | None = None,
     max_redirects: int = K.MAX_REDIRECTS,
 ) -> Column:
     """Null for a usable HTML response, else its error code; no status at all is an error."""
@@ -166,7 +166,7 @@ def fetch_outcome(
         .when(status.isin(404, 410), "HTTP_NOT_FOUND")
         .when(~status.between(200, 299), "HTTP_SERVER_ERROR")
         .when(~content_type_ok(content_type, "html"), "UNSUPPORTED_CONTENT_TYPE")
-        .when(body_bytes > max_bytes, "CONTENT_TOO_LARGE")
+        .when(F.lit(False) if max_bytes is None else body_bytes > max_bytes, "CONTENT_TOO_LARGE")
         .when(F.coalesce(body_bytes, F.lit(0)) == 0, "EMPTY_RESPONSE")
     )
 

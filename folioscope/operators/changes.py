@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from folioscope import constants as K
 from folioscope.functions import text as X
 from folioscope.functions.urls import with_normalized_url
-from folioscope.operators.joins import dimension_join
 from folioscope.operators.query import expired, live, tag_usage
 from folioscope.schema import BOOKMARKS, Archive, Change
 from folioscope.session import ensure_checkpoint_dir
@@ -419,7 +418,7 @@ def set_tags(archive: Archive, changes: DataFrame, now: Column) -> Change:
     tags = archive.tags.unionByName(fresh)
     # A new tag's id follows from its name, so the links only need the stored tags.
     known = archive.tags.select("normalized_name", F.col("id").alias("_id"))
-    matched = dimension_join(accepted, known, "normalized_name", "left", ["bookmark_id"])
+    matched = accepted.join(known, "normalized_name", "left")
     linked = matched.select(
         "bookmark_id",
         F.coalesce("_id", _new_tag_id(F.col("normalized_name"))).alias("tag_id"),
@@ -492,13 +491,7 @@ def delete_tags(archive: Archive, ids: DataFrame) -> Change:
     return Change(
         archive.replace(
             tags=archive.tags.join(wanted, "id", "left_anti"),
-            links=dimension_join(
-                archive.links,
-                wanted.withColumnRenamed("id", "tag_id"),
-                "tag_id",
-                "left_anti",
-                ["bookmark_id"],
-            ),
+            links=cascade(archive.links, wanted, "tag_id"),
         ),
         gone,
         reject_missing(ids, archive.tags, "tag_id"),

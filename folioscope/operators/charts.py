@@ -14,7 +14,6 @@ from folioscope.functions import charts as C
 from folioscope.functions import dom
 from folioscope.functions import text as X
 from folioscope.functions.dom import attr
-from folioscope.operators.query import cap
 
 _TOKENS = re.compile("[{}]|" + re.escape(K.CHART_SCHEMA_MARKER))
 
@@ -76,11 +75,12 @@ def chart_candidates(captures: DataFrame) -> DataFrame:
     return marked.select("page_id", "html").mapInArrow(scan, schema)
 
 
-def extract_chart_specs(captures: DataFrame) -> DataFrame:
-    """(page_id, chart, start, spec, title, theme, placeholder), at most 12 per page.
+def extract_chart_specs(captures: DataFrame, limit: int | None = None) -> DataFrame:
+    """(page_id, chart, start, spec, title, theme, placeholder, left_out).
 
     spec is a VARIANT. The escaped form of a payload is tried before the raw one; equal
-    specs of a page count once.
+    specs of a page count once. With a `limit`, only the first charts of a page are given,
+    and `left_out` says how many more it has.
     """
     candidates = chart_candidates(captures)
     escaped = F.contains("raw", F.lit('\\"'))
@@ -106,13 +106,16 @@ def extract_chart_specs(captures: DataFrame) -> DataFrame:
     distinct = parsed.groupBy("page_id", "fingerprint").agg(
         F.min(F.struct("start", "theme", "json")).alias("c")
     )
-    kept = cap(
-        distinct.select("page_id", "c.*"), ["page_id"], ["start"], K.MAX_CHARTS
-    )
     order = W.partitionBy("page_id").orderBy("start")
-    numbered = kept.withColumn("chart", F.row_number().over(order) - 1).withColumn(
-        "spec", F.parse_json("json")
+    numbered = distinct.select("page_id", "c.*").withColumn(
+        "chart", F.row_number().over(order) - 1
     )
+    left_out = F.lit(0).cast("bigint")
+    if limit is not None:
+        found = F.count("*").over(W.partitionBy("page_id"))
+        numbered = numbered.withColumn("_found", found).where(F.col("chart") < limit)
+        left_out = F.greatest(F.col("_found") - limit, left_out)
+    numbered = numbered.withColumn("left_out", left_out).withColumn("spec", F.parse_json("json"))
     default = F.concat(F.lit(K.CHART_DEFAULT_TITLE), (F.col("chart") + 1).cast("string"))
     titled = numbered.withColumn("title", C.chart_title(F.col("spec"), default))
     return titled.select(
@@ -123,6 +126,7 @@ def extract_chart_specs(captures: DataFrame) -> DataFrame:
         "title",
         "theme",
         C.chart_placeholder(F.col("title"), F.col("chart")).alias("placeholder"),
+        "left_out",
     )
 
 

@@ -39,9 +39,16 @@ def _rows(df: DataFrame, keep: list, array: Column, key: str) -> DataFrame:
 # --- metadata -----------------------------------------------------------------------
 
 
+def page_address(pages: DataFrame) -> Column:
+    """The address a page was finally found at: the requested one if no other is known."""
+    if "final_url" not in pages.columns:
+        return F.col("url")
+    return F.coalesce("final_url", "url")
+
+
 def with_base(pages: DataFrame) -> DataFrame:
     """Add `base`, the parsed page address that links are resolved against."""
-    return pages.withColumn("base", U.base_url(F.col("url")))
+    return pages.withColumn("base", U.base_url(page_address(pages)))
 
 
 def metadata(nodes: Column) -> Column:
@@ -97,7 +104,7 @@ def extract_metadata(pages: DataFrame) -> DataFrame:
 
 
 def extract_links(pages: DataFrame) -> DataFrame:
-    """One row per anchor with an http(s) target."""
+    """One row per anchor with an http(s) target; page_url is the page's final address."""
     staged = with_resolved(pages, "anchors")
     zipped = F.transform(
         "anchor_seqs",
@@ -119,7 +126,8 @@ def extract_links(pages: DataFrame) -> DataFrame:
             ),
         ),
     )
-    return _rows(staged, ["page_id", F.col("url").alias("page_url")], rows, "seq")
+    asked = F.col("url").alias("requested_url")
+    return _rows(staged, ["page_id", asked, page_address(pages).alias("page_url")], rows, "seq")
 
 
 def extract_code(pages: DataFrame) -> DataFrame:
@@ -451,10 +459,19 @@ def with_markdown(pages: DataFrame) -> DataFrame:
 # --- full extraction ------------------------------------------------------------------------
 
 
-def extract(captures: DataFrame, max_bytes: int = K.MAX_BODY_BYTES) -> DataFrame:
+def cover_line() -> Column:
+    """The Markdown of a cover that is put before the text."""
+    alt = F.regexp_replace("title", r"[\[\]]", "")
+    return F.concat(F.lit("!["), alt, F.lit("]("), F.col("cover_image_url"), F.lit(")\n\n"))
+
+
+def extract(captures: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """One extraction row per capture: page_id, url, html, status_code, content_type.
 
-    The whole chain is narrow. Oversized and failed captures are judged before parsing.
+    A capture that was redirected names its last address in `final_url`; all addresses of
+    the page are resolved from there. `cover_added` says whether the cover was put first.
+    The whole chain is narrow. Failed captures, and those over `max_bytes` where it is given,
+    are judged before parsing.
     """
     size = F.octet_length("html")
     outcome = fetch_outcome(
@@ -464,6 +481,7 @@ def extract(captures: DataFrame, max_bytes: int = K.MAX_BODY_BYTES) -> DataFrame
     judged = captures.select(
         "page_id",
         "url",
+        page_address(captures).alias("final_url"),
         "status_code",
         outcome.alias("fetch_error"),
         F.when(outcome.isNull(), F.col("html")).alias("html"),
@@ -481,10 +499,11 @@ def extract(captures: DataFrame, max_bytes: int = K.MAX_BODY_BYTES) -> DataFrame
     )
     first_paragraph = dom.first(F.filter("kept", lambda n: (n["tag"] == "p") & (n["chars"] > 0)))
     heading = dom.first(dom.with_tag(nodes, "h1"))
-    domain = U.url_domain(F.col("url"))
+    domain = U.url_domain(F.col("final_url"))
     judged = rendered.select(
         "page_id",
         "url",
+        "final_url",
         "status_code",
         "fetch_error",
         "page_title",
@@ -501,22 +520,15 @@ def extract(captures: DataFrame, max_bytes: int = K.MAX_BODY_BYTES) -> DataFrame
         X.non_empty(dom.collapsed_text(nodes, first_paragraph)).alias("excerpt"),
     )
     failed = F.col("fetch_error").isNotNull()
-    title = F.when(failed, F.coalesce("domain", "url")).otherwise(
+    title = F.when(failed, F.coalesce("domain", "final_url")).otherwise(
         F.coalesce("page_title", "heading", "domain")
     )
     shown = judged.withColumn("title", title)
     no_image = ~F.col("markdown").rlike(r"(?i)!\[[^\]]*]\(https?://")
-    with_cover = F.when(
-        F.col("cover_image_url").isNotNull() & no_image,
-        F.concat(
-            F.lit("!["),
-            F.regexp_replace("title", r"[\[\]]", ""),
-            F.lit("]("),
-            F.col("cover_image_url"),
-            F.lit(")\n\n"),
-            F.col("markdown"),
-        ),
-    ).otherwise(F.col("markdown"))
+    covered = F.col("cover_image_url").isNotNull() & no_image
+    with_cover = F.when(covered, F.concat(cover_line(), F.col("markdown"))).otherwise(
+        F.col("markdown")
+    )
     shown = shown.withColumn(
         "markdown_content", F.when(failed, F.lit("")).otherwise(X.js_trim(with_cover))
     )
@@ -530,7 +542,8 @@ def extract(captures: DataFrame, max_bytes: int = K.MAX_BODY_BYTES) -> DataFrame
     )
     result = shown.select(
         "page_id",
-        F.col("url").alias("final_url"),
+        "url",
+        "final_url",
         "title",
         F.when(~failed, F.coalesce("description", F.when(F.col("has_main"), F.col("excerpt")))).alias(
             "description"
@@ -548,6 +561,7 @@ def extract(captures: DataFrame, max_bytes: int = K.MAX_BODY_BYTES) -> DataFrame
         code.alias("error_code"),
         message.alias("error_message"),
         F.col("status_code").alias("http_status_code"),
+        (~failed & covered).alias("cover_added"),
     )
     return sealed(result)
 

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from folioscope import constants as K
 from folioscope.functions import images as I
 from folioscope.functions import text as X
-from folioscope.operators.joins import dimension_join
 from folioscope.operators.query import cap
 
 _CODE = r"```[\s\S]*?```|`[^`\n]*`"
@@ -18,6 +17,7 @@ _REFERENCE = (
 # Code is matched too, so that an image inside code is passed over.
 _PIECE = rf"{_CODE}|{_REFERENCE}"
 _WEB = "(?i)^https?://"
+UNLIMITED = (1 << 63) - 1
 
 
 def _reference(piece: Column) -> Column:
@@ -125,11 +125,11 @@ def _budget_fold(items: Column, limit: int) -> Column:
     return F.aggregate(items, start, step)
 
 
-def byte_budget(images: DataFrame, limit: int = K.MAX_IMAGE_TOTAL_BYTES) -> DataFrame:
+def byte_budget(images: DataFrame, limit: int) -> DataFrame:
     """images (bookmark_id, position, bytes, …) plus `admitted`.
 
     A refused image does not count, so a later smaller one may still fit: a fold, not a
-    running sum. It runs over the at most 60 images a bookmark may have.
+    running sum. It runs over all images of a bookmark, two numbers each.
     """
     folded = images.groupBy("bookmark_id").agg(
         F.array_sort(F.collect_list(F.struct("position", "bytes"))).alias("_items")
@@ -142,18 +142,25 @@ def byte_budget(images: DataFrame, limit: int = K.MAX_IMAGE_TOTAL_BYTES) -> Data
     )
 
 
-def localization_plan(bookmarks: DataFrame, downloads: DataFrame) -> DataFrame:
+def localization_plan(
+    bookmarks: DataFrame,
+    downloads: DataFrame,
+    max_images: int | None = None,
+    max_bytes: int | None = None,
+) -> DataFrame:
     """One row per bookmark with images: local_by_remote, localized, failed, total_bytes.
 
     The same image may occur in a large share of all bookmarks; the join on its address
-    allows for that. Per bookmark at most 60 addresses are gathered, the rest is counted.
+    is one that adaptive execution can split. Images beyond the first `max_images` of a
+    bookmark, or over its budget of `max_bytes`, stay remote and are counted as failed; by
+    default there is no limit.
     """
     distinct = distinct_images(bookmarks)
     counts = distinct.groupBy("bookmark_id").agg(F.count("*").alias("_all"))
-    chosen = cap(distinct, ["bookmark_id"], ["position"], K.MAX_IMAGES)
-    found = dimension_join(
-        chosen, checked_downloads(downloads), "url", "left", ["bookmark_id"]
-    )
+    chosen = distinct
+    if max_images is not None:
+        chosen = cap(distinct, ["bookmark_id"], ["position"], max_images)
+    found = chosen.join(checked_downloads(downloads), "url", "left")
     folded = found.groupBy("bookmark_id").agg(
         F.array_sort(
             F.collect_list(
@@ -163,7 +170,7 @@ def localization_plan(bookmarks: DataFrame, downloads: DataFrame) -> DataFrame:
             )
         ).alias("_items")
     )
-    budget = _budget_fold(F.col("_items"), K.MAX_IMAGE_TOTAL_BYTES)
+    budget = _budget_fold(F.col("_items"), UNLIMITED if max_bytes is None else max_bytes)
     done = folded.withColumn("_budget", budget).withColumn(
         "_kept", X.let(F.struct("_items", "_budget.kept"), lambda p: F.filter(
             p["_items"], lambda i: F.array_contains(p["kept"], i["position"])))
@@ -184,9 +191,14 @@ def localization_plan(bookmarks: DataFrame, downloads: DataFrame) -> DataFrame:
     )
 
 
-def localize_images(bookmarks: DataFrame, downloads: DataFrame) -> DataFrame:
+def localize_images(
+    bookmarks: DataFrame,
+    downloads: DataFrame,
+    max_images: int | None = None,
+    max_bytes: int | None = None,
+) -> DataFrame:
     """Bookmarks with text and cover pointing at local copies, plus the summary columns."""
-    plan = localization_plan(bookmarks, downloads).withColumnRenamed("bookmark_id", "id")
+    plan = localization_plan(bookmarks, downloads, max_images, max_bytes).withColumnRenamed("bookmark_id", "id")
     empty = F.create_map().cast("map<string,string>")
     joined = bookmarks.join(plan, "id", "left").withColumn(
         "local_by_remote", F.coalesce("local_by_remote", empty)

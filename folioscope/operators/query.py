@@ -7,7 +7,6 @@ from pyspark.sql import Window as W
 from folioscope import constants as K
 from folioscope.functions import text as X
 from folioscope.functions.net import error_message
-from folioscope.operators.joins import dimension_join
 from folioscope.schema import Archive
 
 SEARCHED = ("title", "url", "final_url", "domain", "markdown_content", "user_note")
@@ -44,7 +43,7 @@ def tagged_with_name(archive: Archive, q: str) -> DataFrame:
         F.col("id").alias("tag_id")
     )
     links = archive.links.select("bookmark_id", "tag_id")
-    return dimension_join(links, hits, "tag_id", "left_semi", ["bookmark_id"])
+    return links.join(hits, "tag_id", "left_semi")
 
 
 def search(archive: Archive, q: str | None, df: DataFrame | None = None) -> DataFrame:
@@ -159,18 +158,14 @@ def attach_tags(df: DataFrame, archive: Archive, ids: DataFrame | None = None) -
     """Add `tags`, an array of (id, name, normalized_name) ordered by id; never null.
 
     A bookmark has at most 12 tags, so the collected arrays are small. The links of a whole
-    archive may be skewed on a popular tag, which dimension_join() takes care of; the links
-    of a few ids (one page of a list) are few.
+    archive may be skewed on a popular tag: adaptive execution broadcasts the tags or splits
+    that tag's partition by its bytes. The links of a few ids (one page of a list) are few.
     """
     links = archive.links.select("bookmark_id", "tag_id")
     if ids is not None:
         links = links.join(ids.select(F.col("id").alias("bookmark_id")), "bookmark_id", "left_semi")
     tags = archive.tags.select(F.col("id").alias("tag_id"), "name", "normalized_name")
-    if ids is None:
-        joined = dimension_join(links, tags, "tag_id", "inner", ["bookmark_id"])
-    else:
-        joined = links.join(tags, "tag_id")
-    nested = joined.groupBy(F.col("bookmark_id").alias("id")).agg(
+    nested = links.join(tags, "tag_id").groupBy(F.col("bookmark_id").alias("id")).agg(
         F.array_sort(
             F.collect_list(F.struct(F.col("tag_id").alias("id"), "name", "normalized_name"))
         ).alias("tags")

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from folioscope import constants as K
 from folioscope.functions import net as N
 from folioscope.functions import urls as U
-from folioscope.operators.joins import dimension_join
 from folioscope.session import ensure_checkpoint_dir
 
 def block_list(spark: SparkSession) -> DataFrame:
@@ -45,7 +44,7 @@ def cidr_join(addresses: DataFrame, cidrs: DataFrame) -> DataFrame:
             ).alias("_key"),
         )
     )
-    hits = dimension_join(cut, networks.drop("_width"), "_key", "inner", ["address"])
+    hits = cut.join(networks.drop("_width"), "_key")
     return hits.select("address", "network", "prefix")
 
 
@@ -157,7 +156,7 @@ def resolve_redirects(fetch_log: DataFrame, max_hops: int = K.MAX_REDIRECTS) ->
     settled, moving = state.where(~goes_on), state.where(goes_on)
     for _ in range(max_hops):
         arrived = (
-            dimension_join(moving.select("url", "target", "hops"), step, "target", "left", ["url"])
+            moving.select("url", "target", "hops").join(step, "target", "left")
             .select(
                 "url",
                 F.col("_status").alias("status"),

@@ -2,10 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from folioscope import constants as K
 from folioscope.functions import urls as U
 from folioscope.operators import export as X
 from folioscope.operators import media as M
-from folioscope.operators.query import cap
 from folioscope.plans import tables as T
 from folioscope.plans.registry import query
 
@@ -82,6 +82,23 @@ _ALL = f"3 + {_COVER} + CASE WHEN page_id % 40 = 3 THEN 70 ELSE 0 END"
     )
 )
 def image_localization_plan(spark, sf_dir):
+    plan = M.localization_plan(
+        imaged(spark, sf_dir), downloads(spark, sf_dir), K.MAX_IMAGES, K.MAX_IMAGE_TOTAL_BYTES
+    )
+    return plan.select("bookmark_id", "localized", "failed", "total_bytes")
+
+
+_EVERY = "(SELECT COUNT(*) FROM RANGE(0, 70) r(i) WHERE i IN (SELECT page_id % 70 FROM pages) AND NOT (i IN (3, 5) OR i BETWEEN 30 AND 39 OR i BETWEEN 50 AND 59))"
+_DONE_OF_ALL = _DONE.replace(_NUMBERED, _EVERY)
+
+
+@query(
+    T.check(
+        f"SELECT id AS bookmark_id, {_DONE_OF_ALL} AS localized, {_ALL} - ({_DONE_OF_ALL}) AS failed, 8 * ({_DONE_OF_ALL}) - 5 AS total_bytes FROM imaged",
+        imaged=IMAGED,
+    )
+)
+def unlimited_localization(spark, sf_dir):
     plan = M.localization_plan(imaged(spark, sf_dir), downloads(spark, sf_dir))
     return plan.select("bookmark_id", "localized", "failed", "total_bytes")
 
@@ -91,24 +108,32 @@ def _local(url: str, extension: str) -> str:
 
 
 _LOCAL_SHARED = _local(f"'{_SHARED}'", "png")
+_N_URL = "CONCAT('https://cdn.example/n', CAST(i AS STRING), '.png')"
+_N_DONE = f"i <= {_REACH} AND NOT (i IN (3, 5) OR i BETWEEN 30 AND 39 OR i BETWEEN 50 AND 59)"
+_MANY = (
+    f"CONCAT(CHR(10), REPEAT(CONCAT('![m](', {_LOCAL_SHARED}, ')'), 3), (SELECT STRING_AGG(CONCAT('![n](', CASE WHEN {_N_DONE} THEN {_local(_N_URL, 'png')} "
+    f"ELSE {_N_URL} END, ')'), ' ' ORDER BY i) FROM RANGE(0, 70) r(i)))"
+)
 _P_URL = "CONCAT('https://cdn.example/p(', id, ').png')"
 _BIG = "CONCAT('https://cdn.example/big', CAST(page_id % 7 AS STRING), '.png')"
 
 
 @query(
     T.check(
-        "SELECT id, REPLACE(REPLACE(REPLACE(REPLACE(markdown_content, "
+        "SELECT id, CONCAT(REPLACE(REPLACE(REPLACE(REPLACE(SPLIT_PART(markdown_content, CONCAT(CHR(10), '![m]'), 1), "
         rf"'![a [1]](https://cdn.example/shared.png)', CONCAT('![a \[1\]](', {_LOCAL_SHARED}, ')')), "
         f"'![again](https://cdn.example/shared.png)', CONCAT('![again](', {_LOCAL_SHARED}, ')')), "
         f"""CONCAT('![x](<', {_P_URL}, '> "T q")'), CONCAT('![x](', {_local(_P_URL, 'jpg')}, ' "T q")')), """
-        f"CONCAT('![big](', {_BIG}, ')'), CASE WHEN page_id % 7 <> 4 THEN CONCAT('![big](', {_local(_BIG, 'png')}, ')') ELSE CONCAT('![big](', {_BIG}, ')') END) AS markdown_content, "
-        f"CASE page_id % 3 WHEN 0 THEN {_local(chr(39) + 'https://cdn.example/cover.png' + chr(39), 'png')} ELSE cover_image_url END AS cover_image_url FROM imaged WHERE page_id % 40 <> 3",
+        f"CONCAT('![big](', {_BIG}, ')'), CASE WHEN page_id % 7 <> 4 THEN CONCAT('![big](', {_local(_BIG, 'png')}, ')') ELSE CONCAT('![big](', {_BIG}, ')') END), CASE WHEN page_id % 40 = 3 THEN {_MANY} ELSE '' END) AS markdown_content, "
+        f"CASE page_id % 3 WHEN 0 THEN {_local(chr(39) + 'https://cdn.example/cover.png' + chr(39), 'png')} ELSE cover_image_url END AS cover_image_url FROM imaged",
         imaged=IMAGED,
     )
 )
 def localized_articles(spark, sf_dir):
-    done = M.localize_images(imaged(spark, sf_dir), downloads(spark, sf_dir))
-    return done.where(F.col("page_id") % 40 != 3).select("id", "markdown_content", "cover_image_url")
+    done = M.localize_images(
+        imaged(spark, sf_dir), downloads(spark, sf_dir), K.MAX_IMAGES, K.MAX_IMAGE_TOTAL_BYTES
+    )
+    return done.select("id", "markdown_content", "cover_image_url")
 
 
 # Downloaded sizes per user, to be admitted in order until the limit is met.
@@ -122,13 +147,12 @@ LIMIT = 300_000
     T.check(
         "WITH RECURSIVE sized AS ({s}), walk AS (SELECT bookmark_id, position, bytes <= {l} AS admitted, CASE WHEN bytes <= {l} THEN bytes ELSE 0 END AS total FROM sized WHERE position = 0 UNION ALL "
         "SELECT s.bookmark_id, s.position, w.total + s.bytes <= {l}, CASE WHEN w.total + s.bytes <= {l} THEN w.total + s.bytes ELSE w.total END FROM walk w "
-        "JOIN sized s ON s.bookmark_id = w.bookmark_id AND s.position = w.position + 1) SELECT bookmark_id, position, admitted FROM walk WHERE position < 60"
+        "JOIN sized s ON s.bookmark_id = w.bookmark_id AND s.position = w.position + 1) SELECT bookmark_id, position, admitted FROM walk"
         .replace("{s}", SIZES).replace("{l}", str(LIMIT))
     )
 )
 def byte_budget(spark, sf_dir):
-    sizes = cap(T.table(spark, sf_dir, SIZES), ["bookmark_id"], ["position"], 60)
-    return M.byte_budget(sizes, LIMIT).select("bookmark_id", "position", "admitted")
+    return M.byte_budget(T.table(spark, sf_dir, SIZES), LIMIT).select("bookmark_id", "position", "admitted")
 
 
 # A file listing as the binaryFile source gives it, with names that do not belong.

@@ -3,14 +3,15 @@
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from folioscope import constants as K
 from folioscope.functions import dom
 from folioscope.functions import text as X
 from folioscope.functions import urls as U
+from folioscope.operators import changes as C
 from folioscope.operators import charts as G
 from folioscope.operators import extract as E
 from folioscope.operators import pagination as P
 from folioscope.operators import safety as S
-from folioscope.operators.joins import spread_small
 from folioscope.operators.shred import node_table, shred_html
 from folioscope.plans import tables as T
 from folioscope.plans.registry import query
@@ -71,7 +72,7 @@ MARKDOWN = (
 
 def pages(spark, sf_dir):
     T.given(spark, sf_dir)
-    return spread_small(read_captures(spark, f"{sf_dir}/pages.parquet"), "page_id")
+    return read_captures(spark, f"{sf_dir}/pages.parquet")
 
 
 @query(
@@ -305,10 +306,12 @@ def decoded_captures(spark, sf_dir):
 
 # --- pagination --------------------------------------------------------------------------------------------
 
-# Each page becomes an article of three pages that link to one another, and to others.
+# Each page becomes an article of three pages that link to one another, and to others. Some
+# roots were redirected to https, some could not be fetched.
 SERIES = """
-SELECT page_id * 10 + n AS page_id, CONCAT('https://s.example/a', CAST(page_id AS STRING), CASE WHEN n = 1 THEN '' ELSE CONCAT('_', CAST(n AS STRING)) END, '.html') AS url,
-  CAST(CASE WHEN page_id % 10 = 3 AND n = 3 THEN 404 ELSE 200 END AS INT) AS status_code, 'text/html' AS content_type,
+SELECT page_id * 10 + n AS page_id, CONCAT(CASE WHEN page_id % 10 = 5 AND n = 1 THEN 'http' ELSE 'https' END, '://s.example/a', CAST(page_id AS STRING), CASE WHEN n = 1 THEN '' ELSE CONCAT('_', CAST(n AS STRING)) END, '.html') AS url,
+  CONCAT('https://s.example/a', CAST(page_id AS STRING), CASE WHEN n = 1 THEN '' ELSE CONCAT('_', CAST(n AS STRING)) END, '.html') AS final_url,
+  CAST(CASE WHEN page_id % 10 = 3 AND n = 3 THEN 404 WHEN page_id % 10 = 7 AND n = 1 THEN 500 ELSE 200 END AS INT) AS status_code, 'text/html' AS content_type,
   CONCAT('<html><head><title>Series ', CAST(page_id AS STRING), '</title></head><body><article><p>', REPEAT(CONCAT('Unique part ', CAST(n AS STRING), ' of the long story here. '), 20), '</p>',
     '<p>', CASE WHEN n > 1 THEN CONCAT('<a href="/a', CAST(page_id AS STRING), '.html">1</a> <a href="/a', CAST(page_id AS STRING), '_2.html">2</a>') ELSE '' END, '</p>',
     CASE WHEN n < 3 THEN CONCAT('<p><a rel="next" href="/a', CAST(page_id AS STRING), '_', CAST(n + 1 AS STRING), '.html">下一页</a></p>') ELSE '' END,
@@ -327,17 +330,22 @@ def series(spark, sf_dir):
 )
 def follow_up_pages(spark, sf_dir):
     links = E.extract_links(shred_html(series(spark, sf_dir)))
-    return P.discover_pages(links)
+    return P.discover_pages(links, K.MAX_SERIES_PAGES).select("page_url", "url", "page_number")
+
+
+_ROOT = "CONCAT(CASE WHEN page_id % 10 = 5 THEN 'http' ELSE 'https' END, '://s.example/a', CAST(page_id AS STRING), '.html')"
+_HOME = "CONCAT('https://s.example/a', CAST(page_id AS STRING), '.html')"
 
 
 @query(
-    "SELECT CONCAT('https://s.example/a', CAST(page_id AS STRING), '.html') AS root_url, CONCAT('https://s.example/a', CAST(page_id AS STRING), f, '.html') AS url, n AS page_number "
+    f"SELECT {_ROOT} AS root_url, CASE WHEN n = 1 THEN {_ROOT} ELSE CONCAT('https://s.example/a', CAST(page_id AS STRING), f, '.html') END AS url, n AS page_number "
     "FROM pages CROSS JOIN (SELECT '' AS f, 1 AS n UNION ALL SELECT '_2', 2 UNION ALL SELECT '_3', 3) k"
 )
 def reachable_pages(spark, sf_dir):
     captures = series(spark, sf_dir)
     roots = captures.where("page_id % 10 = 1").select("url")
-    return P.follow_pages(roots, P.discover_pages(E.extract_links(shred_html(captures))))
+    edges = P.discover_pages(E.extract_links(shred_html(captures)), K.MAX_SERIES_PAGES)
+    return P.follow_pages(roots, edges, K.MAX_SERIES_PAGES)
 
 
 _PART = "TRIM(REPEAT(CONCAT('Unique part ', CAST(n AS STRING), ' of the long story here. '), 20))"
@@ -345,19 +353,45 @@ _TEXT_OF = "CONCAT('## 第 {0} 页', CHR(10), CHR(10), " + _PART.replace("CAST(n
 _RULE = "CHR(10), CHR(10), '---', CHR(10), CHR(10)"
 
 
-@query(
-    "SELECT CONCAT('https://s.example/a', CAST(page_id AS STRING), '.html') AS root_url, CASE WHEN page_id % 10 = 3 THEN 2 ELSE 3 END AS pages, CASE WHEN page_id % 10 = 3 THEN 1 ELSE 0 END AS failed_pages, "
-    "CASE WHEN page_id % 10 = 3 THEN 'partial' ELSE 'success' END AS extraction_status, CASE WHEN page_id % 10 = 3 THEN 'PAGINATION_PARTIAL' END AS error_code, "
-    f"CONCAT({_TEXT_OF.format(1)}, {_RULE}, {_TEXT_OF.format(2)}, CASE WHEN page_id % 10 = 3 THEN '' ELSE CONCAT({_RULE}, {_TEXT_OF.format(3)}) END) AS markdown_content FROM pages"
+_MERGED = (
+    f"CASE WHEN page_id % 10 = 7 THEN '' ELSE CONCAT({_TEXT_OF.format(1)}, {_RULE}, {_TEXT_OF.format(2)}, CASE WHEN page_id % 10 = 3 THEN '' ELSE CONCAT({_RULE}, {_TEXT_OF.format(3)}) END) END"
 )
-def merged_articles(spark, sf_dir):
+_ARTICLE = (
+    f"{_HOME} AS final_url, CASE WHEN page_id % 10 = 7 THEN 's.example' ELSE CONCAT('Series ', CAST(page_id AS STRING)) END AS title, 's.example' AS domain, "
+    f"CASE WHEN page_id % 10 <> 7 THEN {_PART.replace('CAST(n AS STRING)', chr(39) + '1' + chr(39))} END AS description, CAST(NULL AS VARCHAR) AS author, "
+    "CASE WHEN page_id % 10 <> 7 THEN 'https://s.example/favicon.ico' END AS favicon_url, CAST(NULL AS VARCHAR) AS cover_image_url, "
+    "CASE WHEN page_id % 10 = 7 THEN 500 ELSE 200 END AS http_status_code, "
+    "CASE page_id % 10 WHEN 3 THEN 'partial' WHEN 7 THEN 'failed' ELSE 'success' END AS extraction_status, "
+    "CASE page_id % 10 WHEN 3 THEN 'PAGINATION_PARTIAL' WHEN 7 THEN 'HTTP_SERVER_ERROR' END AS error_code, "
+    f"CASE page_id % 10 WHEN 3 THEN '已保存 2 页，另有 1 页抓取失败' WHEN 7 THEN '{K.ERROR_MESSAGES['HTTP_SERVER_ERROR']}' END AS error_message, "
+    f"{_MERGED} AS markdown_content, LENGTH({_MERGED}) AS content_length"
+)
+
+
+def merged(spark, sf_dir):
     captures = series(spark, sf_dir)
     roots = captures.where("page_id % 10 = 1").select("url")
     links = E.extract_links(shred_html(captures))
-    extractions = E.extract(captures).withColumn("url", F.col("final_url"))
-    return P.follow_and_merge(roots, links, extractions).select(
-        "root_url", "pages", "failed_pages", "extraction_status", "error_code", "markdown_content"
-    )
+    return P.follow_and_merge(roots, links, E.extract(captures), K.MAX_SERIES_PAGES)
+
+
+@query(
+    f"SELECT {_ROOT} AS root_url, CASE page_id % 10 WHEN 3 THEN 2 WHEN 7 THEN 0 ELSE 3 END AS pages, CASE WHEN page_id % 10 = 3 THEN 1 ELSE 0 END AS failed_pages, {_ARTICLE} FROM pages"
+)
+def merged_articles(spark, sf_dir):
+    return merged(spark, sf_dir).drop("plain_text")
+
+
+@query(f"SELECT CAST(page_id AS VARCHAR) AS id, {_ARTICLE} FROM pages JOIN documents ON doc_id = page_id WHERE doc_id % 11 = 0")
+def merged_articles_stored(spark, sf_dir):
+    """The merged articles as the results of the pending bookmarks."""
+    stored = T.archive(spark, sf_dir)
+    results = merged(spark, sf_dir).withColumn("bookmark_id", F.regexp_extract("root_url", r"a(\d+)\.html", 1))
+    rows = C.apply_extractions(stored, results, T.now()).applied
+    return rows.select(
+        "id", "final_url", "title", "domain", "description", "author", "favicon_url", "cover_image_url",
+        "http_status_code", "extraction_status", "error_code", "error_message", "markdown_content", "content_length",
+    )
 
 
 @query(
@@ -482,7 +516,7 @@ _CHART_MARK = f"CONCAT('BOOKMARK-DYNAMIC-CHART-', CAST(c AS STRING), '-', UPPER(
 
 @query(f"SELECT page_id, c AS chart, {_CHART_TITLE} AS title, theme, {_CHART_MARK} AS placeholder {_CHART_BASE}")
 def embedded_charts(spark, sf_dir):
-    charts = G.extract_chart_specs(T.table(spark, sf_dir, CHART_PAGES))
+    charts = G.extract_chart_specs(T.table(spark, sf_dir, CHART_PAGES), K.MAX_CHARTS)
     return charts.select("page_id", "chart", "title", "theme", "placeholder")
 
 

@@ -9,12 +9,11 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.operators.joins import spread_small
 from folioscope.schema import Archive
 from folioscope.session import configure
 from folioscope.sources.archive import make_archive
 
-GIVEN = {"pages": "page_id", "documents": "doc_id", "labels": None, "events": None}
+GIVEN = ("pages", "documents", "labels", "events")
 
 _URL = (
     "COALESCE(p.url, CONCAT('https://', d.source, '.example.org/', d.lang, '/', "
@@ -69,11 +68,8 @@ def now():
 def given(spark: SparkSession, sf_dir: str) -> SparkSession:
     """Register the given tables as views and apply the session settings."""
     configure(spark)
-    for name, key in GIVEN.items():
-        df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-        if key:
-            df = spread_small(df, key)
-        df.createOrReplaceTempView(name)
+    for name in GIVEN:
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
     return spark
 
 

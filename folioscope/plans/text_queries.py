@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from folioscope import constants as K
 from folioscope.functions import net as N
 from folioscope.functions import text as X
 from folioscope.functions import urls as U
@@ -359,8 +360,9 @@ def fetch_outcomes(spark, sf_dir):
     df = T.table(spark, sf_dir, FETCHES)
     c = F.col
     outcome = N.fetch_outcome(
-        c("status"), c("content_type"), c("bytes"), c("hops"), c("location"), c("timed_out")
-    )
+        c("status"), c("content_type"), c("bytes"), c("hops"), c("location"), c("timed_out"),
+        K.MAX_BODY_BYTES,
+    )
     return df.select(
         "page_id",
         outcome.alias("outcome"),

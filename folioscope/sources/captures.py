@@ -60,7 +60,11 @@ def read_captures(spark: SparkSession, path: str, schema: StructType | None = No
 
 
 def with_capture_defaults(raw: DataFrame) -> DataFrame:
-    defaults = {"status_code": F.lit(200), "content_type": F.lit("text/html")}
+    defaults = {
+        "final_url": F.col("url"),
+        "status_code": F.lit(200),
+        "content_type": F.lit("text/html"),
+    }
     return raw.select(
         *[
             (F.col(f.name) if f.name in raw.columns else defaults.get(f.name, F.lit(None)))
