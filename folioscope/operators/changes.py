@@ -64,6 +64,24 @@ def reject_missing(changes: DataFrame, target: DataFrame, key: str = "bookmark_i
     return _reject(missing, key, "NOT_FOUND")
 
 
+def one_per_key(changes: DataFrame, key: str = "bookmark_id") -> tuple[DataFrame, DataFrame]:
+    """(at most one change per key, rejects); a key may hold any share of the changes.
+
+    With a column `seq` the newest change of a key counts and the key is reported once as
+    SUPERSEDED. Without it nothing orders the changes, so a key that repeats is refused.
+    """
+    rest = [c for c in changes.columns if c not in (key, "seq")]
+    row = F.struct("seq", *rest) if "seq" in changes.columns else F.struct(*rest)
+    newest = changes.groupBy(key).agg(F.max(row).alias("_row"), F.count("*").alias("_rows"))
+    repeated = newest.where("_rows > 1")
+    if "seq" in changes.columns:
+        return newest.select(key, "_row.*"), _reject(repeated, key, "SUPERSEDED")
+    return (
+        newest.where("_rows = 1").select(key, "_row.*"),
+        _reject(repeated, key, "VALIDATION_ERROR"),
+    )
+
+
 # --- admission ------------------------------------------------------------------------
 
 
@@ -101,11 +119,13 @@ def first_per_url(requests: DataFrame) -> DataFrame:
 def admit(archive: Archive, requests: DataFrame, now: Column) -> Change:
     """Add requested URLs as pending bookmarks.
 
-    requests: request_id (unique, becomes the bookmark id), seq, url, tag_names. Four
-    tables follow from the verdict on each request, so the verdicts are written once to
-    the checkpoint folder.
+    requests: request_id (unique, becomes the bookmark id), seq, url, tag_names. Requests
+    over the limits are refused first. Four tables follow from the verdict on each request,
+    so the verdicts are written once to the checkpoint folder. A soft-deleted bookmark of
+    the same URL is removed for good, see `removed`.
     """
     ensure_checkpoint_dir(requests.sparkSession)
+    requests, broken = validate_changes(requests)
     checked = with_normalized_url(requests, "url", error="_error", domain="_domain")
     # One row per URL meets the archive; the verdict goes back by the unique request id,
     # so neither join is skewed by a popular URL.
@@ -144,12 +164,17 @@ def admit(archive: Archive, requests: DataFrame, now: Column) -> Change:
         now,
     )
     refused = judged.where(F.col("_code").isNotNull())
-    rejects = _reject(refused, "request_id", F.col("_code")).unionByName(tagged.rejects)
-    return Change(tagged.archive, rows, rejects)
+    rejects = (
+        _reject(refused, "request_id", F.col("_code"))
+        .unionByName(_reject(broken, "request_id", "VALIDATION_ERROR"))
+        .unionByName(tagged.rejects)
+    )
+    return Change(tagged.archive, rows, rejects, purged)
 
 
 def apply_extractions(archive: Archive, extractions: DataFrame, now: Column) -> Change:
-    """Fill pending bookmarks with their extraction result (keyed by bookmark_id)."""
+    """Fill pending bookmarks with their extraction result (bookmark_id, see one_per_key)."""
+    extractions, repeated = one_per_key(extractions)
     result = extractions.select(
         F.col("bookmark_id").alias("id"),
         *[F.col(c).alias(f"_{c}") for c in _EXTRACTED if c in extractions.columns],
@@ -161,7 +186,7 @@ def apply_extractions(archive: Archive, extractions: DataFrame, now: Column) ->
     rows = with_defaults(
         filled.withColumn("extracted_at", now).withColumn("updated_at", now)
     )
-    rejects = reject_missing(extractions, pending)
+    rejects = reject_missing(extractions, pending).unionByName(repeated)
     return Change(
         archive.replace(bookmarks=_replace_rows(archive.bookmarks, rows)), rows, rejects
     )
@@ -188,19 +213,27 @@ _EXTRACTED = (
 
 
 def edit(archive: Archive, patches: DataFrame, now: Column) -> Change:
-    """Apply patches: bookmark_id (unique), title, user_note, markdown_content, tag_names.
+    """Apply patches: bookmark_id, title, user_note, markdown_content, tag_names and seq.
 
     A null field is left alone. Only a real change of the Markdown marks it as edited.
+    Patches of one bookmark take effect in the order of `seq`: of each field the last value
+    given stays, and the text counts as edited if any of them changed it. Without `seq`, a
+    bookmark may have one patch only.
     """
     ok, broken = validate_changes(patches)
+    ok, repeated = merged_patches(ok)
     target = live(archive.bookmarks)
     patch = ok.select(
         F.col("bookmark_id").alias("id"),
         *[F.col(c).alias(f"_{c}") for c in ("title", "user_note", "markdown_content")],
+        "_least",
+        "_most",
     )
     joined = target.join(patch, "id")
+    # Some text given differs from the stored one if the smallest or the largest does.
+    stored = F.sha2("markdown_content", 256)
     changed = F.col("_markdown_content").isNotNull() & (
-        F.col("_markdown_content") != F.col("markdown_content")
+        (F.col("_least") != stored) | (F.col("_most") != stored)
     )
     touched = F.col("_title").isNotNull() | F.col("_user_note").isNotNull() | changed
     rows = joined.withColumns(
@@ -222,8 +255,10 @@ def edit(archive: Archive, patches: DataFrame, now: Column) -> Change:
     )
     rows = with_defaults(rows)
     edited = archive.replace(bookmarks=_replace_rows(archive.bookmarks, rows))
-    rejects = _reject(broken, "bookmark_id", "VALIDATION_ERROR").unionByName(
-        reject_missing(ok, target)
+    rejects = (
+        _reject(broken, "bookmark_id", "VALIDATION_ERROR")
+        .unionByName(repeated)
+        .unionByName(reject_missing(ok, target))
     )
     if "tag_names" not in patches.columns:
         return Change(edited, rows, rejects)
@@ -234,11 +269,26 @@ def edit(archive: Archive, patches: DataFrame, now: Column) -> Change:
     return Change(tagged.archive, rows, rejects.unionByName(tagged.rejects))
 
 
+def merged_patches(patches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(one patch per bookmark_id, rejects), with the extremes of the text's hashes."""
+    digest = F.sha2("markdown_content", 256)
+    if "seq" not in patches.columns:
+        single, repeated = one_per_key(patches)
+        return single.withColumns({"_least": digest, "_most": digest}), repeated
+    fields = [c for c in patches.columns if c not in ("bookmark_id", "seq")]
+    last = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct("seq", c)))[c].alias(c)
+    merged = patches.groupBy("bookmark_id").agg(
+        *[last(c) for c in fields], F.min(digest).alias("_least"), F.max(digest).alias("_most")
+    )
+    return merged, _reject(merged.where(F.lit(False)), "bookmark_id", "SUPERSEDED")
+
+
 def re_extract(archive: Archive, results: DataFrame, now: Column) -> Change:
     """Merge new extraction results: bookmark_id, overwrite, then the extracted columns.
 
-    Hand-edited text is replaced only with the overwrite flag, and only by a success.
+    One result per bookmark counts (see one_per_key). Hand-edited text is replaced only with the overwrite flag, and only by a success.
     """
+    results, repeated = one_per_key(results)
     target = live(archive.bookmarks)
     result = results.select(
         F.col("bookmark_id").alias("id"),
@@ -280,7 +330,11 @@ def re_extract(archive: Archive, results: DataFrame, now: Column) -> Change:
         }
     )
     rows = with_defaults(rows)
-    rejects = reject_missing(results, target).unionByName(_reject(refused, "id", "CONTENT_EDITED"))
+    rejects = (
+        reject_missing(results, target)
+        .unionByName(repeated)
+        .unionByName(_reject(refused, "id", "CONTENT_EDITED"))
+    )
     return Change(archive.replace(bookmarks=_replace_rows(archive.bookmarks, rows)), rows, rejects)
 
 
@@ -330,7 +384,8 @@ def purge(archive: Archive, now: Column, minutes: int = K.RETENTION_MINUTES) ->
     limit = now - F.expr(f"INTERVAL {int(minutes)} MINUTES")
     kept = archive.bookmarks.where(F.col("deleted_at").isNull() | (F.col("deleted_at") >= limit))
     result = archive.replace(bookmarks=kept, links=cascade(archive.links, gone, "bookmark_id"))
-    return Change(result, gone, _reject(gone.where(F.lit(False)), "id", "NOT_FOUND"))
+    none = _reject(gone.where(F.lit(False)), "id", "NOT_FOUND")
+    return Change(result, gone, none, gone.select("id"))
 
 
 # --- tags ---------------------------------------------------------------------------------
@@ -399,10 +454,11 @@ def _new_tags(resolved: DataFrame, now: Column) -> DataFrame:
 
 
 def set_tags(archive: Archive, changes: DataFrame, now: Column) -> Change:
-    """Replace the tags of bookmarks: bookmark_id (unique), tag_names.
+    """Replace the tags of bookmarks: bookmark_id, tag_names and seq (see one_per_key).
 
     A bookmark that is not stored gets no links but a NOT_FOUND reject.
     """
+    changes, repeated = one_per_key(changes)
     missing = reject_missing(changes, archive.bookmarks)
     stored = archive.bookmarks.select(F.col("id").alias("bookmark_id"))
     listed = with_tag_entries(changes.join(stored, "bookmark_id", "left_semi"))
@@ -428,7 +484,9 @@ def set_tags(archive: Archive, changes: DataFrame, now: Column) -> Change:
     return Change(
         archive.replace(tags=tags, links=links),
         linked,
-        _reject(refused, "bookmark_id", "VALIDATION_ERROR").unionByName(missing),
+        _reject(refused, "bookmark_id", "VALIDATION_ERROR")
+        .unionByName(missing)
+        .unionByName(repeated),
     )
 
 
@@ -448,27 +506,29 @@ def create_tags(archive: Archive, names: DataFrame, now: Column) -> Change:
 
 
 def rename_tags(archive: Archive, renames: DataFrame, now: Column) -> Change:
-    """Rename tags (tag_id unique, name); a name another tag holds is refused.
+    """Rename tags (tag_id, name and seq, see one_per_key); a name another tag holds is refused.
 
-    Two renames to the same new name: the one with the smallest tag_id wins.
+    Of several renames to one new name that are allowed, the smallest tag_id wins.
     """
     ok, broken = validate_changes(renames.withColumn("tag_name", F.col("name")))
+    ok, repeated = one_per_key(ok, "tag_id")
     named = ok.select(
         "tag_id",
-        X.tag_display_name(F.col("name")).alias("name"),
-        X.normalize_tag_name(F.col("name")).alias("normalized_name"),
-    )
-    holders = archive.tags.select("normalized_name", F.col("id").alias("_holder"))
-    winners = named.groupBy("normalized_name").agg(F.min("tag_id").alias("_winner"))
-    judged = named.join(holders, "normalized_name", "left").join(winners, "normalized_name")
-    conflict = (
-        F.col("_holder").isNotNull() & (F.col("_holder") != F.col("tag_id"))
-    ) | (F.col("_winner") != F.col("tag_id"))
-    accepted = judged.where(~conflict).select(
-        F.col("tag_id").alias("id"),
-        F.col("name").alias("_name"),
-        F.col("normalized_name").alias("_normalized"),
+        X.tag_display_name(F.col("name")).alias("_name"),
+        X.normalize_tag_name(F.col("name")).alias("_normalized"),
+    )
+    stored = named.join(archive.tags.select(F.col("id").alias("tag_id")), "tag_id", "left_semi")
+    holders = archive.tags.select(
+        F.col("normalized_name").alias("_normalized"), F.col("id").alias("_holder")
+    )
+    judged = stored.join(holders, "_normalized", "left").withColumn(
+        "_free", F.coalesce(F.col("_holder") == F.col("tag_id"), F.lit(True))
+    )
+    winners = judged.where("_free").groupBy("_normalized").agg(F.min("tag_id").alias("_winner"))
+    judged = judged.join(winners, "_normalized", "left").withColumn(
+        "_wins", F.col("_free") & F.coalesce(F.col("_winner") == F.col("tag_id"), F.lit(False))
     )
+    accepted = judged.where("_wins").select(F.col("tag_id").alias("id"), "_name", "_normalized")
     rows = archive.tags.join(accepted, "id").select(
         "id",
         F.col("_name").alias("name"),
@@ -478,8 +538,9 @@ def rename_tags(archive: Archive, renames: DataFrame, now: Column) -> Change:
     )
     rejects = (
         _reject(broken, "tag_id", "VALIDATION_ERROR")
-        .unionByName(_reject(judged.where(conflict), "tag_id", "VALIDATION_ERROR"))
-        .unionByName(reject_missing(accepted.withColumnRenamed("id", "tag_id"), archive.tags, "tag_id"))
+        .unionByName(_reject(judged.where("NOT _wins"), "tag_id", "VALIDATION_ERROR"))
+        .unionByName(reject_missing(named, archive.tags, "tag_id"))
+        .unionByName(repeated)
     )
     return Change(archive.replace(tags=_replace_rows(archive.tags, rows)), rows, rejects)
 

@@ -257,6 +257,11 @@ def asset_manifest(files: DataFrame) -> DataFrame:
     ).withColumn("content_type", I.asset_content_type(F.col("filename")))
 
 
+def assets_to_remove(manifest: DataFrame, removed: DataFrame) -> DataFrame:
+    """Assets of bookmarks that a change removed for good (ids, see schema.Change)."""
+    return manifest.join(removed.select(F.col("id").alias("bookmark_id")), "bookmark_id", "left_semi")
+
+
 def storage_usage(files: DataFrame, by: str | None = None) -> DataFrame:
     """Bytes in total, or per value of `by`; files has a `length` column."""
     total = F.coalesce(F.sum("length"), F.lit(0)).cast("bigint").alias("total_bytes")

@@ -115,8 +115,13 @@ class Archive:
 
 @dataclass(frozen=True)
 class Change:
-    """Result of a batch write: the new archive, what was applied, what was refused."""
+    """Result of a batch write: the new archive, what was applied, what was refused.
+
+    `removed` holds the ids of bookmarks that are gone for good, for which stored files
+    are to be removed too (see media.assets_to_remove).
+    """
 
     archive: Archive
     applied: DataFrame
     rejects: DataFrame
+    removed: DataFrame | None = None

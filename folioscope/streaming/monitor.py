@@ -7,15 +7,18 @@ from folioscope.functions.urls import normalize_url, url_error
 
 
 def admit_stream(captures: DataFrame, horizon: str = "1 day", time: str = "ts") -> DataFrame:
-    """First capture per normalized URL within the horizon; invalid URLs are dropped.
+    """First capture per normalized URL within the horizon; for others see rejected_urls().
 
-    Each URL is one small state entry that expires with the watermark.
+    In a stream each URL is one small state entry that expires with the watermark, and the
+    first one to arrive counts. In a table it is the earliest one by time, then by value.
     """
     valid = captures.withColumn("normalized_url", normalize_url(F.col("url"))).where(
         F.col("normalized_url").isNotNull()
     )
     if not captures.isStreaming:
-        return valid.dropDuplicates(["normalized_url"])
+        rest = [c for c in captures.columns if c != time]
+        earliest = valid.groupBy("normalized_url").agg(F.min(F.struct(time, *rest)).alias("_row"))
+        return earliest.select(*[F.col("_row")[c].alias(c) for c in captures.columns], "normalized_url")
     return valid.withWatermark(time, horizon).dropDuplicatesWithinWatermark(["normalized_url"])
 
 

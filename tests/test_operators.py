@@ -234,6 +234,73 @@ def test_tags_of_a_missing_bookmark_are_refused(spark):
     assert [tuple(r)[:2] for r in change.rejects.collect()] == [("gone", "NOT_FOUND")]
 
 
+PATCH = "seq int, bookmark_id string, title string, user_note string, markdown_content string"
+
+
+def test_patches_of_one_bookmark_apply_in_order(spark):
+    a = small_archive(spark)
+    rows = [
+        (2, "b1", "Second", None, "body one"), (1, "b1", "First", "note", "other"), (3, "b1", None, None, None),
+        (1, "b2", None, "kept", "zweiter ÄPFEL text"), (1, "gone", "x", None, None), (9, "b2", " ", None, None),
+    ]
+    patches = spark.createDataFrame(rows, PATCH)
+    change = changes.edit(a, patches, F.lit(DAY))
+    got = values(change.archive.bookmarks, "id", "title", "user_note", "markdown_content", "is_content_edited")
+    assert got == [
+        ("b1", "Second", "note", "body one", True),
+        ("b2", "beta_x", "kept", "zweiter ÄPFEL text", False),
+    ]
+    assert values(change.rejects) == [("b2", "VALIDATION_ERROR"), ("gone", "NOT_FOUND")]
+    unordered = changes.edit(a, patches.where("seq < 3").drop("seq"), F.lit(DAY))
+    assert values(unordered.archive.bookmarks, "id", "title") == [("b1", "Alpha 100%"), ("b2", "beta_x")]
+    assert values(unordered.rejects) == [("b1", "VALIDATION_ERROR"), ("gone", "NOT_FOUND")]
+    assert changes.audit(change.archive).isEmpty() and changes.audit(unordered.archive).isEmpty()
+
+
+def test_the_newest_result_of_a_bookmark_counts(spark):
+    a = small_archive(spark)
+    pending = storing.make_archive(a.bookmarks.withColumn("extraction_status", F.lit("pending")), a.tags, a.links)
+    results = spark.createDataFrame(
+        [(n, "b1", f"T{n}", "success", f"text {n}", True) for n in (1, 3, 2)],
+        "seq int, bookmark_id string, title string, extraction_status string, markdown_content string, overwrite boolean",
+    ).withColumns({c: F.lit("https://a.example/1") for c in ("final_url", "domain")})
+    change = changes.apply_extractions(pending, results, F.lit(DAY))
+    assert values(change.archive.bookmarks, "id", "title") == [("b1", "T3"), ("b2", "beta_x")]
+    assert values(change.rejects) == [("b1", "SUPERSEDED")]
+    assert changes.audit(change.archive).isEmpty()
+
+
+def test_renames_that_are_allowed_win(spark):
+    a = small_archive(spark)
+    asked = [("t1", "home"), ("t2", "HOME"), ("t0", "fresh"), ("t3", "Fresh"), ("t1", "home")]
+    renames = spark.createDataFrame(asked[:4], "tag_id string, name string")
+    change = changes.rename_tags(a, renames, F.lit(DAY))
+    assert values(change.archive.tags, "id", "name") == [("t1", "Work"), ("t2", "HOME"), ("t3", "Fresh")]
+    assert values(change.rejects) == [("t0", "NOT_FOUND"), ("t1", "VALIDATION_ERROR")]
+    twice = changes.rename_tags(a, spark.createDataFrame(asked, renames.schema), F.lit(DAY))
+    assert values(twice.archive.tags, "id", "name") == values(change.archive.tags, "id", "name")
+    assert changes.audit(change.archive).isEmpty()
+
+
+def test_admission_refuses_what_is_over_the_limits(spark):
+    rows = [("n1", 1, "https://n.example/" + "x" * 4000, []), ("n2", 2, "https://n.example/2", [f"t{i}" for i in range(13)]), ("n3", 3, "https://n.example/2", ["a"])]
+    requests = spark.createDataFrame(rows, "request_id string, seq int, url string, tag_names array<string>")
+    change = changes.admit(small_archive(spark), requests, F.lit(DAY))
+    assert values(change.archive.bookmarks, "id") == [("b1",), ("b2",), ("n3",)]
+    assert values(change.rejects) == [("n1", "VALIDATION_ERROR"), ("n2", "VALIDATION_ERROR")]
+
+
+def test_files_of_removed_bookmarks_are_named(spark):
+    deleted = changes.soft_delete(small_archive(spark), spark.createDataFrame([("b1",)], "bookmark_id string"), F.lit(DAY)).archive
+    manifest = spark.createDataFrame([("b1", "a.png"), ("b2", "b.png")], "bookmark_id string, filename string")
+    request = spark.createDataFrame([("n1", 1, "https://a.example/1", [])], "request_id string, seq int, url string, tag_names array<string>")
+    for change in (
+        changes.purge(deleted, F.lit(DAY + datetime.timedelta(days=1))),
+        changes.admit(deleted, request, F.lit(DAY)),
+    ):
+        assert values(media.assets_to_remove(manifest, change.removed)) == [("b1", "a.png")]
+
+
 def test_pages_join_to_the_full_list(spark):
     rows = [(f"{i:03}", DAY + datetime.timedelta(minutes=i // 2)) for i in range(55)]
     df = spark.createDataFrame(rows, "id string, created_at timestamp")
