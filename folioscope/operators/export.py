@@ -90,8 +90,8 @@ def export_bundle(exported: DataFrame, assets: DataFrame) -> DataFrame:
     return texts.unionByName(files.join(present, "id", "left_semi"))
 
 
-def write_markdown(exported: DataFrame, path: str) -> None:
-    """Write one text line-set per bookmark, partitioned by a hash of the id."""
+def write_export_lines(exported: DataFrame, path: str) -> None:
+    """Write the exported files as JSON lines (id, filename, content), by a hash of the id."""
     (
         exported.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(256)))
         .select("bucket", F.to_json(F.struct("id", "filename", "content")).alias("value"))

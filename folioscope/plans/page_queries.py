@@ -122,14 +122,13 @@ def page_metadata(spark, sf_dir):
 
 
 @query(
-    "SELECT page_id, n, target, text FROM (SELECT page_id, UNNEST(hrefs) AS href, UNNEST(texts) AS text, GENERATE_SUBSCRIPTS(hrefs, 1) AS n, CONCAT(o, UNNEST(hrefs)) AS target "
-    "FROM (SELECT page_id, " + ORIGIN + " AS o, REGEXP_EXTRACT_ALL(html, '<a href=\"([^\"]*)\">', 1) AS hrefs, REGEXP_EXTRACT_ALL(html, '<a href=\"[^\"]*\">([^<]*)</a>', 1) AS texts FROM pages) x) y "
-    "WHERE REGEXP_MATCHES(target, '^[\\x21-\\x7e]*$')"
+    "SELECT page_id, n, ARRAY_TO_STRING(LIST_TRANSFORM(STRING_SPLIT(target, ''), lambda c: CASE WHEN UNICODE(c) > 127 THEN URL_ENCODE(c) ELSE c END), '') AS target, text FROM (SELECT page_id, UNNEST(hrefs) AS href, UNNEST(texts) AS text, GENERATE_SUBSCRIPTS(hrefs, 1) AS n, CONCAT(o, UNNEST(hrefs)) AS target "
+    "FROM (SELECT page_id, " + ORIGIN + " AS o, REGEXP_EXTRACT_ALL(html, '<a href=\"([^\"]*)\">', 1) AS hrefs, REGEXP_EXTRACT_ALL(html, '<a href=\"[^\"]*\">([^<]*)</a>', 1) AS texts FROM pages) x) y"
 )
 def page_links(spark, sf_dir):
     links = E.extract_links(shred_html(pages(spark, sf_dir)))
     order = F.row_number().over(W.partitionBy("page_id").orderBy("seq")).cast("bigint")
-    return links.withColumn("n", order).where(~F.col("url").contains("%")).select("page_id", "n", F.col("url").alias("target"), "text")
+    return links.withColumn("n", order).select("page_id", "n", F.col("url").alias("target"), "text")
 
 
 @query(f"SELECT page_id, TRUE AS has_main, {PLAIN} AS plain_text FROM pages")

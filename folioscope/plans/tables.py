@@ -25,7 +25,7 @@ SELECT CAST(d.doc_id AS STRING) AS id,
        {_URL} AS url,
        REGEXP_REPLACE({_URL}, '#.*$', '') AS normalized_url,
        {_URL} AS final_url,
-       SUBSTR(d.text, 1, 60) AS title,
+       SPLIT_PART(d.text, CHR(10), 1) AS title,
        LOWER(REGEXP_EXTRACT({_URL}, '^https?://([^/:?#]+)', 1)) AS domain,
        d.text AS markdown_content,
        d.text AS plain_text,

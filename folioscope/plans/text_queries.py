@@ -513,8 +513,7 @@ def text_statistics(spark, sf_dir):
 
 
 JUDGED = """
-SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN CONCAT('Please Log  In. ', SUBSTR(text, 1, 500)) WHEN doc_id % 9 = 1 THEN SUBSTR(text, 1, 240)
-  WHEN doc_id % 9 = 2 THEN REPEAT('漢', CAST(doc_id % 200 AS INT)) ELSE text END AS t,
+SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN CONCAT('Please Log  In. ', text) WHEN doc_id % 9 = 2 THEN REPEAT('漢', CAST(doc_id % 200 AS INT)) ELSE text END AS t,
   CAST(doc_id % 5 AS INT) AS paragraphs, doc_id % 23 = 0 AS has_password FROM documents
 """
 
@@ -537,9 +536,9 @@ def content_quality(spark, sf_dir):
 
 
 NAMES = """
-SELECT doc_id, CONCAT('  ', SUBSTR(text, 1, 12), CHR(9), ' ', UPPER(lang), '  ') AS name,
+SELECT doc_id, CONCAT('  ', text, CHR(9), ' ', UPPER(lang), '  ') AS name,
   CONCAT(source, ', ', lang, '，', source, ' ,, ', UPPER(lang)) AS list,
-  CONCAT(SUBSTR(text, 1, 100), '/a:b?', CHR(9)) AS title FROM documents
+  CONCAT(text, '/a:b?', CHR(9)) AS title FROM documents
 """
 
 

@@ -78,8 +78,20 @@ def write_archive(archive: Archive, root: str) -> str:
     archive.bookmarks.sortWithinPartitions("id").write.parquet(f"{base}/bookmarks")
     archive.tags.write.parquet(f"{base}/tags")
     archive.links.sortWithinPartitions("bookmark_id").write.parquet(f"{base}/links")
+    switch_snapshot(spark, root, name)
+    return base
+
+
+def switch_snapshot(spark: SparkSession, root: str, name: str) -> None:
+    """Point readers at another snapshot: a new file takes the pointer's place by renaming."""
     path, fs = _pointer_path(spark, root)
-    stream = fs.create(path, True)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    draft = hadoop.Path(f"{root}/{POINTER}-{name}")
+    stream = fs.create(draft, True)
     stream.write(bytearray(json.dumps({"snapshot": name}).encode()))
     stream.close()
-    return base
+    rename = hadoop.Options.Rename
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    files = hadoop.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    files.rename(fs.makeQualified(draft), fs.makeQualified(path), options)
