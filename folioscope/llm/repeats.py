@@ -210,20 +210,20 @@ def remove_repeats(
     is returned as it came. `carried` is a struct of the columns `carry`.
 
     Null texts have no words. Rows with a null id lose nothing and take nothing from
-    others; rows that repeat an id take nothing from each other. Texts shorter than a
+    others, so they are answered where they are, however many there are; rows that repeat
+    an id take nothing from each other. Texts shorter than a
     window stay whole, an empty table gives an empty result, and other columns of any name
     are ignored. Windows are compared by 64-bit hashes.
     """
     parts = -(-docs.count() // part_docs) or 1
     buckets = -(-parts // PARTS_PER_BUCKET)
-    key = F.coalesce(F.col(id_col), F.xxhash64(F.col(text_col)))
-    dealt = docs.select(
-        F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("part"),
+    rows = docs.select(
         F.col(id_col).alias("doc_id"),
         F.col(text_col).alias("text"),
         F.struct(*[F.col(c) for c in carry], F.lit(None).cast("int").alias("_")).alias("carried"),
     )
-    by_part = dealt.groupBy("part")
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")
+    by_part = rows.where("doc_id is not null").groupBy(part.alias("part"))
 
     def level_one(key: tuple[pa.Scalar], table: pa.Table) -> pa.Table:
         return sent(key[0].as_py(), buckets, *Part(table, window).chosen())
@@ -236,7 +236,16 @@ def remove_repeats(
 
     def finish(key: tuple[pa.Scalar], table: pa.Table, known: pa.Table) -> pa.Table:
         hashes, lows = known_of(known)
-        gone = dict(Part(table, window).removed(hashes, lows)) if len(hashes) else {}
+        return answered(
+            table, dict(Part(table, window).removed(hashes, lows)) if len(hashes) else {}
+        )
+
+    def unnamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from answered(pa.Table.from_batches([batch]), {}).to_batches()
+
+    def answered(table: pa.Table, gone: dict[int, np.ndarray]) -> pa.Table:
+        """A row per document; `gone` has the words to remove by row."""
         counts, lost, texts = [], [], []
         for at, text in enumerate(table["text"]):
             words = (text.as_py() or "").encode().split()
@@ -262,9 +271,10 @@ def remove_repeats(
 
     halves = replies(by_part.applyInArrow(level_one, SENT))
     fulls = replies(by_part.cogroup(halves).applyInArrow(level_two, SENT))
-    schema = dealt.schema
+    schema = rows.schema
     out = (
         f"doc_id {schema['doc_id'].dataType.simpleString()}, n_words bigint, n_removed bigint, "
         f"text string, carried {schema['carried'].dataType.simpleString()}"
     )
-    return by_part.cogroup(fulls).applyInArrow(finish, out)
+    named = by_part.cogroup(fulls).applyInArrow(finish, out)
+    return named.unionByName(rows.where("doc_id is null").mapInArrow(unnamed, out))
