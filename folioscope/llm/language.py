@@ -22,6 +22,10 @@ CHUNK = 1 << 19
 SCALE = 16.0
 MIX = np.uint64(0x9E3779B97F4A7C15)
 UNKNOWN = "und"
+#: N-grams seen in training texts are remembered under hashes of so many bits.
+SEEN_BITS = 24
+#: A text of which a smaller share of n-grams was ever seen is in none of the learned languages.
+LEAST_SEEN = 0.5
 
 
 @dataclass(frozen=True)
@@ -163,9 +167,13 @@ def sample(docs: DataFrame, how: Training) -> pa.Table:
 INTS = pa.list_(pa.int32())
 
 
+def learnable(docs: DataFrame) -> DataFrame:
+    return docs.where("doc_id is not null and text is not null and lang is not null")
+
+
 def train(docs: DataFrame, how: Training = Training()) -> Model:
     """Fit on rows (doc_id, text, lang); rows without text or lang teach nothing."""
-    docs = docs.where("doc_id is not null and text is not null and lang is not null")
+    docs = learnable(docs)
     number, frequency = document_frequencies(docs, how.bucket_bits)
     idf = SCALE * (1 + np.log((1 + number) / (1 + frequency)))
     rows = sample(docs, how)
@@ -261,3 +269,71 @@ def identify(
     return predict(rows, model, how).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score"
     )
+
+
+def seen_ngrams(texts: DataFrame) -> np.ndarray:
+    """Which n-gram hashes occur in the rows of (text), as packed bits: always two megabytes."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << SEEN_BITS, dtype=bool)
+        for batch in batches:
+            for text in batch["text"]:
+                if has_letter(text.as_py()):
+                    for stretch in buckets(text.as_py(), SEEN_BITS):
+                        seen[stretch] = True
+        packed = np.packbits(seen, bitorder="little").view(np.int64)
+        used = np.flatnonzero(packed)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(packed[used])], ["word", "bits"])
+
+    rows = (
+        texts.select("text")
+        .mapInArrow(mark, "word bigint, bits bigint")
+        .groupBy("word")
+        .agg(F.bit_or("bits").alias("bits"))
+        .toArrow()
+    )
+    found = np.zeros(1 << SEEN_BITS - 6, dtype=np.int64)
+    found[rows["word"].to_numpy()] = rows["bits"].to_numpy()
+    return found.view(np.uint8)
+
+
+def seen_share(text: str, seen: np.ndarray) -> float:
+    """Share of a text's n-grams that are in the packed bits `seen`."""
+    known = count = 0
+    for stretch in buckets(text, SEEN_BITS):
+        known += int((seen[stretch >> 3] >> (stretch & 7).astype(np.uint8) & 1).sum())
+        count += len(stretch)
+    return known / count
+
+
+def is_learned(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
+) -> Column:
+    """Whether a text of `docs` has a letter and may be in a language that `identify` learns.
+
+    The evidence is the share of the text's n-grams that any training text has, so it does
+    not depend on the number of labels. If there is nothing to learn from, every text with a
+    letter passes.
+    """
+    rows = docs.select(
+        F.col(id_col).alias("doc_id"),
+        F.col(text_col).alias("text"),
+        F.col(lang_col).alias("lang"),
+    )
+    seen = seen_ngrams(learnable(rows.where(~held_out(F.col("doc_id")))))
+    nothing = not seen.any()
+    sent = docs.sparkSession.sparkContext.broadcast(seen)
+
+    @F.arrow_udf("boolean")
+    def judged(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            texts = [t.as_py() or "" for t in batch]
+            yield pa.array(
+                [
+                    has_letter(t) and (nothing or seen_share(t, sent.value) >= LEAST_SEEN)
+                    for t in texts
+                ],
+                pa.bool_(),
+            )
+
+    return judged(F.col(text_col))
