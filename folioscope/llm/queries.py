@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 
 from folioscope.llm import (
     decontaminate,
+    fill_middle,
     language,
+    lexical_search,
+    line_dedup,
     packing,
     quality,
     repeats,
@@ -200,3 +203,101 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+@query(r"""
+WITH split AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+placed AS (
+  SELECT doc_id, unnest(range(1, len(lines) + 1)) AS pos, unnest(lines) AS line FROM split),
+keyed AS (
+  SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM placed),
+common AS (
+  SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 20
+  GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+judged AS (
+  SELECT k.*, c.key IS NOT NULL AND k.doc_id <> c.keeper AS gone
+  FROM keyed k LEFT JOIN common c USING (key))
+SELECT doc_id, count(*)::BIGINT AS n_lines, sum(gone::INT)::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+""")
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_common_lines(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256")
+    )
+
+
+@query("""
+WITH drawn AS (
+  SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n,
+         sha256('1:' || doc_id) AS h FROM documents),
+numbers AS (
+  SELECT *, ('0x' || substr(h, 1, 8))::BIGINT % (n + 1) AS a,
+         ('0x' || substr(h, 9, 8))::BIGINT % (n + 1) AS b,
+         ('0x' || substr(h, 17, 8))::BIGINT % 100 AS share,
+         ('0x' || substr(h, 25, 8))::BIGINT % 100 AS turn FROM drawn),
+formed AS (
+  SELECT doc_id, text, n, least(a, b) AS low, greatest(a, b) AS high,
+         CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>')
+                OR contains(text, '<M>') OR share >= 90 THEN 'plain'
+              WHEN turn < 20 THEN 'spm' ELSE 'psm' END AS form FROM numbers),
+cut AS (
+  SELECT *, substr(text, 1, low) AS pre, substr(text, low + 1, high - low) AS mid,
+         substr(text, high + 1) AS suf FROM formed),
+made AS (
+  SELECT *, CASE form WHEN 'plain' THEN text
+                 WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                 ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END AS output FROM cut),
+seams AS (
+  SELECT *, instr(output, '<P>') AS p, instr(output, '<S>') AS s, instr(output, '<M>') AS m
+  FROM made)
+SELECT doc_id, n::BIGINT AS n, form,
+       CASE WHEN form <> 'plain' THEN low END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN high - low END AS middle_chars,
+       sha256(output) AS output_sha256,
+       sha256(CASE form WHEN 'plain' THEN output
+              WHEN 'psm' THEN substr(output, p + 3, s - p - 3) || substr(output, m + 3)
+                              || substr(output, s + 3, m - s - 3)
+              ELSE substr(output, p + 3, m - p - 3) || substr(output, m + 3)
+                   || substr(output, s + 3, p - s - 3) END) AS restored_sha256
+FROM seams
+""")
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outputs = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    return fill_middle.restore(outputs).drop("text")
+
+
+@query(r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS found FROM documents),
+lengths AS (SELECT doc_id, found, len(found)::BIGINT AS n FROM words WHERE len(found) > 0),
+totals AS (SELECT count(*)::BIGINT AS all_docs, sum(n)::BIGINT AS all_terms FROM lengths),
+counts AS (
+  SELECT doc_id, term, count(*)::BIGINT AS tf
+  FROM (SELECT doc_id, unnest(found) AS term FROM lengths) GROUP BY ALL),
+wanted AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * all_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+  FROM counts, totals WHERE term IN (SELECT term FROM wanted) GROUP BY term, all_docs),
+norms AS (SELECT doc_id, 50 + (50 * n * all_docs) // all_terms AS m FROM lengths, totals),
+scored AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+  FROM wanted JOIN weights USING (term) JOIN counts USING (term) JOIN norms USING (doc_id)
+  GROUP BY item_id, doc_id),
+ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank,
+         doc_id, score FROM scored WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 50
+""")
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_folder(spark, "index")
+    index = lexical_search.build_index(table(spark, sf_dir, "documents"), folder)
+    return lexical_search.search(index, table(spark, sf_dir, "benchmark"))
