@@ -32,12 +32,19 @@ def text_of(nodes: Column, node: Column) -> Column:
     return F.array_join(F.transform(texts, lambda n: n["text"]), "")
 
 
-def closest(nodes: Column, node: Column, test) -> Column:
-    """Nearest ancestor that passes `test`; null when there is none."""
-    ancestors = F.filter(
-        F.transform(node["path"], lambda i: F.get(nodes, i)), test
-    )
-    return F.get(ancestors, F.size(ancestors) - 1)
+def enclosing(nodes: Column, node: Column, kind: str) -> Column:
+    """Nearest element of a kind (see schema.NODE) around a node; null when there is none."""
+    return F.get(nodes, node["inside"][kind])
+
+
+def chars(node: Column) -> Column:
+    """Visible non-blank characters below a node."""
+    return node["stop"] - node["start"]
+
+
+def prose(node: Column) -> Column:
+    """Those outside links."""
+    return chars(node) - (node["link_stop"] - node["link_start"])
 
 
 def meta_content(nodes: Column, key: str, value: str) -> Column:
@@ -46,6 +53,8 @@ def meta_content(nodes: Column, key: str, value: str) -> Column:
     return non_empty(js_trim(attr(hit, "content")))
 
 
+PARAGRAPHS = ("p", "pre", "blockquote", "li", "td", "dd")
+
 # --- main content ---------------------------------------------------------------
 
 _AD_WORDS = (
@@ -73,25 +82,71 @@ def is_boilerplate(n: Column) -> Column:
 def main_block(nodes: Column) -> Column:
     """seq of the main block: the best <article> or <main>, else the block with most prose.
 
-    The score is visible text outside links; an inner block wins a tie.
+    A paragraph's prose counts for the block around it, and half of it for the next one out;
+    an inner block wins a tie.
     """
-    net = lambda n: (n["chars"] - n["link_chars"]).cast("double")
     named = F.transform(
         F.filter(
             nodes,
             lambda n: (n["tag"].isin("article", "main") | F.coalesce(attr(n, "role") == "main", F.lit(False)))
-            & (net(n) > 0),
+            & (prose(n) > 0),
         ),
         lambda n: F.struct(
-            (net(n) * F.when(n["tag"] == "article", 1.5).otherwise(1.0)).alias("score"),
+            (prose(n) * F.when(n["tag"] == "article", 1.5).otherwise(1.0)).alias("score"),
             n["seq"].alias("seq"),
         ),
     )
-    other = F.transform(
-        F.filter(nodes, lambda n: n["paragraph_score"] > 0),
-        lambda n: F.struct(n["paragraph_score"].alias("score"), n["seq"].alias("seq")),
+    paragraphs = F.filter(
+        nodes, lambda n: n["tag"].isin(*PARAGRAPHS) & (chars(n) >= 25) & (prose(n) > 0)
+    )
+
+    def shares(n: Column) -> Column:
+        value = prose(n).cast("double")
+        return F.array(
+            F.struct(n["parent"].alias("seq"), value.alias("value")),
+            F.struct(F.get(nodes, n["parent"])["parent"].alias("seq"), (value / 2).alias("value")),
+        )
+
+    nothing = F.struct(
+        F.lit(-1).alias("seq"),
+        F.lit(0.0).alias("sum"),
+        F.struct(F.lit(0.0).alias("score"), F.lit(-1).alias("seq")).alias("best"),
+    )
+
+    def add(state: Column, share: Column) -> Column:
+        before = F.when(state["seq"] == share["seq"], state["sum"]).otherwise(0.0)
+        total = before + share["value"]
+        scored = F.struct(total.alias("score"), share["seq"].alias("seq"))
+        return F.struct(
+            share["seq"].alias("seq"),
+            total.alias("sum"),
+            F.greatest(state["best"], scored).alias("best"),
+        )
+
+    # Shares of a block follow each other, so one pass sums them all.
+    other = F.aggregate(
+        F.array_sort(F.filter(F.flatten(F.transform(paragraphs, shares)), lambda s: s["seq"] >= 0)),
+        nothing,
+        add,
+        lambda state: F.when(state["best"]["seq"] >= 0, state["best"]["seq"]),
     )
-    return F.coalesce(F.array_max(named)["seq"], F.array_max(other)["seq"])
+    return F.coalesce(F.array_max(named)["seq"], other)
+
+
+def run(first: Column, past: Column) -> Column:
+    """The whole numbers from `first` up to but without `past`."""
+    return F.when(past > first, F.sequence(first, past - 1)).otherwise(F.array().cast("array<int>"))
+
+
+def outside(nodes: Column, root: Column, gone: Column) -> Column:
+    """The nodes below `root` that lie in none of the intervals `gone`, array<struct<first, past>>.
+
+    The numbers of the nodes are taken away as a set, in time that grows with the nodes.
+    """
+    top = F.get(nodes, root)
+    hidden = F.flatten(F.transform(gone, lambda g: run(g["first"], g["past"])))
+    left = F.array_except(run(root + 1, top["last"] + 1), hidden)
+    return let(nodes, lambda all_: F.transform(left, lambda seq: F.get(all_, seq)))
 
 
 def heading_repeats_title(heading: Column, title: Column) -> Column:

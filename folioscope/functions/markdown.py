@@ -67,14 +67,21 @@ def _text_piece(n: Column) -> Column:
 
 
 def node_contexts(page: Column) -> Column:
-    """The kept nodes, each with what its surroundings say.
+    """The kept nodes, each with what its surroundings say and what stands for it.
 
-    page: struct<nodes, kept, root>. Result: array<struct<seq, last, first, nth, tag, text,
-    title, parent, start, units, raw, code, cell, language>>.
+    page: struct<nodes, kept, root, images, anchor_urls>. Result: array<struct<seq, last, first,
+    nth, tag, text, title, parent, start, units, raw, code, cell, language, href, image, label,
+    cells>>. Everything is found by position, so the work grows with the nodes.
     """
 
     def context(p: Column, n: Column) -> Column:
-        inner = F.filter(n["path"], lambda i: i >= p["root"])
+        nodes, parent = p["nodes"], F.get(p["nodes"], n["parent"])
+        around = F.get(nodes, p["root"])["marks"]
+        within = lambda kind: n["inside"][kind] >= p["root"]
+        is_cell = n["tag"].isin("td", "th")
+        background = F.when(
+            attr(n, "style").isNotNull(), F.try_element_at(p["backgrounds"], n["seq"])
+        )
         return F.struct(
             n["seq"].alias("seq"),
             n["last"].alias("last"),
@@ -83,83 +90,79 @@ def node_contexts(page: Column) -> Column:
             n["tag"].alias("tag"),
             n["text"].alias("text"),
             attr(n, "title").alias("title"),
-            F.get(p["nodes"], n["parent"])["tag"].alias("parent"),
-            attr(F.get(p["nodes"], n["parent"]), "start").alias("start"),
-            F.coalesce(
-                dom.code_language(F.get(p["nodes"], n["seq"] + 1)), dom.code_language(n)
+            parent["tag"].alias("parent"),
+            attr(parent, "start").alias("start"),
+            F.translate(
+                F.substring(n["marks"], F.length(around) + 1, F.length(n["marks"])),
+                "lb",
+                INDENT + QUOTE,
+            ).alias("units"),
+            within("pre").alias("raw"),
+            within("code").alias("code"),
+            within("cell").alias("cell"),
+            F.when(
+                n["tag"] == "pre",
+                F.coalesce(
+                    dom.code_language(F.get(nodes, n["seq"] + 1)), dom.code_language(n)
+                ),
             ).alias("language"),
-            F.transform(inner, lambda i: F.get(p["nodes"], i)["tag"]).alias("up"),
+            F.when(
+                (n["tag"] == "a") & attr(n, "href").isNotNull(), F.get(p["urls"], n["links"])
+            ).alias("href"),
+            F.coalesce(
+                F.when(n["tag"] == "img", F.get(p["shown"], n["images"])).otherwise(background),
+                F.lit(""),
+            ).alias("image"),
+            F.when(is_cell, dom.cell_label(nodes, n)).alias("label"),
+            F.when(n["tag"] == "tr", header_cells(p, n)).alias("cells"),
         )
 
-    def place(c: Column) -> Column:
-        units = F.translate(
-            F.array_join(
-                F.transform(
-                    F.filter(c["up"], lambda t: t.isin("li", "blockquote")),
-                    lambda t: F.substring(t, 1, 1),
-                ),
-                "",
-            ),
-            "lb",
-            INDENT + QUOTE,
-        )
-        return (
-            c.withField("units", units)
-            .withField("raw", F.array_contains(c["up"], "pre"))
-            .withField("code", F.array_contains(c["up"], "code"))
-            .withField("cell", F.arrays_overlap(c["up"], F.array(F.lit("td"), F.lit("th"))))
-            .dropFields("up")
+    def prepared(p: Column) -> Column:
+        """Images by number of <img>, those of other elements by seq; tables with a head."""
+        is_img = lambda i: F.get(p["nodes"], i["seq"])["tag"] == "img"
+        others = F.filter(p["images"], lambda i: ~is_img(i) & i["src"].isNotNull())
+        heads = F.filter(p["nodes"], lambda c: (c["tag"] == "thead") & (c["last"] > c["seq"]))
+        return F.struct(
+            p["nodes"].alias("nodes"),
+            p["kept"].alias("kept"),
+            p["root"].alias("root"),
+            p["anchor_urls"].alias("urls"),
+            F.transform(F.filter(p["images"], is_img), image_text).alias("shown"),
+            F.map_from_entries(
+                F.transform(others, lambda i: F.struct(i["seq"], image_text(i)))
+            ).alias("backgrounds"),
+            F.transform(heads, lambda c: c["inside"]["table"]).alias("headed"),
         )
 
-    return F.transform(
-        let(page, lambda p: F.transform(p["kept"], lambda n: context(p, n))), place
-    )
+    return let(let(page, prepared), lambda p: F.transform(p["kept"], lambda n: context(p, n)))
 
 
-def header_rows(nodes: Column) -> Column:
-    """map<seq, number of cells> of the table rows that are followed by a rule."""
+def header_cells(p: Column, n: Column) -> Column:
+    """Cells of a table row that is followed by a rule; null for other rows."""
+    nodes, parent = p["nodes"], F.get(p["nodes"], n["parent"])
+    has_head = F.array_contains(p["headed"], n["inside"]["table"])
+    first_group = (parent["nth"] == 1) | (F.get(nodes, parent["seq"] - 1)["tag"] == "table")
+    leads = (n["nth"] == 1) & (
+        (parent["tag"] == "thead") | (~has_head & ((parent["tag"] != "tbody") | first_group))
+    )
+    cells = F.filter(
+        dom.below(nodes, n), lambda c: c["tag"].isin("td", "th") & (c["parent"] == n["seq"])
+    )
+    return F.when(leads, F.size(cells))
 
-    def row(n: Column) -> Column:
-        parent = F.get(nodes, n["parent"])
-        table = dom.closest(nodes, n, lambda a: a["tag"] == "table")
-        has_head = F.exists(
-            dom.below(nodes, table), lambda c: (c["tag"] == "thead") & (c["last"] > c["seq"])
-        )
-        first_group = (parent["nth"] == 1) | (F.get(nodes, parent["seq"] - 1)["tag"] == "table")
-        leads = (n["nth"] == 1) & (
-            (parent["tag"] == "thead")
-            | (~F.coalesce(has_head, F.lit(False)) & ((parent["tag"] != "tbody") | first_group))
-        )
-        cells = F.filter(
-            dom.below(nodes, n), lambda c: c["tag"].isin("td", "th") & (c["parent"] == n["seq"])
-        )
-        return F.struct(n["seq"].alias("key"), F.when(leads, F.size(cells)).alias("value"))
-
-    rows = F.transform(dom.with_tag(nodes, "tr"), row)
-    return F.map_from_entries(F.filter(rows, lambda r: r["value"].isNotNull()))
-
-
-def image_texts(images: Column) -> Column:
-    """map<seq, Markdown image>."""
-    shown = F.filter(images, lambda i: i["src"].isNotNull())
-    return F.map_from_entries(
-        F.transform(
-            shown,
-            lambda i: F.struct(
-                i["seq"].alias("key"),
-                F.concat(
-                    F.lit("!["),
-                    F.regexp_replace(i["alt"], r"[\[\]]", ""),
-                    F.lit("]("),
-                    i["src"],
-                    F.lit(")"),
-                ).alias("value"),
-            ),
-        )
+
+def image_text(image: Column) -> Column:
+    """An image in Markdown; null without an address."""
+    return F.concat(
+        F.lit("!["),
+        F.regexp_replace(image["alt"], r"[\[\]]", ""),
+        F.lit("]("),
+        image["src"],
+        F.lit(")"),
     )
 
 
-def _pieces(p: Column, n: Column) -> Column:
+def _pieces(n: Column) -> Column:
     """Opening and closing piece of one node, as (pos, order, tie, piece)."""
     tag, units = n["tag"], n["units"]
     raw = n["raw"]
@@ -172,14 +175,12 @@ def _pieces(p: Column, n: Column) -> Column:
         n["parent"] == "ol",
         F.concat((start_at + n["nth"] - 1).cast("string"), F.lit("." + 2 * CODE_SPACE)),
     ).otherwise(F.lit("-" + 3 * CODE_SPACE))
-    label = F.try_element_at(p["labels"], n["seq"])
-    image = F.coalesce(F.try_element_at(p["images"], n["seq"]), F.lit(""))
-    href = F.regexp_replace(F.try_element_at(p["links"], n["seq"]), r"([()])", r"\\$1")
+    label, image, cells = n["label"], n["image"], n["cells"]
+    href = F.regexp_replace(n["href"], r"([()])", r"\\$1")
     title = F.when(
         F.coalesce(n["title"], F.lit("")) != "",
         F.concat(F.lit(' "'), n["title"], F.lit('"')),
     ).otherwise("")
-    cells = F.try_element_at(p["heads"], n["seq"])
     fence = F.lit("```")
 
     opening = (
@@ -299,10 +300,8 @@ def _settle(joined: Column) -> Column:
     return F.replace(F.replace(c, F.lit(QUOTE), F.lit("> ")), F.lit(INDENT), F.lit("    "))
 
 
-def document(page: Column) -> Column:
-    """Markdown from struct<contexts, labels, images, links, heads>."""
-    events = let(
-        page, lambda p: F.flatten(F.transform(p["contexts"], lambda n: _pieces(p, n)))
-    )
+def document(contexts: Column) -> Column:
+    """Markdown from the node contexts of a page."""
+    events = F.flatten(F.transform(contexts, _pieces))
     joined = F.array_join(F.transform(F.array_sort(events), lambda e: e["piece"]), "")
     return normalize_markdown(_settle(joined))

@@ -157,10 +157,10 @@ def chart_slots(nodes: Column) -> Column:
     waiting = F.filter(
         nodes,
         lambda n: (n["tag"] == "div")
-        & (n["chars"] == 0)
+        & (dom.chars(n) == 0)
         & (height(n) >= K.CHART_SLOT_MIN_HEIGHT)
         & ~F.exists(dom.below(nodes, n), lambda x: (x["parent"] == n["seq"]) & (x["tag"] != dom.TEXT))
-        & dom.closest(nodes, n, lambda a: a["tag"] == "figure").isNotNull(),
+        & (n["inside"]["figure"] >= 0),
     )
     return F.transform(waiting, lambda n: n["seq"])
 

@@ -165,7 +165,7 @@ def image_sources(nodes: Column) -> Column:
     """
 
     def image(n: Column) -> Column:
-        picture = dom.closest(nodes, n, lambda a: a["tag"] == "picture")
+        picture = dom.enclosing(nodes, n, "picture")
         offered = F.filter(
             F.flatten(
                 F.transform(
@@ -175,9 +175,9 @@ def image_sources(nodes: Column) -> Column:
             ),
             lambda u: F.coalesce(u, F.lit("")) != "",
         )
-        figure = dom.closest(nodes, n, lambda a: a["tag"] == "figure")
+        figure = dom.enclosing(nodes, n, "figure")
         caption = dom.first(dom.with_tag(dom.below(nodes, figure), "figcaption"))
-        anchor = dom.closest(nodes, n, lambda a: (a["tag"] == "a") & attr(a, "href").isNotNull())
+        anchor = dom.enclosing(nodes, n, "link")
         return F.struct(
             n["seq"].cast("double").alias("at"),
             n["seq"].alias("seq"),
@@ -351,56 +351,49 @@ def with_main_content(pages: DataFrame) -> DataFrame:
             lambda n: n["tag"].isin("h1", "h2")
             & dom.heading_repeats_title(dom.collapsed_text(nodes, n), F.col("page_title")),
         )
-    )["seq"]
+    )
     dropped = F.filter(
         nodes,
-        lambda n: dom.is_forbidden(n)
-        | (F.col("main").isNotNull() & (n["seq"] > F.col("root")) & dom.is_boilerplate(n)),
+        lambda n: (n["seq"] > F.col("root"))
+        & (dom.is_forbidden(n) | (F.col("main").isNotNull() & dom.is_boilerplate(n))),
     )
+    whole = lambda first, last: F.struct(first.alias("first"), (last + 1).alias("past"))
     staged = staged.withColumn(
-        "_dropped",
+        "_gone",
         F.concat(
-            F.transform(dropped, lambda n: n["seq"]),
-            F.when(F.col("main").isNotNull() & repeated.isNotNull(), F.array(repeated)).otherwise(
-                F.array().cast("array<int>")
-            ),
+            F.transform(dropped, lambda n: whole(n["seq"], n["last"])),
+            # Of a repaired cell the cell itself stays.
+            F.transform("repaired", lambda r: whole(r["seq"] + 1, r["last"])),
+            F.when(
+                F.col("main").isNotNull() & repeated["seq"].isNotNull(),
+                F.array(whole(repeated["seq"], repeated["last"])),
+            ).otherwise(F.expr("cast(array() as array<struct<first:int,past:int>>)")),
         ),
     )
-
-    def keep(p: Column) -> Column:
-        run = F.get(p["nodes"], p["root"])
-        return F.filter(
-            dom.below(p["nodes"], run),
-            lambda n: (n["seq"] > p["root"])
-            & ~F.array_contains(p["dropped"], n["seq"])
-            & ~F.arrays_overlap(n["path"], p["dropped"])
-            & ~F.exists(p["repaired"], lambda r: (n["seq"] > r["seq"]) & (n["seq"] <= r["last"])),
-        )
-
     staged = staged.withColumn(
         "kept",
         let(
-            F.struct("nodes", "root", F.col("_dropped").alias("dropped"), "repaired"),
-            keep,
+            F.struct("nodes", "root", F.col("_gone").alias("gone")),
+            lambda p: dom.outside(p["nodes"], p["root"], p["gone"]),
         ),
     )
 
     def texts(p: Column) -> Column:
-        label = lambda n: F.get(
-            F.filter(p["repaired"], lambda r: r["seq"] == n["seq"]), 0
-        )["label"]
+        label = lambda n: F.when(
+            n["tag"].isin("td", "th"), dom.cell_label(p["nodes"], n)
+        )
         return F.array_join(
             F.transform(p["kept"], lambda n: F.coalesce(n["text"], label(n), F.lit(""))), ""
         )
 
     return staged.withColumns(
         {
-            "plain_text": X.collapse_space(let(F.struct("kept", "repaired"), texts)),
+            "plain_text": X.collapse_space(let(F.struct("nodes", "kept"), texts)),
             "paragraphs": F.size(
-                F.filter("kept", lambda n: (n["tag"] == "p") & (n["chars"] > 0))
+                F.filter("kept", lambda n: (n["tag"] == "p") & (dom.chars(n) > 0))
             ),
         }
-    ).drop("_dropped")
+    ).drop("_gone")
 
 
 def main_content(captures: DataFrame) -> DataFrame:
@@ -427,33 +420,17 @@ def with_markdown(pages: DataFrame) -> DataFrame:
             extra,
             lambda e: F.filter(
                 p["kept"],
-                lambda n: (n["chars"] > 0)
+                lambda n: (dom.chars(n) > 0)
                 | n["text"].isNotNull()
                 | n["tag"].isin("td", "th", "tr", "hr", "br")
                 | F.exists(e, lambda s: (s >= n["seq"]) & (s <= n["last"])),
             ),
         )
 
-    nodes = F.col("nodes")
-    staged = pages.withColumns(
-        {
-            "_labels": F.map_from_entries(
-                F.transform("repaired", lambda r: F.struct(r["seq"], r["label"]))
-            ),
-            "_heads": M.header_rows(nodes),
-        }
-    )
-    staged = staged.withColumns(
-        {
-            "kept": let(F.struct("kept", "images"), visible),
-            "_images": M.image_texts(F.col("images")),
-            "_links": F.map_from_arrays("anchor_seqs", "anchor_urls"),
-        }
-    )
-    staged = staged.withColumn("_contexts", M.node_contexts(F.struct("nodes", "kept", "root")))
-    named = {"contexts": "_contexts", "labels": "_labels", "images": "_images", "links": "_links", "heads": "_heads"}
-    page = F.struct(*[F.col(c).alias(name) for name, c in named.items()])
-    return staged.withColumn("markdown", M.document(page)).drop(*named.values())
+    staged = pages.withColumn("kept", let(F.struct("kept", "images"), visible))
+    page = F.struct("nodes", "kept", "root", "images", "anchor_urls")
+    staged = staged.withColumn("_contexts", M.node_contexts(page))
+    return staged.withColumn("markdown", M.document(F.col("_contexts"))).drop("_contexts")
 
 
 # --- full extraction ------------------------------------------------------------------------
@@ -497,7 +474,9 @@ def extract(captures: DataFrame, max_bytes: int | None = None) -> DataFrame:
     quality = X.content_quality(
         F.col("plain_text"), F.col("paragraphs"), F.col("main").isNull() & has_password
     )
-    first_paragraph = dom.first(F.filter("kept", lambda n: (n["tag"] == "p") & (n["chars"] > 0)))
+    first_paragraph = dom.first(
+        F.filter("kept", lambda n: (n["tag"] == "p") & (dom.chars(n) > 0))
+    )
     heading = dom.first(dom.with_tag(nodes, "h1"))
     domain = U.url_domain(F.col("final_url"))
     judged = rendered.select(
@@ -578,9 +557,7 @@ def audit_markup(pages: DataFrame) -> DataFrame:
         F.regexp_replace(v, r"[\x00-\x20]", "").rlike(r"(?i)^(?:javascript|vbscript|data:text/html)"),
         F.lit(False),
     )
-    inside_svg = lambda n: (n["tag"] == "svg") | F.exists(
-        n["path"], lambda i: F.get(nodes, i)["tag"] == "svg"
-    )
+    inside_svg = lambda n: (n["tag"] == "svg") | (n["inside"]["svg"] >= 0)
     outside = lambda n: F.coalesce(
         ~F.coalesce(attr(n, "href"), attr(n, "xlink:href")).startswith("#"), F.lit(False)
     )

@@ -3,13 +3,21 @@
 `shred_html` keeps a page in its row and adds `nodes`, an array in document order whose
 index is the node's `seq`. All later work is array expressions on that column, so a page
 is never spread over rows and joined back. Nothing is shuffled.
+
+Python cuts the text into tags and keeps the stack of open elements, however deep. A node
+below another is one whose seq lies in the other's interval (seq, last]; marks that nodes
+inherit (the nearest figure, link and so on) are handed down the stack in the same sweep, and
+counters give each node its place in the visible text, so that what a node contains is a
+difference of two numbers.
 """
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,8 +59,12 @@ BARRIERS = {
 }
 SCOPE = frozenset("table td th caption template object applet marquee".split())
 INVISIBLE = frozenset("script style title noscript template head textarea".split())
-PARAGRAPHS = frozenset("p pre blockquote li td dd".split())
-MAX_DEPTH = 128  # deeper elements become siblings; none is dropped
+# Nodes know the nearest element of these kinds that encloses them; a link has an address.
+ENCLOSING = ("figure", "picture", "link", "table", "svg", "pre", "code", "cell")
+_KIND = {t: ENCLOSING.index(t) for t in ENCLOSING if t not in ("link", "cell")}
+_KIND |= {"td": ENCLOSING.index("cell"), "th": ENCLOSING.index("cell")}
+_LINK = ENCLOSING.index("link")
+_MARKS = {"li": "l", "blockquote": "b"}
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|$)
@@ -73,54 +85,69 @@ class _Trees:
 
     def __init__(self):
         self.offsets = [0]
-        self.parent, self.last, self.path, self.tag, self.nth = [], [], [], [], []
-        self.attrs, self.text = [], []
-        self.chars, self.link_chars, self.score = [], [], []
+        self.parent, self.last, self.nth, self.tag, self.attrs, self.text = [], [], [], [], [], []
+        self.start_at, self.stop_at, self.link_start, self.link_stop = [], [], [], []
+        self.links, self.images, self.inside, self.marks = [], [], [], []
 
     def begin(self):
         self.base = len(self.tag)
         self.open = []  # (seq, tag)
+        self.place = {}  # seq of an open element -> its index in `open`
+        self.count = Counter()  # open elements by tag
         self.formatting = []  # (tag, attrs, seq); None marks a table cell
-        self.paths = [[]]  # path of the children of each open element, shared by them
+        self.handed = [((-1,) * len(ENCLOSING), "")]  # what children of each open element inherit
         self.children = [0]  # elements seen so far below each open element
+        self.shown = self.shown_links = 0  # visible characters so far, and those in links
+        self.hidden = self.in_links = 0  # open elements without visible text, open links
+        self.seen_links = self.seen_images = 0
         self._add("#document", _NO_ATTRS)
 
     def _add(self, tag, attrs, text=None):
         seq = len(self.tag) - self.base
+        inside, marks = self.handed[-1]
         self.parent.append(self.open[-1][0] if self.open else -1)
         self.last.append(seq)
-        self.path.append(self.paths[-1])
         self.tag.append(tag)
         self.attrs.append(attrs)
         self.text.append(text)
-        self.chars.append(0)
-        self.link_chars.append(0)
-        self.score.append(0.0)
+        self.start_at.append(self.shown)
+        self.stop_at.append(self.shown)
+        self.link_start.append(self.shown_links)
+        self.link_stop.append(self.shown_links)
+        self.links.append(self.seen_links)
+        self.images.append(self.seen_images)
+        self.inside.append(inside)
+        self.marks.append(marks)
         if text is None:
             self.children[-1] += 1
+            self.seen_images += tag == "img"
         self.nth.append(self.children[-1] if text is None else 0)
         if text is None and tag not in VOID:
+            self.place[seq] = len(self.open)
             self.open.append((seq, tag))
+            self.count[tag] += 1
             self.children.append(0)
-            self.paths.append([*self.paths[-1], seq])
+            self.hidden += tag in INVISIBLE
+            self.in_links += tag == "a"
+            kind = _KIND.get(tag)
+            if tag == "a" and "href" in attrs:
+                kind, self.seen_links = _LINK, self.seen_links + 1
+            if kind is not None:
+                inside = (*inside[:kind], seq, *inside[kind + 1 :])
+            self.handed.append((inside, marks + _MARKS.get(tag, "")))
         return seq
 
     def _pop(self):
         seq, tag = self.open.pop()
-        self.paths.pop()
+        del self.place[seq]
+        self.count[tag] -= 1
+        self.handed.pop()
         self.children.pop()
+        self.hidden -= tag in INVISIBLE
+        self.in_links -= tag == "a"
         at = self.base + seq
         self.last[at] = len(self.tag) - self.base - 1
-        if self.open:
-            up = self.base + self.open[-1][0]
-            chars, links = self.chars[at], self.link_chars[at]
-            if tag not in INVISIBLE:
-                self.chars[up] += chars
-                self.link_chars[up] += chars if tag == "a" else links
-            if tag in PARAGRAPHS and chars >= 25:
-                self.score[up] += chars - links
-                if len(self.open) > 1:
-                    self.score[self.base + self.open[-2][0]] += (chars - links) / 2
+        self.stop_at[at], self.link_stop[at] = self.shown, self.shown_links
         if tag in ("td", "th", "caption"):
             while self.formatting and self.formatting.pop() is not None:
                 pass
@@ -130,6 +157,8 @@ class _Trees:
             self._pop()
 
     def _find(self, tags, barriers):
+        if not any(map(self.count.__getitem__, tags)):
+            return None
         for i in range(len(self.open) - 1, 0, -1):
             tag = self.open[i][1]
             if tag in tags:
@@ -142,18 +171,15 @@ class _Trees:
         """Bold and the like go on after a paragraph that was closed for the author."""
         if not self.formatting or self.formatting[-1] is None:
             return
-        opened = {seq for seq, _ in self.open}
         i = len(self.formatting)
-        while i and self.formatting[i - 1] and self.formatting[i - 1][2] not in opened:
+        while i and self.formatting[i - 1] and self.formatting[i - 1][2] not in self.place:
             i -= 1
         for i in range(i, len(self.formatting)):
-            if len(self.open) >= MAX_DEPTH:
-                return
             tag, attrs, _ = self.formatting[i]
             self.formatting[i] = (tag, attrs, self._add(tag, attrs))
 
     def start(self, tag, attrs):
-        if tag in ("html", "body") and any(t == tag for _, t in self.open):
+        if tag in ("html", "body") and self.count[tag]:
             return
         if tag == "body":
             head = self._find({"head"}, frozenset())
@@ -181,8 +207,6 @@ class _Trees:
             if tag == "a":
                 self._end_formatting("a")
             self._reopen_formatting()
-        if len(self.open) >= MAX_DEPTH and tag not in VOID:
-            self._pop()
         seq = self._add(tag, attrs)
         if tag in FORMATTING:
             alike = [i for i, f in enumerate(self.formatting) if f and f[:2] == (tag, attrs)]
@@ -199,7 +223,7 @@ class _Trees:
                 return
             if entry[0] == tag:
                 del self.formatting[i]
-                at = next((k for k, (s, _) in enumerate(self.open) if s == entry[2]), None)
+                at = self.place.get(entry[2])
                 if at is not None and not any(t in CLOSES_P for _, t in self.open[at:]):
                     self._pop_to(at)
                 return
@@ -227,13 +251,14 @@ class _Trees:
         visible = len("".join(text.split()))
         if visible:
             self._reopen_formatting()
-        owner = self.open[-1][0]
-        if self.text[-1] is not None and self.parent[-1] == owner:
+        if self.text[-1] is not None and self.parent[-1] == self.open[-1][0]:
             self.text[-1] += text
         else:
             self._add("#text", _NO_ATTRS, text)
-        self.chars[-1] += visible
-        self.chars[self.base + owner] += visible
+        if not self.hidden:
+            self.shown += visible
+            self.shown_links += visible if self.in_links else 0
+        self.stop_at[-1], self.link_stop[-1] = self.shown, self.shown_links
 
     def finish(self):
         self._pop_to(0)
@@ -241,31 +266,33 @@ class _Trees:
 
     def to_arrow(self) -> pa.Array:
         """array<struct> column, one entry per page."""
-        starts = self.offsets
-        sizes = [len(p) for p in self.path]
+        starts = np.array(self.offsets)
         pairs = [(k, v) for a in self.attrs for k, v in a.items()]
         attrs = pa.MapArray.from_arrays(
             pa.array([0, *accumulate(len(a) for a in self.attrs)], pa.int32()),
             pa.array([k for k, _ in pairs], pa.string()),
             pa.array([v for _, v in pairs], pa.string()),
         )
+        inside = np.array(self.inside, dtype=np.int32).reshape(-1, len(ENCLOSING))
+        seq = np.arange(starts[-1]) - np.repeat(starts[:-1], np.diff(starts))
         columns = {
-            "seq": pa.array(
-                [i for n, m in zip(starts, starts[1:]) for i in range(m - n)], pa.int32()
-            ),
+            "seq": pa.array(seq, pa.int32()),
             "parent": pa.array(self.parent, pa.int32()),
             "last": pa.array(self.last, pa.int32()),
-            "path": pa.ListArray.from_arrays(
-                pa.array([0, *accumulate(sizes)], pa.int32()),
-                pa.array([s for p in self.path for s in p], pa.int32()),
-            ),
             "nth": pa.array(self.nth, pa.int32()),
             "tag": pa.array(self.tag, pa.string()),
             "attrs": attrs,
             "text": pa.array(self.text, pa.string()),
-            "chars": pa.array(self.chars, pa.int32()),
-            "link_chars": pa.array(self.link_chars, pa.int32()),
-            "paragraph_score": pa.array(self.score, pa.float64()),
+            "start": pa.array(self.start_at, pa.int32()),
+            "stop": pa.array(self.stop_at, pa.int32()),
+            "link_start": pa.array(self.link_start, pa.int32()),
+            "link_stop": pa.array(self.link_stop, pa.int32()),
+            "links": pa.array(self.links, pa.int32()),
+            "images": pa.array(self.images, pa.int32()),
+            "inside": pa.StructArray.from_arrays(
+                [pa.array(inside[:, k].copy()) for k in range(len(ENCLOSING))], names=ENCLOSING
+            ),
+            "marks": pa.array(self.marks, pa.string()),
         }
         nodes = pa.StructArray.from_arrays(list(columns.values()), names=list(columns))
         return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), nodes)

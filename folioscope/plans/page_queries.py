@@ -251,7 +251,8 @@ def code_blocks(spark, sf_dir):
 )
 def enclosing_elements(spark, sf_dir):
     nodes = F.col("nodes")
-    near = lambda n: dom.closest(nodes, n, lambda a: a["tag"].isin("figure", "a", "picture", "pre"))["tag"]
+    kinds = ("figure", "link", "picture", "pre")
+    near = lambda n: F.get(nodes, F.greatest(*(n["inside"][k] for k in kinds)))["tag"]
     rows = F.transform(dom.with_tag(nodes, "img", "code"), lambda n: F.struct(n["tag"].alias("tag"), near(n).alias("inside")))
     found = shred_html(rich(spark, sf_dir)).select("page_id", F.inline(rows))
     return found.where("inside IS NOT NULL").groupBy("page_id", "tag", "inside").agg(F.count("*").alias("n"))

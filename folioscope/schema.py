@@ -75,23 +75,37 @@ CAPTURES = T.StructType(
 )
 
 # One element per node of a page, in document order; `seq` is also its array index.
-# `last` is the seq of the last node below it, `path` the seqs of its ancestors, `nth`
-# its position among the elements of its parent (0 for text),
-# `chars`/`link_chars` count visible non-blank characters below it (all / inside links)
-# and `paragraph_score` sums those of the paragraphs it holds directly.
+# `last` is the seq of the last node below it, `nth` its position among the elements of its
+# parent (0 for text). `start` and `stop` are where it begins and ends in the visible non-blank
+# characters of the page, `link_start` and `link_stop` the same counting those in links only;
+# `links` and `images` count the links and <img> before it. `inside` has the seq of the nearest
+# element of each kind around it (-1 for none), `marks` a letter for each list item (l) and
+# quote (b) around it.
 NODE = T.StructType(
     [
         T.StructField("seq", T.IntegerType()),
         T.StructField("parent", T.IntegerType()),
         T.StructField("last", T.IntegerType()),
-        T.StructField("path", T.ArrayType(T.IntegerType())),
         T.StructField("nth", T.IntegerType()),
         T.StructField("tag", T.StringType()),
         T.StructField("attrs", T.MapType(T.StringType(), T.StringType())),
         T.StructField("text", T.StringType()),
-        T.StructField("chars", T.IntegerType()),
-        T.StructField("link_chars", T.IntegerType()),
-        T.StructField("paragraph_score", T.DoubleType()),
+        T.StructField("start", T.IntegerType()),
+        T.StructField("stop", T.IntegerType()),
+        T.StructField("link_start", T.IntegerType()),
+        T.StructField("link_stop", T.IntegerType()),
+        T.StructField("links", T.IntegerType()),
+        T.StructField("images", T.IntegerType()),
+        T.StructField(
+            "inside",
+            T.StructType(
+                [
+                    T.StructField(kind, T.IntegerType())
+                    for kind in "figure picture link table svg pre code cell".split()
+                ]
+            ),
+        ),
+        T.StructField("marks", T.StringType()),
     ]
 )
 NODES = T.ArrayType(NODE)
