@@ -30,7 +30,7 @@ def _replace_rows(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
 # --- validation ---------------------------------------------------------------------
 
 _RULES = {
-    "url": lambda c: F.length(c) > K.MAX_URL,
+    "url": lambda c: X.utf16_length(c) > K.MAX_URL,
     "title": lambda c: (X.js_trim(c) == "") | (X.utf16_length(X.js_trim(c)) > K.MAX_TITLE),
     "user_note": lambda c: X.utf16_length(c) > K.MAX_NOTE,
     "markdown_content": lambda c: X.utf16_length(c) > K.MAX_MARKDOWN,
@@ -116,16 +116,40 @@ def first_per_url(requests: DataFrame) -> DataFrame:
     )
 
 
+def free_ids(requests: DataFrame, bookmarks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(requests whose id can become a bookmark id, rejects).
+
+    Of requests with one id the earliest counts (by seq, then by its other columns), and the
+    id is refused once for the others. An id that a stored bookmark has is refused, and so is a
+    missing one.
+    """
+    rest = [c for c in requests.columns if c not in ("request_id", "seq")]
+    row = F.struct("seq", *rest)
+    first = requests.groupBy("request_id").agg(F.min(row).alias("_row"), F.count("*").alias("_n"))
+    stored = bookmarks.select(F.col("id").alias("request_id"), F.lit(True).alias("_stored"))
+    judged = first.join(stored.distinct(), "request_id", "left").withColumn(
+        "_taken", F.coalesce("_stored", F.col("request_id").isNull())
+    )
+    refused = judged.where("_taken OR _n > 1")
+    return (
+        judged.where("NOT _taken").select("request_id", "_row.*"),
+        _reject(refused, "request_id", "VALIDATION_ERROR"),
+    )
+
+
 def admit(archive: Archive, requests: DataFrame, now: Column) -> Change:
     """Add requested URLs as pending bookmarks.
 
-    requests: request_id (unique, becomes the bookmark id), seq, url, tag_names. Requests
-    over the limits are refused first. Four tables follow from the verdict on each request,
-    so the verdicts are written once to the checkpoint folder. A soft-deleted bookmark of
-    the same URL is removed for good, see `removed`.
+    requests: request_id (becomes the bookmark id, see free_ids), seq, url, tag_names. Requests
+    over the limits are refused first, then those whose id is taken. Four tables follow from
+    the verdict on each request, so the verdicts are written once to the checkpoint folder. A
+    soft-deleted bookmark of the same URL is removed for good, see `removed`.
     """
     ensure_checkpoint_dir(requests.sparkSession)
-    requests, broken = validate_changes(requests)
+    requests, broken = validate_changes(
+        requests.withColumn("request_id", F.col("request_id").cast("string"))
+    )
+    requests, taken = free_ids(requests, archive.bookmarks)
     checked = with_normalized_url(requests, "url", error="_error", domain="_domain")
     # One row per URL meets the archive; the verdict goes back by the unique request id,
     # so neither join is skewed by a popular URL.
@@ -167,6 +191,7 @@ def admit(archive: Archive, requests: DataFrame, now: Column) -> Change:
     rejects = (
         _reject(refused, "request_id", F.col("_code"))
         .unionByName(_reject(broken, "request_id", "VALIDATION_ERROR"))
+        .unionByName(taken)
         .unionByName(tagged.rejects)
     )
     return Change(tagged.archive, rows, rejects, purged)
@@ -505,28 +530,63 @@ def create_tags(archive: Archive, names: DataFrame, now: Column) -> Change:
     )
 
 
+def vacated_names(requests: DataFrame, tags: DataFrame) -> DataFrame:
+    """(tag_id, name) of the requests that get a name which no stored tag keeps.
+
+    requests: tag_id, name, seq, one per tag, none of them for the tag's present name. A name
+    is free from the start if no tag has it, else from the moment its tag has moved to another
+    name, and the first request after that takes it. Each round settles the names that became
+    free in the round before, so there are as many rounds as renames that wait for each other.
+    """
+    requests = requests.checkpoint()
+    names = tags.select("id", F.col("normalized_name").alias("name"))
+    never = F.lit(None).cast(requests.schema["seq"].dataType)
+    free = (
+        requests.select("name")
+        .distinct()
+        .join(names, "name", "left_anti")
+        .select("name", never.alias("since"))
+    )
+    taken = None
+    while True:
+        first = (
+            requests.join(free, "name")
+            .where(F.col("since").isNull() | (F.col("seq") > F.col("since")))
+            .groupBy("name")
+            .agg(F.min(F.struct("seq", "tag_id")).alias("first"))
+            .select("name", "first.*")
+            .checkpoint()
+        )
+        taken = first if taken is None else taken.unionByName(first)
+        if first.isEmpty():
+            return taken.select("tag_id", "name")
+        moved = first.select(F.col("tag_id").alias("id"), F.col("seq").alias("since"))
+        free = names.join(moved, "id").select("name", "since")
+
+
 def rename_tags(archive: Archive, renames: DataFrame, now: Column) -> Change:
     """Rename tags (tag_id, name and seq, see one_per_key); a name another tag holds is refused.
 
-    Of several renames to one new name that are allowed, the smallest tag_id wins.
+    With `seq` the renames are applied in its order: a name that an earlier rename gave up is
+    free for later ones. Without it nothing orders them, and only names that no stored tag has
+    are free. Of several renames to one free name the first wins, then the smallest tag_id.
     """
+    ensure_checkpoint_dir(renames.sparkSession)
     ok, broken = validate_changes(renames.withColumn("tag_name", F.col("name")))
     ok, repeated = one_per_key(ok, "tag_id")
     named = ok.select(
         "tag_id",
+        F.col("seq") if "seq" in ok.columns else F.lit(0).alias("seq"),
         X.tag_display_name(F.col("name")).alias("_name"),
         X.normalize_tag_name(F.col("name")).alias("_normalized"),
     )
-    stored = named.join(archive.tags.select(F.col("id").alias("tag_id")), "tag_id", "left_semi")
-    holders = archive.tags.select(
-        F.col("normalized_name").alias("_normalized"), F.col("id").alias("_holder")
-    )
-    judged = stored.join(holders, "_normalized", "left").withColumn(
-        "_free", F.coalesce(F.col("_holder") == F.col("tag_id"), F.lit(True))
-    )
-    winners = judged.where("_free").groupBy("_normalized").agg(F.min("tag_id").alias("_winner"))
-    judged = judged.join(winners, "_normalized", "left").withColumn(
-        "_wins", F.col("_free") & F.coalesce(F.col("_winner") == F.col("tag_id"), F.lit(False))
+    held = archive.tags.select(F.col("id").alias("tag_id"), F.col("normalized_name").alias("_held"))
+    stored = named.join(held, "tag_id")
+    same = F.col("_held") == F.col("_normalized")
+    moves = stored.where(~same).select("tag_id", F.col("_normalized").alias("name"), "seq")
+    moved = vacated_names(moves, archive.tags).select("tag_id", F.lit(True).alias("_wins"))
+    judged = stored.join(moved, "tag_id", "left").withColumn(
+        "_wins", same | F.coalesce("_wins", F.lit(False))
     )
     accepted = judged.where("_wins").select(F.col("tag_id").alias("id"), "_name", "_normalized")
     rows = archive.tags.join(accepted, "id").select(
@@ -675,48 +735,73 @@ def change_summary(actions: DataFrame) -> DataFrame:
 
 
 def audit(archive: Archive) -> DataFrame:
-    """Findings (rule, key, n) where the stored tables break their rules."""
-    b, t, l = archive.bookmarks, archive.tags, archive.links
-
-    def repeated(df: DataFrame, column: str, rule: str) -> DataFrame:
-        return (
-            df.groupBy(F.col(column).alias("key"))
-            .agg(F.count("*").alias("n"))
-            .where((F.col("n") > 1) & F.col("key").isNotNull())
-            .select(F.lit(rule).alias("rule"), "key", "n")
+    """Findings (rule, key, n) where the stored tables break their rules.
+
+    Each table is read once: its rows become facts about a key (a bookmark's or a tag's id, a
+    URL, a tag's name), all facts of a key are summed in one aggregate with partial sums, and
+    the rules are tests of these sums. A key that any share of the rows has is no special case.
+    """
+
+    def fact(space: str, key: str, **counts: Column) -> Column:
+        named = {name: counts.get(name, F.lit(0)).cast("long") for name in _COUNTS}
+        return F.struct(
+            F.lit(space).alias("space"),
+            F.col(key).alias("key"),
+            *(c.alias(name) for name, c in named.items()),
         )
 
-    def rows(df: DataFrame, column: str, rule: str) -> DataFrame:
-        return df.groupBy(F.col(column).alias("key")).agg(F.count("*").alias("n")).select(
-            F.lit(rule).alias("rule"), "key", "n"
+    one = F.lit(1)
+    missing = F.array_contains(F.array(*[F.col(c).isNull() for c in _REQUIRED]), True)
+    odd = ~F.coalesce(F.col("extraction_status").isin(*K.EXTRACTION_STATUSES), F.lit(True))
+    facts = (
+        archive.bookmarks.select(
+            F.inline(
+                F.array(
+                    fact("bookmark", "id", stored=one, missing=missing, odd=odd),
+                    fact("url", "normalized_url", stored=one),
+                )
+            )
+        )
+        .unionByName(
+            archive.tags.select(
+                F.inline(
+                    F.array(fact("tag", "id", stored=one), fact("name", "normalized_name", stored=one))
+                )
+            )
         )
+        .unionByName(
+            archive.links.select(
+                F.inline(
+                    F.array(fact("bookmark", "bookmark_id", linked=one), fact("tag", "tag_id", linked=one))
+                )
+            )
+        )
+    )
+    sums = facts.groupBy("space", "key").agg(*(F.sum(name).alias(name) for name in _COUNTS))
+    space, key = F.col("space"), F.col("key")
+    stored, linked = F.col("stored"), F.col("linked")
+    # Links without an id lead nowhere, whatever rows without an id there are.
+    orphan = (linked > 0) & ((stored == 0) | key.isNull())
+    rules = {
+        "duplicate_id": ((space == "bookmark") & (stored > 1) & key.isNotNull(), stored),
+        "duplicate_url": ((space == "url") & (stored > 1) & key.isNotNull(), stored),
+        "duplicate_tag_name": ((space == "name") & (stored > 1) & key.isNotNull(), stored),
+        "missing_value": ((space == "bookmark") & (F.col("missing") > 0), F.col("missing")),
+        "unknown_status": ((space == "bookmark") & (F.col("odd") > 0), F.col("odd")),
+        "orphan_bookmark_link": ((space == "bookmark") & orphan, linked),
+        "orphan_tag_link": ((space == "tag") & orphan, linked),
+        "too_many_tags": ((space == "bookmark") & (linked > K.MAX_TAGS_PER_BOOKMARK), linked),
+    }
+    found = F.array_compact(
+        F.array(
+            *(
+                F.when(test, F.struct(F.lit(rule).alias("rule"), n.alias("n")))
+                for rule, (test, n) in rules.items()
+            )
+        )
+    )
+    return sums.select("key", F.inline(found)).select("rule", "key", "n")
 
-    required = ("url", "normalized_url", "final_url", "title", "domain", "created_at", "updated_at")
-    missing = b.where(F.array_contains(F.array(*[F.col(c).isNull() for c in required]), True))
-    bad_status = b.where(~F.col("extraction_status").isin(*K.EXTRACTION_STATUSES))
-    orphan_bookmark = l.join(b.select(F.col("id").alias("bookmark_id")), "bookmark_id", "left_anti")
-    # Links are reduced to distinct tag ids first: a popular tag is one row in the join.
-    link_tags = l.groupBy("tag_id").agg(F.count("*").alias("n"))
-    orphan_tag = link_tags.join(t.select(F.col("id").alias("tag_id")), "tag_id", "left_anti").select(
-        F.lit("orphan_tag_link").alias("rule"), F.col("tag_id").alias("key"), "n"
-    )
-    too_many = (
-        l.groupBy(F.col("bookmark_id").alias("key"))
-        .agg(F.count("*").alias("n"))
-        .where(F.col("n") > K.MAX_TAGS_PER_BOOKMARK)
-        .select(F.lit("too_many_tags").alias("rule"), "key", "n")
-    )
-    findings = [
-        repeated(b, "id", "duplicate_id"),
-        repeated(b, "normalized_url", "duplicate_url"),
-        repeated(t, "normalized_name", "duplicate_tag_name"),
-        rows(missing, "id", "missing_value"),
-        rows(bad_status, "id", "unknown_status"),
-        rows(orphan_bookmark, "bookmark_id", "orphan_bookmark_link"),
-        orphan_tag,
-        too_many,
-    ]
-    result = findings[0]
-    for f in findings[1:]:
-        result = result.unionByName(f)
-    return result
+
+_COUNTS = ("stored", "missing", "odd", "linked")
+_REQUIRED = ("url", "normalized_url", "final_url", "title", "domain", "created_at", "updated_at")

@@ -109,6 +109,39 @@ def tags_after_admission(spark, sf_dir):
     return change.archive.links.groupBy("tag_id").agg(F.count("*").alias("n"))
 
 
+# Requests with new addresses whose ids repeat, are missing or belong to stored bookmarks.
+TAKEN_IDS = """
+SELECT CASE WHEN page_id % 3 = 0 THEN CAST(page_id AS STRING) WHEN page_id % 3 = 1 THEN CONCAT('t', CAST(page_id % 10 AS STRING))
+  WHEN page_id % 5 > 0 THEN CONCAT('u', CAST(page_id AS STRING)) END AS request_id,
+  page_id AS seq, CONCAT('https://taken.example/', CAST(page_id AS STRING)) AS url, ARRAY('Fresh Tag', 'FR') AS tag_names FROM pages
+"""
+_TAKEN_IDS = TAKEN_IDS.replace("ARRAY('Fresh Tag', 'FR') AS tag_names", "CONCAT('https://taken.example/', CAST(page_id AS STRING)) AS u")
+_FREE_IDS = "SELECT request_id, ARG_MIN(u, seq) AS u, COUNT(*) AS asked FROM taken_ids WHERE request_id NOT IN (SELECT id FROM bookmarks) GROUP BY request_id"
+
+
+@query(
+    T.check(
+        f"SELECT id, normalized_url FROM bookmarks UNION ALL SELECT request_id, u FROM ({_FREE_IDS}) f",
+        taken_ids=_TAKEN_IDS,
+    )
+)
+def admitted_ids(spark, sf_dir):
+    a = T.archive(spark, sf_dir)
+    return W.admit(a, T.table(spark, sf_dir, TAKEN_IDS), T.now()).archive.bookmarks.select("id", "normalized_url")
+
+
+@query(
+    T.check(
+        "SELECT DISTINCT request_id AS key, 'VALIDATION_ERROR' AS error_code FROM taken_ids WHERE request_id IS NULL OR request_id IN (SELECT id FROM bookmarks) "
+        f"UNION ALL SELECT request_id, 'VALIDATION_ERROR' FROM ({_FREE_IDS}) f WHERE asked > 1",
+        taken_ids=_TAKEN_IDS,
+    )
+)
+def refused_ids(spark, sf_dir):
+    a = T.archive(spark, sf_dir)
+    return W.admit(a, T.table(spark, sf_dir, TAKEN_IDS), T.now()).rejects
+
+
 # --- extraction results -----------------------------------------------------------------
 
 RESULTS = """
@@ -420,6 +453,45 @@ def refused_renames(spark, sf_dir):
     return W.rename_tags(a, T.table(spark, sf_dir, RENAMES), T.now()).rejects
 
 
+# Each source takes the name of the one before it, in turn: the first moves to a new name. Where
+# the number ends in 5 the rename comes too early, so it is refused, and with it all up to the
+# next new name; two languages want to swap names, which no order allows.
+RENAMES_IN_TURN = """
+SELECT source AS tag_id, CASE WHEN k % 10 = 0 THEN CONCAT('Moved ', source) ELSE CONCAT('SRC', CAST(k - 1 AS STRING)) END AS name,
+  CASE WHEN k % 10 = 5 THEN -1 ELSE k END AS seq FROM (SELECT DISTINCT source, TRY_CAST(SUBSTR(source, 4) AS INT) AS k FROM documents) s
+UNION ALL SELECT DISTINCT lang, CASE lang WHEN 'de' THEN 'fr' WHEN 'fr' THEN 'de' ELSE UPPER(lang) END, 5000 FROM documents
+UNION ALL SELECT DISTINCT lang, 'superseded', 4000 FROM documents WHERE lang = 'en'
+"""
+_MOVES = (
+    "SELECT tag_id, name, tag_id LIKE 'src%' AND TRY_CAST(REGEXP_EXTRACT(tag_id, '[0-9]+') AS INT) % 10 < 5 OR tag_id IN ('en', 'es') AS wins "
+    "FROM renames_in_turn WHERE seq <> 4000"
+)
+
+
+@query(
+    T.check(
+        f"SELECT t.id, CASE WHEN m.wins THEN m.name ELSE t.name END AS name, LOWER(CASE WHEN m.wins THEN m.name ELSE t.name END) AS normalized_name "
+        f"FROM tags t LEFT JOIN ({_MOVES}) m ON m.tag_id = t.id",
+        renames_in_turn=RENAMES_IN_TURN,
+    )
+)
+def tags_renamed_in_turn(spark, sf_dir):
+    a = T.archive(spark, sf_dir)
+    tags = W.rename_tags(a, T.table(spark, sf_dir, RENAMES_IN_TURN), T.now()).archive.tags
+    return tags.select("id", "name", "normalized_name")
+
+
+@query(
+    T.check(
+        f"SELECT tag_id AS key, 'VALIDATION_ERROR' AS error_code FROM ({_MOVES}) m WHERE NOT wins UNION ALL SELECT 'en', 'SUPERSEDED'",
+        renames_in_turn=RENAMES_IN_TURN,
+    )
+)
+def refused_renames_in_turn(spark, sf_dir):
+    a = T.archive(spark, sf_dir)
+    return W.rename_tags(a, T.table(spark, sf_dir, RENAMES_IN_TURN), T.now()).rejects
+
+
 @query(
     T.check(
         "SELECT 'tag' AS kind, id AS tag_id, 1 AS n FROM tags WHERE id NOT IN (SELECT DISTINCT lang FROM documents) UNION ALL "
@@ -511,22 +583,44 @@ def curated_removal(spark, sf_dir):
 
 # --- audit -----------------------------------------------------------------------------------------------
 
-# The archive with damage done to it: repeated addresses, odd statuses, orphaned links.
-DAMAGED = T.BOOKMARKS.replace(
-    "WHEN d.n_chars < 240 THEN 'partial'", "WHEN d.n_chars < 240 THEN 'odd'"
-).replace("SUBSTR(d.text, 1, 60) AS title", "CASE WHEN d.lang <> 'es' THEN SUBSTR(d.text, 1, 60) END AS title")
-DAMAGED_LINKS = T.LINKS + " UNION ALL SELECT CONCAT('x', CAST(page_id AS STRING)), 'fr' FROM pages UNION ALL SELECT CAST(page_id AS STRING), 'ghost' FROM pages"
+
+
+def _damaged() -> str:
+    """The stored bookmarks with wrong statuses, missing titles, repeated ids and addresses."""
+    sql = T.BOOKMARKS
+    for old, new in (
+        ("WHEN d.n_chars < 240 THEN 'partial'", "WHEN d.n_chars < 240 THEN 'odd'"),
+        ("SPLIT_PART(d.text, CHR(10), 1) AS title", "CASE WHEN d.lang <> 'es' THEN SPLIT_PART(d.text, CHR(10), 1) END AS title"),
+        ("CAST(d.doc_id AS STRING) AS id", "CAST(d.doc_id - CASE WHEN d.doc_id % 20 = 7 THEN 1 ELSE 0 END AS STRING) AS id"),
+        ("REGEXP_REPLACE(COALESCE(p.url", "REGEXP_REPLACE(COALESCE(CASE WHEN d.doc_id % 30 < 2 THEN CONCAT('https://twice.example/', CAST(d.doc_id % 2 AS STRING)) END, p.url"),
+    ):
+        if old not in sql:
+            raise ValueError(f"not in the bookmarks: {old}")
+        sql = sql.replace(old, new, 1)
+    return sql
+
+
+# Links of bookmarks and of tags that are not stored, and bookmarks with very many tags.
+DAMAGED = _damaged()
+DAMAGED_LINKS = f"""{T.LINKS}
+UNION ALL SELECT CONCAT('x', CAST(page_id AS STRING)), 'fr' FROM pages
+UNION ALL SELECT CAST(page_id AS STRING), 'ghost' FROM pages
+UNION ALL SELECT CAST(doc_id % 3 AS STRING), CONCAT('many', CAST(doc_id AS STRING)) FROM documents
+"""
 
 
 @query(
     T.check(
-        "SELECT 'missing_value' AS rule, id AS key, 1 AS n FROM damaged WHERE title IS NULL UNION ALL "
-        "SELECT 'unknown_status', id, 1 FROM damaged WHERE extraction_status = 'odd' UNION ALL "
-        "SELECT 'orphan_bookmark_link', CONCAT('x', CAST(page_id AS STRING)), 1 FROM pages UNION ALL "
-        "SELECT 'orphan_tag_link', 'ghost', (SELECT COUNT(*) FROM pages) UNION ALL "
+        "SELECT 'missing_value' AS rule, id AS key, COUNT(*) AS n FROM damaged WHERE title IS NULL GROUP BY id UNION ALL "
+        "SELECT 'unknown_status', id, COUNT(*) FROM damaged WHERE extraction_status = 'odd' GROUP BY id UNION ALL "
+        "SELECT 'duplicate_id', id, COUNT(*) FROM damaged GROUP BY id HAVING COUNT(*) > 1 UNION ALL "
         "SELECT 'duplicate_url', normalized_url, COUNT(*) FROM damaged GROUP BY 2 HAVING COUNT(*) > 1 UNION ALL "
-        "SELECT 'duplicate_tag_name', normalized_name, COUNT(*) FROM (SELECT normalized_name FROM tags UNION ALL SELECT 'fr') t GROUP BY 2 HAVING COUNT(*) > 1",
+        "SELECT 'duplicate_tag_name', normalized_name, COUNT(*) FROM (SELECT normalized_name FROM tags UNION ALL SELECT 'fr') t GROUP BY 2 HAVING COUNT(*) > 1 UNION ALL "
+        "SELECT 'orphan_bookmark_link', bookmark_id, COUNT(*) FROM damaged_links WHERE bookmark_id NOT IN (SELECT id FROM damaged) GROUP BY 2 UNION ALL "
+        "SELECT 'orphan_tag_link', tag_id, COUNT(*) FROM damaged_links WHERE tag_id NOT IN (SELECT id FROM tags) GROUP BY 2 UNION ALL "
+        "SELECT 'too_many_tags', bookmark_id, COUNT(*) FROM damaged_links GROUP BY 2 HAVING COUNT(*) > 20",
         damaged=DAMAGED,
+        damaged_links=DAMAGED_LINKS,
     )
 )
 def archive_audit(spark, sf_dir):
@@ -538,3 +632,25 @@ def archive_audit(spark, sf_dir):
         tags=a.tags.unionByName(double),
     )
     return W.audit(damaged)
+
+
+def _findings(archive):
+    """Findings per rule, with a row also when there are none."""
+    found = W.audit(archive).groupBy("rule").agg(F.count("*").alias("n"))
+    return found.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("findings"))
+
+
+# What the derived archive itself breaks: two bookmarks of one address.
+_STORED_FINDINGS = "SELECT COUNT(*) FROM (SELECT normalized_url FROM bookmarks GROUP BY 1 HAVING COUNT(*) > 1) d"
+
+
+@query(T.check(f"SELECT ({_STORED_FINDINGS}) AS findings"))
+def audit_after_admission(spark, sf_dir):
+    a = T.archive(spark, sf_dir)
+    return _findings(W.admit(a, T.table(spark, sf_dir, TAKEN_IDS), T.now()).archive)
+
+
+@query(T.check(f"SELECT ({_STORED_FINDINGS}) AS findings"))
+def audit_after_renames(spark, sf_dir):
+    a = T.archive(spark, sf_dir)
+    return _findings(W.rename_tags(a, T.table(spark, sf_dir, RENAMES_IN_TURN), T.now()).archive)
