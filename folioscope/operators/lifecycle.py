@@ -4,26 +4,19 @@ A delete starts the undo window; a restore inside it brings the bookmark back, a
 is refused because the bookmark is purged; a create always gives a live bookmark.
 
 One bookmark may own a large share of the log, so its events are never gathered in one
-task. The log is split into ordered runs by a range partitioning on (key, time), each run
-is reduced to what it does to any state it may meet, and those small results are combined.
+task: the events of a key are folded per span of time into what they do to any state they
+may meet, and those small effects, at most one a span, are combined.
 """
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope import constants as K
 
-# Effect of a run on a bookmark: final state (and time of the delete) when it meets a live
-# or a missing bookmark; for a deleted one it depends on `first_*`, the first event that is
-# no delete, and on the state that follows from there.
-RUN_SCHEMA = (
-    "key string, seq timestamp, first_id long, "
-    "live_state string, live_at timestamp, none_state string, none_at timestamp, "
-    "first_kind string, first_at timestamp, back_state string, back_at timestamp"
-)
+# Fields of an effect: final state (and time of the delete) when it meets a live or a missing
+# bookmark; for a deleted one it depends on `first`, the kind and time of the first event that
+# is no delete, and on the state that follows from there.
+EFFECT = ("live", "none", "first", "back")
 
 
 def lifecycle_events(events: DataFrame, mapping: dict[str, str]) -> DataFrame:
@@ -37,99 +30,90 @@ def lifecycle_events(events: DataFrame, mapping: dict[str, str]) -> DataFrame:
     ).where(F.col("kind").isNotNull())
 
 
-def _after(state, at, kind, ts, window):
+def _state(state: str | None) -> Column:
+    return F.struct(
+        F.lit(state).cast("string").alias("state"), F.lit(None).cast("timestamp").alias("at")
+    )
+
+
+def _after(s: Column, e: Column, span: Column) -> Column:
     """State after one event."""
-    if kind == "create":
-        return "live", None
-    if state == "live" and kind == "delete":
-        return "deleted", ts
-    if state == "deleted" and kind == "restore":
-        return ("live", None) if ts - at <= window else ("none", None)
-    return state, at
-
-
-def _reduce_runs(frames: Iterator[pd.DataFrame], minutes: int) -> Iterator[pd.DataFrame]:
-    """Reduce the sorted events of a partition to one row per key."""
-    window = pd.Timedelta(minutes=minutes)
-    run, done = None, []
-
-    def finished(r):
-        return (r["key"], r["seq"], r["id"], *r["live"], *r["none"], *r["first"], *r["back"])
-
-    names = [c.split()[0] for c in RUN_SCHEMA.split(", ")]
-    for frame in frames:
-        for key, kind, ts, event_id in frame[["key", "kind", "ts", "event_id"]].itertuples(
-            index=False
-        ):
-            if run is None or run["key"] != key:
-                if run:
-                    done.append(finished(run))
-                run = {
-                    "key": key,
-                    "seq": ts,
-                    "id": event_id,
-                    "live": ("live", None),
-                    "none": ("none", None),
-                    "first": (None, None),
-                    "back": (None, None),
-                }
-            if run["first"][0] is None:
-                if kind != "delete":
-                    run["first"], run["back"] = (kind, ts), ("live", None)
-            else:
-                run["back"] = _after(*run["back"], kind, ts, window)
-            run["live"] = _after(*run["live"], kind, ts, window)
-            run["none"] = _after(*run["none"], kind, ts, window)
-        if len(done) >= 10_000:
-            yield pd.DataFrame(done, columns=names)
-            done = []
-    if run:
-        done.append(finished(run))
-    if done:
-        yield pd.DataFrame(done, columns=names)
+    create = e["kind"] == "create"
+    delete = (s["state"] == "live") & (e["kind"] == "delete")
+    restore = (s["state"] == "deleted") & (e["kind"] == "restore")
+    in_time = F.when(e["ts"] <= s["at"] + span, "live").otherwise("none")
+    return F.struct(
+        F.when(create, "live")
+        .when(delete, "deleted")
+        .when(restore, in_time)
+        .otherwise(s["state"])
+        .alias("state"),
+        F.when(delete, e["ts"]).when(~create & ~restore, s["at"]).alias("at"),
+    )
+
+
+def effect(events: Column, span: Column) -> Column:
+    """What ordered events do to any state, as one fold (see EFFECT)."""
+
+    def step(acc: Column, e: Column) -> Column:
+        begun = acc["first"]["state"].isNotNull()
+        opens = ~begun & (e["kind"] != "delete")
+        first = F.struct(e["kind"].alias("state"), e["ts"].alias("at"))
+        return F.struct(
+            _after(acc["live"], e, span).alias("live"),
+            _after(acc["none"], e, span).alias("none"),
+            F.when(opens, first).otherwise(acc["first"]).alias("first"),
+            F.when(begun, _after(acc["back"], e, span))
+            .when(opens, _state("live"))
+            .otherwise(acc["back"])
+            .alias("back"),
+        )
+
+    nothing = F.struct(
+        _state("live").alias("live"),
+        _state("none").alias("none"),
+        _state(None).alias("first"),
+        _state(None).alias("back"),
+    )
+    return F.aggregate(events, nothing, step)
 
 
 def current_state(
-    events: DataFrame, now: Column, minutes: int = K.RETENTION_MINUTES
+    events: DataFrame,
+    now: Column,
+    minutes: int = K.RETENTION_MINUTES,
+    bucket: str = "1 hour",
 ) -> DataFrame:
     """(key, state, deleted_at): state is live, deleted or purged for each key in the log.
 
-    events: key, kind, ts, event_id (orders equal times).
+    events: key, kind, ts, event_id (orders equal times). The events of a key within one
+    `bucket` of time are folded in one task; its length changes nothing in the result.
     """
+    window = F.expr(f"INTERVAL {int(minutes)} MINUTES")
     runs = (
-        events.select("key", "kind", "ts", "event_id")
-        .repartitionByRange("key", "ts", "event_id")
-        .sortWithinPartitions("key", "ts", "event_id")
-        .mapInPandas(lambda frames: _reduce_runs(frames, minutes), RUN_SCHEMA)
+        events.groupBy("key", F.window("ts", bucket)["start"].alias("bucket"))
+        .agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "kind"))).alias("events"))
+        .select("key", "bucket", effect(F.col("events"), window).alias("effect"))
     )
-    # At most one row per key and partition is left to combine.
+    # One row per key and bucket is left to combine.
     ordered = runs.groupBy("key").agg(
-        F.array_sort(F.collect_list(F.struct(*[c.split()[0] for c in RUN_SCHEMA.split(", ")][1:]))).alias(
-            "_runs"
-        )
+        F.array_sort(F.collect_list(F.struct("bucket", "effect"))).alias("_runs")
     )
     start = F.struct(F.lit("none").alias("state"), F.lit(None).cast("timestamp").alias("at"))
-    span = F.expr(f"INTERVAL {int(minutes)} MINUTES")
 
-    def combine(acc: Column, r: Column) -> Column:
+    def combine(acc: Column, run: Column) -> Column:
+        r, first = run["effect"], run["effect"]["first"]
         deleted = acc["state"] == "deleted"
-        returns = (r["first_kind"] == "create") | (r["first_at"] <= acc["at"] + span)
-        state = (
-            F.when(acc["state"] == "live", r["live_state"])
-            .when(deleted & r["first_kind"].isNull(), acc["state"])
-            .when(deleted & returns, r["back_state"])
-            .otherwise(r["none_state"])
-        )
-        at = (
-            F.when(acc["state"] == "live", r["live_at"])
-            .when(deleted & r["first_kind"].isNull(), acc["at"])
-            .when(deleted & returns, r["back_at"])
-            .otherwise(r["none_at"])
+        returns = (first["state"] == "create") | (first["at"] <= acc["at"] + window)
+        return (
+            F.when(acc["state"] == "live", r["live"])
+            .when(deleted & first["state"].isNull(), acc)
+            .when(deleted & returns, r["back"])
+            .otherwise(r["none"])
         )
-        return F.struct(state.alias("state"), at.alias("at"))
 
     folded = ordered.select("key", F.aggregate("_runs", start, combine).alias("s"))
-    over = (F.col("s.state") == "deleted") & (F.col("s.at") < now - span)
+    over = (F.col("s.state") == "deleted") & (F.col("s.at") < now - window)
     return folded.select(
         "key",
         F.when(over | (F.col("s.state") == "none"), "purged").otherwise(F.col("s.state")).alias(

@@ -73,8 +73,11 @@ def follow_pages(roots: DataFrame, edges: DataFrame, max_pages: int | None = Non
     were found when its address was requested, wherever that led. Edges are written once,
     so that the pages they come from are parsed once. Every round is a join on the newest
     pages only and ends in a reliable checkpoint, so the plan stays small and a lost
-    executor costs one round. It ends when no new page is found; with `max_pages`, the
-    lowest page numbers are kept per root.
+    executor costs one round. It ends when no new page is found.
+
+    With `max_pages`, a root holds its pages of the lowest numbers (then addresses) found so
+    far, and only these are left in the next round: no root ever has more, and the walk ends
+    when none of them is new. A page that fell out can't come back, as the others stay lower.
     """
     spark = roots.sparkSession
     ensure_checkpoint_dir(spark)
@@ -93,15 +96,18 @@ def follow_pages(roots: DataFrame, edges: DataFrame, max_pages: int | None = Non
             .groupBy("root_url", F.col("_next").alias("url"))
             .agg(F.min("page_number").alias("page_number"))
         )
-        newest = found.join(
-            reached.select("root_url", "url"), ["root_url", "url"], "left_anti"
-        ).checkpoint()
+        new = found.join(reached.select("root_url", "url"), ["root_url", "url"], "left_anti")
+        if max_pages is None:
+            newest = new.checkpoint()
+            reached = reached.unionByName(newest)
+        else:
+            all_found = reached.withColumn("_new", F.lit(False)).unionByName(
+                new.withColumn("_new", F.lit(True))
+            )
+            lowest = cap(all_found, ["root_url"], ["page_number", "url"], max_pages).checkpoint()
+            newest, reached = lowest.where("_new").drop("_new"), lowest.drop("_new")
         if newest.isEmpty():
-            break
-        reached = reached.unionByName(newest)
-    if max_pages is None:
-        return reached
-    return cap(reached, ["root_url"], ["page_number", "url"], max_pages)
+            return reached
 
 
 def remove_pagination_blocks(md: Column, first_series: Column) -> Column:

@@ -505,9 +505,11 @@ _SPEC = (
     "CONCAT('{\"title\":\"Sales ', CAST(page_id AS STRING), ' ', k, '\",\"$schema\":\"https://vega.github.io/schema/vega-lite/v6.json\",\"datasets\":{\"rows\":[{\"d\":1,\"v\":', "
     "CAST(page_id AS STRING), '},{\"d\":2,\"v\":', k, '}]},\"data\":{\"name\":\"rows\"},\"mark\":{\"type\":\"line\"}}')"
 )
+# The given pages with boxes that wait for charts at the end of the article, and the charts of two
+# themes, one of them twice and one escaped, in a script behind the article.
 CHART_PAGES = f"""
-SELECT page_id, url, CONCAT('<html><body><article><p>intro</p><figure><div style="width: 9px; HEIGHT: 400px"></div></figure><figure><div style="height:200px"> </div></figure><figure><div style="height:100px"></div></figure></article><script>x([1,"theme":"green",',
-  {_SPEC.replace(" k,", " '1',")}, ',', {_SPEC.replace(" k,", " '1',")}, ',"theme":"PINK",', REPLACE({_SPEC.replace(" k,", " '2',")}, '"', CONCAT(CHR(92), '"')), '])</script></body></html>') AS html FROM pages
+SELECT page_id, url, 200 AS status_code, 'text/html' AS content_type, REPLACE(html, '</article>', CONCAT('<figure><div style="width: 9px; HEIGHT: 400px"></div></figure><figure><div style="height:200px"> </div></figure><figure><div style="height:100px"></div></figure>',
+  '</article><script>x([1,"theme":"green",', {_SPEC.replace(" k,", " '1',")}, ',', {_SPEC.replace(" k,", " '1',")}, ',"theme":"PINK",', REPLACE({_SPEC.replace(" k,", " '2',")}, '"', CONCAT(CHR(92), '"')), '])</script>')) AS html FROM pages
 """
 _CHART_BASE = "FROM pages CROSS JOIN (SELECT 0 AS c, 'green' AS theme UNION ALL SELECT 1, 'pink') k"
 _CHART_TITLE = "CONCAT('Sales ', CAST(page_id AS STRING), ' ', CAST(c + 1 AS STRING))"

@@ -7,6 +7,7 @@ from folioscope.plans import tables as T
 from folioscope.plans.registry import query
 from folioscope.session import scratch_dir
 from folioscope.sources.captures import read_capture_stream
+from folioscope.streaming import admission as SA
 from folioscope.streaming import lifecycle as SL
 from folioscope.streaming import monitor as SM
 
@@ -104,11 +105,69 @@ def streamed_admission(spark, sf_dir):
     return rows.groupBy("normalized_url").agg(F.count("*").alias("n"))
 
 
-@query()
-def streamed_lifecycle(spark, sf_dir):
-    """Outcomes of the lifecycle events; tested against a plain replay of the log."""
+# Requests for one address a user; every fifth is no address. Users have a live bookmark, a deleted
+# one or none.
+_ASKED = (
+    "SELECT CAST(event_id AS STRING) AS request_id, ts, CASE WHEN event_id % 5 = 0 THEN 'ftp://e.example/' "
+    "ELSE CONCAT('HTTPS://E.example/', CAST(user_id AS STRING), '#', CAST(event_id AS STRING)) END AS url FROM {events}"
+)
+_HELD = (
+    "SELECT DISTINCT CONCAT('b', CAST(user_id AS STRING)) AS id, CONCAT('https://e.example/', CAST(user_id AS STRING)) AS normalized_url, "
+    "CASE WHEN user_id % 3 = 1 THEN TIMESTAMP '2020-01-01 00:00:00' END AS deleted_at FROM events WHERE user_id % 3 < 2"
+)
+
+
+@query(
+    "SELECT e.event_id, CASE WHEN e.event_id % 5 = 0 THEN 'UNSUPPORTED_PROTOCOL' WHEN e.user_id % 3 = 0 OR turn > 1 THEN 'DUPLICATE_URL' ELSE 'admitted' END AS outcome, "
+    "CASE WHEN e.event_id % 5 > 0 AND e.user_id % 3 = 1 AND turn = 1 THEN CONCAT('b', CAST(e.user_id AS STRING)) END AS replaced_id "
+    "FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id, event_id % 5 = 0 ORDER BY ts, CAST(event_id AS STRING)) AS turn FROM events) e"
+)
+def streamed_admission_verdicts(spark, sf_dir):
+    SL.use_rocksdb(spark)
+    stored = T.table(spark, sf_dir, _HELD)
+    _event_stream(spark, sf_dir).createOrReplaceTempView("event_stream")
+    rows = _drain(spark, SA.admission_verdicts(spark.sql(_ASKED.format(events="event_stream")), stored))
+    return rows.select(F.col("request_id").cast("bigint").alias("event_id"), "outcome", "replaced_id")
+
+
+# The log replayed in order, one event of each key a round, up to the last watermark.
+_REPLAY = f"""
+WITH RECURSIVE log AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY key ORDER BY ts, event_id) AS turn FROM ({_LOG}) l),
+mark AS (SELECT EPOCH_US(MAX(ts)) // 1000 - 600000 AS watermark FROM log),
+due AS (SELECT log.* FROM log, mark WHERE EPOCH_US(ts) // 1000 <= watermark),
+replay AS (
+  SELECT DISTINCT key, 0::BIGINT AS turn, NULL::BIGINT AS event_id, NULL::VARCHAR AS kind, NULL::VARCHAR AS outcome, 'none' AS state, NULL::TIMESTAMP AS since, NULL::TIMESTAMP AS purged_at FROM due
+  UNION ALL
+  SELECT key, turn, event_id, kind,
+    CASE WHEN kind = 'create' AND before <> 'live' OR kind = 'delete' AND before = 'live' OR kind = 'restore' AND before = 'deleted' THEN 'applied' ELSE 'rejected' END,
+    CASE WHEN kind = 'create' OR kind = 'restore' AND before = 'deleted' THEN 'live' WHEN kind = 'delete' AND before = 'live' THEN 'deleted' ELSE before END,
+    CASE WHEN kind = 'delete' AND before = 'live' THEN ts ELSE since END,
+    CASE WHEN before <> state THEN since + INTERVAL '{MINUTES}' MINUTE END
+  FROM (SELECT d.key, d.turn, d.event_id, d.kind, d.ts, r.since, r.state,
+          CASE WHEN r.state = 'deleted' AND d.ts > r.since + INTERVAL '{MINUTES}' MINUTE THEN 'none' ELSE r.state END AS before
+        FROM replay r JOIN due d ON d.key = r.key AND d.turn = r.turn + 1) x),
+last AS (SELECT * FROM replay r WHERE turn = (SELECT MAX(turn) FROM due d WHERE d.key = r.key)),
+outcomes AS (
+  SELECT key, event_id, kind, outcome, NULL::BIGINT AS purged_ms FROM replay WHERE turn > 0
+  UNION ALL SELECT key, NULL, 'purge', 'purged', EPOCH_US(purged_at) // 1000 FROM replay WHERE purged_at IS NOT NULL
+  UNION ALL SELECT key, NULL, 'purge', 'purged', EPOCH_US(since + INTERVAL '{MINUTES}' MINUTE) // 1000 FROM last, mark
+    WHERE state = 'deleted' AND EPOCH_US(since + INTERVAL '{MINUTES}' MINUTE) // 1000 < watermark)
+"""
+
+
+def _outcomes(spark, sf_dir):
     T.given(spark, sf_dir)
     SL.use_rocksdb(spark)
     events = L.lifecycle_events(_event_stream(spark, sf_dir), KINDS)
-    rows = _drain(spark, SL.lifecycle_stream(events, MINUTES))
-    return rows.groupBy("kind", "outcome").agg(F.count("*").alias("n"))
+    return _drain(spark, SL.lifecycle_stream(events, MINUTES))
+
+
+@query(_REPLAY + "SELECT kind, outcome, COUNT(*) AS n FROM outcomes GROUP BY kind, outcome")
+def streamed_lifecycle(spark, sf_dir):
+    return _outcomes(spark, sf_dir).groupBy("kind", "outcome").agg(F.count("*").alias("n"))
+
+
+@query(_REPLAY + "SELECT key, event_id, kind, outcome, purged_ms FROM outcomes")
+def streamed_lifecycle_outcomes(spark, sf_dir):
+    purged = F.when(F.col("kind") == "purge", F.unix_millis("ts"))
+    return _outcomes(spark, sf_dir).select("key", "event_id", "kind", "outcome", purged.alias("purged_ms"))

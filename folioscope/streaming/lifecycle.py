@@ -9,6 +9,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from folioscope import constants as K
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+FRAME_ROWS = 10_000
 OUTCOMES = "key string, ts timestamp, event_id long, kind string, outcome string"
 
 
@@ -16,7 +17,9 @@ class Lifecycle(StatefulProcessor):
     """Events wait for the watermark, so they are applied in event-time order.
 
     State per key is small: one status, one time, and the events not yet due, filed under
-    their millisecond. Each event and each end of an undo window has a timer.
+    their millisecond. The first timer of a key that fires in a batch applies all events that
+    are due, in order, so a key's events are read once however many there are; its other
+    timers find nothing left to do.
     """
 
     def __init__(self, minutes: int):
@@ -24,60 +27,62 @@ class Lifecycle(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.status = handle.getValueState("status", "state string, at long")
+        self.status = handle.getValueState("status", "state string, at long, upto long")
         self.due = handle.getMapState("due", "ms long", "events array<struct<ts:long,id:long,kind:string>>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        filed = {}
         for frame in rows:
             stamps = frame["ts"].astype("datetime64[us]").astype("int64")
-            filed = {}
             for ts, event_id, kind in zip(stamps, frame["event_id"], frame["kind"]):
                 filed.setdefault(int(ts) // 1000, []).append((int(ts), int(event_id), kind))
-            for ms, events in filed.items():
-                waiting = []
-                if self.due.containsKey((ms,)):
-                    waiting = [tuple(e) for e in self.due.getValue((ms,))[0]]
-                self.due.updateValue((ms,), (waiting + events,))
-                self.handle.registerTimer(ms)
+        for ms, events in filed.items():
+            if self.due.containsKey((ms,)):
+                events = [tuple(e) for e in self.due.getValue((ms,))[0]] + events
+            self.due.updateValue((ms,), (events,))
+            self.handle.registerTimer(ms)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        ms = expiredTimerInfo.getExpiryTimeInMs()
-        state, at = self.status.get() if self.status.exists() else ("none", 0)
+        watermark = timerValues.getCurrentWatermarkInMs()
+        state, at, upto = self.status.get() if self.status.exists() else ("none", 0, -1)
+        if upto >= watermark:
+            return
+        due = sorted(
+            (ms, sorted(tuple(e) for e in events))
+            for (ms,), (events,) in self.due.iterator()
+            if ms <= watermark
+        )
         out = []
-
-        def purge():
-            out.append((at + self.window_us, None, "purge", "purged"))
-            return "none"
-
-        if state == "deleted" and ms > (at + self.window_us) // 1000:
-            state = purge()
-        if self.due.containsKey((ms,)):
-            for ts, event_id, kind in sorted(tuple(e) for e in self.due.getValue((ms,))[0]):
+        for ms, events in due:
+            self.due.removeKey((ms,))
+            for ts, event_id, kind in events:
                 if state == "deleted" and ts - at > self.window_us:
-                    state = purge()
+                    out.append((at + self.window_us, None, "purge", "purged"))
+                    state = "none"
                 outcome = "applied"
                 if kind == "create" and state != "live":
                     state = "live"
                 elif kind == "delete" and state == "live":
                     state, at = "deleted", ts
-                    self.handle.registerTimer((ts + self.window_us) // 1000 + 1)
                 elif kind == "restore" and state == "deleted":
                     state = "live"
                 else:
                     outcome = "rejected"
                 out.append((ts, event_id, kind, outcome))
-            self.due.removeKey((ms,))
-            # A timer set for a time the watermark has passed would wait for the next batch.
+        if state == "deleted":
+            # No event up to the watermark is left, so the window closed without a restore.
             deadline = (at + self.window_us) // 1000
-            if state == "deleted" and timerValues.getCurrentWatermarkInMs() > deadline:
-                if not any(waiting[0] <= deadline for waiting in self.due.keys()):
-                    state = purge()
-        self.status.update((state, at))
-        if out:
-            ts, event_ids, kinds, outcomes = zip(*out)
+            if deadline < watermark:
+                out.append((at + self.window_us, None, "purge", "purged"))
+                state = "none"
+            else:
+                self.handle.registerTimer(deadline + 1)
+        self.status.update((state, at, watermark))
+        for start in range(0, len(out), FRAME_ROWS):
+            ts, event_ids, kinds, outcomes = zip(*out[start : start + FRAME_ROWS])
             frame = {
-                "key": [key[0]] * len(out),
+                "key": [key[0]] * len(ts),
                 "ts": list(pd.to_datetime(ts, unit="us")),
                 "event_id": event_ids,
                 "kind": kinds,

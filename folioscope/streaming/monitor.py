@@ -1,6 +1,7 @@
 """Streaming admission and status counts; both also accept a static DataFrame."""
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioscope.functions.urls import normalize_url, url_error
@@ -42,15 +43,26 @@ def status_windows(
 
 
 def status_sessions(events: DataFrame, gap: str = "30 minutes", lateness: str = "10 minutes") -> DataFrame:
-    """Bursts of activity per key: (key, session_start, session_end, n)."""
-    timed = events.withWatermark("ts", lateness) if events.isStreaming else events
-    return (
-        timed.groupBy(F.session_window("ts", gap), "key")
-        .agg(F.count("*").alias("n"))
-        .select(
-            "key",
-            F.col("session_window.start").alias("session_start"),
-            F.col("session_window.end").alias("session_end"),
-            "n",
-        )
+    """Bursts of activity per key: (key, session_start, session_end, n).
+
+    An event belongs to a burst if it comes less than `gap` after the one before. In a table a
+    key may own any share of the events: they are first counted per span of `gap`, whose events
+    all belong together, and only these counts, at most one a span, are put in order.
+    """
+    if events.isStreaming:
+        window = F.session_window("ts", gap)
+        counted = events.withWatermark("ts", lateness).groupBy(window, "key").agg(F.count("*").alias("n"))
+        start, end = F.col("session_window.start"), F.col("session_window.end")
+        return counted.select("key", start.alias("session_start"), end.alias("session_end"), "n")
+    length = F.expr(f"INTERVAL {gap}")
+    spans = events.groupBy("key", F.window("ts", gap)["start"].alias("span")).agg(
+        F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("n")
     )
+    order = W.partitionBy("key").orderBy("span")
+    begins = ~F.coalesce(F.col("first") < F.lag("last").over(order) + length, F.lit(False))
+    numbered = spans.withColumn("session", F.sum(begins.cast("int")).over(order))
+    return numbered.groupBy("key", "session").agg(
+        F.min("first").alias("session_start"),
+        (F.max("last") + length).alias("session_end"),
+        F.sum("n").alias("n"),
+    ).drop("session")

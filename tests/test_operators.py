@@ -14,6 +14,7 @@ from folioscope.schema import BOOKMARKS, LINKS, TAGS
 from folioscope.session import scratch_dir
 from folioscope.sources import archive as storing
 from folioscope.sources import captures as capturing
+from folioscope.streaming import admission
 from folioscope.streaming import lifecycle as streaming
 from folioscope.streaming import monitor
 
@@ -171,6 +172,81 @@ def test_stream_equals_the_replay(spark, tmp_path):
     assert values(got, "key", "kind", "outcome") == want
 
 
+def streamed(spark, tmp_path, batches, schema, work):
+    """Rows that `work` gives for a stream of these batches, one file each."""
+    source = str(tmp_path / "in")
+    for part in batches:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+    streaming.use_rocksdb(spark)
+    stream = capturing.read_capture_stream(
+        spark, source, spark.createDataFrame([], schema).schema, maxFilesPerTrigger="1"
+    )
+    out = work(stream)
+    run = (
+        out.writeStream.format("parquet")
+        .option("checkpointLocation", str(tmp_path / "checkpoint"))
+        .trigger(availableNow=True)
+        .start(str(tmp_path / "out"))
+    )
+    run.awaitTermination()
+    return spark.read.schema(out.schema).parquet(str(tmp_path / "out"))
+
+
+def test_one_bookmark_with_very_many_events(spark, tmp_path):
+    """Linear in the events: this takes minutes if each of them looks at all that wait."""
+    draw, at, rows = random.Random(3), DAY, []
+    for i in range(30_000):
+        at += datetime.timedelta(milliseconds=draw.choice((0, 40, 2000, 900_000)))
+        rows.append(("hot", draw.choice(("create", "delete", "restore")), at, i))
+    late = at + datetime.timedelta(days=2)
+    batches = (rows[:15_000], rows[15_000:], [("end", "create", late, 10**6)])
+    got = streamed(
+        spark, tmp_path, batches, LOG, lambda s: streaming.lifecycle_stream(s, 10, "1 day")
+    )
+    assert values(got, "key", "kind", "outcome") == replay(rows, late - datetime.timedelta(days=1), 10)[1]
+
+
+def test_streamed_admission_against_the_stored_urls(spark, tmp_path):
+    stored = spark.createDataFrame(
+        [("b1", "https://s.example/1", None), ("b2", "https://s.example/2", DAY), ("b3", "https://s.example/3", DAY),
+         ("b4", "https://s.example/3", None)],
+        "id string, normalized_url string, deleted_at timestamp",
+    )
+    minute = lambda k: DAY + datetime.timedelta(minutes=k)
+    batches = (
+        [("r3", minute(3), "https://s.example/2#x"), ("r1", minute(1), "HTTPS://s.example/1"), ("r2", minute(2), "https://s.example/2"),
+         ("r4", minute(9), "https://s.example/9"), ("r5", minute(9), "nonsense")],
+        [("q1", minute(0), "https://s.example/9"), ("q2", minute(0), "https://s.example/3"), ("q3", minute(0), "https://s.example/2"), ("q4", minute(0), "nonsense")],
+        [("p1", DAY + datetime.timedelta(days=900), "https://s.example/1"), ("p2", minute(1), "https://s.example/8"), ("p3", minute(1), "https://s.example/8")],
+    )
+    schema = "request_id string, ts timestamp, url string"
+    got = streamed(spark, tmp_path, batches, schema, lambda s: admission.admission_verdicts(s, stored))
+    assert {r.request_id: (r.outcome, r.replaced_id) for r in got.collect()} == {
+        "r1": ("DUPLICATE_URL", None), "r2": ("admitted", "b2"), "r3": ("DUPLICATE_URL", None), "r4": ("admitted", None), "r5": ("INVALID_URL", None),
+        "q1": ("DUPLICATE_URL", None), "q2": ("DUPLICATE_URL", None), "q3": ("DUPLICATE_URL", None), "q4": ("INVALID_URL", None),
+        "p1": ("DUPLICATE_URL", None), "p2": ("admitted", None), "p3": ("DUPLICATE_URL", None),
+    }
+    assert got.count() == 12
+
+
+def test_sessions_of_a_table(spark):
+    draw, rows = random.Random(7), []
+    for key in ("a", "b", "c"):
+        at = DAY
+        for _ in range(200):
+            at += datetime.timedelta(seconds=draw.choice((0, 1, 1799, 1800, 1801, 7200)))
+            rows.append((key, at))
+    rows.append((None, DAY))
+    gap, want = datetime.timedelta(minutes=30), []
+    for key, at in sorted(rows, key=lambda r: (str(r[0]), r[1])):
+        if want and want[-1][0] == key and at < want[-1][2]:
+            want[-1][2:] = [at + gap, want[-1][3] + 1]
+        else:
+            want.append([key, at, at + gap, 1])
+    got = monitor.status_sessions(spark.createDataFrame(rows, "key string, ts timestamp").repartition(5))
+    assert sorted(map(list, got.collect()), key=str) == sorted(want, key=str)
+
+
 def test_static_and_streamed_admission_agree(spark, tmp_path):
     rows = [(DAY + datetime.timedelta(minutes=i), f"HTTP://Site.example/{i % 7}#{i}") for i in range(40)]
     df = spark.createDataFrame([*rows, (DAY, "nonsense")], "ts timestamp, url string")
@@ -282,6 +358,36 @@ def test_renames_that_are_allowed_win(spark):
     assert changes.audit(change.archive).isEmpty()
 
 
+def test_renames_in_turn_equal_a_replay(spark):
+    """One rename after the other, as if each was asked for alone."""
+    names = [f"n{i}" for i in range(30)]
+    tags = spark.createDataFrame([(f"t{i}", n.upper(), n) for i, n in enumerate(names[:20])], "id string, name string, normalized_name string")
+    a = small_archive(spark)
+    a = storing.make_archive(a.bookmarks, tags, a.links.limit(0))
+    for seed in range(3):
+        draw = random.Random(seed)
+        asked = [(f"t{i}", draw.choice(names[: 8 + 8 * seed]), draw.randrange(1000) * 100 + i) for i in range(20)]
+        held, refused = {f"t{i}": n for i, n in enumerate(names[:20])}, set()
+        for tag, name, _ in sorted(asked, key=lambda r: r[2]):
+            if any(n == name and t != tag for t, n in held.items()):
+                refused.add((tag, "VALIDATION_ERROR"))
+            else:
+                held[tag] = name
+        change = changes.rename_tags(a, spark.createDataFrame(asked, "tag_id string, name string, seq int"), F.lit(DAY))
+        assert values(change.archive.tags, "id", "normalized_name") == sorted(held.items())
+        assert values(change.rejects) == sorted(refused)
+
+
+def test_ids_of_admitted_requests_are_unique(spark):
+    rows = [("n1", 2, "https://n.example/2", []), ("n1", 1, "https://n.example/1", ["a"]), ("b1", 3, "https://n.example/3", []), (None, 4, "https://n.example/4", [])]
+    requests = spark.createDataFrame(rows, "request_id string, seq int, url string, tag_names array<string>")
+    change = changes.admit(small_archive(spark), requests, F.lit(DAY))
+    found = values(change.archive.bookmarks, "id", "normalized_url")
+    assert found == [("b1", "https://a.example/1"), ("b2", "https://b.example/2"), ("n1", "https://n.example/1")]
+    assert sorted(map(tuple, change.rejects.collect()), key=str) == [("b1", "VALIDATION_ERROR"), ("n1", "VALIDATION_ERROR"), (None, "VALIDATION_ERROR")]
+    assert changes.audit(change.archive).isEmpty()
+
+
 def test_admission_refuses_what_is_over_the_limits(spark):
     rows = [("n1", 1, "https://n.example/" + "x" * 4000, []), ("n2", 2, "https://n.example/2", [f"t{i}" for i in range(13)]), ("n3", 3, "https://n.example/2", ["a"])]
     requests = spark.createDataFrame(rows, "request_id string, seq int, url string, tag_names array<string>")
