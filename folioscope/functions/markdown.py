@@ -69,9 +69,10 @@ def _text_piece(n: Column) -> Column:
 def node_contexts(page: Column) -> Column:
     """The kept nodes, each with what its surroundings say and what stands for it.
 
-    page: struct<nodes, kept, root, images, anchor_urls>. Result: array<struct<seq, last, first,
-    nth, tag, text, title, parent, start, units, raw, code, cell, language, href, image, label,
-    cells>>. Everything is found by position, so the work grows with the nodes.
+    page: struct<nodes, kept, root, images, anchor_urls, slots, marks>; the texts `marks` stand
+    in the empty boxes `slots`, one each. Result: array<struct<seq, last, first, nth, tag, text,
+    title, parent, start, units, raw, code, cell, language, href, image, label, cells>>.
+    Everything is found by position, so the work grows with the nodes.
     """
 
     def context(p: Column, n: Column) -> Column:
@@ -113,7 +114,12 @@ def node_contexts(page: Column) -> Column:
                 F.when(n["tag"] == "img", F.get(p["shown"], n["images"])).otherwise(background),
                 F.lit(""),
             ).alias("image"),
-            F.when(is_cell, dom.cell_label(nodes, n)).alias("label"),
+            F.when(is_cell, dom.cell_label(nodes, n))
+            .when(
+                (n["tag"] == "div") & F.array_contains(p["slots"], n["seq"]),
+                F.get(p["marks"], F.array_position(p["slots"], n["seq"]).cast("int") - 1),
+            )
+            .alias("label"),
             F.when(n["tag"] == "tr", header_cells(p, n)).alias("cells"),
         )
 
@@ -127,6 +133,8 @@ def node_contexts(page: Column) -> Column:
             p["kept"].alias("kept"),
             p["root"].alias("root"),
             p["anchor_urls"].alias("urls"),
+            p["slots"].alias("slots"),
+            p["marks"].alias("marks"),
             F.transform(F.filter(p["images"], is_img), image_text).alias("shown"),
             F.map_from_entries(
                 F.transform(others, lambda i: F.struct(i["seq"], image_text(i)))
@@ -187,7 +195,7 @@ def _pieces(n: Column) -> Column:
         F.when(tag == dom.TEXT, _text_piece(n))
         .when(raw, F.lit(""))
         .when(tag.isin(*HEADINGS), F.concat(para, F.repeat(F.lit("#"), level), F.lit(" ")))
-        .when(tag.isin(*BLOCKS), para)
+        .when(tag.isin(*BLOCKS), F.concat(para, F.coalesce(label, F.lit(""))))
         .when(tag.isin("ul", "ol"), nested_list)
         .when(tag == "li", F.concat(line, bullet, F.lit(GLUE)))
         .when(tag == "blockquote", F.concat(para, F.lit(QUOTE + GLUE)))

@@ -130,6 +130,75 @@ def extract_chart_specs(captures: DataFrame, limit: int | None = None) -> DataFr
     )
 
 
+def chart_objects(html: Column) -> Column:
+    """array<struct<start, raw, before>> of the objects around schema markers, in page order.
+
+    Pages without a marker come to Python as nulls.
+    """
+
+    @F.arrow_udf("array<struct<start:bigint,raw:string,before:string>>")
+    def found(pages: pa.Array) -> pa.Array:
+        rows = []
+        for page in pages:
+            text = page.as_py()
+            rows.append(
+                [
+                    {"start": s, "raw": text[s:e], "before": text[max(0, s - K.CHART_THEME_WINDOW) : s]}
+                    for s, e in _enclosing_objects(text)
+                ]
+                if text is not None
+                else None
+            )
+        kind = pa.struct([("start", pa.int64()), ("raw", pa.string()), ("before", pa.string())])
+        return pa.array(rows, pa.list_(kind))
+
+    return found(F.when(F.contains(html, F.lit(K.CHART_SCHEMA_MARKER)), html))
+
+
+def page_charts(objects: Column, limit: int | None = None) -> Column:
+    """The charts among a page's objects: array<struct<chart, json, title, theme, placeholder>>.
+
+    What extract_chart_specs() finds, inside the row: the escaped form is tried before the raw
+    one, equal specs count once, and a `limit` keeps the first charts.
+    """
+
+    def read(o: Column) -> Column:
+        plain = F.try_parse_json(F.replace(o["raw"], F.lit('\\"'), F.lit('"')))
+        forms = F.struct(
+            F.when(F.contains(o["raw"], F.lit('\\"')), plain).alias("a"),
+            F.try_parse_json(o["raw"]).alias("b"),
+        )
+        spec = lambda f: F.when(C.chart_renderable(f["a"]), f["a"]).when(
+            C.chart_renderable(f["b"]), f["b"]
+        )
+        themes = F.regexp_extract_all(o["before"], F.lit(K.CHART_THEME), F.lit(1))
+        theme = X.let(themes, lambda t: F.coalesce(F.lower(F.get(t, F.size(t) - 1)), F.lit(K.CHART_DEFAULT_THEME)))
+        return F.struct(F.to_json(X.let(forms, spec)).alias("json"), theme.alias("theme"))
+
+    charts = F.filter(F.transform(objects, read), lambda c: c["json"].isNotNull())
+    first = lambda all_: F.filter(
+        all_, lambda c, i: F.array_position(F.transform(all_, lambda x: x["json"]), c["json"]) == i + 1
+    )
+    distinct = X.let(charts, first)
+    if limit is not None:
+        distinct = F.slice(distinct, 1, limit)
+
+    def named(c: Column, i: Column) -> Column:
+        default = F.concat(F.lit(K.CHART_DEFAULT_TITLE), (i + 1).cast("string"))
+        return X.let(
+            C.chart_title(F.parse_json(c["json"]), default),
+            lambda title: F.struct(
+                i.cast("int").alias("chart"),
+                c["json"].alias("json"),
+                title.alias("title"),
+                c["theme"].alias("theme"),
+                C.chart_placeholder(title, i).alias("placeholder"),
+            ),
+        )
+
+    return F.transform(distinct, named)
+
+
 def chart_rows(specs: DataFrame) -> DataFrame:
     """The data a spec carries, one row per record: (page_id, chart, title, mark, row, record)."""
     name = F.try_variant_get("spec", "$.data.name", "string")

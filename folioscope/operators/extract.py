@@ -5,6 +5,8 @@ no second parse. A column used by a lambda is bound once with let(), so that mer
 projections can never move its computation into the lambda.
 """
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from folioscope.functions import urls as U
 from folioscope.functions.dom import attr
 from folioscope.functions.net import error_message, fetch_outcome
 from folioscope.functions.text import let
+from folioscope.operators.charts import chart_objects, chart_slots, page_charts, place_charts
 from folioscope.operators.shred import shred_html
 
 def sealed(df: DataFrame) -> DataFrame:
@@ -408,14 +411,23 @@ def main_content(captures: DataFrame) -> DataFrame:
 
 
 def with_markdown(pages: DataFrame) -> DataFrame:
-    """Add `markdown` to pages with anchors, images and main content."""
+    """Add `markdown` to pages with anchors, images and main content.
+
+    Pages with a column `charts` (see charts.page_charts) get the mark of the nth chart where
+    the nth empty box waits for one.
+    """
+    slots, marks = F.array().cast("array<int>"), F.array().cast("array<string>")
+    if "charts" in pages.columns:
+        slots = F.slice(chart_slots(F.col("nodes")), 1, F.coalesce(F.size("charts"), F.lit(0)))
+        marks = F.transform("charts", lambda c: c["placeholder"])
+    pages = pages.withColumn("_slots", F.coalesce(slots, F.array().cast("array<int>")))
 
     def visible(p: Column) -> Column:
         # Blank elements give no output, except those that hold an image, rule or code.
         media = F.transform(
             F.filter(p["kept"], lambda n: n["tag"].isin("img", "hr", "br")), lambda n: n["seq"]
         )
-        extra = F.concat(media, F.transform(p["images"], lambda i: i["seq"]))
+        extra = F.concat(media, F.transform(p["images"], lambda i: i["seq"]), p["slots"])
         return let(
             extra,
             lambda e: F.filter(
@@ -427,10 +439,14 @@ def with_markdown(pages: DataFrame) -> DataFrame:
             ),
         )
 
-    staged = pages.withColumn("kept", let(F.struct("kept", "images"), visible))
-    page = F.struct("nodes", "kept", "root", "images", "anchor_urls")
+    waiting = F.struct("kept", "images", F.col("_slots").alias("slots"))
+    staged = pages.withColumn("kept", let(waiting, visible))
+    page = F.struct(
+        "nodes", "kept", "root", "images", "anchor_urls",
+        F.col("_slots").alias("slots"), F.coalesce(marks, F.array().cast("array<string>")).alias("marks"),
+    )
     staged = staged.withColumn("_contexts", M.node_contexts(page))
-    return staged.withColumn("markdown", M.document(F.col("_contexts"))).drop("_contexts")
+    return staged.withColumn("markdown", M.document(F.col("_contexts"))).drop("_contexts", "_slots")
 
 
 # --- full extraction ------------------------------------------------------------------------
@@ -442,13 +458,23 @@ def cover_line() -> Column:
     return F.concat(F.lit("!["), alt, F.lit("]("), F.col("cover_image_url"), F.lit(")\n\n"))
 
 
-def extract(captures: DataFrame, max_bytes: int | None = None) -> DataFrame:
+def extract(
+    captures: DataFrame,
+    max_bytes: int | None = None,
+    chart_url: Callable[[Column], Column] | None = None,
+    max_charts: int | None = None,
+) -> DataFrame:
     """One extraction row per capture: page_id, url, html, status_code, content_type.
 
     A capture that was redirected names its last address in `final_url`; all addresses of
     the page are resolved from there. `cover_added` says whether the cover was put first.
     The whole chain is narrow. Failed captures, and those over `max_bytes` where it is given,
     are judged before parsing.
+
+    With `chart_url`, which gives the address of a drawn chart (see charts.page_charts), the
+    embedded charts, or the first `max_charts` of a page, are put into the Markdown: into the
+    boxes that wait for them, below their titles, or at the end. They come back in `charts`;
+    the plain text does not change.
     """
     size = F.octet_length("html")
     outcome = fetch_outcome(
@@ -463,7 +489,11 @@ def extract(captures: DataFrame, max_bytes: int | None = None) -> DataFrame:
         outcome.alias("fetch_error"),
         F.when(outcome.isNull(), F.col("html")).alias("html"),
     )
+    if chart_url is not None:
+        judged = judged.withColumn("_objects", chart_objects(F.col("html")))
     pages = shred_html(judged)
+    if chart_url is not None:
+        pages = pages.withColumn("charts", page_charts(F.col("_objects"), max_charts))
     nodes = F.col("nodes")
     resolved = with_resolved(pages, "metadata", "anchors", "images")
     rendered = with_markdown(with_main_content(resolved))
@@ -495,6 +525,7 @@ def extract(captures: DataFrame, max_bytes: int | None = None) -> DataFrame:
         F.col("main").isNotNull().alias("has_main"),
         "plain_text",
         "markdown",
+        *(["charts"] if chart_url is not None else []),
         X.non_empty(dom.collapsed_text(nodes, heading)).alias("heading"),
         X.non_empty(dom.collapsed_text(nodes, first_paragraph)).alias("excerpt"),
     )
@@ -503,6 +534,14 @@ def extract(captures: DataFrame, max_bytes: int | None = None) -> DataFrame:
         F.coalesce("page_title", "heading", "domain")
     )
     shown = judged.withColumn("title", title)
+    if chart_url is not None:
+        drawn = F.transform(
+            "charts",
+            lambda c: F.struct(
+                c["title"].alias("title"), chart_url(c).alias("local_url"), c["placeholder"].alias("placeholder")
+            ),
+        )
+        shown = shown.withColumn("markdown", place_charts(F.col("markdown"), drawn))
     no_image = ~F.col("markdown").rlike(r"(?i)!\[[^\]]*]\(https?://")
     covered = F.col("cover_image_url").isNotNull() & no_image
     with_cover = F.when(covered, F.concat(cover_line(), F.col("markdown"))).otherwise(
@@ -541,6 +580,7 @@ def extract(captures: DataFrame, max_bytes: int | None = None) -> DataFrame:
         message.alias("error_message"),
         F.col("status_code").alias("http_status_code"),
         (~failed & covered).alias("cover_added"),
+        *(["charts"] if chart_url is not None else []),
     )
     return sealed(result)
 

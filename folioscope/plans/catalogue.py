@@ -11,6 +11,7 @@ MODULES = (
     "page_queries",
     "media_queries",
     "stream_queries",
+    "snapshot_queries",
 )
 for _module in MODULES:
     importlib.import_module(f"folioscope.plans.{_module}")

@@ -542,6 +542,20 @@ def chart_slots_filled(spark, sf_dir):
     return matched.select("page_id", "chart", "placeholder", order.alias("slot"))
 
 
+_DRAWN = "CONCAT('![Sales ', CAST(p.page_id AS STRING), ' {0}](charts/', (SELECT " + _CHART_MARK + " FROM (SELECT p.page_id AS page_id, {0} - 1 AS c) k), '.svg)')"
+
+
+@query(
+    f"SELECT p.page_id, {PLAIN} AS plain_text, CONCAT_WS(CONCAT(CHR(10), CHR(10)), m.markdown, {_DRAWN.format(1)}, {_DRAWN.format(2)}) AS markdown_content, 2 AS charts "
+    f"FROM pages p LEFT JOIN ({MARKDOWN}) m ON m.page_id = p.page_id"
+)
+def extraction_with_charts(spark, sf_dir):
+    """From the captured page to the text with its charts in their places, in one job."""
+    drawn = lambda chart: F.concat(F.lit("charts/"), chart["placeholder"], F.lit(".svg"))
+    rows = E.extract(T.table(spark, sf_dir, CHART_PAGES), chart_url=drawn, max_charts=K.MAX_CHARTS)
+    return rows.select("page_id", "plain_text", "markdown_content", F.size("charts").cast("bigint").alias("charts"))
+
+
 PLACED = """
 SELECT doc_id, CAST(doc_id % 4 AS INT) AS kind, source, CONCAT('Start', CHR(10), CHR(10), 'MARK-', CAST(doc_id AS STRING), CHR(10), CHR(10), '## *Chart*  ', UPPER(source), CHR(10), CHR(10), 'The chart ', source, ' in a sentence.', CHR(10), text) AS md FROM documents
 """

@@ -290,6 +290,21 @@ def test_charts_beyond_a_limit_are_counted(spark):
     assert sorted((r.chart, r.left_out) for r in every) == [(i, 0) for i in range(15)]
 
 
+def test_charts_inside_the_row_are_those_of_the_table(spark):
+    spec = r'{"title":"T%d","$schema":"https://vega.github.io/schema/vega-lite/v5.json","data":{"values":[%d]},"mark":"bar"}'
+    pages = [
+        (1, '"theme":"PINK",' + " ".join(spec % (i % 9, i % 9) for i in range(15)) + (spec % (7, 70)).replace('"', r'\"')),
+        (2, "no chart here"), (3, '{"$schema":"https://vega.github.io/schema/vega-lite/v5.json"}'), (4, None), (5, ""),
+    ]
+    df = spark.createDataFrame(pages, "page_id long, html string")
+    for limit in (None, 4):
+        wanted = charts.extract_chart_specs(df, limit)
+        want = {(r.page_id, r.chart, r.title, r.theme, r.placeholder) for r in wanted.collect()}
+        inline = df.select("page_id", F.inline(charts.page_charts(charts.chart_objects(F.col("html")), limit)))
+        got = {(r.page_id, r.chart, r.title, r.theme, r.placeholder) for r in inline.collect()}
+        assert got == want and len(want) == (limit or 10)
+
+
 @pytest.mark.parametrize(
     "text, chart, expected",
     [

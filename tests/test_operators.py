@@ -14,6 +14,7 @@ from folioscope.schema import BOOKMARKS, LINKS, TAGS
 from folioscope.session import scratch_dir
 from folioscope.sources import archive as storing
 from folioscope.sources import captures as capturing
+from folioscope.sources import snapshot as bucketing
 from folioscope.streaming import admission
 from folioscope.streaming import lifecycle as streaming
 from folioscope.streaming import monitor
@@ -281,6 +282,28 @@ def small_archive(spark):
     return storing.make_archive(bookmarks, tags, links)
 
 
+def test_snapshot_in_buckets(spark, tmp_path):
+    a, root = small_archive(spark), str(tmp_path / "stored")
+    bucketing.write_snapshot(a, root, 4)
+    stored = bucketing.open_snapshot(spark, root)
+    for q in ("ALPHA", "100%", "a_x", "home", "zweiter", "b.example/2", "ÄPFEL", "äpfel", "be", "x", "nothing at all", " "):
+        assert values(stored.search(q), "id") == values(reading.search(a, q), "id"), q
+    assert values(stored.lookup(["b2", "b9"]), "id") == [("b2",)]
+    listed = reading.list_bookmarks(a, sort="title")[0]
+    assert values(stored.list_page(sort="title"), "id") == values(listed, "id")
+    assert stored.list_page(q="nothing at all").isEmpty()
+
+    # The only bookmark of a bucket goes, another bucket is left as it is.
+    files = lambda: {r.id: r.f for r in stored.table("bookmarks").select("id", F.col("_metadata.file_name").alias("f")).collect()}
+    before, gone = files(), spark.createDataFrame([("b1",)], "bookmark_id string")
+    purge = lambda part: changes.purge(changes.soft_delete(part, gone, F.lit(DAY)).archive, F.lit(DAY + datetime.timedelta(days=1)))
+    change = stored.update(gone, purge, ("bookmarks", "links"))
+    assert values(change.removed, "id") == [("b1",)]
+    assert files() == {"b2": before["b2"]} and stored.search("ALPHA").isEmpty()
+    assert values(stored.archive().links, "bookmark_id", "tag_id") == [("b2", "t1"), ("b2", "t2")]
+    assert changes.audit(stored.archive()).isEmpty()
+
+
 def test_search_covers_fields_and_tags(spark):
     a = small_archive(spark)
     for q, want in {"ALPHA": "b1", "100%": "b1", "a_x": "b2", "home": "b2", "zweiter": "b2", "b.example/2": "b2"}.items():
