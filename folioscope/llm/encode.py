@@ -1,26 +1,154 @@
-"""Token ids by the tokenizers library, with a memory of words.
+"""Token ids by byte-level pair merging, with a memory of words; equal to the tokenizers library.
 
 Both kinds of public vocabulary files used here treat the words of a text independently if
-the text is cut before single spaces. A word that is new to a worker is cut into pre-tokens
-and tokenized by the library's own model; whatever is not plain Latin goes through the whole
-library pipeline. The memory is bounded: it is emptied when full, which costs time only.
+the text is cut before single spaces. The ids of all words seen lie in one flat array; a batch
+of texts becomes one list of word numbers and its ids one gather from that array. Words that
+are new to a worker are cut into pre-tokens, whose pairs are merged in all of them at once;
+whatever is not plain Latin goes through the library. The memory is bounded: it is emptied
+when full, which costs time only.
 """
 
 import json
 from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 import regex
 from tokenizers import Tokenizer
 
 from folioscope.llm.token_counts import PRE_TOKENS, beside_blank, byte_alphabet
 
+#: Words and parts of words remembered by a worker.
 MEMORY = 700_000
 #: Up to here letters, case and composition are the same in all versions of Unicode.
 LATIN_END = "ɐ"
+#: Marks that often end a word; one or more of them are one pre-token in both kinds of files.
+TAILS = ".,;:!?)"
+NEVER = np.iinfo(np.int64).max
+MIX = np.uint64(0x9E3779B97F4A7C15)
+ODD = -1
+
+
+class Merges:
+    """The pair merges of a vocabulary file, applied to many byte strings at once."""
+
+    def __init__(self, model: dict):
+        ids, suffix = model["vocab"], model["end_of_word_suffix"] or ""
+        pairs = [p.split(" ") if isinstance(p, str) else p for p in model["merges"]]
+        left = np.array([ids[a] for a, _ in pairs], dtype=np.int64)
+        right = np.array([ids[b] for _, b in pairs], dtype=np.int64)
+        results = np.array([ids[a + b] for a, b in pairs], dtype=np.int64)
+        self.table(left << 32 | right, results)
+        self.inner = np.array([ids[c] for c in byte_alphabet()], dtype=np.int64)
+        self.final = np.array([ids[c + suffix] for c in byte_alphabet()], dtype=np.int64)
+
+    def table(self, keys: np.ndarray, results: np.ndarray) -> None:
+        """A hash table of the pairs with free slots between them: key, rank, merged symbol."""
+        self.shift = np.uint64(64 - max(4, len(keys).bit_length() + 2))
+        size = 1 << 64 - int(self.shift)
+        self.keys = np.full(size + len(keys), -1, dtype=np.int64)
+        self.ranks = np.full(len(self.keys), NEVER, dtype=np.int64)
+        self.results = np.zeros(len(self.keys), dtype=np.int64)
+        waiting, slots = np.arange(len(keys)), self.slots(keys)
+        while len(waiting):
+            free = self.keys[slots] < 0
+            self.keys[slots[free]] = keys[waiting[free]]
+            placed = self.keys[slots] == keys[waiting]
+            self.ranks[slots[placed]] = waiting[placed]
+            self.results[slots[placed]] = results[waiting[placed]]
+            waiting, slots = waiting[~placed], slots[~placed] + 1
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * MIX >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The slot of each pair, or a free one."""
+        slots = self.slots(keys)
+        held = self.keys[slots]
+        other = np.flatnonzero((held != keys) & (held >= 0))
+        while len(other):
+            slots[other] += 1
+            held = self.keys[slots[other]]
+            other = other[(held != keys[other]) & (held >= 0)]
+        return slots
+
+    def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, count of ids of each); words are not empty.
+
+        Each round applies every word's lowest-rank pair wherever it stands in the word.
+        """
+        sizes = np.array([len(w) for w in words], dtype=np.int64)
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        symbols, ends = self.inner[raw], np.cumsum(sizes)
+        symbols[ends - 1] = self.final[raw[ends - 1]]
+        owner = np.repeat(np.arange(len(words)), sizes)
+        counts = np.zeros(len(words), dtype=np.int64)
+        done_symbols, done_owners = [], []
+        while len(symbols):
+            keys = symbols[:-1] << 32 | symbols[1:]
+            found = self.find(keys)
+            ranks = np.append(self.ranks[found], NEVER)
+            ranks[:-1][owner[:-1] != owner[1:]] = NEVER
+            starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+            lengths = np.diff(np.append(starts, len(symbols)))
+            lowest = np.minimum.reduceat(ranks, starts)
+            ready = lowest == NEVER
+            if ready.any():
+                counts[owner[starts[ready]]] = lengths[ready]
+                over = np.repeat(ready, lengths)
+                done_symbols.append(symbols[over])
+                done_owners.append(owner[over])
+            chosen = np.flatnonzero((ranks == np.repeat(lowest, lengths)) & (ranks != NEVER))
+            if not len(chosen):
+                break
+            # In a run such as a-a-a the pairs overlap: take every second one from its left.
+            place = np.arange(len(chosen))
+            first = np.maximum.accumulate(np.where(np.append(True, np.diff(chosen) != 1), place, 0))
+            chosen = chosen[(place - first) % 2 == 0]
+            symbols[chosen] = self.results[found[chosen]]
+            stay = np.repeat(~ready, lengths)
+            stay[chosen + 1] = False
+            symbols, owner = symbols[stay], owner[stay]
+        if not done_symbols:
+            return np.zeros(0, dtype=np.uint32), counts
+        order = np.argsort(np.concatenate(done_owners), kind="stable")
+        return np.concatenate(done_symbols)[order].astype(np.uint32), counts
+
+
+class Memory:
+    """Runs of ids in one flat array, by number."""
+
+    def __init__(self):
+        self.ids = np.zeros(1 << 16, dtype=np.uint32)
+        self.starts = np.zeros(1 << 14, dtype=np.int64)
+        self.counts = np.zeros(1 << 14, dtype=np.int64)
+        self.used = self.size = 0
+
+    def add(self, ids: np.ndarray, counts: np.ndarray) -> int:
+        """Append runs; the number of the first."""
+        first, past, used = self.size, self.size + len(counts), self.used + len(ids)
+        while past > len(self.starts):
+            self.starts = np.append(self.starts, np.zeros_like(self.starts))
+            self.counts = np.append(self.counts, np.zeros_like(self.counts))
+        while used > len(self.ids):
+            self.ids = np.append(self.ids, np.zeros_like(self.ids))
+        self.ids[self.used : used] = ids
+        self.counts[first:past] = counts
+        self.starts[first:past] = self.used + np.cumsum(counts) - counts
+        self.size, self.used = past, used
+        return first
+
+    def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the runs `numbers`, one after the other, count of each)."""
+        counts = self.counts[numbers]
+        ends = np.cumsum(counts)
+        total = int(ends[-1]) if len(ends) else 0
+        at = np.arange(total) + np.repeat(self.starts[numbers] - (ends - counts), counts)
+        return self.ids[at], counts
 
 
 class Encoder:
-    """Encodes texts to little-endian 32-bit ids, without added begin or end tokens."""
+    """Encodes texts to ids, without added begin or end tokens."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
@@ -30,74 +158,124 @@ class Encoder:
             spec = json.load(file)
         before = spec["pre_tokenizer"] or {}
         steps = before.get("pretokenizers", [before])
-        self.special = [x["content"][:2] for x in spec["added_tokens"]]
+        self.marks = {x["content"][:2] for x in spec["added_tokens"]}
         self.by_word = spec["normalizer"] is not None and steps[0].get("type") == "Split"
         self.by_byte = spec["normalizer"] is None and steps[0].get("type") == "ByteLevel"
         self.cut = regex.compile(steps[0]["pattern"]["Regex"] if self.by_word else PRE_TOKENS)
-        self.lead = byte_alphabet()[32] if self.by_byte else ""
-        self.model = self.tokenizer.model
-        self.alphabet = dict(enumerate(byte_alphabet()))
-        self.id_bytes = [
-            i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size(True) + 1)
-        ]
-        self.words: dict[str, bytes | None] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def pipeline(self, texts: list[str]) -> list[bytes]:
+        self.merges = Merges(spec["model"]) if self.by_word or self.by_byte else None
+        self.forget()
+
+    def forget(self) -> None:
+        self.memory = Memory()
+        #: Numbers of words as they stand between spaces; behind a space, of the first of a text.
+        self.words: dict[str, int] = {}
+        #: Numbers of pre-tokens without a space before them.
+        self.parts: dict[str, int] = {}
+
+    def library(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of whole texts by the library."""
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [b"".join([self.id_bytes[i] for i in x.ids]) for x in found]
-
-    def tokenized(self, spelled: str) -> bytes:
-        """Ids of one pre-token in the vocabulary's spelling, by the library's model."""
-        return b"".join([self.id_bytes[t.id] for t in self.model.tokenize(spelled)])
-
-    def part(self, text: str) -> bytes:
-        """Ids of one of several pre-tokens of a word."""
-        ids = self.parts.get(text)
-        if ids is None:
-            if len(self.parts) >= MEMORY // 4:
-                self.parts.clear()
-            spelled = text.encode().decode("latin-1").translate(self.alphabet)
-            ids = self.parts[text] = self.tokenized(spelled)
-        return ids
-
-    def word(self, text: str) -> bytes | None:
-        """Ids of what stands between single spaces, the first included if it counts.
-
-        None if the text can't be cut beside this word.
-        """
-        if text.isascii() and text.isalpha():
-            return self.tokenized(self.lead + (text.lower() if self.by_word else text))
-        if self.by_byte and beside_blank(text):
-            return None
-        return self.mixed(" " + text if self.by_byte else text)
-
-    def mixed(self, text: str) -> bytes:
-        """Ids of a cut-off text that may have several pre-tokens."""
-        if not text:
-            return b""
-        if not text.isascii() and max(text) >= LATIN_END or any(s in text for s in self.special):
-            return self.pipeline([text])[0]
-        return b"".join(map(self.part, self.cut.findall(text.lower() if self.by_word else text)))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text."""
-        if not (self.by_word or self.by_byte):
-            return self.pipeline(texts)
-        words, done = self.words, []
-        for text in texts:
-            head, *rest = text.split(" ")
-            if len(words) >= MEMORY:
-                words.clear()
-            for new in set(rest).difference(words):
-                words[new] = self.word(new)
-            found = list(map(words.__getitem__, rest))
-            if None in found or self.by_byte and rest and beside_blank(head):
-                done.append(self.pipeline([text])[0])
+        return [np.array(x.ids, dtype=np.uint32) for x in found]
+
+    def learn(self, words: list[str]) -> None:
+        """Give numbers to new words."""
+        known, parts, size = self.words, self.parts, self.memory.size
+        lower, blank = self.by_word, " " * self.by_byte
+        fresh: list[str] = []
+        # Words of several pre-tokens, the numbers of these, how many each has.
+        joined, numbers, sizes = [], [], []
+        foreign: list[tuple[str, str]] = []
+
+        def number(part: str, among: dict[str, int], spelled: str) -> int:
+            found = among.get(part)
+            if found is None:
+                found = among[part] = size + len(fresh)
+                fresh.append(spelled)
+            return found
+
+        for word in words:
+            if word[:1] == " ":
+                text, lead, alike = word[1:], "", parts
+            else:
+                text, lead, alike = word, blank, known
+            latin = text.isascii() or max(text) < LATIN_END
+            if latin and lower:
+                text = text.lower()
+            if latin and text.isalpha():
+                known[word] = number(text, alike, lead + text)
+                continue
+            core = text.rstrip(TAILS)
+            if latin and core.isalpha():
+                tail = text[len(core) :]
+                found = [number(core, alike, lead + core), number(tail, parts, tail)]
+            elif lead and beside_blank(text):
+                known[word] = ODD
+                continue
+            elif not latin or any(mark in text for mark in self.marks):
+                foreign.append((word, lead + text))
+                continue
             else:
-                done.append(b"".join([self.mixed(head), *found]))
-        return done
+                found = [number(x, parts, x) for x in self.cut.findall(lead + text)]
+            joined.append(word)
+            numbers += found
+            sizes.append(len(found))
+        if fresh:
+            self.memory.add(*self.merges.merge([x.encode() for x in fresh]))
+        if joined:
+            ids, counts = self.memory.gather(np.array(numbers, dtype=np.int64))
+            ends = np.append(0, np.cumsum(counts))[np.cumsum([0, *sizes])]
+            first = self.memory.add(ids, np.diff(ends))
+            known.update(zip(joined, range(first, first + len(joined))))
+        if foreign:
+            runs = self.library([text for _, text in foreign])
+            first = self.memory.add(np.concatenate(runs), np.array([len(x) for x in runs]))
+            known.update((w, first + k) for k, (w, _) in enumerate(foreign))
+
+    def encode(self, texts: list[str], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, one after the other, each closed by `end_id`; where each ends)."""
+        close = np.array([] if end_id is None else [end_id], dtype=np.uint32)
+        if not (self.by_word or self.by_byte):
+            return joined_runs(self.library(texts), close)
+        cut = [text.split(" ") for text in texts]
+        odd = []
+        if self.by_byte:
+            for k, words in enumerate(cut):
+                if len(words) > 1 and beside_blank(words[0]):
+                    odd.append(k)
+                words[0] = " " + words[0]
+        words = list(chain.from_iterable(cut))
+        found = list(map(self.words.get, words))
+        if self.memory.size > MEMORY:
+            self.forget()
+            found = [None] * len(words)
+        missing = [k for k, n in enumerate(found) if n is None]
+        if missing:
+            self.learn(list(dict.fromkeys([words[k] for k in missing])))
+            for k in missing:
+                found[k] = self.words[words[k]]
+        numbers = np.array(found, dtype=np.int64)
+        ends = np.cumsum([len(w) for w in cut])
+        # Text k is odd if a number below zero is among its own.
+        strange = np.unique(np.searchsorted(ends, np.flatnonzero(numbers == ODD), side="right"))
+        odd = sorted({*odd, *strange.tolist()})
+        numbers[numbers == ODD] = 0
+        ids, counts = self.memory.gather(numbers) if self.memory.size else (close[:0], numbers * 0)
+        ends = np.append(0, np.cumsum(counts))[np.append(0, ends)]
+        if not odd:
+            past = ends[1:]
+            closed = np.insert(ids, np.repeat(past, len(close)), np.tile(close, len(texts)))
+            return closed, past + len(close) * np.arange(1, len(texts) + 1)
+        runs = [ids[a:b] for a, b in zip(ends, ends[1:])]
+        for k, run in zip(odd, self.library([texts[k] for k in odd])):
+            runs[k] = run
+        return joined_runs(runs, close)
+
+
+def joined_runs(runs: list[np.ndarray], close: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of ids, each with `close` behind it, in one array; where each ends."""
+    closed = [np.append(run, close) for run in runs]
+    ids = np.concatenate(closed) if closed else np.zeros(0, dtype=np.uint32)
+    return ids.astype(np.uint32), np.cumsum([len(x) for x in closed], dtype=np.int64)
 
 
 @lru_cache(maxsize=2)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from folioscope.llm.encode import encoder
 
 OPEN = 48
-ID_BYTES = 4
+TOGETHER = 128
 
 
 @dataclass(frozen=True)
@@ -39,23 +39,16 @@ class Piece:
     length: int
     quiet: int
     total: int
-    ids: bytes
+    ids: np.ndarray
 
     def loss(self) -> int:
         return max(0, self.start + self.length - max(self.start, self.quiet))
 
     def split(self, length: int) -> tuple["Piece", "Piece"]:
-        cut = length * ID_BYTES
+        left, start = self.length - length, self.start + length
         return (
-            Piece(self.doc, self.start, length, self.quiet, self.total, self.ids[:cut]),
-            Piece(
-                self.doc,
-                self.start + length,
-                self.length - length,
-                self.quiet,
-                self.total,
-                self.ids[cut:],
-            ),
+            Piece(self.doc, self.start, length, self.quiet, self.total, self.ids[:length]),
+            Piece(self.doc, start, left, self.quiet, self.total, self.ids[length:]),
         )
 
 
@@ -151,7 +144,6 @@ def pack(
         F.col(text_col).alias("text"),
         quiet.cast("long").alias("quiet"),
     )
-    end = end_id.to_bytes(ID_BYTES, "little")
     names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +155,8 @@ def pack(
             for pieces in packer.closed:
                 offset = 0
                 for p in pieces:
-                    rows.append((p.doc, p.start, p.length, p.total, number, offset, p.ids))
+                    ids = p.ids.tobytes()
+                    rows.append((p.doc, p.start, p.length, p.total, number, offset, ids))
                     offset += p.length
                 number += 1
             packer.closed = []
@@ -173,14 +166,20 @@ def pack(
                     [pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names
                 )
 
-        for batch in batches:
-            docs, starts = batch["doc_id"].to_pylist(), batch["quiet"].to_pylist()
-            for doc, text, quiet in zip(docs, batch["text"], starts):
-                ids = encoder(path).encode([text.as_py() or ""])[0] + end
-                count = len(ids) // ID_BYTES
-                packer.add(Piece(doc, 0, count, quiet, count, ids))
-                if len(packer.closed) >= 256:
-                    yield from closed()
+        coder = encoder(path)
+        for whole in batches:
+            for at in range(0, whole.num_rows, TOGETHER):
+                batch = whole.slice(at, TOGETHER)
+                docs, starts = batch["doc_id"].to_pylist(), batch["quiet"].to_pylist()
+                ids, ends = coder.encode([t or "" for t in batch["text"].to_pylist()], end_id)
+                ids, first = ids.astype("<u4"), 0
+                for doc, quiet, past in zip(docs, starts, ends.tolist()):
+                    count = past - first
+                    # A copy, so that an open piece does not hold the ids of its whole batch.
+                    packer.add(Piece(doc, 0, count, quiet, count, ids[first:past].copy()))
+                    first = past
+                    if len(packer.closed) >= 256:
+                        yield from closed()
         packer.finish()
         yield from closed()
 

@@ -8,6 +8,7 @@ of the counts alone skips the rest by statistics and page indexes.
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -41,28 +42,22 @@ def encode_documents(
         .repartitionByRange(F.col("doc_id").asc_nulls_first())
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first())
     )
-    end = end_id.to_bytes(4, "little")
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, coder = TaskContext.get().partitionId(), encoder(path)
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                texts = [t or "" for t in batch["text"].to_pylist()]
-                ids = [x + end for x in coder.encode(texts)]
-                counts = [len(x) // 4 for x in ids]
-                ends = [0]
-                for n in counts:
-                    ends.append(ends[-1] + n)
-                values = pa.Array.from_buffers(
-                    pa.int32(), ends[-1], [None, pa.py_buffer(b"".join(ids))]
-                )
+                ids, ends = coder.encode([t or "" for t in batch["text"].to_pylist()], end_id)
+                ends = np.append(0, ends)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([shard] * len(ids), pa.int32()),
+                        pa.array(np.full(batch.num_rows, shard), pa.int32()),
                         batch["doc_id"],
-                        pa.array(counts, pa.int64()),
-                        pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values),
+                        pa.array(np.diff(ends), pa.int64()),
+                        pa.ListArray.from_arrays(
+                            pa.array(ends, pa.int32()), pa.array(ids.view(np.int32))
+                        ),
                     ],
                     names=["shard", "doc_id", "n_tokens", "tokens"],
                 )
