@@ -85,7 +85,8 @@ def drop_common_lines(
         F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("version")
     )
     lines = cut(hashed_lines(rows, rules))
-    common = common_lines(lines, rules).select("low", "high", "keeper")
+    # Written, so that the join deals the lines out anew and can split a line that many have.
+    common = cut(common_lines(lines, rules).select("low", "high", "keeper"))
     dropped = (
         lines.join(common, ["low", "high"])
         .where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
