@@ -181,7 +181,12 @@ BOILERPLATE_TAGS = ("nav", "aside", "header", "footer")
 # --- embedded charts ----------------------------------------------------------------
 CHART_SCHEMA_MARKER = "https://vega.github.io/schema/vega-lite"
 MAX_CHARTS = 12
-CHART_THEME_WINDOW = 8_000
+CHART_THEME_WINDOW = 8_000  # characters before a chart that may name its theme
+SUMMARY_CHARACTERS = 160
+FILENAME_CHARACTERS = 80
+LOGIN_WORDS_WITHIN = 1200  # first characters in which words of a login page count
+IMAGE_HEAD_BYTES = 256  # first bytes in which an SVG must begin
+CHARSET_HEAD_BYTES = 1024  # first bytes in which a <meta> may name the character set
 CHART_THEME = r'(?i)\\?"theme\\?"\s*:\s*\\?"(blue|yellow|orange|green|pink|gray)\\?"'
 CHART_DEFAULT_THEME = "blue"
 CHART_PLACEHOLDER = "BOOKMARK-DYNAMIC-CHART"

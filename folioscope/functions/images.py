@@ -7,11 +7,11 @@ from folioscope import constants as K
 from folioscope.functions.text import js_trim
 
 
-def detect_image_type(body: Column) -> Column:
-    """File extension by magic bytes, or null."""
+def detect_image_type(body: Column, head_bytes: int = K.IMAGE_HEAD_BYTES) -> Column:
+    """File extension by magic bytes, or null; an SVG begins within the first `head_bytes`."""
     head = F.hex(F.substring(body, 1, 12))
     # Only the first bytes matter for SVG; latin-1 keeps every byte readable.
-    start = F.lower(js_trim(F.decode(F.substring(body, 1, 256), "ISO-8859-1")))
+    start = F.lower(js_trim(F.decode(F.substring(body, 1, head_bytes), "ISO-8859-1")))
     start = F.regexp_replace(start, "^\xef\xbb\xbf", "")
     return (
         F.when(head.startswith("89504E470D0A1A0A"), "png")

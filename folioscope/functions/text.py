@@ -131,11 +131,18 @@ def matching_excerpt(note: Column, plain: Column, md: Column, q: str) -> Column:
     return F.coalesce(*[_excerpt(c, q) for c in (note, plain, md)])
 
 
-def summary(excerpt: Column, description: Column, plain: Column, status: Column) -> Column:
+def summary(
+    excerpt: Column,
+    description: Column,
+    plain: Column,
+    status: Column,
+    characters: int = K.SUMMARY_CHARACTERS,
+) -> Column:
+    """The excerpt, else the description, else the first `characters` of the text."""
     return F.coalesce(
         non_empty(excerpt),
         non_empty(js_trim(description)),
-        non_empty(F.substring(js_trim(plain), 1, 160)),
+        non_empty(F.substring(js_trim(plain), 1, characters)),
         F.when(status == "pending", K.PENDING_SUMMARY).otherwise(K.EMPTY_SUMMARY),
     )
 
@@ -184,12 +191,20 @@ def text_stats(text: Column) -> Column:
     )
 
 
-def content_quality(text: Column, paragraphs: Column, has_password: Column) -> Column:
-    """Null when the text is good enough, else JS_REQUIRED or CONTENT_TOO_SHORT."""
+def content_quality(
+    text: Column,
+    paragraphs: Column,
+    has_password: Column,
+    login_within: int = K.LOGIN_WORDS_WITHIN,
+) -> Column:
+    """Null when the text is good enough, else JS_REQUIRED or CONTENT_TOO_SHORT.
+
+    Words of a login page count within the first `login_within` characters of a short text.
+    """
 
     def judge(normalized: Column) -> Column:
         size = utf16_length(normalized)
-        login_words = F.substring(normalized, 1, 1200).rlike(K.LOGIN_WORDS)
+        login_words = F.substring(normalized, 1, login_within).rlike(K.LOGIN_WORDS)
         login = has_password | ((size < 800) & login_words)
         valid = (
             (english_words(normalized) >= 80)
@@ -238,9 +253,10 @@ def split_tag_names(text: Column) -> Column:
     return F.array_distinct(F.filter(trimmed, lambda name: F.length(name) > 0))
 
 
-def safe_filename(title: Column) -> Column:
+def safe_filename(title: Column, characters: int = K.FILENAME_CHARACTERS) -> Column:
+    """A title as the name of a file, of at most `characters`."""
     cleaned = collapse_space(F.regexp_replace(title, K.UNSAFE_FILENAME, "-"))
-    return F.coalesce(non_empty(F.substring(cleaned, 1, 80)), F.lit("bookmark"))
+    return F.coalesce(non_empty(F.substring(cleaned, 1, characters)), F.lit("bookmark"))
 
 
 def sha_prefix(value: Column, length: int, upper: bool = False) -> Column:

@@ -37,9 +37,10 @@ def _enclosing_objects(page: str) -> list[tuple[int, int]]:
     return sorted(found)
 
 
-def chart_candidates(captures: DataFrame) -> DataFrame:
+def chart_candidates(captures: DataFrame, theme_window: int = K.CHART_THEME_WINDOW) -> DataFrame:
     """(page_id, start, raw, before) for each object around a schema marker.
 
+    `before` holds the `theme_window` characters before the object, where its theme is named.
     Pages without a marker are filtered in the JVM and never reach Python.
     """
     schema = T.StructType(
@@ -63,7 +64,7 @@ def chart_candidates(captures: DataFrame) -> DataFrame:
                         pa.array([s for s, _ in hits], pa.int64()),
                         pa.array([text[s:e] for s, e in hits], pa.string()),
                         pa.array(
-                            [text[max(0, s - K.CHART_THEME_WINDOW) : s] for s, _ in hits],
+                            [text[max(0, s - theme_window) : s] for s, _ in hits],
                             pa.string(),
                         ),
                     ]
@@ -130,7 +131,7 @@ def extract_chart_specs(captures: DataFrame, limit: int | None = None) -> DataFr
     )
 
 
-def chart_objects(html: Column) -> Column:
+def chart_objects(html: Column, theme_window: int = K.CHART_THEME_WINDOW) -> Column:
     """array<struct<start, raw, before>> of the objects around schema markers, in page order.
 
     Pages without a marker come to Python as nulls.
@@ -143,7 +144,7 @@ def chart_objects(html: Column) -> Column:
             text = page.as_py()
             rows.append(
                 [
-                    {"start": s, "raw": text[s:e], "before": text[max(0, s - K.CHART_THEME_WINDOW) : s]}
+                    {"start": s, "raw": text[s:e], "before": text[max(0, s - theme_window) : s]}
                     for s, e in _enclosing_objects(text)
                 ]
                 if text is not None

@@ -320,6 +320,17 @@ FROM pages CROSS JOIN (SELECT 1 AS n UNION ALL SELECT 2 UNION ALL SELECT 3) k
 """
 
 
+# The same addresses with the given pages behind them: the links stand at the end of the article.
+LINKED = SERIES.replace(
+    SERIES[SERIES.index("  CONCAT('<html><head>") : SERIES.index("    '<p>', CASE WHEN n > 1")],
+    "  REPLACE(html, '</article>', CONCAT(\n",
+).replace("</a></p></article></body></html>') AS html", "</a></p></article>')) AS html")
+
+
+def linked(spark, sf_dir):
+    return T.table(spark, sf_dir, LINKED)
+
+
 def series(spark, sf_dir):
     return T.table(spark, sf_dir, SERIES)
 
@@ -329,7 +340,7 @@ def series(spark, sf_dir):
     "FROM pages CROSS JOIN (SELECT '' AS f, 2 AS n UNION ALL SELECT '_2', 3 UNION ALL SELECT '_3', 2) k"
 )
 def follow_up_pages(spark, sf_dir):
-    links = E.extract_links(shred_html(series(spark, sf_dir)))
+    links = E.extract_links(shred_html(linked(spark, sf_dir)))
     return P.discover_pages(links, K.MAX_SERIES_PAGES).select("page_url", "url", "page_number")
 
 
@@ -342,7 +353,7 @@ _HOME = "CONCAT('https://s.example/a', CAST(page_id AS STRING), '.html')"
     "FROM pages CROSS JOIN (SELECT '' AS f, 1 AS n UNION ALL SELECT '_2', 2 UNION ALL SELECT '_3', 3) k"
 )
 def reachable_pages(spark, sf_dir):
-    captures = series(spark, sf_dir)
+    captures = linked(spark, sf_dir)
     roots = captures.where("page_id % 10 = 1").select("url")
     edges = P.discover_pages(E.extract_links(shred_html(captures)), K.MAX_SERIES_PAGES)
     return P.follow_pages(roots, edges, K.MAX_SERIES_PAGES)

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
+from folioscope import constants as K
 from folioscope.schema import CAPTURES
 
 # Encoding labels of the web whose meaning differs from Python's codec of that name.
@@ -89,8 +90,13 @@ def _label(text: Column, pattern: str) -> Column:
     return F.nullif(cleaned, F.lit(""))
 
 
-def charset_candidates(body: Column, content_type: Column) -> Column:
-    """Comma-separated labels in the order to try: byte-order mark, header, <meta>, utf-8."""
+def charset_candidates(
+    body: Column, content_type: Column, head_bytes: int = K.CHARSET_HEAD_BYTES
+) -> Column:
+    """Comma-separated labels in the order to try: byte-order mark, header, <meta>, utf-8.
+
+    A <meta> counts if it stands within the first `head_bytes`.
+    """
     start = F.hex(F.substring(body, 1, 3))
     bom = (
         F.when(start == "EFBBBF", "utf-8")
@@ -98,7 +104,7 @@ def charset_candidates(body: Column, content_type: Column) -> Column:
         .when(start.startswith("FEFF"), "utf-16be")
     )
     header = _label(content_type, rf"(?i)(?:^|;)\s*charset\s*=\s*{_QUOTED}")
-    prefix = F.decode(F.substring(body, 1, 1024), "ISO-8859-1")
+    prefix = F.decode(F.substring(body, 1, head_bytes), "ISO-8859-1")
     meta = _label(prefix, rf"(?i)<meta\b[^>]*\bcharset\s*=\s*{_META_QUOTED}")
     return F.concat_ws(",", bom, header, meta, F.lit("utf-8"))
 
