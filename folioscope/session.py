@@ -33,10 +33,12 @@ def configure(spark: SparkSession) -> SparkSession:
 def scratch_dir(spark: SparkSession) -> str:
     """A fresh folder below the shared folder named by `spark.checkpoint.dir`.
 
-    Where that setting is empty, the warehouse is used: all executors reach it too.
+    Only on one machine, as in tests, may that setting be empty; then the warehouse is used.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         shared = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
 
