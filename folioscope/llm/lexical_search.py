@@ -54,12 +54,13 @@ class Ranking:
 @dataclass(frozen=True)
 class Sizes:
     """Bounds of what a task holds: documents and term entries of a segment, postings and query
-    terms looked at together. They don't change results."""
+    terms looked at together, counts of strata sent to all tasks. They don't change results."""
 
     segment_docs: int = 4096
     segment_entries: int = 2_000_000
     held_postings: int = 4_000_000
     block_terms: int = 100_000
+    sent_strata: int = 50_000
 
 
 def terms_of(text: str | None) -> list[bytes]:
@@ -93,6 +94,7 @@ class Segment:
     """Documents of one stratum whose postings are being gathered."""
 
     m: int
+    share: int
     ids: list[int | None] = field(default_factory=list)
     numbers: dict[bytes, int] = field(default_factory=dict)
     terms: list[np.ndarray] = field(default_factory=list)
@@ -161,8 +163,9 @@ def build_index(
 ) -> Index:
     """Write the index of all documents to the new folder `folder`.
 
-    Documents are dealt by range of (m, a hash), so a stratum of any size spreads over many
-    partitions; a run of equal m in a partition is cut into segments.
+    A stratum is dealt by hash into as many shares as its documents and term entries ask for,
+    so that one of any size spreads and shares hold about equal amounts; a share that is over
+    the bounds all the same is cut into segments of its own.
 
     Null texts have no terms and, like others without a term, are not indexed or counted. Rows
     are documents of their own, whether their ids repeat or are null. An empty table gives an
@@ -173,27 +176,34 @@ def build_index(
     count_terms(docs, id_col, text_col).write.parquet(counted)
     rows = spark.read.parquet(counted)
     n_docs, n_terms = rows.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    rows = rows.withColumn("m", ranking.normaliser(F.col("n"), n_docs, n_terms))
+    entries = F.sum(F.octet_length("tfs") / 4)
+    needed = F.greatest(F.count("*") / sizes.segment_docs, 4 * entries / sizes.segment_entries)
+    strata = cut(rows.groupBy("m").agg((1 + F.floor(needed)).cast("long").alias("shares")))
+    if strata.count() <= sizes.sent_strata:
+        strata = F.broadcast(strata)
+    spread = F.xxhash64("doc_id", F.crc32("terms"))
     dealt = (
-        rows.withColumn("m", ranking.normaliser(F.col("n"), n_docs, n_terms))
-        .withColumn("spread", F.xxhash64("doc_id", F.crc32("terms")))
-        .repartitionByRange("m", "spread")
-        .sortWithinPartitions("m", "spread", "doc_id")
-        .select("m", "doc_id", "terms", "tfs")
+        rows.join(strata, "m")
+        .withColumn("share", F.pmod(spread, F.col("shares")))
+        .repartition("m", "share")
+        .sortWithinPartitions("m", "share", "doc_id")
+        .select("m", "share", "doc_id", "terms", "tfs")
     )
 
     def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held = TaskContext.get().partitionId() << 32, None
         for batch in batches:
-            columns = [batch[c].to_pylist() for c in ("m", "doc_id", "terms", "tfs")]
-            for m, id_, terms, tfs in zip(*columns):
+            columns = [batch[c].to_pylist() for c in ("m", "share", "doc_id", "terms", "tfs")]
+            for m, share, id_, terms, tfs in zip(*columns):
                 if held and (
-                    m != held.m
+                    (m, share) != (held.m, held.share)
                     or len(held.ids) >= sizes.segment_docs
                     or held.entries >= sizes.segment_entries
                 ):
                     yield held.postings(number)
                     number, held = number + 1, None
-                held = held or Segment(m)
+                held = held or Segment(m, share)
                 held.add(id_, terms, tfs)
         if held:
             yield held.postings(number)
