@@ -1,15 +1,17 @@
 """Substring dedup by level-wise doubling.
 
-A window of `window` words can only repeat if its halves do. Level one looks at windows of
-half the length (7 for 13) and, of each full window, only at the half-window with the
-smallest hash: equal windows choose the same one, so a quarter of the places is enough.
-Full windows (twice as long, cut to `window`) are compared only where that half-window
-occurs in several documents. Longer levels add nothing: all words of a longer repeat lie
-in repeated windows of this length.
-
-Documents are dealt into parts of about `part_docs`. A part sends each hash once, sorted into
-arrays by range, to the bucket that compares it: a passage found in a third of all documents
-reaches its bucket once per part, and what is shuffled is eight bytes per candidate.
+A window of `window` words can only repeat if what it contains does. Level one looks at short
+windows and, of each full window, only at the one with the smallest hash: equal windows choose
+the same one, so a part of the places is enough. Where that occurs in one document alone the
+full window is given up; the others are looked at again with twice the length, and so on up
+to the full length or until no candidate is left. With the default sizes that are 7 and 13
+words. Longer levels add nothing: all words of a longer repeat lie in repeated windows of
+this length.
+
+Documents are dealt into parts by hash, as many as their count and bytes ask for. A part sends
+each hash once, sorted into arrays by range, to the bucket that compares it: a passage found in
+a third of all documents reaches its bucket once per part, and what is shuffled is eight bytes
+per candidate.
 """
 
 from collections.abc import Iterator
@@ -17,10 +19,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.llm.shared import cut
+
+#: Size of a part: documents and bytes of their texts on average.
 PART_DOCS = 2000
+PART_BYTES = 64 << 20
+#: Words of the windows of level one.
+FIRST = 7
 PARTS_PER_BUCKET = 4
 MIX = np.uint64(0x9E3779B97F4A7C15)
 TURN = np.uint64(0xD6E8FEB86659FD93)
@@ -44,6 +52,12 @@ def window_hashes(words: np.ndarray, length: int) -> np.ndarray:
     return hashes
 
 
+def extended(hashes: np.ndarray, size: int, longer: int) -> np.ndarray:
+    """Hashes of the windows of `longer` words, at most twice `size`, from those of `size`."""
+    step = longer - size
+    return pair(hashes[: max(0, len(hashes) - step)], hashes[step:])
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(w) for w in words], dtype=np.uint64)
 
@@ -59,42 +73,57 @@ def smallest(hashes: np.ndarray, run: int) -> np.ndarray:
     return at
 
 
+def lengths(window: int, first: int) -> list[int]:
+    """Words of the windows of each level, the last being the full length."""
+    sizes = [min(first, window)]
+    while sizes[-1] < window:
+        sizes.append(min(2 * sizes[-1], window))
+    return sizes
+
+
 class Part:
     """The documents of a part that have an id and at least one window."""
 
     def __init__(self, table: pa.Table, window: int):
-        self.window, self.half = window, -(-window // 2)
+        self.window = window
         self.rows = []
         for at, (doc, text) in enumerate(zip(table["doc_id"].to_pylist(), table["text"])):
             words = [] if doc is None else (text.as_py() or "").encode().split()
             if len(words) >= window:
                 self.rows.append((at, doc, word_hashes(words)))
 
-    def halves(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(row, doc, half-window hashes, the one chosen for each full window)."""
-        for at, doc, words in self.rows:
-            half = window_hashes(words, self.half)
-            yield at, doc, half, smallest(half, self.window - self.half + 1)
-
-    def chosen(self) -> tuple[np.ndarray, np.ndarray]:
-        """(hash, doc) of the half-windows chosen in each document."""
-        found = [(half[np.unique(at)], doc) for _, doc, half, at in self.halves()]
+    def candidates(
+        self, sizes: list[int], known: list[np.ndarray]
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """(hash, doc) of the windows to compare on the level after those of `known`.
+
+        `known` has the repeated hashes of the levels before; a full window is still looked at
+        if the window that it chose was among them on each level.
+        """
+        found = []
+        for _, doc, words in self.rows:
+            alive = np.arange(len(words) - self.window + 1)
+            hashes = window_hashes(words, sizes[0])
+            for level, size in enumerate(sizes):
+                if level:
+                    hashes = extended(hashes, sizes[level - 1], size)
+                place = smallest(hashes, self.window - size + 1)[alive]
+                if level == len(known):
+                    found.append((hashes[np.unique(place)], doc))
+                    break
+                alive = alive[among(hashes, known[level])[place]]
+                if not len(alive):
+                    break
         return stacked(found)
 
-    def candidates(self, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(hash, doc) of the full windows whose chosen half-window is repeated."""
-        step, found = self.window - self.half, []
-        for _, doc, half, at in self.halves():
-            place = np.flatnonzero(among(half, repeated)[at])
-            found.append((pair(half[place], half[place + step]), doc))
-        return stacked(found)
-
-    def removed(self, hashes: np.ndarray, lows: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    def removed(
+        self, sizes: list[int], hashes: np.ndarray, lows: np.ndarray
+    ) -> Iterator[tuple[int, np.ndarray]]:
         """(row, which words to remove): those in windows that a smaller document has."""
-        step = self.window - self.half
         for at, doc, words in self.rows:
-            half = window_hashes(words, self.half)
-            full = pair(half[: len(half) - step], half[step:])
+            full = window_hashes(words, sizes[0])
+            for size, longer in zip(sizes, sizes[1:]):
+                full = extended(full, size, longer)
             place = np.flatnonzero(among(full, hashes))
             place = place[lows[np.searchsorted(hashes, full[place])] < doc]
             if len(place):
@@ -201,6 +230,7 @@ def remove_repeats(
     carry: tuple[str, ...] = (),
     rejoin: bool = True,
     part_docs: int = PART_DOCS,
+    first: int = FIRST,
 ) -> DataFrame:
     """(doc_id, n_words, n_removed, text, carried) per row of `docs`.
 
@@ -215,7 +245,8 @@ def remove_repeats(
     window stay whole, an empty table gives an empty result, and other columns of any name
     are ignored. Windows are compared by 64-bit hashes.
     """
-    parts = -(-docs.count() // part_docs) or 1
+    count, size = docs.agg(F.count("*"), F.sum(F.octet_length(text_col))).first()
+    parts = max(1, -(-count // part_docs), -(-(size or 0) // PART_BYTES))
     buckets = -(-parts // PARTS_PER_BUCKET)
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
@@ -225,19 +256,27 @@ def remove_repeats(
     part = F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")
     by_part = rows.where("doc_id is not null").groupBy(part.alias("part"))
 
-    def level_one(key: tuple[pa.Scalar], table: pa.Table) -> pa.Table:
-        return sent(key[0].as_py(), buckets, *Part(table, window).chosen())
+    sizes = lengths(window, first)
 
-    def level_two(key: tuple[pa.Scalar], table: pa.Table, known: pa.Table) -> pa.Table:
-        repeated, _ = known_of(known)
-        if not len(repeated):
+    def level(key: tuple[pa.Scalar], table: pa.Table, known: pa.Table) -> pa.Table:
+        """What a part compares next, given the replies to all levels before."""
+        if not known.num_rows:
+            return sent(0, buckets, *stacked([]))
+        replied = known["level"].to_numpy()
+        before = [
+            known_of(known.filter(pa.array(replied == n)))[0] for n in range(replied.max() + 1)
+        ]
+        if not all(map(len, before)):
             return sent(0, buckets, *stacked([]))
-        return sent(key[0].as_py(), buckets, *Part(table, window).candidates(repeated))
+        return sent(key[0].as_py(), buckets, *Part(table, window).candidates(sizes, before))
+
+    def level_one(key: tuple[pa.Scalar], table: pa.Table) -> pa.Table:
+        return sent(key[0].as_py(), buckets, *Part(table, window).candidates(sizes, []))
 
     def finish(key: tuple[pa.Scalar], table: pa.Table, known: pa.Table) -> pa.Table:
         hashes, lows = known_of(known)
         return answered(
-            table, dict(Part(table, window).removed(hashes, lows)) if len(hashes) else {}
+            table, dict(Part(table, window).removed(sizes, hashes, lows)) if len(hashes) else {}
         )
 
     def unnamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,10 +306,20 @@ def remove_repeats(
         )
 
     def replies(found: DataFrame) -> DataFrame:
-        return found.groupBy("bucket").applyInArrow(compared, BACK).groupBy("part")
-
-    halves = replies(by_part.applyInArrow(level_one, SENT))
-    fulls = replies(by_part.cogroup(halves).applyInArrow(level_two, SENT))
+        return found.groupBy("bucket").applyInArrow(compared, BACK)
+
+    heard = replies(by_part.applyInArrow(level_one, SENT))
+    so_far = heard.withColumn("level", F.lit(0))
+    for n in range(1, len(sizes)):
+        if n > 1:
+            # Replies are written between further levels; without any the search is over.
+            so_far = cut(so_far)
+            if so_far.where(F.col("level") == n - 1).isEmpty():
+                heard = heard.limit(0)
+                break
+        heard = replies(by_part.cogroup(so_far.groupBy("part")).applyInArrow(level, SENT))
+        so_far = so_far.unionByName(heard.withColumn("level", F.lit(n)))
+    fulls = heard.groupBy("part")
     schema = rows.schema
     out = (
         f"doc_id {schema['doc_id'].dataType.simpleString()}, n_words bigint, n_removed bigint, "

@@ -157,6 +157,18 @@ def test_repeats(docs):
         assert {x.doc_id: (x.n_words, x.n_removed, x.text) for x in found} == want
 
 
+@pytest.mark.parametrize("first, levels", [(1, [1, 2, 4, 8, 13]), (3, [3, 6, 12, 13]), (20, [13])])
+def test_repeats_by_more_levels(spark, first, levels):
+    assert repeats.lengths(13, first) == levels
+    docs = documents(spark, brute.texts(1, 60, 60))
+    want = brute.without_repeats(pairs(docs), 13)
+    found = repeats.remove_repeats(docs, part_docs=9, first=first).collect()
+    assert {x.doc_id: (x.n_words, x.n_removed, x.text) for x in found} == want
+    # Nothing repeats, so no candidate survives a level.
+    other = documents(spark, [(i, " ".join(f"{i}w{k}" for k in range(40))) for i in range(30)])
+    assert {x.n_removed for x in repeats.remove_repeats(other, first=first).collect()} == {0}
+
+
 def test_repeats_leave_rows_without_id_and_untouched_texts(spark):
     same = " ".join(f"w{i}" for i in range(20))
     rows = [(None, same), (2, same), (2, same), (5, f"new\n\n{same}"), (6, "own  text")]
