@@ -170,9 +170,9 @@ def possible_hits(docs: DataFrame, how: Winnowing, sizes: list[int], table: np.n
 
 
 def extend(joined: DataFrame, how: Winnowing) -> DataFrame:
-    """(row, item_id, first, past): the spans shared around equal fingerprints."""
-    names = ["row", "item_id", "first", "past"]
-    types = [pa.int64(), pa.string(), pa.int64(), pa.int64()]
+    """(row, items, first, past): the spans shared around equal fingerprints."""
+    names = ["row", "items", "first", "past"]
+    types = [pa.int64(), pa.list_(pa.string()), pa.int64(), pa.int64()]
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,13 +191,13 @@ def extend(joined: DataFrame, how: Winnowing) -> DataFrame:
                 while right < most and ours[i + right] == theirs[j + right]:
                     right += 1
                 if left + right >= x["size"]:
-                    rows.append((x["row"], x["item_id"], x["at"] - left, x["at"] + right))
+                    rows.append((x["row"], x["items"], x["at"] - left, x["at"] + right))
             if rows:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(x, t) for x, t in zip(zip(*rows), types)], names=names
                 )
 
-    return joined.mapInArrow(spans, "row bigint, item_id string, first bigint, past bigint")
+    return joined.mapInArrow(spans, "row bigint, items array<string>, first bigint, past bigint")
 
 
 def union_length(spans: Column) -> Column:
@@ -252,26 +252,21 @@ def find_contamination(
         F.col(text_col).alias("text"),
     )
     scanned = cut(possible_hits(rows, how, sizes, filter_words(prints)))
+    # A passage of very many items meets a document once for each of its surroundings.
+    contexts = prints.groupBy(
+        "size", "hash", F.col("before").alias("item_before"), F.col("context").alias("item_context")
+    ).agg(F.collect_set("item_id").alias("items"))
     joined = (
         scanned.where(F.col("hash").isNotNull())
         .select("row", "size", "hash", "at", "before", "context")
-        .join(
-            prints.select(
-                "size",
-                "hash",
-                "item_id",
-                F.col("before").alias("item_before"),
-                F.col("context").alias("item_context"),
-            ),
-            ["size", "hash"],
-        )
+        .join(contexts, ["size", "hash"])
     )
     hits = (
         extend(joined, how)
         .groupBy("row")
         .agg(
             F.sort_array(F.collect_set(F.struct("first", "past"))).alias("spans"),
-            F.sort_array(F.collect_set("item_id")).alias("items"),
+            F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
         )
     )
     return (
