@@ -25,6 +25,8 @@ from folioscope.llm.shared import cut
 ARCHIVE_BYTES = 64 << 20
 GAP_BYTES = 64 << 10
 FETCH_BYTES = 8 << 20
+#: Bytes of archives that a reading task is meant to take.
+STRETCH_BYTES = 64 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = (
     "page_id bigint, url string, digest string, payload_bytes bigint, record_type string, "
@@ -194,11 +196,16 @@ def coalesced(rows: list[tuple[str, int, int]]) -> Iterator[list[tuple[str, int,
 def read_records(index: DataFrame, folder: str) -> DataFrame:
     """The records (RECORD) that the rows of `index` name, whichever were selected.
 
-    Rows are dealt by range of (archive, offset), so that each task reads a stretch of
-    archives in order; an archive of any size is shared by several tasks.
+    Rows are dealt by stretches of STRETCH_BYTES of an archive, which a task reads in order, to
+    as many tasks as the bytes of the records ask for; the few bytes of an index row say nothing
+    about that. An archive of any size is shared by several tasks.
     """
     places = index.select("archive", "offset", "length")
-    ordered = places.repartitionByRange("archive", "offset").sortWithinPartitions(
+    total = index.agg(F.sum("length")).first()[0] or 0
+    cores = index.sparkSession.sparkContext.defaultParallelism
+    tasks = max(cores, -(-total // STRETCH_BYTES))
+    stretch = F.floor(F.col("offset") / min(STRETCH_BYTES, max(1, total // tasks)))
+    ordered = places.repartition(tasks, "archive", stretch).sortWithinPartitions(
         "archive", "offset"
     )
     types = [pa.int64(), pa.string(), pa.string(), pa.int64()]
