@@ -113,7 +113,9 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    # As many segments as ids, so that very short documents don't leave a sequence half empty.
+    limits = packing.Limits(segments=packing.Limits.tokens)
+    pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), limits)
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 

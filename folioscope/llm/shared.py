@@ -15,8 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: `spark.checkpoint.dir`, else one in the warehouse."""
+    """The folder all executors share, `spark.checkpoint.dir`.
+
+    Only on one machine, as in tests, may it be unset; then it is one in the warehouse.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return (named or spark.conf.get("spark.sql.warehouse.dir") + "/_scratch").rstrip("/")
 
 

@@ -230,6 +230,14 @@ def test_packing(spark, limits):
     assert not packing.pack(docs.limit(0), WORDS).collect()
 
 
+def test_packing_of_very_short_documents(spark):
+    """Sequences of one-id documents are full too, where the segments may be as many as the ids."""
+    docs = spark.range(0, 10_000, numPartitions=2).select(F.col("id").alias("doc_id"), F.lit("").alias("text"))
+    found = packing.pack(docs, WORDS, packing.Limits(segments=4096))
+    lengths = [x.n for x in found.groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()]
+    assert sum(lengths) == 10_000 and all(n == 4096 or n & (n - 1) == 0 for n in lengths)
+
+
 def test_token_files(spark):
     rows = list(enumerate(ODD_TEXTS)) + [(100 + i, t) for i, t in pairs(given(spark))]
     want, folder = ids_of(rows, BYTES), scratch_folder(spark, "tokens")
