@@ -129,17 +129,32 @@ def document_frequencies(texts: DataFrame, bits: int) -> tuple[int, np.ndarray]:
 
 
 def sample(docs: DataFrame, how: Training) -> pa.Table:
-    """(lang, place, buckets, counts) of at most `sample_rows` of the rows (doc_id, text, lang)."""
-    labels = max(1, docs.select(F.count_distinct("lang")).first()[0])
-    place = F.xxhash64("doc_id")
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(place, "doc_id"))
+    """(lang, place, buckets, counts) of at most `sample_rows` of the rows (doc_id, text, lang).
+
+    Of each label the ids with the smallest hashes are taken. Hashes above a bound that leaves
+    a label many more than that are dropped before any are ranked, so that a label that most
+    rows have meets in no single task. With more labels than `sample_rows`, the smallest hashes
+    of all labels count.
+    """
+    counts = docs.groupBy("lang").agg(F.count("*").alias("rows"))
+    labels = max(1, counts.count())
+    most = max(1, how.sample_rows // labels)
+    # Of n evenly spread hashes about `spare` are below the bound; less than `most` never.
+    spare = most + 10 * most**0.5 + 30
+    spread = F.xxhash64("doc_id").alias("place")
+    low = (F.col("place") / 2.0**64 + 0.5) * F.col("rows") <= spare
+    placed = docs.select("doc_id", "lang", spread).join(counts, "lang").where(low)
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))
     chosen = (
-        docs.select("doc_id", "lang", nth.alias("nth"))
-        .where(F.col("nth") <= max(1, how.sample_rows // labels))
-        .select("doc_id")
+        placed.withColumn("nth", nth)
+        .where(F.col("nth") <= most)
+        .select("doc_id", "place")
         .distinct()
+        .orderBy("place", "doc_id")
         .limit(how.sample_rows)
+        .select("doc_id")
     )
+    place = F.xxhash64("doc_id")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -257,8 +272,8 @@ def identify(
 
     The model is learned from the rows that are not held out and have text, label and id.
     A text that is null or has no letter is `und` with score 0; so is every text if there
-    is nothing to learn from. Ids may repeat or be null, labels may be any strings, and
-    other columns are never looked at.
+    is nothing to learn from. Of labels with equal scores the first in order is taken. Ids may
+    repeat or be null, labels may be any strings, and other columns are never looked at.
     """
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
