@@ -24,6 +24,8 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 UNKNOWN = "und"
 #: N-grams seen in training texts are remembered under hashes of so many bits.
 SEEN_BITS = 24
+#: Counts of up to so many labels are sent to all tasks.
+SENT_LABELS = 10_000
 #: A text of which a smaller share of n-grams was ever seen is in none of the learned languages.
 LEAST_SEEN = 0.5
 
@@ -143,7 +145,9 @@ def sample(docs: DataFrame, how: Training) -> pa.Table:
     spare = most + 10 * most**0.5 + 30
     spread = F.xxhash64("doc_id").alias("place")
     low = (F.col("place") / 2.0**64 + 0.5) * F.col("rows") <= spare
-    placed = docs.select("doc_id", "lang", spread).join(counts, "lang").where(low)
+    # Labels are counted, so a small table of them is sent rather than rows dealt by label.
+    sent = F.broadcast(counts) if labels <= SENT_LABELS else counts
+    placed = docs.select("doc_id", "lang", spread).join(sent, "lang").where(low)
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))
     chosen = (
         placed.withColumn("nth", nth)
