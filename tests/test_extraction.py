@@ -318,3 +318,13 @@ def test_chart_placement(spark, text, chart, expected):
     schema = "md string, charts array<struct<title:string,local_url:string,placeholder:string>>"
     df = spark.createDataFrame([(text, [chart])], schema)
     assert df.select(charts.place_charts(F.col("md"), F.col("charts"))).first()[0] == expected
+
+
+FOREIGN = page(article(f"<article><h1> Ç  Ç </h1><p>{PROSE}</p></article>", title=" Ç Ç"))
+OTHER_FOREIGN = page(article(f"<article><h1>Ç Ö</h1><p>{PROSE}</p></article>", title="Ç Ç"))
+
+
+def test_heading_without_ascii_words_that_repeats_the_title(spark):
+    for html, kept in ((FOREIGN, False), (OTHER_FOREIGN, True)):
+        got = PAGES.row(spark, _KEYS[(html, 200)])
+        assert got.plain_text.startswith("Ç") is kept and got.markdown_content.startswith("#") is kept
