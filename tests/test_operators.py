@@ -411,6 +411,16 @@ def test_ids_of_admitted_requests_are_unique(spark):
     assert changes.audit(change.archive).isEmpty()
 
 
+def test_admission_to_addresses_stored_twice(spark):
+    a = small_archive(spark)
+    gone = a.bookmarks.withColumns({"id": F.concat("id", F.lit("x")), "deleted_at": F.lit(DAY)})
+    twice = gone.unionByName(gone.withColumn("id", F.concat("id", F.lit("y")))).unionByName(a.bookmarks.where("id = 'b1'"))
+    requests = spark.createDataFrame([("n1", 1, "https://a.example/1", []), ("n2", 2, "https://b.example/2", [])], "request_id string, seq int, url string, tag_names array<string>")
+    change = changes.admit(a.replace(bookmarks=twice), requests, F.lit(DAY))
+    assert values(change.archive.bookmarks, "id") == [("b1",), ("b1x",), ("b1xy",), ("n2",)]
+    assert values(change.removed) == [("b2x",), ("b2xy",)] and values(change.rejects) == [("n1", "DUPLICATE_URL")]
+
+
 def test_admission_refuses_what_is_over_the_limits(spark):
     rows = [("n1", 1, "https://n.example/" + "x" * 4000, []), ("n2", 2, "https://n.example/2", [f"t{i}" for i in range(13)]), ("n3", 3, "https://n.example/2", ["a"])]
     requests = spark.createDataFrame(rows, "request_id string, seq int, url string, tag_names array<string>")
