@@ -3,16 +3,21 @@
 Each table is a Parquet folder partitioned by `bucket`, a hash of the bookmark id (of the tag
 id for tags), and sorted by id inside with a bloom filter on it. A change reads and rewrites
 only the buckets that hold its ids, by dynamic partition overwrite; other files stay as they are.
-`grams` lists the three-character pieces of each bookmark's texts, so that a search reads only
-texts that can match.
+`grams` lists, for each three-character piece, bookmarks whose texts have it, so that a search
+reads only texts that can match.
+
+The rows of a bucket are dealt to tasks and files by their bytes, so a task's share does not
+grow with the table. The index is made of the stored rows, where they lie, without a shuffle.
 
 A rewrite replaces its buckets when the job commits, table after table; readers that must never
 see a mix use archive.write_archive(), which switches whole snapshots.
 """
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,10 +27,14 @@ from folioscope.schema import BOOKMARKS, LINKS, TAGS, Archive, Change
 from folioscope.session import ensure_checkpoint_dir
 
 TABLES = {"bookmarks": (BOOKMARKS, "id"), "links": (LINKS, "bookmark_id"), "tags": (TAGS, "id")}
-GRAMS = "id string, gram string, bucket int"
+#: A piece is a number: three code points of 21 bits each, the first one highest.
+GRAMS = "gram bigint, ids array<string>, bucket int"
 GRAM = 3
+BITS = 21
 #: Stands behind the end of a text, so that every character begins a piece.
 PAD = "\x00"
+#: So many pairs of a piece and a bookmark, or a few more, are held at a time.
+HELD = 2_000_000
 LAYOUT = {"parquet.block.size": str(8 << 20), "parquet.page.row.count.limit": "2000"}
 #: Up to so many ids are looked up by a filter in the scan, more by a join.
 FEW = 1000
@@ -37,26 +46,60 @@ def bucket_of(key: Column, buckets: int) -> Column:
     return (number.cast("bigint") % buckets).cast("int")
 
 
-def grams_of(text: Column) -> Column:
-    """The distinct three-character pieces of a text, A-Z lower-cased."""
-    chars = F.split(F.concat(X.ascii_lower(F.regexp_replace(text, PAD, " ")), F.lit(PAD * (GRAM - 1))), "")
-    return X.let(
-        F.filter(chars, lambda c: c != ""),
-        lambda all_: F.array_distinct(
-            F.transform(
-                F.slice(all_, 1, F.greatest(F.size(all_) - (GRAM - 1), F.lit(0))),
-                lambda c, i: F.concat(c, F.get(all_, i + 1), F.get(all_, i + 2)),
-            )
-        ),
-    )
+def gram_number(piece: str) -> int:
+    """The number of a piece; of a shorter text, that of the first piece beginning with it."""
+    first, second, third = (ord(c) for c in piece.ljust(GRAM, PAD))
+    return (first << 2 * BITS) | (second << BITS) | third
+
+
+def grams_of(texts: list[str | None]) -> np.ndarray:
+    """The distinct three-character pieces of some texts, A-Z lower-cased, in order."""
+    joined = "".join((t or "").replace(PAD, " ") + PAD * (GRAM - 1) for t in texts)
+    chars = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.int64)
+    chars[(chars >= ord("A")) & (chars <= ord("Z"))] += ord("a") - ord("A")
+    pieces = (chars[:-2] << 2 * BITS) | (chars[1:-1] << BITS) | chars[2:]
+    return np.unique(pieces[chars[:-2] != ord(PAD)])
 
 
 def gram_rows(bookmarks: DataFrame) -> DataFrame:
-    """(id, gram): each piece of a bookmark's searched texts once."""
-    pieces = F.array_distinct(
-        F.flatten(F.array(*(grams_of(F.coalesce(F.col(c), F.lit(""))) for c in Q.SEARCHED)))
-    )
-    return bookmarks.select("id", F.explode(pieces).alias("gram"))
+    """(gram, ids, bucket): bookmarks that have a piece in their searched texts, each once.
+
+    A piece has a row for each bucket and each run of bookmarks that make HELD pairs.
+    """
+
+    def listed(found: list[np.ndarray], ids: list[str], bucket: int) -> pa.RecordBatch:
+        grams = np.concatenate(found)
+        owner = np.repeat(np.arange(len(ids), dtype=np.int32), [len(g) for g in found])
+        order = np.argsort(grams, kind="stable")
+        grams, first = np.unique(grams[order], return_index=True)
+        offsets = pa.array(np.append(first, len(order)), pa.int32())
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(grams, pa.int64()),
+                pa.ListArray.from_arrays(offsets, pa.array(ids, pa.string()).take(pa.array(owner[order]))),
+                pa.array(np.full(len(grams), bucket, dtype=np.int32)),
+            ],
+            names=["gram", "ids", "bucket"],
+        )
+
+    def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[list, list, list]] = {}
+        for batch in batches:
+            columns = [batch.column(c) for c in Q.SEARCHED]
+            for row, (key, bucket) in enumerate(zip(batch.column("id"), batch.column("bucket"))):
+                grams = grams_of([c[row].as_py() for c in columns])
+                found, ids, pairs = held.setdefault(bucket.as_py(), ([], [], []))
+                found.append(grams)
+                ids.append(key.as_py())
+                pairs.append(len(grams))
+            if sum(sum(pairs) for _, _, pairs in held.values()) >= HELD:
+                for bucket, (found, ids, _) in held.items():
+                    yield listed(found, ids, bucket)
+                held = {}
+        for bucket, (found, ids, _) in held.items():
+            yield listed(found, ids, bucket)
+
+    return bookmarks.select("id", "bucket", *Q.SEARCHED).mapInArrow(indexed, GRAMS)
 
 
 @dataclass(frozen=True)
@@ -96,11 +139,15 @@ class Snapshot:
         """Ids of the bookmarks that have all pieces of `q` in their texts."""
         rows = self.spark.read.schema(GRAMS).parquet(f"{self.root}/grams")
         q = q.translate(str.maketrans(X.ASCII_UPPER, X.ASCII_LOWER)).replace(PAD, " ")
-        pieces = sorted({q[i : i + GRAM] for i in range(len(q) - GRAM + 1)})
+        pieces = sorted({gram_number(q[i : i + GRAM]) for i in range(len(q) - GRAM + 1)})
+        id_ = F.explode("ids").alias("id")
         if not pieces:
-            return rows.where(F.col("gram").startswith(q)).select("id").distinct()
-        found = rows.where(F.col("gram").isin(*pieces)).groupBy("id").agg(F.count("*").alias("n"))
-        return found.where(F.col("n") == len(pieces)).select("id")
+            past = gram_number(q) + (1 << BITS * (GRAM - len(q)))
+            return rows.where(F.col("gram").between(gram_number(q), past - 1)).select(id_).distinct()
+        listed = rows.where(F.col("gram").isin(*pieces)).select(id_)
+        found = listed.groupBy("id").agg(F.count("*").alias("n"))
+        # More, if ids repeat; the texts are looked through afterwards.
+        return found.where(F.col("n") >= len(pieces)).select("id")
 
     def search(self, q: str) -> DataFrame:
         """Rows containing q in a text field or in a tag name, as query.search() finds them.
@@ -167,7 +214,7 @@ class Snapshot:
             for name, rows in after.items():
                 self._write(name, rows, wanted)
             if "bookmarks" in after:
-                self._write_grams(after["bookmarks"], wanted)
+                self._write_grams(wanted)
         return done
 
     def _write(self, name: str, rows: DataFrame, wanted: list[int] | None = None) -> None:
@@ -180,23 +227,26 @@ class Snapshot:
                 *(F.lit(None).cast(f.dataType).alias(f.name) for f in schema), "bucket"
             )
             bucketed = bucketed.unionByName(empty)
-        self._put(bucketed, name, key)
-
-    def _write_grams(self, bookmarks: DataFrame, wanted: list[int] | None = None) -> None:
-        rows = gram_rows(bookmarks).withColumn("bucket", bucket_of(F.col("id"), self.buckets))
+        self._put(
+            # Each bucket goes to its own tasks, as many as its bytes need.
+            bucketed.hint("rebalance", F.col("bucket")),
+            name, key, **{f"parquet.bloom.filter.enabled#{key}": "true"},
+        )
+
+    def _write_grams(self, wanted: list[int] | None = None) -> None:
+        rows = gram_rows(self.table("bookmarks", wanted))
         if wanted is not None:
             empty = self.spark.createDataFrame([(b,) for b in wanted], "bucket int")
-            none = F.lit(None).cast("string")
-            rows = rows.unionByName(empty.select(none.alias("id"), none.alias("gram"), "bucket"))
+            none = (F.lit(None).cast("bigint").alias("gram"), F.lit(None).cast("array<string>").alias("ids"))
+            rows = rows.unionByName(empty.select(*none, "bucket"))
         self._put(rows, "grams", "gram")
 
-    def _put(self, rows: DataFrame, name: str, key: str) -> None:
+    def _put(self, rows: DataFrame, name: str, key: str, **options: str) -> None:
         (
-            rows.repartition("bucket")
-            .sortWithinPartitions("bucket", key)
+            rows.sortWithinPartitions("bucket", key)
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
-            .options(**LAYOUT, **{f"parquet.bloom.filter.enabled#{key}": "true"})
+            .options(**LAYOUT, **options)
             .partitionBy("bucket")
             .parquet(f"{self.root}/{name}")
         )
@@ -211,7 +261,7 @@ def write_snapshot(archive: Archive, root: str, buckets: int = 16) -> Snapshot:
     snapshot = Snapshot(archive.bookmarks.sparkSession, root, buckets)
     for name in TABLES:
         snapshot._write(name, getattr(archive, name))
-    snapshot._write_grams(archive.bookmarks)
+    snapshot._write_grams()
     meta = snapshot.spark.createDataFrame([(buckets,)], "buckets int")
     meta.coalesce(1).write.mode("overwrite").json(f"{root}/meta")
     return snapshot

@@ -304,6 +304,23 @@ def test_snapshot_in_buckets(spark, tmp_path):
     assert changes.audit(stored.archive()).isEmpty()
 
 
+def test_a_large_bucket_is_dealt_to_several_tasks(spark, tmp_path):
+    a, draw = small_archive(spark), random.Random(3)
+    body = lambda i: f"Row {i:03} 😀" + "".join(draw.choice("abcd éÄ") for _ in range(3000))
+    rows = spark.createDataFrame([(f"x{i}", body(i)) for i in range(400)], "id string, markdown_content string").repartition(8)
+    full = storing.make_archive(a.bookmarks.unionByName(rows, allowMissingColumns=True), a.tags, a.links)
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(size, "100k")
+    try:
+        stored = bucketing.write_snapshot(full, str(tmp_path / "stored"), 1)
+    finally:
+        spark.conf.unset(size)
+    assert len(set(stored.table("bookmarks").inputFiles())) > 2
+    for q in ("ROW 01", "😀", "é", "ab", "dÄb", "home", "row 399 😀"):
+        found = values(stored.search(q), "id")
+        assert found == values(reading.search(full, q), "id") and found, q
+
+
 def test_search_covers_fields_and_tags(spark):
     a = small_archive(spark)
     for q, want in {"ALPHA": "b1", "100%": "b1", "a_x": "b2", "home": "b2", "zweiter": "b2", "b.example/2": "b2"}.items():
