@@ -253,33 +253,41 @@ def edit(archive: Archive, patches: DataFrame, now: Column) -> Change:
         *[F.col(c).alias(f"_{c}") for c in ("title", "user_note", "markdown_content")],
         "_least",
         "_most",
+        F.lit(True).alias("_patched"),
+    )
+    # The wide rows meet the patches once; the others are passed through.
+    joined = archive.bookmarks.join(patch, "id", "left").withColumn(
+        "_patched", F.coalesce("_patched", F.lit(False)) & F.col("deleted_at").isNull()
     )
-    joined = target.join(patch, "id")
     # Some text given differs from the stored one if the smallest or the largest does.
     stored = F.sha2("markdown_content", 256)
     changed = F.col("_markdown_content").isNotNull() & (
         (F.col("_least") != stored) | (F.col("_most") != stored)
     )
     touched = F.col("_title").isNotNull() | F.col("_user_note").isNotNull() | changed
-    rows = joined.withColumns(
+    edited_columns = {
+        "title": F.coalesce(X.js_trim(F.col("_title")), F.col("title")),
+        "user_note": F.coalesce("_user_note", "user_note"),
+        "plain_text": F.when(
+            changed, X.markdown_to_plain(F.col("_markdown_content"))
+        ).otherwise(F.col("plain_text")),
+        "content_length": F.when(
+            changed, X.content_length(F.col("_markdown_content"))
+        ).otherwise(F.col("content_length")),
+        "is_content_edited": F.col("is_content_edited") | changed,
+        "updated_at": F.when(touched, now).otherwise(F.col("updated_at")),
+        "markdown_content": F.when(changed, F.col("_markdown_content")).otherwise(
+            F.col("markdown_content")
+        ),
+    }
+    after = joined.withColumns(
         {
-            "title": F.coalesce(X.js_trim(F.col("_title")), F.col("title")),
-            "user_note": F.coalesce("_user_note", "user_note"),
-            "plain_text": F.when(
-                changed, X.markdown_to_plain(F.col("_markdown_content"))
-            ).otherwise(F.col("plain_text")),
-            "content_length": F.when(
-                changed, X.content_length(F.col("_markdown_content"))
-            ).otherwise(F.col("content_length")),
-            "is_content_edited": F.col("is_content_edited") | changed,
-            "updated_at": F.when(touched, now).otherwise(F.col("updated_at")),
-            "markdown_content": F.when(changed, F.col("_markdown_content")).otherwise(
-                F.col("markdown_content")
-            ),
+            c: F.when(F.col("_patched"), value).otherwise(F.col(c))
+            for c, value in edited_columns.items()
         }
     )
-    rows = with_defaults(rows)
-    edited = archive.replace(bookmarks=_replace_rows(archive.bookmarks, rows))
+    rows = with_defaults(after.where("_patched"))
+    edited = archive.replace(bookmarks=after.select(*archive.bookmarks.columns))
     rejects = (
         _reject(broken, "bookmark_id", "VALIDATION_ERROR")
         .unionByName(repeated)
