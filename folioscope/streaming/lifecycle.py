@@ -16,10 +16,11 @@ OUTCOMES = "key string, ts timestamp, event_id long, kind string, outcome string
 class Lifecycle(StatefulProcessor):
     """Events wait for the watermark, so they are applied in event-time order.
 
-    State per key is small: one status, one time, and the events not yet due, filed under
-    their millisecond. The first timer of a key that fires in a batch applies all events that
-    are due, in order, so a key's events are read once however many there are; its other
-    timers find nothing left to do.
+    State per key is small: one status, one time, and the events not yet due, in a list. The
+    rows that a batch brings are appended at once and set one timer, at the earliest of them. The
+    first timer of a key that fires in a batch applies all events that are due, in order, and
+    sets one for the earliest that is left; other timers of the key find nothing to do. So the
+    calls to the state store grow with the keys of a batch, not with its events.
     """
 
     def __init__(self, minutes: int):
@@ -28,19 +29,17 @@ class Lifecycle(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.status = handle.getValueState("status", "state string, at long, upto long")
-        self.due = handle.getMapState("due", "ms long", "events array<struct<ts:long,id:long,kind:string>>")
+        self.due = handle.getListState("due", "events array<struct<ts:long,id:long,kind:string>>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        filed = {}
+        earliest = []
         for frame in rows:
-            stamps = frame["ts"].astype("datetime64[us]").astype("int64")
-            for ts, event_id, kind in zip(stamps, frame["event_id"], frame["kind"]):
-                filed.setdefault(int(ts) // 1000, []).append((int(ts), int(event_id), kind))
-        for ms, events in filed.items():
-            if self.due.containsKey((ms,)):
-                events = [tuple(e) for e in self.due.getValue((ms,))[0]] + events
-            self.due.updateValue((ms,), (events,))
-            self.handle.registerTimer(ms)
+            stamps = frame["ts"].to_numpy("datetime64[us]").astype("int64").tolist()
+            events = list(zip(stamps, frame["event_id"].tolist(), frame["kind"].tolist()))
+            self.due.appendValue((events,))
+            earliest.append(min(stamps) // 1000)
+        if earliest:
+            self.handle.registerTimer(min(earliest))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -48,28 +47,31 @@ class Lifecycle(StatefulProcessor):
         state, at, upto = self.status.get() if self.status.exists() else ("none", 0, -1)
         if upto >= watermark:
             return
-        due = sorted(
-            (ms, sorted(tuple(e) for e in events))
-            for (ms,), (events,) in self.due.iterator()
-            if ms <= watermark
-        )
+        due, later = [], []
+        for (events,) in self.due.get():
+            for event in events:
+                (due if event[0] // 1000 <= watermark else later).append(tuple(event))
+        if due:
+            self.due.clear()
+            for start in range(0, len(later), FRAME_ROWS):
+                self.due.appendValue((later[start : start + FRAME_ROWS],))
+        if later:
+            self.handle.registerTimer(min(event[0] for event in later) // 1000)
         out = []
-        for ms, events in due:
-            self.due.removeKey((ms,))
-            for ts, event_id, kind in events:
-                if state == "deleted" and ts - at > self.window_us:
-                    out.append((at + self.window_us, None, "purge", "purged"))
-                    state = "none"
-                outcome = "applied"
-                if kind == "create" and state != "live":
-                    state = "live"
-                elif kind == "delete" and state == "live":
-                    state, at = "deleted", ts
-                elif kind == "restore" and state == "deleted":
-                    state = "live"
-                else:
-                    outcome = "rejected"
-                out.append((ts, event_id, kind, outcome))
+        for ts, event_id, kind in sorted(due):
+            if state == "deleted" and ts - at > self.window_us:
+                out.append((at + self.window_us, None, "purge", "purged"))
+                state = "none"
+            outcome = "applied"
+            if kind == "create" and state != "live":
+                state = "live"
+            elif kind == "delete" and state == "live":
+                state, at = "deleted", ts
+            elif kind == "restore" and state == "deleted":
+                state = "live"
+            else:
+                outcome = "rejected"
+            out.append((ts, event_id, kind, outcome))
         if state == "deleted":
             # No event up to the watermark is left, so the window closed without a restore.
             deadline = (at + self.window_us) // 1000

@@ -3,6 +3,7 @@
 import datetime
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -230,6 +231,39 @@ def test_streamed_admission_against_the_stored_urls(spark, tmp_path):
     assert got.count() == 12
 
 
+def test_state_calls_of_a_key_do_not_grow_with_its_events():
+    calls = []
+
+    class State:
+        def __init__(self, name, schema):
+            self.rows = []
+
+        exists = lambda self: bool(self.rows)
+        get = lambda self: iter(self.rows) if isinstance(self.rows, list) else self.rows
+        clear = lambda self: calls.append("clear") or self.rows.clear()
+        appendValue = lambda self, row: calls.append("append") or self.rows.append(row)
+
+        def update(self, row):
+            self.rows = row
+
+    class Handle:
+        getValueState = getListState = lambda self, name, schema: State(name, schema)
+        registerTimer = lambda self, ms: calls.append(ms)
+
+    class Timers:
+        getCurrentWatermarkInMs = lambda self: 1_000_700
+
+    job = streaming.Lifecycle(10)
+    job.init(Handle())
+    frame = pd.DataFrame({"ts": pd.to_datetime([1000 + i for i in range(900, -1, -1)], unit="s"), "event_id": range(901), "kind": ["create"] * 901})
+    list(job.handleInputRows(("k",), iter([frame]), Timers()))
+    assert calls == ["append", 1_000_000]
+    out = pd.concat(job.handleExpiredTimer(("k",), Timers(), None))
+    assert out["outcome"].tolist() == ["applied"] and out["event_id"].tolist() == [900]
+    assert calls[2:] == ["clear", "append", 1_001_000]
+    assert list(job.handleExpiredTimer(("k",), Timers(), None)) == []
+
+
 def test_sessions_of_a_table(spark):
     draw, rows = random.Random(7), []
     for key in ("a", "b", "c"):
@@ -418,6 +452,14 @@ def test_renames_in_turn_equal_a_replay(spark):
         assert values(change.rejects) == sorted(refused)
 
 
+def test_edits_meet_the_bookmarks_once(spark):
+    a = small_archive(spark)
+    patches = spark.createDataFrame([("b1", "New", None, None)], "bookmark_id string, title string, user_note string, markdown_content string")
+    after = changes.edit(a, patches, F.lit(DAY)).archive.bookmarks
+    assert after._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    assert values(after, "id", "title") == [("b1", "New"), ("b2", "beta_x")]
+
+
 def test_ids_of_admitted_requests_are_unique(spark):
     rows = [("n1", 2, "https://n.example/2", []), ("n1", 1, "https://n.example/1", ["a"]), ("b1", 3, "https://n.example/3", []), (None, 4, "https://n.example/4", [])]
     requests = spark.createDataFrame(rows, "request_id string, seq int, url string, tag_names array<string>")
