@@ -51,6 +51,13 @@ def test_normal_form_of_addresses(spark):
         assert r.normalized_url == r.u
 
 
+def test_an_address_has_a_normal_form_or_a_fault(spark):
+    odd = ["http://", "http:///x", "http://h", "http://h?", "http://h/?", "http://h#", "http://h?#", "http://:80/", "http://h:/", "http://[::1]", "http://[::1", "http://a b/", "http://@h/", "http://:@h/", "http:h", "http:\\\\h\\p", "HTTP://%41/", "http://h/%", "http://h/\x00", "//h/", "x", None, "http://1.2.3.4.5/", "http://256.1.1.1/", "http://xn--/", "https://ü.ß/é?ä#ö"]
+    df = spark.createDataFrame([(u,) for u in odd], "u string")
+    both = df.select("u", urls.normalize_url(F.col("u")).alias("n"), urls.url_error(F.col("u")).alias("e")).collect()
+    assert [r.u for r in both if (r.n is None) == (r.e is None)] == []
+
+
 BLOCKED = "127.0.0.1 10.1.2.3 172.16.8.9 192.168.1.1 169.254.169.254 0.0.0.0 ::1 fc00::1 fe80::1%eth0 ::ffff:127.0.0.1 198.18.0.46 x 01.2.3.4"
 OPEN = "93.184.216.34 2606:2800:220:1:248:1893:25c8:1946 172.32.0.1"
 
