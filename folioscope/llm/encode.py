@@ -6,6 +6,9 @@ of texts becomes one list of word numbers and its ids one gather from that array
 are new to a worker are cut into pre-tokens, whose pairs are merged in all of them at once;
 whatever is not plain Latin goes through the library. The memory is bounded: it is emptied
 when full, which costs time only.
+
+Of byte-level files a column of plain Latin texts never becomes Python strings: its pre-tokens
+are cut in the bytes of the whole batch and looked up by their bytes in a table of numpy arrays.
 """
 
 import json
@@ -13,6 +16,8 @@ from functools import lru_cache
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer
 
@@ -28,6 +33,33 @@ NEVER = np.iinfo(np.int64).max
 MIX = np.uint64(0x9E3779B97F4A7C15)
 ODD = -1
 
+# Classes of characters, by byte or by the bytes of two-byte letters and signs.
+STRANGE, SPACE, BLANK, LETTER, DIGIT, SIGN = range(6)
+
+
+def byte_classes() -> np.ndarray:
+    """Class of each byte; strange are those that the cut by bytes does not know."""
+    table = np.full(256, STRANGE, dtype=np.uint8)
+    for byte in range(33, 127):
+        char = chr(byte)
+        table[byte] = LETTER if char.isalpha() else DIGIT if char.isdigit() else SIGN
+    table[32], table[[9, 10, 13]] = SPACE, BLANK
+    # U+0080 to U+023F; what follows a first byte is set with it.
+    table[0xC2:0xC9] = LETTER
+    table[0x80:0xC0] = LETTER
+    return table
+
+
+CLASSES = byte_classes()
+#: Classes of U+0080 to U+00FF by the last byte, for the first bytes C2 and C3.
+SIGNS_C2 = np.full(256, SIGN, dtype=np.uint8)
+SIGNS_C2[[0xAA, 0xB5, 0xBA]] = LETTER
+SIGNS_C2[[0xB2, 0xB3, 0xB9, 0xBC, 0xBD, 0xBE]] = DIGIT
+SIGNS_C2[0x80:0xA1] = STRANGE
+#: Bytes of a pre-token that are a key; longer ones are known by a dictionary.
+KEY_WORDS = 3
+FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+
 
 class Merges:
     """The pair merges of a vocabulary file, applied to many byte strings at once."""
@@ -73,16 +105,19 @@ class Merges:
         return slots
 
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all words, count of ids of each); words are not empty.
+        """(ids of all words, count of ids of each); words are not empty."""
+        sizes = np.array([len(w) for w in words], dtype=np.int64)
+        return self.merge_bytes(np.frombuffer(b"".join(words), np.uint8), sizes)
+
+    def merge_bytes(self, raw: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of the given sizes that stand one after the other in `raw`.
 
         Each round applies every word's lowest-rank pair wherever it stands in the word.
         """
-        sizes = np.array([len(w) for w in words], dtype=np.int64)
-        raw = np.frombuffer(b"".join(words), np.uint8)
         symbols, ends = self.inner[raw], np.cumsum(sizes)
         symbols[ends - 1] = self.final[raw[ends - 1]]
-        owner = np.repeat(np.arange(len(words)), sizes)
-        counts = np.zeros(len(words), dtype=np.int64)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        counts = np.zeros(len(sizes), dtype=np.int64)
         done_symbols, done_owners = [], []
         while len(symbols):
             keys = symbols[:-1] << 32 | symbols[1:]
@@ -147,6 +182,60 @@ class Memory:
         return self.ids[at], counts
 
 
+class Table:
+    """Numbers of short byte strings, which are keys of whole 64-bit words; no lookup can err."""
+
+    def __init__(self, most: int):
+        bits = max(8, most.bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys = np.zeros((KEY_WORDS, 1 << bits), dtype=np.uint64)
+        self.numbers = np.full(1 << bits, -1, dtype=np.int32)
+        self.claims = np.zeros(1 << bits, dtype=np.int32)
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        mixed = keys[0] * MIX
+        for part in keys[1:]:
+            mixed ^= mixed >> np.uint64(32)
+            mixed = (mixed ^ part) * MIX
+        return (mixed >> self.shift).astype(np.int64)
+
+    def held(self, slots: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        same = self.numbers[slots] >= 0
+        for held, part in zip(self.keys, keys):
+            same &= held[slots] == part
+        return same
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of each key or -1, its slot or a free one)."""
+        slots = self.slots(keys)
+        numbers = self.numbers[slots]
+        other = np.flatnonzero(~self.held(slots, keys) & (numbers >= 0))
+        while len(other):
+            slots[other] = slots[other] + 1 & self.mask
+            numbers[other] = self.numbers[slots[other]]
+            other = other[~self.held(slots[other], keys[:, other]) & (numbers[other] >= 0)]
+        return numbers.astype(np.int64), slots
+
+    def add(self, keys: np.ndarray, slots: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
+        """Number absent keys from `first` on, equal ones alike: (number of each, row of each new
+        number). `slots` are the free ones that find() gave."""
+        numbers, rows = np.zeros(len(slots), dtype=np.int64), np.arange(len(slots))
+        fresh = [rows[:0]]
+        while len(rows):
+            free = np.flatnonzero(self.numbers[slots] < 0)
+            self.claims[slots[free]] = rows[free]
+            free = free[self.claims[slots[free]] == rows[free]]
+            new, taken = rows[free], slots[free]
+            self.keys[:, taken] = keys[:, new]
+            self.numbers[taken] = first + np.arange(len(new))
+            first += len(new)
+            fresh.append(new)
+            same = self.held(slots, keys[:, rows])
+            numbers[rows[same]] = self.numbers[slots[same]]
+            rows, slots = rows[~same], slots[~same] + 1 & self.mask
+        return numbers, np.concatenate(fresh)
+
+
 class Encoder:
     """Encodes texts to ids, without added begin or end tokens."""
 
@@ -161,6 +250,8 @@ class Encoder:
         self.marks = {x["content"][:2] for x in spec["added_tokens"]}
         self.by_word = spec["normalizer"] is not None and steps[0].get("type") == "Split"
         self.by_byte = spec["normalizer"] is None and steps[0].get("type") == "ByteLevel"
+        self.added = [x["content"].encode() for x in spec["added_tokens"]]
+        self.by_column = self.by_byte and before == steps[0] and not before["add_prefix_space"]
         self.cut = regex.compile(steps[0]["pattern"]["Regex"] if self.by_word else PRE_TOKENS)
         self.merges = Merges(spec["model"]) if self.by_word or self.by_byte else None
         self.forget()
@@ -171,6 +262,10 @@ class Encoder:
         self.words: dict[str, int] = {}
         #: Numbers of pre-tokens without a space before them.
         self.parts: dict[str, int] = {}
+        #: The memory of columns: short pre-tokens, long ones, and their ids.
+        self.table: Table | None = None
+        self.long: dict[bytes, int] = {}
+        self.column_memory = Memory()
 
     def library(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of whole texts by the library."""
@@ -270,6 +365,145 @@ class Encoder:
             runs[k] = run
         return joined_runs(runs, close)
 
+    def encode_column(
+        self, texts: pa.Array, end_id: int | None = None
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """The same as encode() for a column of texts; null is empty."""
+        if not len(texts):
+            return joined_runs([], np.zeros(0, dtype=np.uint32))
+        texts = texts.cast(pa.large_string()).fill_null("")
+        if not self.by_column:
+            return self.encode(texts.to_pylist(), end_id)
+        data, edges = bytes_of(texts)
+        classes = classes_of(data)
+        strange = np.flatnonzero(classes == STRANGE)
+        odd = set((np.searchsorted(edges, strange, side="right") - 1).tolist())
+        raw = data.tobytes()
+        if any(mark in raw for mark in self.added):
+            several = [raw[a:b] for a, b in zip(edges.tolist(), edges[1:].tolist())]
+            odd |= {k for k, t in enumerate(several) if any(mark in t for mark in self.added)}
+        odd = np.array(sorted(odd), dtype=np.int64)
+        if len(odd):
+            # Only what the cut by bytes knows may become a key.
+            stays = np.ones(len(texts), dtype=bool)
+            stays[odd] = False
+            data, edges = bytes_of(pc.if_else(pa.array(stays), texts, ""))
+            classes = classes_of(data)
+        starts = pre_token_starts(data, classes, edges)
+        ids, counts = self.ids_of(data, starts)
+        past = np.append(0, np.cumsum(counts))[np.searchsorted(starts, edges)]
+        close = np.array([] if end_id is None else [end_id], dtype=np.uint32)
+        if not len(odd):
+            closed = np.insert(ids, np.repeat(past[1:], len(close)), np.tile(close, len(texts)))
+            return closed, past[1:] + len(close) * np.arange(1, len(texts) + 1)
+        runs = [ids[a:b] for a, b in zip(past, past[1:])]
+        others, ends = self.encode(texts.take(pa.array(odd)).to_pylist())
+        for k, a, b in zip(odd, [0, *ends], ends):
+            runs[k] = others[a:b]
+        return joined_runs(runs, close)
+
+    def ids_of(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, count of each) of the pre-tokens that start at `starts` and fill `data`."""
+        if self.table is None or self.column_memory.size > MEMORY:
+            self.table, self.long, self.column_memory = Table(2 * MEMORY), {}, Memory()
+        sizes = np.diff(np.append(starts, len(data)))
+        keys = keys_of(data, starts, sizes)
+        numbers, slots = self.table.find(keys)
+        is_long = np.flatnonzero(sizes > 8 * KEY_WORDS)
+        numbers[is_long] = 0
+        absent = np.flatnonzero(numbers < 0)
+        # A batch of very many new pre-tokens is taken in parts, so that the table never fills.
+        if self.column_memory.size + len(absent) + len(is_long) > 2 * MEMORY and len(starts) > 1:
+            half = len(starts) // 2
+            at = starts[half]
+            parts = self.ids_of(data[:at], starts[:half]), self.ids_of(data[at:], starts[half:] - at)
+            return tuple(np.concatenate(x) for x in zip(*parts))
+        if len(absent):
+            found, fresh = self.table.add(keys[:, absent], slots[absent], self.column_memory.size)
+            numbers[absent] = found
+            fresh = absent[fresh]
+            spelled = spread(data, starts[fresh], sizes[fresh])
+            self.column_memory.add(*self.merges.merge_bytes(spelled, sizes[fresh]))
+        if len(is_long):
+            ends = starts[is_long] + sizes[is_long]
+            words = [data[a:b].tobytes() for a, b in zip(starts[is_long], ends)]
+            new = [w for w in dict.fromkeys(words) if w not in self.long]
+            if new:
+                first = self.column_memory.add(*self.merges.merge(new))
+                self.long.update(zip(new, range(first, first + len(new))))
+            numbers[is_long] = [self.long[w] for w in words]
+        return self.column_memory.gather(numbers)
+
+
+def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of all texts, where each starts and the last ends) of large strings without nulls."""
+    _, offsets, held = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(held, np.uint8) if held else np.zeros(0, dtype=np.uint8)
+    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def classes_of(data: np.ndarray) -> np.ndarray:
+    """The class of each byte's character."""
+    classes = CLASSES[data]
+    first = np.flatnonzero((data >= 0xC2) & (data <= 0xC8))
+    last = data[first + 1]
+    found = np.where(data[first] == 0xC2, SIGNS_C2[last], np.uint8(LETTER))
+    found[(data[first] == 0xC3) & ((last == 0x97) | (last == 0xB7))] = SIGN
+    classes[first] = classes[first + 1] = found
+    return classes
+
+
+def pre_token_starts(data: np.ndarray, classes: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Where PRE_TOKENS cuts the texts that lie in `data` between `edges`.
+
+    A space belongs to the word behind it. Of several blanks before a word the last stands
+    alone, or is that space; the others, like all at the end of a text, are one pre-token.
+    """
+    if not len(data):
+        return np.zeros(0, dtype=np.int64)
+    text = np.zeros(len(data) + 1, dtype=bool)
+    text[edges] = True
+    blank = (classes == SPACE) | (classes == BLANK)
+    before = np.append(np.uint8(STRANGE), classes[:-1])
+    start = (before != classes) & ((before != SPACE) | blank) & ~(blank & np.append(False, blank[:-1]))
+    # The last blank before a word.
+    start[:-1] |= blank[:-1] & ~blank[1:] & ~text[1:-1]
+    start |= text[:-1]
+    # 's and the like, where the quote is not part of a longer run or behind a space.
+    quote = np.flatnonzero((data[:-1] == 39) & start[:-1] & (classes[1:] == LETTER))
+    quote = quote[~text[quote + 1]]
+    if len(quote):
+        one = data[quote + 1]
+        two = data[np.minimum(quote + 2, len(data) - 1)]
+        two[text[quote + 2]] = 0
+        short = np.isin(one, list(b"stmd"))
+        longer = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e"))
+        longer |= (one == ord("l")) & (two == ord("l"))
+        taken = quote[short | longer]
+        past = taken + np.where(short, 2, 3)[short | longer]
+        start[taken + 1] = False
+        start[past[past < len(data)]] = True
+    return np.flatnonzero(start)
+
+
+def keys_of(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The first bytes of each pre-token as whole words, zeros behind its end."""
+    padded = np.append(data, np.zeros(8 * KEY_WORDS, dtype=np.uint8))
+    words = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+    keys = np.zeros((KEY_WORDS, len(starts)), dtype=np.uint64)
+    keys[0] = words[starts] & FIRST_BYTES[np.minimum(sizes, 8)]
+    for k in range(1, KEY_WORDS):
+        more = np.flatnonzero(sizes > 8 * k)
+        keys[k, more] = words[starts[more] + 8 * k] & FIRST_BYTES[np.minimum(sizes[more] - 8 * k, 8)]
+    return keys
+
+
+def spread(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The bytes of the given runs, one after the other."""
+    ends = np.cumsum(sizes)
+    return data[np.arange(ends[-1]) + np.repeat(starts - (ends - sizes), sizes)]
+
 
 def joined_runs(runs: list[np.ndarray], close: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Runs of ids, each with `close` behind it, in one array; where each ends."""

@@ -48,7 +48,7 @@ def encode_documents(
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                ids, ends = coder.encode([t or "" for t in batch["text"].to_pylist()], end_id)
+                ids, ends = coder.encode_column(batch["text"], end_id)
                 ends = np.append(0, ends)
                 yield pa.RecordBatch.from_arrays(
                     [
