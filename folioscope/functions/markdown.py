@@ -38,10 +38,14 @@ def escape_text(text: Column) -> Column:
     special = r"[\\*`\[\]_]"
     at_start = r"^(-|\+ |=+|#{1,6} |~~~|>)"
     numbered = r"^(\d+)\. "
-    escaped = F.regexp_replace(text, rf"({special})", r"\\$1")
-    escaped = F.regexp_replace(escaped, at_start, r"\\$1")
-    escaped = F.regexp_replace(escaped, numbered, r"$1\\. ")
-    return F.when(text.rlike(rf"{special}|{at_start}|{numbered}"), escaped).otherwise(text)
+
+    def escaped(t: Column) -> Column:
+        found = F.regexp_replace(t, rf"({special})", r"\\$1")
+        found = F.regexp_replace(found, at_start, r"\\$1")
+        found = F.regexp_replace(found, numbered, r"$1\\. ")
+        return F.when(t.rlike(rf"{special}|{at_start}|{numbered}"), found).otherwise(t)
+
+    return let(text, escaped)
 
 
 def _border(units: Column, kind: str) -> Column:
@@ -311,5 +315,6 @@ def _settle(joined: Column) -> Column:
 def document(contexts: Column) -> Column:
     """Markdown from the node contexts of a page."""
     events = F.flatten(F.transform(contexts, _pieces))
-    joined = F.array_join(F.transform(F.array_sort(events), lambda e: e["piece"]), "")
+    # sort_array compares structs natively, array_sort by an interpreted function.
+    joined = F.array_join(F.sort_array(events)["piece"], "")
     return normalize_markdown(_settle(joined))
