@@ -7,8 +7,9 @@ are new to a worker are cut into pre-tokens, whose pairs are merged in all of th
 whatever is not plain Latin goes through the library. The memory is bounded: it is emptied
 when full, which costs time only.
 
-Of byte-level files a column of plain Latin texts never becomes Python strings: its pre-tokens
-are cut in the bytes of the whole batch and looked up by their bytes in a table of numpy arrays.
+A column of plain Latin texts never becomes Python strings: its pre-tokens are cut in the bytes of
+the whole batch, of files for words after lower-casing them in place, and looked up by their bytes
+in a table of numpy arrays.
 """
 
 import json
@@ -56,11 +57,26 @@ SIGNS_C2 = np.full(256, SIGN, dtype=np.uint8)
 SIGNS_C2[[0xAA, 0xB5, 0xBA]] = LETTER
 SIGNS_C2[[0xB2, 0xB3, 0xB9, 0xBC, 0xBD, 0xBE]] = DIGIT
 SIGNS_C2[0x80:0xA1] = STRANGE
+#: What files for words do to a text, and how they cut it; blanks are in no pre-token.
+WORD_STEPS = ["NFC", "Replace", "Lowercase"]
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Bytes of a pre-token that are a key; longer ones are known by a dictionary.
 KEY_WORDS = 3
 FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 
 
+def lower_case() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both bytes of each two-byte letter in lower case, by code point, and which have other sizes."""
+    lower = [chr(code).lower().encode() for code in range(0x240)]
+    fits = np.array([len(x) == 2 for x in lower])
+    pairs = np.array([tuple(x) if len(x) == 2 else (0, 0) for x in lower], dtype=np.uint8)
+    return pairs[:, 0], pairs[:, 1], fits
+
+
+LOWER_BYTES = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+LOWER_FIRST, LOWER_LAST, LOWER_FITS = lower_case()
+
+
 class Merges:
     """The pair merges of a vocabulary file, applied to many byte strings at once."""
 
@@ -251,7 +267,13 @@ class Encoder:
         self.by_word = spec["normalizer"] is not None and steps[0].get("type") == "Split"
         self.by_byte = spec["normalizer"] is None and steps[0].get("type") == "ByteLevel"
         self.added = [x["content"].encode() for x in spec["added_tokens"]]
-        self.by_column = self.by_byte and before == steps[0] and not before["add_prefix_space"]
+        if self.by_word:
+            self.by_column = (
+                [x["type"] for x in spec["normalizer"].get("normalizers", [])] == WORD_STEPS
+                and steps[0]["pattern"].get("Regex") == WORD_PATTERN
+            )
+        else:
+            self.by_column = self.by_byte and before == steps[0] and not before["add_prefix_space"]
         self.cut = regex.compile(steps[0]["pattern"]["Regex"] if self.by_word else PRE_TOKENS)
         self.merges = Merges(spec["model"]) if self.by_word or self.by_byte else None
         self.forget()
@@ -376,6 +398,8 @@ class Encoder:
             return self.encode(texts.to_pylist(), end_id)
         data, edges = bytes_of(texts)
         classes = classes_of(data)
+        if self.by_word:
+            classes[no_lower_case(data)] = STRANGE
         strange = np.flatnonzero(classes == STRANGE)
         odd = set((np.searchsorted(edges, strange, side="right") - 1).tolist())
         raw = data.tobytes()
@@ -389,7 +413,10 @@ class Encoder:
             stays[odd] = False
             data, edges = bytes_of(pc.if_else(pa.array(stays), texts, ""))
             classes = classes_of(data)
-        starts = pre_token_starts(data, classes, edges)
+        if self.by_word:
+            data, starts, edges = words_of(data, classes, edges)
+        else:
+            starts = pre_token_starts(data, classes, edges)
         ids, counts = self.ids_of(data, starts)
         past = np.append(0, np.cumsum(counts))[np.searchsorted(starts, edges)]
         close = np.array([] if end_id is None else [end_id], dtype=np.uint32)
@@ -470,7 +497,54 @@ def pre_token_starts(data: np.ndarray, classes: np.ndarray, edges: np.ndarray) -
     # The last blank before a word.
     start[:-1] |= blank[:-1] & ~blank[1:] & ~text[1:-1]
     start |= text[:-1]
-    # 's and the like, where the quote is not part of a longer run or behind a space.
+    # The quote of 's and the like is not part of a longer run or behind a space.
+    cut_endings(data, classes, text, start)
+    return np.flatnonzero(start)
+
+
+def words_of(
+    data: np.ndarray, classes: np.ndarray, edges: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes in lower case without blanks, where WORD_PATTERN cuts them, where each text starts)."""
+    if not len(data):
+        return data, np.zeros(0, dtype=np.int64), edges
+    data = lowered(data)
+    text = np.zeros(len(data) + 1, dtype=bool)
+    text[edges] = True
+    filled = (classes != SPACE) & (classes != BLANK)
+    start = np.append(True, classes[1:] != classes[:-1]) | text[:-1]
+    # Each digit is a pre-token; the last byte of a two-byte one is none.
+    start |= (classes == DIGIT) & ((data < 0x80) | (data >= 0xC0))
+    start &= filled
+    cut_endings(data, classes, text, start)
+    start &= filled
+    before = np.append(0, np.cumsum(filled))
+    return data[filled], before[np.flatnonzero(start)], before[edges]
+
+
+def two_byte_codes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where two-byte characters up to U+023F start, their code points)."""
+    first = np.flatnonzero((data >= 0xC2) & (data <= 0xC8))
+    return first, (data[first].astype(np.int64) & 0x1F) << 6 | data[first + 1] & 0x3F
+
+
+def no_lower_case(data: np.ndarray) -> np.ndarray:
+    """Where a character starts whose lower case has another number of bytes."""
+    first, codes = two_byte_codes(data)
+    return first[~LOWER_FITS[codes]]
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    found = LOWER_BYTES[data]
+    first, codes = two_byte_codes(data)
+    found[first], found[first + 1] = LOWER_FIRST[codes], LOWER_LAST[codes]
+    return found
+
+
+def cut_endings(
+    data: np.ndarray, classes: np.ndarray, text: np.ndarray, start: np.ndarray
+) -> None:
+    """Make 's and the like pre-tokens, where the quote starts one already."""
     quote = np.flatnonzero((data[:-1] == 39) & start[:-1] & (classes[1:] == LETTER))
     quote = quote[~text[quote + 1]]
     if len(quote):
@@ -484,7 +558,6 @@ def pre_token_starts(data: np.ndarray, classes: np.ndarray, edges: np.ndarray) -
         past = taken + np.where(short, 2, 3)[short | longer]
         start[taken + 1] = False
         start[past[past < len(data)]] = True
-    return np.flatnonzero(start)
 
 
 def keys_of(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:

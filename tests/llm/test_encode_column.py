@@ -39,3 +39,20 @@ def test_plain_latin_texts_do_not_become_python_strings(monkeypatch):
     ids, ends = coder.encode_column(pa.array(["It's größer,\n\nn'est-ce pas?", None]))
     assert coder.tokenizer.decode(ids.tolist()) == "It's größer,\n\nn'est-ce pas?"
     assert ends.tolist() == [len(ids)] * 2
+
+
+def test_words_of_a_column_do_not_become_python_strings(monkeypatch):
+    coder = encode.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["It's GRÖSSER, 'Tis 12\u00b2 n'EST-ce pas?\n\n''s", None, "\u01c5 \u0178x", " \t ", "'S's 'sun"]
+    wanted = coder.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)
+    monkeypatch.setattr(coder, "encode", None)
+    ids, ends = coder.encode_column(pa.array(texts), 2)
+    assert [ids[a:b].tolist() for a, b in zip([0, *ends], ends)] == [x.ids + [2] for x in wanted]
+
+
+def test_letters_that_grow_in_lower_case_go_through_the_library():
+    coder = encode.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["\u0130stanbul ok", "plain", "a \u023a \u023e b", "\u0244 \u0181", None]
+    wanted = coder.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)
+    ids, ends = coder.encode_column(pa.array(texts), 2)
+    assert [ids[a:b].tolist() for a, b in zip([0, *ends], ends)] == [x.ids + [2] for x in wanted]
