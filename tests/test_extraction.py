@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscope.operators import charts, extract, pagination
-from folioscope.operators.shred import pages_to_nodes, shred_html
+from folioscope.operators.shred import LINK_FIELDS, pages_to_nodes, shred_html
 
 CAPTURE = "page_id long, url string, html string, status_code int, content_type string"
 
@@ -328,3 +328,11 @@ def test_heading_without_ascii_words_that_repeats_the_title(spark):
     for html, kept in ((FOREIGN, False), (OTHER_FOREIGN, True)):
         got = PAGES.row(spark, _KEYS[(html, 200)])
         assert got.plain_text.startswith("Ç") is kept and got.markdown_content.startswith("#") is kept
+
+
+def test_links_need_few_fields_of_a_node():
+    page = '<p>x<a rel=next href="/2">Ne<b>x</b>t</a><table><tr><td><a href=/3>3'
+    whole = pages_to_nodes([page, None]).to_pylist()
+    few = pages_to_nodes([page, None], LINK_FIELDS).to_pylist()
+    assert few == [[{k: n[k] for k in LINK_FIELDS} | {"attrs": n["attrs"]} for n in p] for p in whole]
+    assert tuple(few[0][0]) == LINK_FIELDS
