@@ -9,10 +9,14 @@ reads only texts that can match.
 The rows of a bucket are dealt to tasks and files by their bytes, so a task's share does not
 grow with the table. The index is made of the stored rows, where they lie, without a shuffle.
 
-A rewrite replaces its buckets when the job commits, table after table; readers that must never
-see a mix use archive.write_archive(), which switches whole snapshots.
+A rewrite stands complete beside the old files before any of them goes; its buckets then take
+their places, table after table. Readers that must never see a mix use archive.write_archive(),
+which switches whole snapshots. The new files are made some buckets at a time and shuffle files
+go after each write, so that no more than the old and the new files and a part of the rows lie
+on disk at once.
 """
 
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -24,7 +28,7 @@ from pyspark.sql import functions as F
 from folioscope.functions import text as X
 from folioscope.operators import query as Q
 from folioscope.schema import BOOKMARKS, LINKS, TAGS, Archive, Change
-from folioscope.session import ensure_checkpoint_dir
+from folioscope.session import ensure_checkpoint_dir, freed_shuffles
 
 TABLES = {"bookmarks": (BOOKMARKS, "id"), "links": (LINKS, "bookmark_id"), "tags": (TAGS, "id")}
 #: A piece is a number: three code points of 21 bits each, the first one highest.
@@ -35,7 +39,15 @@ BITS = 21
 PAD = "\x00"
 #: So many pairs of a piece and a bookmark, or a few more, are held at a time.
 HELD = 2_000_000
-LAYOUT = {"parquet.block.size": str(8 << 20), "parquet.page.row.count.limit": "2000"}
+LAYOUT = {
+    "compression": "zstd",
+    "parquet.block.size": str(8 << 20),
+    "parquet.page.row.count.limit": "2000",
+    # As many bits as the ids of a row group need, and not a megabyte for each.
+    "parquet.bloom.filter.adaptive.enabled": "true",
+}
+#: Bookmarks, and links that change, are dealt to their buckets in up to so many parts.
+PARTS = 8
 #: Up to so many ids are looked up by a filter in the scan, more by a join.
 FEW = 1000
 
@@ -197,41 +209,69 @@ class Snapshot:
         """Apply a change of the bookmarks `ids` (first column) and rewrite what it touches.
 
         `change` sees the bookmarks and links of the buckets that hold the ids, and all tags;
-        these buckets of the named tables are written again, all others keep their files. The
-        rows of the change are computed, into the checkpoint folder, before any file goes.
+        these buckets of the named tables are written again, all others keep their files. All
+        new files are written, beside the tables, before any file goes; for that the rows of
+        the change are computed once for each of up to PARTS parts of the buckets. The archive
+        that is returned reads the stored files.
         """
         ensure_checkpoint_dir(self.spark)
         wanted = self.buckets_of(ids)
         result = change(self.archive(wanted))
-        after = {name: getattr(result.archive, name).checkpoint() for name in tables}
-        done = Change(
-            result.archive.replace(**after),
-            result.applied.checkpoint(),
-            result.rejects.checkpoint(),
-            None if result.removed is None else result.removed.checkpoint(),
-        )
-        if wanted:
-            for name, rows in after.items():
-                self._write(name, rows, wanted)
-            if "bookmarks" in after:
-                self._write_grams(wanted)
-        return done
-
-    def _write(self, name: str, rows: DataFrame, wanted: list[int] | None = None) -> None:
+        with freed_shuffles(self.spark):
+            held = lambda rows: rows.select("*").checkpoint()
+            applied, rejects = held(result.applied), held(result.rejects)
+            removed = None if result.removed is None else held(result.removed)
+            after = {"tags": held(result.archive.tags)} if "tags" in tables else {}
+            if wanted:
+                draft = self._draft()
+                try:
+                    for name in tables:
+                        rows = after.get(name, getattr(result.archive, name))
+                        self._write(name, rows, wanted, wanted if name != "tags" else None, draft)
+                except BaseException:
+                    self._delete(draft)
+                    raise
+                # If this breaks off, the draft may hold the only copy of a bucket, and stays.
+                for name in tables:
+                    self._replace(name, draft)
+                self._delete(draft)
+                if "bookmarks" in tables:
+                    self._write_grams(wanted)
+        stored = self.archive(wanted)
+        after |= {name: getattr(stored, name) for name in tables if name not in after}
+        return Change(result.archive.replace(**after), applied, rejects, removed)
+
+    def _write(
+        self,
+        name: str,
+        rows: DataFrame,
+        wanted: list[int] | None = None,
+        parts: list[int] | None = None,
+        root: str | None = None,
+    ) -> None:
+        """Write rows, of `wanted` buckets or of all, below `root`; `parts` as in _dealt()."""
         schema, key = TABLES[name]
-        bucketed = rows.withColumn("bucket", bucket_of(F.col(key), self.buckets))
+        if "bucket" not in rows.columns:
+            rows = rows.withColumn("bucket", bucket_of(F.col(key), self.buckets))
         if wanted is not None and name != "tags":
             # A bucket that lost its last row is written with one that has no id.
             empty = self.spark.createDataFrame([(b,) for b in wanted], "bucket int")
             empty = empty.select(
                 *(F.lit(None).cast(f.dataType).alias(f.name) for f in schema), "bucket"
             )
-            bucketed = bucketed.unionByName(empty)
-        self._put(
-            # Each bucket goes to its own tasks, as many as its bytes need.
-            bucketed.hint("rebalance", F.col("bucket")),
-            name, key, **{f"parquet.bloom.filter.enabled#{key}": "true"},
-        )
+            rows = rows.unionByName(empty)
+        for part in _dealt(rows, parts or []):
+            self._put(
+                # Each bucket goes to its own tasks, as many as its bytes need.
+                part.hint("rebalance", F.col("bucket")),
+                name, key, root, **{f"parquet.bloom.filter.enabled#{key}": "true"},
+            )
+
+    def _drafted(self, rows: DataFrame, draft: str) -> DataFrame:
+        """Bookmarks with their bucket, computed once; each file has the rows of a bucket together."""
+        bucketed = rows.withColumn("bucket", bucket_of(F.col("id"), self.buckets))
+        bucketed.sortWithinPartitions("bucket").write.options(**LAYOUT).parquet(draft)
+        return self.spark.read.schema(_ddl(BOOKMARKS) + ", bucket int").parquet(draft)
 
     def _write_grams(self, wanted: list[int] | None = None) -> None:
         rows = gram_rows(self.table("bookmarks", wanted))
@@ -241,27 +281,72 @@ class Snapshot:
             rows = rows.unionByName(empty.select(*none, "bucket"))
         self._put(rows, "grams", "gram")
 
-    def _put(self, rows: DataFrame, name: str, key: str, **options: str) -> None:
+    def _put(
+        self, rows: DataFrame, name: str, key: str, root: str | None = None, **options: str
+    ) -> None:
         (
             rows.sortWithinPartitions("bucket", key)
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .options(**LAYOUT, **options)
             .partitionBy("bucket")
-            .parquet(f"{self.root}/{name}")
+            .parquet(f"{root or self.root}/{name}")
         )
 
+    def _draft(self) -> str:
+        """A new folder beside the tables."""
+        return f"{self.root}/_draft/{uuid.uuid4().hex}"
+
+    def _delete(self, folder: str) -> None:
+        path, fs = self._files(folder)
+        fs.delete(path, True)
+
+    def _files(self, folder: str):
+        """(path, its file system) of a folder."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _replace(self, name: str, draft: str) -> None:
+        """Put the buckets of a table below `draft` in the place of those with their numbers."""
+        made, fs = self._files(f"{draft}/{name}")
+        for bucket in fs.listStatus(made) if fs.exists(made) else ():
+            if bucket.isDirectory():
+                place, _ = self._files(f"{self.root}/{name}/{bucket.getPath().getName()}")
+                fs.delete(place, True)
+                fs.mkdirs(place.getParent())
+                if not fs.rename(bucket.getPath(), place):
+                    raise OSError(f"{bucket.getPath()} could not be moved to {place}")
+        self.spark.catalog.refreshByPath(f"{self.root}/{name}")
+
+
+def _dealt(rows: DataFrame, buckets: list[int]) -> list[DataFrame]:
+    """The rows in up to PARTS parts of the buckets; the first has also those of all others."""
+    rest = [buckets[k::PARTS] for k in range(1, min(PARTS, len(buckets)))]
+    if not rest:
+        return [rows]
+    first = ~F.col("bucket").isin(sum(rest, []))
+    return [rows.where(first), *(rows.where(F.col("bucket").isin(part)) for part in rest)]
+
 
 def _ddl(schema) -> str:
     return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
 
 
 def write_snapshot(archive: Archive, root: str, buckets: int = 16) -> Snapshot:
-    """Write the whole archive below the new folder `root`; choose buckets of about 100 MB."""
+    """Write the whole archive below the new folder `root`; choose buckets of about 100 MB.
+
+    The bookmarks are written twice, so that shuffles of the query that makes them are gone
+    before the wide rows go to their buckets, some buckets at a time.
+    """
     snapshot = Snapshot(archive.bookmarks.sparkSession, root, buckets)
-    for name in TABLES:
-        snapshot._write(name, getattr(archive, name))
-    snapshot._write_grams()
+    with freed_shuffles(snapshot.spark):
+        draft = snapshot._draft()
+        rows = snapshot._drafted(archive.bookmarks, draft)
+        snapshot._write("bookmarks", rows, parts=list(range(buckets)))
+        snapshot._delete(draft)
+        snapshot._write("links", archive.links)
+        snapshot._write("tags", archive.tags)
+        snapshot._write_grams()
     meta = snapshot.spark.createDataFrame([(buckets,)], "buckets int")
     meta.coalesce(1).write.mode("overwrite").json(f"{root}/meta")
     return snapshot

@@ -2,6 +2,8 @@
 
 import datetime
 import random
+import time
+from pathlib import Path
 
 import pandas as pd
 import pytest
@@ -11,7 +13,7 @@ from folioscope.functions import net, text, urls
 from folioscope.operators import changes, lifecycle, media, safety
 from folioscope.operators import export as exporting
 from folioscope.operators import query as reading
-from folioscope.schema import BOOKMARKS, LINKS, TAGS
+from folioscope.schema import BOOKMARKS, LINKS, TAGS, Change
 from folioscope.session import scratch_dir
 from folioscope.sources import archive as storing
 from folioscope.sources import captures as capturing
@@ -362,6 +364,61 @@ def test_a_large_bucket_is_dealt_to_several_tasks(spark, tmp_path):
         assert found == values(reading.search(full, q), "id") and found, q
 
 
+def folder_bytes(folder):
+    return sum(f.stat().st_size for f in Path(folder).rglob("*") if f.is_file())
+
+
+def shuffle_bytes(spark):
+    found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    files = [found.apply(i) for i in range(found.size())]
+    return sum(f.length() for f in files if f.getName().startswith("shuffle"))
+
+
+def test_a_rewrite_keeps_old_files_until_it_is_whole_and_leaves_no_copies(spark, tmp_path):
+    a, root, draw = small_archive(spark), tmp_path / "stored", random.Random(5)
+    bodies = [(f"x{i}", f"Row {i}", "".join(draw.choice("abcdefgh ") for _ in range(10_000))) for i in range(300)]
+    rows = spark.createDataFrame(bodies, "id string, title string, markdown_content string").repartition(4)
+    full = storing.make_archive(a.bookmarks.unionByName(rows, allowMissingColumns=True), a.tags, a.links)
+    none = F.lit(None).cast("string")
+    patches = spark.createDataFrame([(f"x{i}", f"New {i}") for i in [*range(0, 300, 10), 999]], "bookmark_id string, title string")
+    patches = patches.select("*", none.alias("user_note"), none.alias("markdown_content"))
+    shared, shuffled = spark.conf.get("spark.checkpoint.dir"), shuffle_bytes(spark)
+    stored = bucketing.write_snapshot(full, str(root), 10)
+    size, kept = folder_bytes(root / "bookmarks"), folder_bytes(shared)
+    assert size < 2_500_000  # 3 MB of texts, of 4 bits a character
+    files = lambda: {r.id: r.f for r in stored.table("bookmarks").select("id", F.col("_metadata.file_name").alias("f")).collect()}
+    before = files()
+
+    def broken(part):
+        change = changes.edit(part, patches, F.lit(DAY))
+        fault = F.when(F.col("id") == "x290", F.raise_error(F.lit("fault"))).otherwise(F.col("url"))
+        return Change(change.archive.replace(bookmarks=change.archive.bookmarks.withColumn("url", fault)), change.applied, change.rejects)
+
+    with pytest.raises(Exception, match="fault"):
+        stored.update(patches, broken, ("bookmarks",))
+    assert files() == before and stored.search("New 29").isEmpty()
+
+    change = stored.update(patches, lambda part: changes.edit(part, patches, F.lit(DAY)), ("bookmarks", "links"))
+    for _ in range(20):  # shuffle files go in the background
+        if shuffle_bytes(spark) - shuffled >= 0.5 * size:
+            time.sleep(0.5)
+    assert shuffle_bytes(spark) - shuffled < 0.5 * size
+    # Of texts, the tables have one copy, and nothing else more than the few changed rows.
+    assert folder_bytes(root / "bookmarks") < 1.2 * size and folder_bytes(root / "_draft") == 0
+    assert folder_bytes(shared) - kept < 0.5 * size
+
+    wanted, columns = changes.edit(full, patches, F.lit(DAY)), ("id", "title", "url", "markdown_content", "plain_text")
+    assert values(stored.archive().bookmarks.na.fill("-"), *columns) == values(wanted.archive.bookmarks.na.fill("-"), *columns)
+    assert values(stored.archive().links, "bookmark_id", "tag_id") == values(full.links, "bookmark_id", "tag_id")
+    assert values(change.applied, *columns) == values(wanted.applied, *columns)
+    assert values(change.rejects) == [("x999", "NOT_FOUND")]
+    hit = {r.b for r in patches.select(bucketing.bucket_of(F.col("bookmark_id"), 10).alias("b")).collect()}
+    now = stored.table("bookmarks").select("id", "bucket", F.col("_metadata.file_name").alias("f")).collect()
+    assert len(hit) > bucketing.PARTS and all((r.f != before[r.id]) == (r.bucket in hit) for r in now)
+    assert values(change.archive.bookmarks, "id") == sorted((r.id,) for r in now if r.bucket in hit)
+    assert values(stored.search("nEW 2"), "id") == values(reading.search(wanted.archive, "nEW 2"), "id") != []
+
+
 def test_search_covers_fields_and_tags(spark):
     a = small_archive(spark)
     for q, want in {"ALPHA": "b1", "100%": "b1", "a_x": "b2", "home": "b2", "zweiter": "b2", "b.example/2": "b2"}.items():
