@@ -49,3 +49,21 @@ def test_labels_on_held_out_rows_only(spark):
     assert wanted and sorted(x.doc_id for x in left if x.lang) == sorted(
         i for i in wanted if i < 90_000
     )
+
+
+@pytest.mark.parametrize("labels", [0, 1, 3])
+def test_texts_that_stay_are_named_as_the_operator_names_them(spark, labels):
+    docs = spark.createDataFrame(corpus(labels), SCHEMA)
+    twice = docs.unionByName(docs.where("doc_id < 20")).withColumn("note", F.lit("n"))
+    left = corpus_pipeline.identify_language(spark, twice, "")
+    assert left.columns == ["doc_id", "text", "lang", "note", "lang_pred", "lang_score"]
+    found = {x.doc_id: (x.lang_pred, x.score) for x in language.identify(twice).collect()}
+    rows = left.collect()
+    assert [(x.lang_pred, x.lang_score) for x in rows] == [found[x.doc_id] for x in rows]
+    assert len([x for x in rows if x.doc_id < 20]) == (40 if labels else 0)
+    named = {x.lang_pred for x in rows if x.lang}
+    assert named == {f"l{k}" for k in range(labels)}
+    right = [x.lang == x.lang_pred for x in rows if x.lang]
+    assert sum(right) >= 0.95 * len(right)
+    # A text is judged in one pass over the rows.
+    assert str(left._jdf.queryExecution().executedPlan()).count("ArrowEvalPython") == 1
