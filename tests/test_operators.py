@@ -1,6 +1,7 @@
 """Operators against golden rows, plain Python replays and properties."""
 
 import datetime
+import hashlib
 import random
 import time
 from pathlib import Path
@@ -13,6 +14,7 @@ from folioscope.functions import net, text, urls
 from folioscope.operators import changes, lifecycle, media, safety
 from folioscope.operators import export as exporting
 from folioscope.operators import query as reading
+from folioscope.plans import snapshot_queries
 from folioscope.schema import BOOKMARKS, LINKS, TAGS, Change
 from folioscope.session import scratch_dir
 from folioscope.sources import archive as storing
@@ -419,6 +421,30 @@ def test_a_rewrite_keeps_old_files_until_it_is_whole_and_leaves_no_copies(spark,
     assert values(stored.search("nEW 2"), "id") == values(reading.search(wanted.archive, "nEW 2"), "id") != []
 
 
+def test_partial_snapshot_leaves_less_than_four_times_its_input(spark, tmp_path):
+    draw = random.Random(8)
+    texts = [(i, "".join(draw.choice("abcdefgh ") for _ in range(20_000)), "de", "web", 20_000) for i in range(200)]
+    tables = {
+        "documents": spark.createDataFrame(texts, "doc_id long, text string, lang string, source string, n_chars long"),
+        "pages": spark.createDataFrame([(1, "https://a.example/1", "<p>x</p>")], "page_id long, url string, html string"),
+        "labels": spark.createDataFrame([(2, 1, 0)], "doc_id long, quality int, toxic int"),
+        "events": spark.range(1),
+    }
+    for name, rows in tables.items():
+        rows.write.parquet(f"{tmp_path}/{name}.parquet")
+    size, shared = folder_bytes(tmp_path), spark.conf.get("spark.checkpoint.dir")
+    before = folder_bytes(shared) + shuffle_bytes(spark)
+    rows = snapshot_queries.partial_snapshot(spark, str(tmp_path)).collect()
+    for _ in range(20):  # shuffle files go in the background
+        if (left := folder_bytes(shared) + shuffle_bytes(spark) - before) >= 4 * size:
+            time.sleep(0.5)
+    assert left < 4 * size
+    assert {r.title for r in rows if int(r.id) % 90 == 2} == {"Edited de"} and len(rows) == 200
+    hit = {int(hashlib.md5(str(i).encode()).hexdigest()[:8], 16) % 16 for i in range(2, 200, 90)}
+    assert all(r.rewritten == (int(hashlib.md5(r.id.encode()).hexdigest()[:8], 16) % 16 in hit) for r in rows)
+    assert not any(r.links_rewritten for r in rows)
+
+
 def test_search_covers_fields_and_tags(spark):
     a = small_archive(spark)
     for q, want in {"ALPHA": "b1", "100%": "b1", "a_x": "b2", "home": "b2", "zweiter": "b2", "b.example/2": "b2"}.items():
